@@ -9,12 +9,31 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .personal_data import find_personal_data
+
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import predict_held_out
+
+    return predict_held_out(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality
 
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_held_out
+
+    found = score_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", "nearest")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -31,7 +50,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_quality, op8_byte_bpe, op9_decontaminate)}
+    return {f.__name__: f for f in (op2_personal_data, op5_language, op6_quality, op7_toxicity, op8_byte_bpe, op9_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
