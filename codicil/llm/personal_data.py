@@ -186,18 +186,11 @@ class Field:
     def __init__(self, names: list[str], around: list[str], w: dict[str, np.ndarray]):
         self.names = {n: i for i, n in enumerate(names)}
         self.around = {n: i + 1 for i, n in enumerate(around)}  # 0: unknown
-        self.plain: dict[str, tuple[np.ndarray, int]] = {}
         self.own, self.before, self.after, self.step = (w[k] for k in ("own", "before", "after", "step"))
 
     def word(self, word: str) -> tuple[np.ndarray, int]:
-        s = shape(word)
-        if (plain := "9" not in s) and s in self.plain:  # without digits, the shape says it all
-            return self.plain[s]
         own = [self.names[f] for f in features(word) if f in self.names]
-        out = self.own[own].sum(axis=0) if own else np.zeros(len(LABELS)), self.around.get(near(word), 0)
-        if plain and len(self.plain) < 100_000:
-            self.plain[s] = out
-        return out
+        return self.own[own].sum(axis=0) if own else np.zeros(len(LABELS)), self.around.get(near(word), 0)
 
 
 def train(table: list[tuple[list[str], list[str]]], rounds: int = 150, rate: float = 0.2, l2: float = 0.02) -> Field:
@@ -252,9 +245,10 @@ def train(table: list[tuple[list[str], list[str]]], rounds: int = 150, rate: flo
 
 
 class Decoder:
-    """What a worker keeps of words seen: their own scores and how they look to neighbours."""
+    """What a worker keeps: for words seen the number of their kind of word (words without digits are told apart by
+    shape alone), for kinds their own scores and how they look to neighbours."""
 
-    LIMIT = 200_000
+    LIMIT, KINDS_LIMIT = 300_000, 200_000
 
     def __init__(self, field: Field):
         self.field = field
@@ -265,6 +259,7 @@ class Decoder:
 
     def reset(self) -> None:
         self.number: dict[str, int] = {}
+        self.kind: dict[str, int] = {}
         self.scores, self.looks = [np.r_[60.0, np.zeros(len(KINDS))]], [0]  # 0: between texts
         self.table, self.look = np.array(self.scores), np.array(self.looks)
 
@@ -273,17 +268,25 @@ class Decoder:
         try:
             return list(map(number.__getitem__, words))
         except KeyError:
-            for w in set(words) - number.keys():
-                own, look = self.field.word(w)
-                number[w] = len(self.scores)
-                self.scores.append(own)
-                self.looks.append(look)
-            return list(map(number.__getitem__, words))
+            return [number[w] if w in number else self.add(w) for w in words]
+
+    def add(self, word: str) -> int:
+        s = shape(word)
+        of = word if "9" in s else s
+        if (n := self.kind.get(of)) is None:
+            own, look = self.field.word(word)
+            n = self.kind[of] = len(self.scores)
+            self.scores.append(own)
+            self.looks.append(look)
+        self.number[word] = n
+        return n
 
     def labels(self, texts: list[list[str]]) -> list[np.ndarray]:
         """The best labels of each text; those without any entity give an empty array."""
-        if len(self.number) > self.LIMIT:
+        if len(self.kind) > self.KINDS_LIMIT:
             self.reset()
+        elif len(self.number) > self.LIMIT:
+            self.number = {}
         ids = [0]
         for ws in texts:
             ids += self.ids(ws)
@@ -380,10 +383,9 @@ def find_personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        decoder = _decoders.get(id(shared))
-        if decoder is None:
-            _decoders.clear()
-            decoder = _decoders[id(shared)] = Decoder(shared.value)
+        if _kept.get("of") is not shared.value:
+            _kept.update(of=shared.value, by=Decoder(shared.value))
+        decoder = _kept["by"]
         texts = texts_of(batch)
         words = [t.split() for t in texts]
         counts, shas, spans, added = [], [], [], []
@@ -407,4 +409,4 @@ def find_personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame
     return arrow_map(pick(docs, doc_id="long", text="string"), run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
-_decoders: dict[int, Decoder] = {}
+_kept: dict = {}
