@@ -49,8 +49,14 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest")
 
 
+def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .page_text import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_personal_data, op5_language, op6_quality, op7_toxicity, op8_byte_bpe, op9_decontaminate)}
+    return {f.__name__: f for f in (op2_personal_data, op5_language, op6_quality, op7_toxicity, op8_byte_bpe, op9_decontaminate, op10_page_text)}
 
 
 def oracle_sql() -> dict[str, str]:
