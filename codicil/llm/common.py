@@ -85,17 +85,46 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def packed(keys: np.ndarray, record: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Records (a structured array) grouped by bucket of their uint64 key: one row (bucket, data) for each bucket, so that
-    a shuffle moves few large rows instead of many small ones. Equal keys share a bucket."""
-    bucket = (keys >> np.uint64(33)) % np.uint64(buckets)
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of well-mixed uint64 keys: the b-th holds the b-th part of the range of keys. buckets: below 2**31."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+
+
+def packed(keys: np.ndarray, record: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
+    """Records (a structured array) by bucket of their key: one (bucket, bytes) for each bucket, so that a shuffle moves
+    few large rows instead of many small ones. Equal keys share a bucket."""
+    bucket = bucket_of(keys, buckets)
     order = np.argsort(bucket, kind="stable")
     bucket, record = bucket[order], record[order]
-    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
-    ends = np.r_[starts[1:], len(bucket)] if len(starts) else starts
+    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else np.zeros(1, int)
+    return [(int(bucket[a]), record[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+def buckets_for(spark: SparkSession) -> int:
+    """Buckets for packed(): a power of two, about sixteen for each shuffle partition, so that partitions come out even."""
+    return 1 << int(np.ceil(np.log2(16 * shuffle_partitions(spark))))
+
+
+def gathered(df: DataFrame, fn: Callable[[Iterator[tuple[int, int, list[bytes]]]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Shuffles rows (kind, bucket, data) by bucket and calls fn for each partition with its (kind, bucket, all data)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[int, int], list[bytes]] = {}
+        for b in batches:
+            for kind, bucket, data in zip(b.column("kind").to_pylist(), b.column("bucket").to_pylist(), b.column("data").to_pylist()):
+                found.setdefault((kind, bucket), []).append(data)
+        yield from fn((kind, bucket, found.pop((kind, bucket))) for kind, bucket in sorted(found))
+
+    return df.repartition(shuffle_partitions(df.sparkSession), "bucket").mapInArrow(run, schema)
+
+
+PACKED = "kind int, bucket int, data binary"
+
+
+def packed_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(bucket[starts].astype(np.int32)), pa.array([record[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary())],
-        ["bucket", "data"],
+        [pa.array([k for k, _, _ in rows], pa.int32()), pa.array([b for _, b, _ in rows], pa.int32()), pa.array([d for _, _, d in rows], pa.binary())],
+        ["kind", "bucket", "data"],
     )
 
 
