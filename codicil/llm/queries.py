@@ -21,6 +21,12 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_groups
+
+    return jaccard_groups(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import predict_held_out
 
@@ -62,7 +68,7 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_personal_data, op3_suffix_dedup, op5_language, op6_quality, op7_toxicity, op8_byte_bpe, op9_decontaminate, op10_page_text)}
+    return {f.__name__: f for f in (op2_personal_data, op3_suffix_dedup, op4_jaccard, op5_language, op6_quality, op7_toxicity, op8_byte_bpe, op9_decontaminate, op10_page_text)}
 
 
 def oracle_sql() -> dict[str, str]:
