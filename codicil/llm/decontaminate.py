@@ -168,8 +168,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_by
     """One row for each document: its words, the words inside occurrences of windows, the items found (sorted as strings in
     the digest), the longest verbatim match in words, and the hit word ranges. ``keep``: further columns, with their types."""
     spark, keep = docs.sparkSession, keep or {}
-    base = pick(docs, doc_id="long", text="string", **keep)
-    blocks = list(blocks_of(benchmark, window, block_bytes))  # whole only while it is one; see below
+    base = pick(docs, **{"doc_id": "long", "text": "string"} | keep)
+    blocks = list(blocks_of(benchmark, window, block_bytes))
     parts = []
     many = len(blocks) > 1
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

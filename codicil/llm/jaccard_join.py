@@ -106,7 +106,7 @@ def signatures(s: np.ndarray, classes: Classes) -> np.ndarray:
         if m == 1:
             continue
         for cut in range(CUTS):
-            h = s if not cut else np.sort(mix(s + _M * np.uint64(cut)))
+            h = s if not cut else np.sort(mix(s + np.uint64(cut * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF)))
             seg = (h >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)
             at = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
             total = np.add.reduceat(h * _M ^ (h >> np.uint64(31)), at)

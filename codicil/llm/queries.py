@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
+def op1_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_templates import drop_lines
+
+    return drop_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .personal_data import find_personal_data
 
@@ -68,7 +74,7 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_personal_data, op3_suffix_dedup, op4_jaccard, op5_language, op6_quality, op7_toxicity, op8_byte_bpe, op9_decontaminate, op10_page_text)}
+    return {f.__name__: f for f in (op1_line_templates, op2_personal_data, op3_suffix_dedup, op4_jaccard, op5_language, op6_quality, op7_toxicity, op8_byte_bpe, op9_decontaminate, op10_page_text)}
 
 
 def oracle_sql() -> dict[str, str]:
