@@ -101,8 +101,8 @@ def packed(keys: np.ndarray, record: np.ndarray, buckets: int) -> list[tuple[int
 
 
 def buckets_for(spark: SparkSession) -> int:
-    """Buckets for packed(): a power of two, about sixteen for each shuffle partition, so that partitions come out even."""
-    return 1 << int(np.ceil(np.log2(16 * shuffle_partitions(spark))))
+    """Buckets for packed(): a power of two, about five for each shuffle partition, so that partitions come out fairly even."""
+    return 1 << int(np.ceil(np.log2(4 * shuffle_partitions(spark))))
 
 
 def gathered(df: DataFrame, fn: Callable[[Iterator[tuple[int, int, list[bytes]]]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -119,6 +119,23 @@ def gathered(df: DataFrame, fn: Callable[[Iterator[tuple[int, int, list[bytes]]]
 
 
 PACKED = "kind int, bucket int, data binary"
+#: Bytes of packed rows that a task holds before it sends them on.
+HELD = 24 << 20
+
+
+def joined_rows(parts: Iterator[list[tuple[int, int, bytes]]]) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Packed rows of the same kind and bucket put together, over about HELD bytes at a time."""
+    found: dict[tuple[int, int], list[bytes]] = {}
+    size = 0
+    for rows in parts:
+        for kind, bucket, data in rows:
+            found.setdefault((kind, bucket), []).append(data)
+            size += len(data)
+        if size >= HELD:
+            yield [(k, b, b"".join(d)) for (k, b), d in found.items()]
+            found, size = {}, 0
+    if found:
+        yield [(k, b, b"".join(d)) for (k, b), d in found.items()]
 
 
 def packed_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:

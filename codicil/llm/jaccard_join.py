@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, SLICE, arrow_map, bucket_of, buckets_for, gathered, mix, packed_batch, pick, settled, shuffle_partitions, texts_of
+from .common import PACKED, SLICE, arrow_map, bucket_of, buckets_for, gathered, joined_rows, mix, packed, packed_batch, pick, settled, shuffle_partitions, texts_of
 from .graph import components
 
 CHUNK, LEAF, FAN, CUTS = 64, 8, 4, 4
@@ -128,6 +128,9 @@ def nodes_and_edges(docs: DataFrame, k: int, percent: int) -> DataFrame:
     buckets = buckets_for(docs.sparkSession)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from map(packed_batch, joined_rows(signed(batches)))
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, bytes]]]:
         classes = Classes(percent)
         for whole in batches:
             for x in range(0, whole.num_rows, SLICE):
@@ -149,7 +152,7 @@ def nodes_and_edges(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 rec["node"] = np.repeat(np.array(owner, np.uint64), [len(s) for s in sigs])
                 rows = _pack(SIGS, sig, rec, buckets)
                 rec = np.array(nodes, _NODE)
-                yield packed_batch(rows + _pack(NODES, mix(rec["node"]), rec, buckets))
+                yield rows + _pack(NODES, mix(rec["node"]), rec, buckets)
 
     def receive(parts: Iterator[tuple[int, int, list[bytes]]]) -> Iterator[pa.RecordBatch]:
         edges = []
@@ -175,8 +178,6 @@ def nodes_and_edges(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def _pack(kind: int, keys: np.ndarray, rec: np.ndarray, buckets: int) -> list[tuple[int, int, bytes]]:
-    from .common import packed
-
     return [(kind, b, d) for b, d in packed(keys, rec, buckets)]
 
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, SLICE, arrow_map, bucket_of, buckets_for, gathered, hex_sha, mix, packed, packed_batch, pick, settled, texts_of
+from .common import PACKED, SLICE, arrow_map, buckets_for, gathered, hex_sha, joined_rows, mix, packed, packed_batch, pick, settled, texts_of
 
 DEPTH, MIN_DOCS, CONSTANT, BITS, BLOCK = 3, 10, 0.8, 24, 8
 NULL_ID = -(1 << 63)
@@ -57,14 +57,17 @@ def _live_leaves(docs: DataFrame, min_docs: int) -> np.ndarray:
     """The bitmap of leaves whose lines are in min_docs documents or more, counting each line by itself."""
     buckets = buckets_for(docs.sparkSession)
 
-    def send(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def counted(batch: pa.RecordBatch) -> list[tuple[int, int, bytes]]:
         pairs: list[tuple[int, int]] = []
         for text in texts_of(batch):
             pairs += {p[:2] for line in text.split("\n") if (p := parse(line))}
         found, n = np.unique(np.array(pairs, [("leaf", "<u8"), ("line", "<u8")]), return_counts=True)
         rec = np.empty(len(found), _LINE)
         rec["leaf"], rec["line"], rec["n"] = found["leaf"], found["line"], n
-        return packed_batch([(0, b, d) for b, d in packed(rec["leaf"], rec, buckets)])
+        return [(0, b, d) for b, d in packed(rec["leaf"], rec, buckets)]
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from map(packed_batch, joined_rows(counted(b.slice(at, SLICE)) for b in batches for at in range(0, b.num_rows, SLICE)))
 
     def receive(parts: Iterator[tuple[int, int, list[bytes]]]) -> Iterator[pa.RecordBatch]:
         width = max(1, (1 << BITS) // buckets)
@@ -77,7 +80,7 @@ def _live_leaves(docs: DataFrame, min_docs: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bucket", "bits"])
 
     bitmap = np.zeros((1 << BITS) // 8, np.uint8)
-    for r in gathered(arrow_map(docs, send, PACKED), receive, "bucket int, bits binary").collect():
+    for r in gathered(docs.mapInArrow(send, PACKED), receive, "bucket int, bits binary").collect():
         bits = np.frombuffer(r.bits, np.uint8)
         bitmap[r.bucket * len(bits) : (r.bucket + 1) * len(bits)] = bits
     return bitmap
@@ -91,10 +94,10 @@ def _live_lines(docs: DataFrame, live: np.ndarray) -> DataFrame:
     buckets = buckets_for(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(live)
 
-    def send(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def blocks(batch: pa.RecordBatch, docs_: list, lines_: list) -> list[tuple[int, int, bytes]]:
+        """The blocks of a slice; its (document, line) pairs are added to docs_ and lines_."""
         live = shared.value
         held: dict[int, list] = {}  # line: documents of the slice, leaf, tokens
-        docs_, lines_ = [], []
         for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
             own = set()
             for raw in text.split("\n"):
@@ -113,21 +116,28 @@ def _live_lines(docs: DataFrame, live: np.ndarray) -> DataFrame:
                 toks = [_hash(t.encode("utf-8", "surrogatepass")) & 0xFFFFFFFF for t in tokens[at : at + BLOCK]]
                 rec.append((_hash(f"{leaf} {at}".encode()), line, n, at, len(tokens), tuple(toks + [0] * (BLOCK - len(toks)))))
         rec = np.array(rec, _BLOCKED)
-        rows = packed(rec["key"], rec, buckets)
-        lines = np.array(lines_, np.uint64).view(np.int64)
-        zero, blank = len(lines), len(rows)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([LINES] * zero + [BLOCKS] * blank, pa.int32()),
-                pa.array([None] * zero + [b for b, _ in rows], pa.int32()),
-                pa.array([None] * zero + [d for _, d in rows], pa.binary()),
-                pa.array(docs_ + [None] * blank, pa.int64()),
-                pa.array(lines.tolist() + [None] * blank, pa.int64()),
-            ],
-            ["kind", "bucket", "data", "doc", "line"],
-        )
-
-    return settled(arrow_map(docs, send, PACKED + ", doc long, line long"))
+        return [(BLOCKS, b, d) for b, d in packed(rec["key"], rec, buckets)]
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs_: list[int] = []
+        lines_: list[int] = []
+        for rows in joined_rows(blocks(b.slice(at, SLICE), docs_, lines_) for b in batches for at in range(0, b.num_rows, SLICE)):
+            n, m = len(lines_), len(rows)
+            lines = np.array(lines_, np.uint64).view(np.int64).tolist()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([LINES] * n + [BLOCKS] * m, pa.int32()),
+                    pa.array([None] * n + [b for _, b, _ in rows], pa.int32()),
+                    pa.array([None] * n + [d for _, _, d in rows], pa.binary()),
+                    pa.array(docs_ + [None] * m, pa.int64()),
+                    pa.array(lines + [None] * m, pa.int64()),
+                ],
+                ["kind", "bucket", "data", "doc", "line"],
+            )
+            docs_.clear()
+            lines_.clear()
+
+    return settled(docs.mapInArrow(send, PACKED + ", doc long, line long"))
 
 
 def _constants(parts: Iterator[tuple[int, int, list[bytes]]], min_docs: int) -> Iterator[pa.RecordBatch]:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, arrow_map, bucket_of, buckets_for, gathered, hex_sha, mix, packed, packed_batch, pick
+from .common import PACKED, arrow_map, bucket_of, buckets_for, gathered, hex_sha, joined_rows, mix, packed, packed_batch, pick
 
 SPAN, GRAM = 100, 32
 #: log2 of the bits of the bitmap; triggers that may count as very frequent; bytes of text handled at once.
@@ -169,13 +169,16 @@ def repeated_triggers(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     frequent to bring together: more than one in HOT of all phrases, so fewer than HOT."""
     buckets = buckets_for(docs.sparkSession)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, bytes]]]:
         for batch in batches:
             for pieces in pieces_of(batch):
                 h, n = np.unique(Parsed(pieces).h.astype(np.uint64), return_counts=True)
                 rec = np.empty(len(h), _COUNT)
                 rec["h"], rec["n"] = h, n
-                yield packed_batch([(0, b, d) for b, d in packed(h, rec, buckets)])
+                yield [(0, b, d) for b, d in packed(h, rec, buckets)]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from map(packed_batch, joined_rows(counted(batches)))
 
     def total(parts: Iterator[tuple[int, int, list[bytes]]]) -> Iterator[pa.RecordBatch]:
         width = max(1, (1 << BITS) // buckets)
@@ -208,12 +211,12 @@ def repeated_triggers(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def removed_ranges(docs: DataFrame) -> DataFrame:
-    """key, spans: a document's ranges to remove (pairs of little-endian 32-bit integers), in one row or several."""
+    """key, spans: a document's ranges to remove (pairs of little-endian 32-bit integers, merged)."""
     spark = docs.sparkSession
     buckets = buckets_for(spark)
     shared = spark.sparkContext.broadcast(repeated_triggers(docs))
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, bytes]]]:
         bitmap, hot = shared.value
         for batch in batches:
             for pieces in pieces_of(batch):
@@ -249,10 +252,16 @@ def removed_ranges(docs: DataFrame) -> DataFrame:
                 cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(s) else [0]
                 for a, b in zip(cuts[:-1], cuts[1:]):
                     texts = [p.raw[x : x + n + SPAN - 1].tobytes() for x, n in zip(p.start[s[a:b]].tolist(), p.n[s[a:b]].tolist())]
-                    rows.append((PHRASES, int(bucket[a]), b"".join([np.int32(b - a).tobytes(), rec[a:b].tobytes(), *texts])))
+                    size = sum(map(len, texts))
+                    rows.append((PHRASES, int(bucket[a]), b"".join([np.array([b - a, size], np.int32).tobytes(), rec[a:b].tobytes(), *texts])))
                 every = merge_ranges(np.concatenate(gone))
-                rows += [(RANGES, b, d) for b, d in packed(mix(every["doc"].view(np.uint64)), every, buckets)]
-                yield packed_batch(rows)
+                yield rows + by_document(every)
+
+    def by_document(every: np.ndarray) -> list[tuple[int, int, bytes]]:
+        return [(RANGES, b, d) for b, d in packed(mix(every["doc"].astype(np.uint64)), every, buckets)]
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from map(packed_batch, joined_rows(parsed(batches)))
 
     def receive(parts: Iterator[tuple[int, int, list[bytes]]]) -> Iterator[pa.RecordBatch]:
         gone = []
@@ -267,24 +276,33 @@ def removed_ranges(docs: DataFrame) -> DataFrame:
                 gone += compare_phrases(data)
             if len(gone) > 32:
                 gone = [merge_ranges(np.concatenate(gone))]
-        every = merge_ranges(np.concatenate(gone)) if gone else np.zeros(0, _RANGE)
-        if len(every):
+        if gone:
+            yield packed_batch(by_document(merge_ranges(np.concatenate(gone))))
+
+    def merge(parts: Iterator[tuple[int, int, list[bytes]]]) -> Iterator[pa.RecordBatch]:
+        for _, _, data in parts:
+            every = merge_ranges(np.frombuffer(b"".join(data), _RANGE))
             cuts = np.flatnonzero(np.r_[True, every["doc"][1:] != every["doc"][:-1], True])
             spans = np.stack([every["a"], every["b"]], axis=1).astype("<i4")
             yield pa.RecordBatch.from_arrays(
                 [pa.array(every["doc"][cuts[:-1]]), pa.array([spans[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], ["key", "spans"]
             )
 
-    return gathered(docs.mapInArrow(send, PACKED), receive, "key long, spans binary")
+    found = gathered(docs.mapInArrow(send, PACKED), receive, PACKED)
+    return gathered(found, merge, "key long, spans binary")
 
 
 def compare_phrases(data: list[bytes]) -> list[np.ndarray]:
     """What is repeated in the phrases of a bucket."""
     recs, texts = [], []
     for d in data:
-        n = int(np.frombuffer(d[:4], np.int32)[0])
-        recs.append(np.frombuffer(d, _PHRASE, n, 4))
-        texts.append(d[4 + n * _PHRASE.itemsize :])
+        at = 0
+        while at < len(d):
+            n, size = np.frombuffer(d, np.int32, 2, at).tolist()
+            recs.append(np.frombuffer(d, _PHRASE, n, at + 8))
+            at += 8 + n * _PHRASE.itemsize
+            texts.append(d[at : at + size])
+            at += size
     rec, raw = np.concatenate(recs), np.frombuffer(b"".join(texts), np.uint8)
     size = rec["n"].astype(np.int64) + SPAN - 1
     start = np.cumsum(size) - size
@@ -312,12 +330,10 @@ def compare_phrases(data: list[bytes]) -> list[np.ndarray]:
 
 def _cut(batch: pa.RecordBatch) -> pa.RecordBatch:
     out = []
-    for text, parts in zip(batch.column("text").to_pylist(), batch.column("parts").to_pylist()):
+    for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
         raw = (text or "").encode("utf-8", "surrogatepass")
-        spans = np.frombuffer(b"".join(parts or ()), "<i4").reshape(-1, 2)
-        spans = merge_ranges(ranges(np.zeros(len(spans), np.int64), spans[:, 0], spans[:, 1]))
         at, kept, gone = 0, [], []
-        for a, b in zip(spans["a"].tolist(), spans["b"].tolist()):
+        for a, b in np.frombuffer(spans or b"", "<i4").reshape(-1, 2).tolist():
             kept.append(raw[at:a])
             gone.append({"start": a, "end": b})
             at = b
@@ -338,6 +354,6 @@ def _cut(batch: pa.RecordBatch) -> pa.RecordBatch:
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay), spans (byte ranges removed) of each document."""
     base = pick(docs, doc_id="long", text="string")
-    found = removed_ranges(base).groupBy("key").agg(F.collect_list("spans").alias("parts"))
-    joined = base.join(found, F.coalesce("doc_id", F.lit(NULL_ID)) == found.key, "left").select("doc_id", "text", "parts")
+    found = removed_ranges(base)
+    joined = base.join(found, F.coalesce("doc_id", F.lit(NULL_ID)) == found.key, "left").select("doc_id", "text", "spans")
     return arrow_map(joined, _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,end:long>>")
