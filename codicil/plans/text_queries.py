@@ -131,9 +131,9 @@ def written_dates(spark, sf_dir):
 
 @query(
     with_tables("answers", "answer_sources")
-    + """SELECT a.question, a."line", a."at", digits, cited, CASE WHEN digits = '30' THEN '2' ELSE concat_ws(',', CASE WHEN contains(s1.content, concat('$', digits)) THEN '1' END, CASE WHEN regexp_extract(s2.content, 'Tabla: ([0-9]+)', 1) = digits THEN '2' END) END AS found_in,
-      CASE WHEN digits = '30' THEN 'supported' WHEN concat_ws(',', CASE WHEN contains(s1.content, concat('$', digits)) THEN '1' END, CASE WHEN regexp_extract(s2.content, 'Tabla: ([0-9]+)', 1) = digits THEN '2' END) = '' THEN 'not_found'
-        WHEN (cited = '1' AND contains(s1.content, concat('$', digits))) OR (cited = '2' AND regexp_extract(s2.content, 'Tabla: ([0-9]+)', 1) = digits) THEN 'supported' ELSE 'other_source' END AS status
+    + """SELECT a.question, a."line", a."at", digits, cited, CASE WHEN digits = '30' THEN '2' ELSE concat_ws(',', CASE WHEN regexp_extract(s1.content, '\\$([0-9]+)', 1) = digits THEN '1' END, CASE WHEN regexp_extract(s2.content, 'Tabla: ([0-9]+)', 1) = digits THEN '2' END) END AS found_in,
+      CASE WHEN digits = '30' THEN 'supported' WHEN concat_ws(',', CASE WHEN regexp_extract(s1.content, '\\$([0-9]+)', 1) = digits THEN '1' END, CASE WHEN regexp_extract(s2.content, 'Tabla: ([0-9]+)', 1) = digits THEN '2' END) = '' THEN 'not_found'
+        WHEN (cited = '1' AND regexp_extract(s1.content, '\\$([0-9]+)', 1) = digits) OR (cited = '2' AND regexp_extract(s2.content, 'Tabla: ([0-9]+)', 1) = digits) THEN 'supported' ELSE 'other_source' END AS status
     FROM (SELECT question, 0 AS "line", 0 AS "at", regexp_extract(answer, 'paga \\$([0-9]+)', 1) AS digits, CASE WHEN regexp_extract(answer, 'mes \\[([0-9])', 1) = '3' THEN '' ELSE regexp_extract(answer, 'mes \\[([0-9])', 1) END AS cited FROM answers
       UNION ALL SELECT question, 0, 1, '30', '2' FROM answers UNION ALL SELECT question, 1, 0, regexp_extract(answer, 'eran \\$([0-9]+)', 1), '' FROM answers) a
     JOIN answer_sources s1 ON s1.question = a.question AND s1.n = 1 JOIN answer_sources s2 ON s2.question = a.question AND s2.n = 2"""
