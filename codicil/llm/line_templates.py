@@ -171,10 +171,11 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONST
     live = _live_lines(base, _live_leaves(base, min_docs))
     blocks = gathered(live.where(F.col("kind") == BLOCKS).select("kind", "bucket", "data"), lambda parts: _constants(parts, min_docs), "line long, part long, constants long, size long")
     lines = blocks.groupBy("line").agg(F.bit_xor("part").alias("template"), F.sum("constants").alias("constants"), F.max("size").alias("size"))
-    lines = lines.where(F.col("constants") >= constant * F.col("size")).select("line", "template")
+    # written, so that the joins below have shuffles on both sides, of which one can be split where a line or template is hot
+    lines = settled(lines.where(F.col("constants") >= constant * F.col("size")).select("line", "template"))
     held = settled(live.where(F.col("kind") == LINES).select("doc", "line").join(lines, "line"))
     templates = held.select("template", "doc").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc").alias("first_doc"))
-    return templates.where(F.col("n_docs") >= min_docs), held
+    return settled(templates.where(F.col("n_docs") >= min_docs)), held
 
 
 def _apply(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -207,7 +208,8 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONS
     base = pick(docs, doc_id="long", text="string", **keep)
     templates, held = recurring(docs, min_docs, constant)
     gone = held.join(templates, "template").where("doc != first_doc").groupBy("doc").agg(F.collect_set("line").alias("gone"))
-    joined = base.join(gone, F.coalesce("doc_id", F.lit(NULL_ID)) == gone.doc, "left").drop("doc")
+    # the lists grow with the documents: both are shuffled, whatever their size
+    joined = base.join(gone.hint("merge"), F.coalesce("doc_id", F.lit(NULL_ID)) == gone.doc, "left").drop("doc")
     schema = "doc_id long" + "".join(f", {k} {v}" for k, v in keep.items()) + ", n_lines long, n_dropped long, kept string, kept_sha256 string"
     return arrow_map(joined, _apply, schema)
 
