@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from .common import arrow_map, hex_sha, pick, texts_of
 
-#: Pieces whose encoding a worker remembers; the memory is emptied when full.
+#: Pieces whose encoding a worker remembers; when full, they are kept as long as it takes to fill the memory again.
 REMEMBERED = 300_000
 
 
@@ -32,8 +33,9 @@ class PrefixEncoder:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {i: b for b, i in ranks.items()}
-        self.longest = max(map(len, ranks), default=1)
-        self._fits: dict[tuple[int, int], bool] = {}
+        # every end of a token, with the token's id where the end is one itself, else -1: what isn't here can't be lengthened to a token
+        self.ends = {b[i:]: -1 for b in ranks for i in range(1, len(b))} | ranks
+        self._fits: dict[int, bool] = {}
         self._alone: dict[int, bool] = {}
 
     def merged(self, data: bytes) -> list[int]:
@@ -54,26 +56,33 @@ class PrefixEncoder:
 
     def fits(self, a: int, b: int) -> bool:
         """Whether a then b encode to themselves."""
-        if (known := self._fits.get((a, b))) is None:
+        if (known := self._fits.get(a << 32 | b)) is None:
             if len(self._fits) > 2_000_000:
                 self._fits.clear()
-            known = self._fits[a, b] = self.merged(self.token[a] + self.token[b]) == [a, b]
+            known = self._fits[a << 32 | b] = self.merged(self.token[a] + self.token[b]) == [a, b]
         return known
 
     def last_tokens(self, data: bytes, last: list[int] | None = None) -> list[int]:
         """last[i]: the token that ends data[:i + 1]. ``last`` of an unchanged beginning of data is taken over as it is."""
         last = list(last or ())
-        ranks, token = self.ranks, self.token
+        ends, known = self.ends.get, self._fits.get
         for end in range(len(last) + 1, len(data) + 1):
-            for start in range(max(0, end - self.longest), end):
-                t = ranks.get(data[start:end])
+            start = end - 1
+            while start >= 0:
+                t = ends(data[start:end])
                 if t is None:
-                    continue
-                if (self.fits(last[start - 1], t) if start else self.reachable(t)):
-                    last.append(t)
-                    break
+                    raise ValueError("a byte has no token of its own, or no token fits")
+                if t >= 0:
+                    if not start:
+                        good = self.reachable(t)
+                    elif (good := known(last[start - 1] << 32 | t)) is None:
+                        good = self.fits(last[start - 1], t)
+                    if good:
+                        last.append(t)
+                        break
+                start -= 1
             else:
-                raise ValueError("a byte has no token of its own")
+                raise ValueError("no token ends this prefix")
         return last
 
     def walk(self, last: list[int]) -> list[int]:
@@ -107,6 +116,10 @@ def load(path: str) -> PrefixEncoder:
         return PrefixEncoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
 
 
+def _pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class _Worker:
     """What a Python worker keeps between batches."""
 
@@ -116,23 +129,25 @@ class _Worker:
         self.encoder = load(path)
         self.split = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
+        if len(self.known) > REMEMBERED:
+            self.before, self.known = self.known, {}
         known, pieces = self.known, self.split(text)
-        try:
-            return b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            pass
-        if len(known) > REMEMBERED:
-            known.clear()
-        out = []
-        for p in pieces:
-            if (b := known.get(p)) is None:
-                b = np.array(self.encoder.encode(p.encode()), "<u4").tobytes()
-                if len(p) <= 64:
-                    known[p] = b
-            out.append(b)
+        out = list(map(known.get, pieces))
+        if None in out:
+            before, encode = self.before, self.encoder.encode
+            for i, b in enumerate(out):
+                if b is None:
+                    p = pieces[i]
+                    if (b := known.get(p)) is None:
+                        if (b := before.get(p)) is None:
+                            b = _pack(encode(p.encode()))
+                        if len(p) <= 64:
+                            known[p] = b
+                    out[i] = b
         return b"".join(out)
 
 
