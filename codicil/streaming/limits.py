@@ -79,13 +79,13 @@ def admissions(requests: DataFrame, per_client: int, total: int, window: int = W
 
 
 class ClientLimiter(StatefulProcessor):
-    """The limit of a client on a stream: the log is kept as list state, which ends by itself once a client is quiet."""
+    """The limit of a client on a stream: the log is kept as list state; with ``expire`` it ends by itself once a client is quiet."""
 
-    def __init__(self, limit: int, window: int = WINDOW_MS):
-        self.limit, self.window = limit, window
+    def __init__(self, limit: int, window: int = WINDOW_MS, expire: bool = True):
+        self.limit, self.window, self.expire = limit, window, expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getListState("times", T.StructType([T.StructField("ms", T.LongType())]), ttlDurationMs=10 * self.window)
+        self.state = handle.getListState("times", T.StructType([T.StructField("ms", T.LongType())]), ttlDurationMs=10 * self.window if self.expire else None)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         log = Log(self.limit, self.window, [r[0] for r in self.state.get()])
@@ -103,9 +103,10 @@ class ClientLimiter(StatefulProcessor):
         pass
 
 
-def limited_stream(requests: DataFrame, limit: int, window: int = WINDOW_MS) -> DataFrame:
-    """client_admissions for a stream of requests (id, client, ms)."""
+def limited_stream(requests: DataFrame, limit: int, window: int = WINDOW_MS, expire: bool = True) -> DataFrame:
+    """client_admissions for a stream of requests (id, client, ms). Needs the RocksDB state store. With ``expire`` the stream goes by the clock and
+    makes batches without data, so it ends only when it is stopped; without, the log of a client who never comes back (at most ``limit`` times) stays."""
     rows = requests.select(F.col("id").cast("long").alias("id"), F.col("client").cast("string").alias("client"), F.col("ms").cast("long").alias("ms"))
     return rows.groupBy("client").transformWithStateInPandas(
-        statefulProcessor=ClientLimiter(limit, window), outputStructType="id long, client string, ms long, admitted boolean, retry_after_ms long", outputMode="append", timeMode="ProcessingTime",
+        statefulProcessor=ClientLimiter(limit, window, expire), outputStructType="id long, client string, ms long, admitted boolean, retry_after_ms long", outputMode="append", timeMode="ProcessingTime" if expire else "None",
     )

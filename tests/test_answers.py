@@ -108,34 +108,22 @@ def test_rate_limits(spark):
 
 
 def test_limits_on_a_stream(spark, tmp_path):
-    """What the stream's processor does with a client's rows, over a state that keeps its list between calls."""
-    import pandas as pd
-
-    from codicil.streaming.limits import ClientLimiter
-
-    class State:
-        rows = []
-
-        def get(self):
-            return iter(self.rows)
-
-        def put(self, rows):
-            self.rows = list(rows)
-
-        def clear(self):
-            self.rows = []
-
-    p = ClientLimiter(2, 500)
-    p.state = State()
-    times = [0, 200, 400, 600, 800, 1000, 1200]
-    got = []
-    for part in (times[:3], times[3:]):  # two micro-batches
-        pdf = pd.DataFrame({"id": part, "client": "a", "ms": part})
-        got += [bool(x) for out in p.handleInputRows(("a",), iter([pdf]), None) for x in out.admitted]
-    df = spark.createDataFrame([(t, "a", t) for t in times], "id long, client string, ms long")
-    assert got == [r.admitted for r in client_admissions(df, 2, 500).orderBy("ms").collect()]
-    df.write.parquet(f"{tmp_path}/in")
-    assert limited_stream(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), 2, 500).isStreaming
+    df = spark.createDataFrame([(i, "ab"[i % 2], i * 100) for i in range(12)], "id long, client string, ms long")
+    df.where("id < 6").coalesce(1).write.parquet(f"{tmp_path}/in")
+    name = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for part in (None, df.where("id >= 6")):  # the log is kept between runs
+            if part is not None:
+                part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            stream = limited_stream(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), 2, 500, expire=False)
+            q = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start(f"{tmp_path}/out")
+            assert q.awaitTermination(90)
+    finally:
+        spark.conf.set(name, old)
+    got = {r.id: (r.admitted, r.retry_after_ms) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {r.id: (r.admitted, r.retry_after_ms) for r in client_admissions(df, 2, 500).collect()}
 
 
 def test_small_matters(spark):
