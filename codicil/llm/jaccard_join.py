@@ -7,7 +7,12 @@ neighbouring ones; each set gives the signature of each of its non-empty segment
 (A few more segments are cut than needed, so that sets with few empty ones always agree in a non-empty one; sets with more empty
 ones give signatures by a second cut of the range as well, and so on; those that fail all cuts meet under one signature.)
 
-Nodes that share a signature form clusters of candidates, which are compared exactly: sets become leaves of a signature tree, whose
+Nodes that share a signature are candidates. In a group of up to SMALL nodes all of its pairs count, in a larger one those with its first
+node. The segments are cut by hash, so two sets that are linked agree in many of them: a pair of fewer common signatures than all but one
+linked pair in 10**12 would have (NEVER) is dropped; passages that two documents share make many such pairs. Members of large groups that are
+dropped with the first node may still be linked with each other: they are compared by their bitmaps, in a signature tree.
+
+What remains links nodes to clusters, which are compared exactly: sets become leaves of a signature tree, whose
 nodes hold the OR and the AND of the bitmaps below and the range of sizes. Two nodes are traversed together only while the
 largest possible overlap, from the bits that one side surely has and the other surely lacks, can make a link; pairs that are connected
 already are skipped, as only components are asked for. Clusters beyond CHUNK nodes are dealt out in chunks: first every chunk with
@@ -33,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import PACKED, SLICE, arrow_map, bucket_of, buckets_for, gathered, joined_rows, mix, packed, packed_batch, pick, settled, shuffle_partitions, texts_of
 from .graph import components
 
-CHUNK, LEAF, FAN, CUTS = 64, 8, 4, 4
+CHUNK, LEAF, FAN, CUTS, SMALL, NEVER = 64, 8, 4, 4, 6, 1e-12
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -98,8 +103,24 @@ class Classes:
         return differ + 1 + spare, spare
 
 
-def signatures(s: np.ndarray, classes: Classes) -> np.ndarray:
-    out = []
+    @functools.cache  # noqa: B019
+    def common(self, j: int) -> int:
+        """Signatures of class j that linked sets have in common, but for chances below NEVER; 1 at least."""
+        m, spare = self.segments(j)
+        p = math.exp(-(m - spare - 1) / m) * (1 - math.exp(-self.low[j] / m))
+        if m > 500:
+            return max(1, int(m * p - 8 * math.sqrt(m * p)))
+        below, term, r = 0.0, (1 - p) ** m, 0
+        while r < m and below + term < NEVER:
+            below += term
+            r += 1
+            term *= (m - r + 1) / r * p / (1 - p)
+        return max(1, r)
+
+
+def signatures(s: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of a set, and the class of each."""
+    out, of = [], []
     own = classes.of(len(s))
     for j in (own, own + 1):
         m, spare = classes.segments(j)
@@ -111,20 +132,44 @@ def signatures(s: np.ndarray, classes: Classes) -> np.ndarray:
             at = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
             total = np.add.reduceat(h * _M ^ (h >> np.uint64(31)), at)
             out.append(mix(total ^ mix(seg[at] + np.uint64((j << 40) + (cut << 32)))))
+            of.append(np.full(len(at), j, np.uint8))
             if m - len(at) <= spare:
                 break
         else:
             out.append(mix(np.array([(j << 40) + (CUTS << 32)], np.uint64)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            of.append(np.full(1, ALWAYS, np.uint8))
+    return (np.concatenate(out), np.concatenate(of)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.uint8))
+
+
+def bitmap_of(s: np.ndarray, bits: int) -> np.ndarray:
+    """bits: a power of two, 64 at least."""
+    row = np.zeros(bits // 64, np.uint64)
+    at = (s & np.uint64(bits - 1)).astype(np.int64)
+    np.bitwise_or.at(row, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+    return row
 
 
-_SIG = np.dtype([("low", "<u4"), ("mid", "<u2"), ("node", "<u8")])
+def folded(row: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap as a narrower one of the same set."""
+    while len(row) > words:
+        row = row[: len(row) // 2] | row[len(row) // 2 :]
+    return row
+
+
+#: Classes looked up one by one; sets of later ones (hundreds of millions of shingles) need as many common signatures as the last.
+CLASSES = 120
+#: The class of signatures that need no others beside them.
+ALWAYS = 255
+_SIG = np.dtype([("low", "<u4"), ("mid", "<u2"), ("j", "u1"), ("node", "<u8")])
 _NODE = np.dtype([("node", "<u8"), ("doc", "<i8"), ("n", "<u4")])
-SIGS, NODES = 0, 1
+_SKETCH = np.dtype([("node", "<u8"), ("n", "<u4"), ("words", "<u4")])
+SIGS, NODES, SKETCHES, GROUPS = range(4)
+OUT = "kind int, a long, b long, c long, j int, data binary"
 
 
 def nodes_and_edges(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """kind, a, b, c: NODES rows (id, node, size of the set) of the documents with words and an id, SIGS rows (node, node) of candidates."""
+    """Rows of OUT: NODES (id, node, size of the set) of the documents with words and an id; SKETCHES (node, -, size, bitmap); SIGS
+    (node, node, common signatures of class j, in part); GROUPS (group, member, first member) of groups of more than SMALL nodes."""
     buckets = buckets_for(docs.sparkSession)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +180,7 @@ def nodes_and_edges(docs: DataFrame, k: int, percent: int) -> DataFrame:
         for whole in batches:
             for x in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(x, SLICE)
-                nodes, sigs, owner, known = [], [], [], set()
+                nodes, sigs, owner, known, sketches = [], [], [], set(), []
                 for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
                     s = shingles(text, k)
                     if doc is None or not len(s):
@@ -146,43 +191,95 @@ def nodes_and_edges(docs: DataFrame, k: int, percent: int) -> DataFrame:
                         known.add(node)
                         sigs.append(signatures(s, classes))
                         owner.append(node)
-                sig = np.concatenate(sigs) if sigs else np.zeros(0, np.uint64)
+                        row = bitmap_of(s, max(64, 1 << (len(s) - 1).bit_length()))
+                        head = np.array([(node, len(s), len(row))], _SKETCH)
+                        sketches.append((SKETCHES, int(bucket_of(mix(head["node"]), buckets)[0]), head.tobytes() + row.tobytes()))
+                sig = np.concatenate([x for x, _ in sigs]) if sigs else np.zeros(0, np.uint64)
                 rec = np.empty(len(sig), _SIG)
                 rec["low"], rec["mid"] = sig & np.uint64(0xFFFFFFFF), (sig >> np.uint64(32)) & np.uint64(0xFFFF)
-                rec["node"] = np.repeat(np.array(owner, np.uint64), [len(s) for s in sigs])
+                rec["j"] = np.concatenate([x for _, x in sigs]) if sigs else 0
+                rec["node"] = np.repeat(np.array(owner, np.uint64), [len(x) for x, _ in sigs])
                 rows = _pack(SIGS, sig, rec, buckets)
                 rec = np.array(nodes, _NODE)
-                yield rows + _pack(NODES, mix(rec["node"]), rec, buckets)
+                yield rows + sketches + _pack(NODES, mix(rec["node"]), rec, buckets)
 
     def receive(parts: Iterator[tuple[int, int, list[bytes]]]) -> Iterator[pa.RecordBatch]:
-        edges = []
+        pairs, groups = [], []
         for kind, _, data in parts:
             if kind == NODES:
                 rec = np.frombuffer(b"".join(data), _NODE)
                 yield _rows(NODES, rec["doc"], rec["node"].astype(np.int64), rec["n"].astype(np.int64))
-                continue
-            rec = np.frombuffer(b"".join(data), _SIG)
-            key = rec["low"].astype(np.uint64) | rec["mid"].astype(np.uint64) << np.uint64(32)
-            order = np.argsort(key, kind="stable")
-            key, node = key[order], rec["node"][order].astype(np.int64)
-            at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            first = np.repeat(np.minimum.reduceat(node, at), np.diff(np.r_[at, len(node)])) if len(at) else node
-            use = first != node
-            if use.any():
-                edges.append(np.unique(np.stack([first[use], node[use]], axis=1), axis=0))
-        if edges:
-            e = np.unique(np.concatenate(edges), axis=0)
-            yield _rows(SIGS, e[:, 0], e[:, 1], np.zeros(len(e), np.int64))
-
-    return gathered(docs.mapInArrow(send, PACKED), receive, "kind int, a long, b long, c long")
+            elif kind == SKETCHES:
+                yield _sketch_rows(b"".join(data))
+            else:
+                p, g = candidates(np.frombuffer(b"".join(data), _SIG))
+                pairs.append(p)
+                groups += g
+        if pairs:
+            # the same pair comes from many signatures: counted here, then over partitions
+            p = np.concatenate(pairs)
+            key, of = np.unique(p[["a", "b", "j"]], return_inverse=True)
+            if len(key):
+                yield _rows(SIGS, key["a"].astype(np.int64), key["b"].astype(np.int64), np.bincount(of.ravel(), p["n"], len(key)).astype(np.int64), key["j"].astype(np.int32))
+        once: dict[int, np.ndarray] = {node_of(g): g for g in groups}
+        if once:
+            size = [len(g) for g in once.values()]
+            member = np.concatenate(list(once.values())).astype(np.int64)
+            first = np.repeat([int(g[0]) for g in once.values()], size)
+            yield _rows(GROUPS, np.repeat(np.array(list(once), np.int64), size), member, first)
+
+    return gathered(docs.mapInArrow(send, PACKED), receive, OUT)
+
+
+_PAIR = np.dtype([("a", "<u8"), ("b", "<u8"), ("j", "u1"), ("n", "<u4")])
+
+
+def candidates(rec: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Pairs of nodes with a common signature, and the members (in order) of the groups of more than SMALL nodes."""
+    key = rec["low"].astype(np.uint64) | rec["mid"].astype(np.uint64) << np.uint64(32)
+    order = np.lexsort((rec["node"], key))
+    key, node, j = key[order], rec["node"][order], rec["j"][order]
+    new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])] if len(key) else np.zeros(0, bool)
+    key, node, j = key[new], node[new], j[new]
+    at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[at, len(key)])
+    out, large = [], []
+
+    def add(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> None:
+        p = np.empty(len(a), _PAIR)
+        p["a"], p["b"], p["j"], p["n"] = a, b, c, 1
+        out.append(p)
+
+    for n in range(2, SMALL + 1):
+        g = at[size == n]
+        for x in range(n - 1):
+            for y in range(x + 1, n):
+                add(node[g + x], node[g + y], j[g])
+    for a, n in zip(at[size > SMALL].tolist(), size[size > SMALL].tolist()):
+        large.append(node[a : a + n])
+        add(np.full(n - 1, node[a]), node[a + 1 : a + n], j[a + 1 : a + n])
+    return np.concatenate(out) if out else np.zeros(0, _PAIR), large
 
 
 def _pack(kind: int, keys: np.ndarray, rec: np.ndarray, buckets: int) -> list[tuple[int, int, bytes]]:
     return [(kind, b, d) for b, d in packed(keys, rec, buckets)]
 
 
-def _rows(kind: int, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(c)], ["kind", "a", "b", "c"])
+def _rows(kind: int, a: np.ndarray, b: np.ndarray, c: np.ndarray, j: np.ndarray | None = None, data: list[bytes] | None = None) -> pa.RecordBatch:
+    n = len(a)
+    cols = [pa.array(np.full(n, kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.nulls(n, pa.int32()) if j is None else pa.array(j, pa.int32())]
+    return pa.RecordBatch.from_arrays([*cols, pa.nulls(n, pa.binary()) if data is None else pa.array(data, pa.binary())], ["kind", "a", "b", "c", "j", "data"])
+
+
+def _sketch_rows(data: bytes) -> pa.RecordBatch:
+    found, at = {}, 0
+    while at < len(data):
+        node, n, words = np.frombuffer(data, _SKETCH, 1, at)[0].tolist()
+        at += _SKETCH.itemsize
+        found[node] = (n, data[at : at + 8 * words])
+        at += 8 * words
+    nodes = list(found)
+    return _rows(SKETCHES, np.array(nodes, np.int64), np.zeros(len(nodes), np.int64), np.array([n for n, _ in found.values()], np.int64), None, [d for _, d in found.values()])
 
 
 # ---- exact comparison --------------------------------------------------------------------------------------------
@@ -191,17 +288,13 @@ def _rows(kind: int, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> pa.RecordBa
 class Tree:
     """A signature tree over sets, in the order of their sizes."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-        self.sets = [sets[i] for i in self.order]
-        self.size = np.array([len(s) for s in self.sets])
-        bits = 64 << max(0, int(self.size.max() * 4 - 1).bit_length() - 6)
-        self.bitmap = np.zeros((len(sets), bits // 64), np.uint64)
-        for row, s in zip(self.bitmap, self.sets):
-            at = (s & np.uint64(bits - 1)).astype(np.int64)
-            np.bitwise_or.at(row, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+    def __init__(self, sizes: list[int], bitmaps: list[np.ndarray]):
+        """bitmaps: of one width."""
+        self.order = sorted(range(len(sizes)), key=sizes.__getitem__)
+        self.size = np.array([sizes[i] for i in self.order])
+        self.bitmap = np.stack([bitmaps[i] for i in self.order])
         # a node: (first leaf, end, OR, AND, least size, largest size, children)
-        level = [self._node(a, min(a + LEAF, len(sets)), ()) for a in range(0, len(sets), LEAF)]
+        level = [self._node(a, min(a + LEAF, len(sizes)), ()) for a in range(0, len(sizes), LEAF)]
         while len(level) > 1:
             level = [self._node(g[0][0], g[-1][1], tuple(g)) for g in (level[i : i + FAN] for i in range(0, len(level), FAN))]
         self.root = level[0]
@@ -213,8 +306,48 @@ class Tree:
 
 def links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links between sets that join all that the links of all pairs would join (a spanning forest)."""
-    tree = Tree(sets)
-    parent = list(range(len(sets)))
+    bits = 64 << max(0, int(max(map(len, sets)) * 4 - 1).bit_length() - 6)
+    exact: dict[int, set] = {}
+
+    def members(i: int) -> set:
+        if i not in exact:
+            exact[i] = set(sets[i].tolist())
+        return exact[i]
+
+    def linked(i: int, j: int) -> bool:
+        common = len(members(i) & members(j))
+        return 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common)
+
+    return traverse(Tree([len(s) for s in sets], [bitmap_of(s, bits) for s in sets]), percent, linked)
+
+
+def plausible(sizes: list[int], bitmaps: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """The same for all pairs that bitmaps and sizes leave possible. Sets of very different sizes aren't held in one tree, so that
+    the narrowest bitmap is wide enough for each."""
+    out = []
+    order = sorted(range(len(sizes)), key=sizes.__getitem__)
+    a = 0
+    while a < len(order):  # runs of sizes without a gap that no link can bridge
+        b = a + 1
+        while b < len(order) and 100 * sizes[order[b - 1]] >= percent * sizes[order[b]]:
+            b += 1
+        run = order[a:b]
+        if len(run) > 1:
+            by: dict[int, list[int]] = {}
+            for i in run:
+                by.setdefault(len(bitmaps[i]), []).append(i)
+            widths = sorted(by)
+            for w, wider in zip(widths, [*widths[1:], 0]):  # linked sets have bitmaps of the same or the next width
+                part = by[w] + (by[wider] if wider == 2 * w else [])
+                tree = Tree([sizes[i] for i in part], [folded(bitmaps[i], w) for i in part])
+                out += [(part[x], part[y]) for x, y in traverse(tree, percent, lambda i, j: True)]
+        a = b
+    return out
+
+
+def traverse(tree: Tree, percent: int, linked) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that the tree leaves possible and linked() accepts; it gets the positions before sorting."""
+    parent = list(range(len(tree.order)))
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -222,13 +355,6 @@ def links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
             x = parent[x]
         return x
 
-    exact: dict[int, set] = {}
-
-    def members(i: int) -> set:
-        if i not in exact:
-            exact[i] = set(tree.sets[i].tolist())
-        return exact[i]
-
     out: list[tuple[int, int]] = []
 
     def possible(x: tuple, y: tuple) -> bool:
@@ -247,10 +373,7 @@ def links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
             differ = np.bitwise_count(tree.bitmap[a : y[1]] ^ tree.bitmap[i]).sum(axis=1)
             total = tree.size[a : y[1]] + tree.size[i]
             for j in (np.flatnonzero(differ.astype(np.int64) * (100 + percent) <= total * (100 - percent)) + a).tolist():
-                if (p := find(i)) == (q := find(j)):
-                    continue
-                common = len(members(i) & members(j))
-                if 100 * common >= percent * (len(tree.sets[i]) + len(tree.sets[j]) - common):
+                if (p := find(i)) != (q := find(j)) and linked(tree.order[i], tree.order[j]):
                     parent[max(p, q)] = min(p, q)
                     out.append((tree.order[i], tree.order[j]))
 
@@ -272,6 +395,42 @@ def links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return out
 
 
+def candidate_edges(both: DataFrame, percent: int) -> DataFrame:
+    """a, b: edges between nodes that may be linked."""
+    classes = Classes(percent)
+    need = F.array(*(F.lit(min(classes.common(j), 1 << 20)) for j in range(CLASSES)))
+    pairs = both.where(F.col("kind") == SIGS).groupBy("a", "b", "j").agg(F.sum("c").alias("n"))
+    enough = F.when(F.col("j") == ALWAYS, 1).otherwise(F.element_at(need, F.least(F.col("j"), F.lit(CLASSES - 1)) + 1))
+    strong = settled(pairs.where(F.col("n") >= enough).select("a", "b").distinct())
+    # members of large groups that have too little in common with the first
+    weak = both.where(F.col("kind") == GROUPS).select(F.col("a").alias("g"), F.col("b"), F.col("c").alias("a")).distinct()
+    weak = settled(weak.where("a != b").join(strong, ["a", "b"], "left_anti").select("g", F.col("b").alias("node")))
+    size = weak.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    sketch = both.where(F.col("kind") == SKETCHES).select(F.col("a").alias("node"), F.col("c").alias("n"), "data")
+    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
+    rows = weak.join(size, "g").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(3)), F.col("chunks")).cast("int"))
+    every = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: F.least(i, F.col("chunk")) * F.lit(1 << 20).cast("long") + F.greatest(i, F.col("chunk")))
+    rows = rows.select("g", "node", F.explode(every).alias("part")).join(sketch, "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[tuple, dict[int, tuple[int, bytes]]] = {}
+        for b in batches:
+            for g, part, node, n, data in zip(*(b.column(c).to_pylist() for c in ("g", "part", "node", "n", "data"))):
+                groups.setdefault((g, part), {})[node] = (n, data)
+        found = set()
+        for key in sorted(groups):
+            nodes = groups.pop(key)
+            names = sorted(nodes)
+            maps = [np.frombuffer(nodes[x][1], np.uint64) for x in names]
+            found |= {(names[i], names[j]) for i, j in plausible([nodes[x][0] for x in names], maps, percent)}
+        if found:
+            a, b = zip(*sorted(found))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    near = rows.repartition(shuffle_partitions(both.sparkSession), "g", "part").mapInArrow(run, "a long, b long")
+    return strong.unionByName(near)
+
+
 def compare(rows: DataFrame, k: int, percent: int) -> DataFrame:
     """a, b: links between the nodes of each group (g1, g2) of rows (g1, g2, text)."""
 
@@ -297,7 +456,7 @@ def jaccard_groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     base = pick(docs, doc_id="long", text="string")
     both = settled(nodes_and_edges(base, k, percent))
     nodes = both.where(F.col("kind") == NODES).select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("c").alias("n_shingles"))
-    members = components(both.where(F.col("kind") == SIGS).select("a", "b")).withColumnRenamed("root", "cluster")
+    members = components(candidate_edges(both, percent)).withColumnRenamed("root", "cluster")
     names = nodes.groupBy("node").agg(F.min("doc_id").alias("rep"))
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
     placed = members.join(sizes, "cluster").join(names, "node")
