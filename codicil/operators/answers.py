@@ -316,6 +316,17 @@ def parsed_events(streams: DataFrame, text: str = "text") -> DataFrame:
     return rows.where(F.col("event").isin(*EVENT_TYPES)).drop("_block")
 
 
+def answer_views(events: DataFrame) -> DataFrame:
+    """What a reader sees of each question's events (question, at, event, data): the sources of the last sources event, the text joined in order, the
+    rewritten query, how many models were skipped, and the state: done, failed or writing."""
+    last = lambda kind: F.max_by(F.when(F.col("event") == kind, F.col("data")), F.when(F.col("event") == kind, F.col("at")))
+    count = lambda kind: F.count_if(F.col("event") == kind)
+    pieces = F.array_sort(F.collect_list(F.when(F.col("event") == "text", F.struct("at", "data"))))  # of one answer
+    rows = events.groupBy("question").agg(last("sources").alias("sources"), pieces.alias("_p"), last("rewritten").alias("rewritten"), count("skipped").alias("skipped"), count("done").alias("_done"), count("error").alias("_error"))
+    state = F.when(F.col("_error") > 0, "failed").when(F.col("_done") > 0, "done").otherwise("writing")
+    return rows.select("question", "sources", F.concat_ws("", F.transform("_p", lambda x: x["data"])).alias("text"), "rewritten", "skipped", state.alias("state"))
+
+
 def event_line(event: dict) -> str:
     """An event as it is sent."""
     body = json.dumps({k: v for k, v in event.items() if k != "type"}, default=lambda o: o.__dict__, ensure_ascii=False)

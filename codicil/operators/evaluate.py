@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KS = (1, 3, 5, 10)
@@ -64,6 +64,22 @@ def floor_sweep(results: DataFrame, expected: DataFrame, floors: Sequence[float]
     return metrics(rows, ["floor"], (k,))
 
 
+def versions_sweep(candidates: DataFrame, expected: DataFrame, similarities: Sequence[float], linkages: Sequence[str] = ("best", "chain"), k: int = 5) -> DataFrame:
+    """linkage, similarity, questions, recall_<k>, mrr for each way of grouping candidates (see operators.versions); an expected chunk counts where it leads
+    its group. One plan for each point of the grid: a grid is a handful of points."""
+    from .versions import group_versions
+
+    out = None
+    for linkage in linkages:
+        for least in similarities:
+            led = group_versions(candidates, least, linkage).where("under is null").select("question", F.col("chunk_id").alias("id"), (F.col("place") + 1).alias("place"))
+            # a group of an issue asked for takes one place of its own, so places are counted anew
+            led = led.withColumn("place", F.row_number().over(Window.partitionBy("question").orderBy("place")))
+            point = metrics(ranks(led, expected), (), (k,)).select(F.lit(linkage).alias("linkage"), F.lit(float(least)).alias("similarity"), "*")
+            out = point if out is None else out.unionByName(point)
+    return out
+
+
 class RecallTooLow(AssertionError):
     """The gate of an evaluation run."""
 

@@ -69,6 +69,18 @@ def floor_sweep(spark, sf_dir):
     return _rounded(E.floor_sweep(rows, expected, (0.2, 0.25, 0.3, 0.35)))
 
 
+@query()
+def versions_sweep(spark, sf_dir):
+    """Thresholds of grouping, over the 30 nearest of each question."""
+    e = table(spark, sf_dir, "embeddings")
+    _, expected, _ = _results(spark, sf_dir)
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("question"), "embedding")
+    near = nearest_of_many(e.withColumnRenamed("vec_id", "id"), q, 30)
+    c = e.select(F.col("vec_id").alias("_id"), "embedding", (F.col("vec_id") % 97).alias("regulation_id"), F.lit(None).cast("string").alias("enacted_on"))
+    rows = near.join(c, near.chunk_id == c._id).withColumn("asked", F.lit(False)).drop("_id", "rank")
+    return _rounded(E.versions_sweep(rows, expected, (0.25, 0.3, 0.35)))
+
+
 @query("SELECT item_id AS question, item_id IN (SELECT vec_id FROM embeddings WHERE embedding IS NOT NULL) OR item_id + 1 IN (SELECT vec_id FROM embeddings) AS eligible FROM benchmark")
 def eligible_questions(spark, sf_dir):
     """Questions of whose expected regulations one has an embedded chunk."""

@@ -288,3 +288,32 @@ def answer_blocks(spark, sf_dir):
 def keep_last(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id")
     return A.keep_last(rows, "user_id", "event_type", "event_id", 3)
+
+
+@query(
+    """SELECT conv_id AS question, CAST(max(turn) AS VARCHAR) AS sources, string_agg(concat(turn, ';'), '' ORDER BY turn) AS text, CAST(NULL AS VARCHAR) AS rewritten, count(*) AS skipped,
+      CASE WHEN conv_id % 3 = 0 THEN 'failed' WHEN conv_id % 3 = 1 THEN 'done' ELSE 'writing' END AS state FROM conversations GROUP BY conv_id"""
+)
+def answer_views(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("question"), "turn")
+    event = lambda kind, shift, data: t.select("question", (F.col("turn") * 10 + shift).alias("at"), F.lit(kind).alias("event"), data.alias("data"))
+    turn = F.col("turn").cast("string")
+    events = event("sources", 0, turn).unionByName(event("skipped", 1, turn)).unionByName(event("text", 2, F.concat(turn, F.lit(";"))))
+    for rest, kind in ((0, "error"), (1, "done")):
+        events = events.unionByName(event(kind, 3, turn).where(F.col("question") % 3 == rest))
+    return A.answer_views(events)
+
+
+@query(
+    """SELECT o_custkey AS question, n, title, subject, CAST(least(6, o_orderkey % 9) AS INT) AS earlier, CAST(greatest(0, o_orderkey % 9 - 6) AS INT) AS earlier_omitted FROM (
+      SELECT *, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS n, concat('Ley ', o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN ' · Artículo 1' ELSE '' END) AS title,
+      CASE WHEN o_orderkey % 3 = 0 THEN 'tema / norma' WHEN o_orderkey % 3 = 1 THEN 'tema' END AS subject FROM orders) WHERE n <= 8"""
+)
+def numbered_sources(spark, sf_dir):
+    k = F.col("o_orderkey")
+    hits = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("question"), k.alias("place"), F.concat(F.lit("Ley "), k.cast("string")).alias("name"), F.when(k % 2 == 0, "Artículo 1").alias("label"), F.when(k % 3 < 2, "tema").alias("topic"),
+        F.when(k % 3 == 0, "norma").alias("title"), F.array_repeat(k, (k % 9).cast("int")).alias("earlier_versions"),
+    )
+    out = A.numbered_sources(hits)
+    return out.select("question", "n", F.col("source_title").alias("title"), "subject", F.size("earlier").alias("earlier"), "earlier_omitted")
