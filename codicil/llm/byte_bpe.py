@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from .common import arrow_map, hex_sha, pick, texts_of
 
 #: Pieces whose encoding a worker remembers; when full, they are kept as long as it takes to fill the memory again.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 
 class PrefixEncoder:

@@ -120,7 +120,7 @@ def gathered(df: DataFrame, fn: Callable[[Iterator[tuple[int, int, list[bytes]]]
 
 PACKED = "kind int, bucket int, data binary"
 #: Bytes of packed rows that a task holds before it sends them on.
-HELD = 24 << 20
+HELD = 12 << 20
 
 
 def joined_rows(parts: Iterator[list[tuple[int, int, bytes]]]) -> Iterator[list[tuple[int, int, bytes]]]:

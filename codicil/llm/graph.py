@@ -2,19 +2,43 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import forget, settled
 
 
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of each batch as stars around the smallest node of each of its components."""
+    for batch in batches:
+        a, b = (np.asarray(batch.column(c)) for c in ("a", "b"))
+        nodes, at = np.unique(np.r_[a, b], return_inverse=True)
+        x, y = at[: len(a)], at[len(a) :]
+        root = np.arange(len(nodes))
+        while True:  # smaller roots spread along edges, paths are halved
+            least = np.minimum(root[x], root[y])
+            new = root.copy()
+            np.minimum.at(new, root[x], least)
+            np.minimum.at(new, root[y], least)
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        far = root != np.arange(len(nodes))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[root[far]])], ["a", "b"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node of its component) of each node with an edge to another; edges: a, b (long).
 
-    Large and small stars in turn: first each node links its larger neighbours with its smallest one, then each node links
+    The edges of each batch are contracted first. Then large and small stars in turn: first each node links its larger neighbours with its smallest one, then each node links
     its smaller neighbours with the smallest. Every round is written to the shared folder; minima are
     pre-aggregated and hot nodes only stand on the side of a join that can be split. Rounds: about the logarithm of the longest path."""
-    now = settled(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = settled(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).mapInArrow(_contracted, "a long, b long").distinct())
     seen = None
     while True:
         mark = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()

@@ -45,7 +45,7 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 120_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -432,9 +432,16 @@ def candidate_edges(both: DataFrame, percent: int) -> DataFrame:
 
 
 def compare(rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """a, b: links between the nodes of each group (g1, g2) of rows (g1, g2, text)."""
+    """g1, a, b: links between the nodes of each group (g1, g2) of rows (g1, g2, text), and (g1, null, null) if they leave a group unconnected."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            rows = [(g, x, y) for g, a, b in out for x, y in zip(a, b)]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["g1", "a", "b"])
+
         groups: dict[tuple, list[str]] = {}
         for b in batches:
             for g1, g2, text in zip(b.column("g1").to_pylist(), b.column("g2").to_pylist(), b.column("text").to_pylist()):
@@ -443,12 +450,17 @@ def compare(rows: DataFrame, k: int, percent: int) -> DataFrame:
             sets = [s for s in (shingles(t, k) for t in groups.pop(key)) if len(s)]
             sets = list({node_of(s): s for s in sets}.items())
             if len(sets) > 1:
-                found = links([s for _, s in sets], percent)
-                if found:
-                    a, b = zip(*((sets[i][0], sets[j][0]) for i, j in found))
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                found = [(sets[i][0], sets[j][0]) for i, j in links([s for _, s in sets], percent)]
+                if len(found) < len(sets) - 1:
+                    found.append((None, None))
+                a, b = zip(*found)
+                out.append((key[0], a, b))
+                if sum(len(x[1]) for x in out) >= 10_000:
+                    yield flush()
+        if out:
+            yield flush()
 
-    return rows.repartition(shuffle_partitions(rows.sparkSession), "g1", "g2").mapInArrow(run, "a long, b long")
+    return rows.repartition(shuffle_partitions(rows.sparkSession), "g1", "g2").mapInArrow(run, "g1 long, a long, b long")
 
 
 def jaccard_groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
@@ -466,15 +478,11 @@ def jaccard_groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     # every chunk with the first: a cluster of one chunk is done by that
     first = texts.select(F.col("cluster").alias("g1"), F.explode(F.when((F.col("chunk") == 0) & (F.col("chunks") > 1), F.sequence(F.lit(1), F.col("chunks") - 1)).otherwise(F.array("chunk"))).alias("g2"), "text")
     found = settled(compare(first, k, percent))
-    large = texts.where("chunks > 2")
-    if large.limit(1).count():
-        so_far = components(found)
-        big = large.select("cluster").distinct()
-        parts = members.join(big, "cluster").join(so_far, "node", "left")
-        parts = parts.groupBy("cluster").agg(F.min(F.coalesce("root", "node")).alias("x"), F.max(F.coalesce("root", "node")).alias("y")).where("x != y").select("cluster")
-        pairs = F.transform(F.filter(F.sequence(F.lit(1), F.col("chunks") - 1), lambda i: i != F.col("chunk")), lambda i: F.least(i, F.col("chunk")) * F.lit(1 << 20).cast("long") + F.greatest(i, F.col("chunk")))
-        rest = large.where("chunk > 0").join(parts, "cluster").select(F.col("cluster").alias("g1"), F.explode(pairs).alias("g2"), "text")
-        found = found.unionByName(compare(rest, k, percent))
+    # where each chunk is connected with the first, the cluster is; of the others all pairs of chunks follow
+    large = texts.where("chunks > 2").join(found.where("a is null").select(F.col("g1").alias("cluster")).distinct(), "cluster", "left_semi")
+    pairs = F.transform(F.filter(F.sequence(F.lit(1), F.col("chunks") - 1), lambda i: i != F.col("chunk")), lambda i: F.least(i, F.col("chunk")) * F.lit(1 << 20).cast("long") + F.greatest(i, F.col("chunk")))
+    rest = large.where("chunk > 0").select(F.col("cluster").alias("g1"), F.explode(pairs).alias("g2"), "text")
+    found = found.unionByName(compare(rest, k, percent)).where("a is not null").select("a", "b")
     return _named(base, nodes, names, components(found), k)
 
 
