@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from .common import arrow_map, hex_sha, pick, texts_of
 
 #: Pieces whose encoding a worker remembers; when full, they are kept as long as it takes to fill the memory again.
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 
 
 class PrefixEncoder:
@@ -57,7 +57,7 @@ class PrefixEncoder:
     def fits(self, a: int, b: int) -> bool:
         """Whether a then b encode to themselves."""
         if (known := self._fits.get(a << 32 | b)) is None:
-            if len(self._fits) > 2_000_000:
+            if len(self._fits) > 300_000:
                 self._fits.clear()
             known = self._fits[a << 32 | b] = self.merged(self.token[a] + self.token[b]) == [a, b]
         return known
