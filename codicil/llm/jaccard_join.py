@@ -9,8 +9,9 @@ ones give signatures by a second cut of the range as well, and so on; those that
 
 Nodes that share a signature are candidates. In a group of up to SMALL nodes all of its pairs count, in a larger one those with its first
 node. The segments are cut by hash, so two sets that are linked agree in many of them: a pair of fewer common signatures than all but one
-linked pair in 10**12 would have (NEVER) is dropped; passages that two documents share make many such pairs. Members of large groups that are
-dropped with the first node may still be linked with each other: they are compared by their bitmaps, in a signature tree.
+linked pair in 10**12 would have (NEVER) is dropped; passages that two documents share make many such pairs. The count of two nodes in a large
+group leaves that group out unless one is its first. So members that the counted pairs leave unconnected with the first node (stray ones) may still be
+linked with each other or with any of the members that are connected: they are compared with all of them by their bitmaps, in a signature tree.
 
 What remains links nodes to clusters, which are compared exactly: sets become leaves of a signature tree, whose
 nodes hold the OR and the AND of the bitmaps below and the range of sizes. Two nodes are traversed together only while the
@@ -395,22 +396,53 @@ def traverse(tree: Tree, percent: int, linked) -> list[tuple[int, int]]:
     return out
 
 
-def candidate_edges(both: DataFrame, percent: int) -> DataFrame:
-    """a, b: edges between nodes that may be linked."""
+def clusters(both: DataFrame, percent: int) -> DataFrame:
+    """node, root: the clusters of nodes that may be linked, but for clusters of one."""
     classes = Classes(percent)
     need = F.array(*(F.lit(min(classes.common(j), 1 << 20)) for j in range(CLASSES)))
     pairs = both.where(F.col("kind") == SIGS).groupBy("a", "b", "j").agg(F.sum("c").alias("n"))
     enough = F.when(F.col("j") == ALWAYS, 1).otherwise(F.element_at(need, F.least(F.col("j"), F.lit(CLASSES - 1)) + 1))
     strong = settled(pairs.where(F.col("n") >= enough).select("a", "b").distinct())
-    # members of large groups that have too little in common with the first
-    weak = both.where(F.col("kind") == GROUPS).select(F.col("a").alias("g"), F.col("b"), F.col("c").alias("a")).distinct()
-    weak = settled(weak.where("a != b").join(strong, ["a", "b"], "left_anti").select("g", F.col("b").alias("node")))
-    size = weak.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    roots = components(strong)
+    near = settled(stray_edges(both, strong, roots, percent))
+    # what strays are linked with, by clusters
+    root = lambda c: roots.withColumnsRenamed({"node": c, "root": f"r{c}"})
+    moved = near.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    moved = components(moved.distinct()).select(F.col("node").alias("root"), F.col("root").alias("last"))
+    ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    every = roots.unionByName(ends.join(roots, "node", "left_anti").select("node", F.col("node").alias("root")))
+    return every.join(moved, "root", "left").select("node", F.coalesce("last", "root").alias("root"))
+
+
+def stray_edges(both: DataFrame, strong: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """a, b: edges between the members of large groups that strong pairs leave unconnected with the first one (strays) and all other
+    members, as far as bitmaps leave a link possible. Strays are compared with each other by group; the connected members of all
+    groups of a cluster are put together, so that each is compared once with the cluster's strays."""
+    groups = both.where(F.col("kind") == GROUPS).select(F.col("a").alias("g"), F.col("b"), F.col("c").alias("a")).distinct()
+    weak = settled(groups.where("a != b").join(strong, ["a", "b"], "left_anti"))
+    home = roots.withColumnsRenamed({"node": "a", "root": "home"})
+    own = roots.withColumnsRenamed({"node": "b", "root": "own"})
+    weak = weak.join(own, "b", "left").join(home, "a", "left").withColumn("home", F.coalesce("home", "a"))
+    weak = settled(weak.where(F.coalesce("own", "b") != F.col("home")).select("g", "home", F.col("b").alias("node")))
     sketch = both.where(F.col("kind") == SKETCHES).select(F.col("a").alias("node"), F.col("c").alias("n"), "data")
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
-    rows = weak.join(size, "g").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(3)), F.col("chunks")).cast("int"))
+    chunk = lambda of: F.pmod(F.xxhash64("node", F.lit(3)), F.col(of)).cast("int")
+    size = weak.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    rows = weak.join(size, "g").withColumn("chunks", chunks).withColumn("chunk", chunk("chunks"))
     every = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: F.least(i, F.col("chunk")) * F.lit(1 << 20).cast("long") + F.greatest(i, F.col("chunk")))
-    rows = rows.select("g", "node", F.explode(every).alias("part")).join(sketch, "node")
+    rows = rows.select("g", "node", F.explode(every).alias("part"))
+    # strays by connected members: chunks of the one by chunks of the other
+    strays = weak.select("home", "node").distinct()
+    firm = groups.join(weak.select("g", "home").distinct(), "g").withColumnRenamed("b", "node").join(weak.select("g", "node"), ["g", "node"], "left_anti")
+    firm = settled(firm.select("home", "node").distinct())
+    sizes = [x.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias(c)) for x, c in ((strays, "s_chunks"), (firm, "f_chunks"))]
+    placed = [x.join(sizes[0], "home").join(sizes[1], "home") for x in (strays, firm)]
+    part = lambda s, f: -1 - (s * F.lit(1 << 20).cast("long") + f)
+    cross = [
+        placed[0].select(F.col("home").alias("g"), "node", F.explode(F.transform(F.sequence(F.lit(0), F.col("f_chunks") - 1), lambda i: part(chunk("s_chunks"), i))).alias("part")),
+        placed[1].select(F.col("home").alias("g"), "node", F.explode(F.transform(F.sequence(F.lit(0), F.col("s_chunks") - 1), lambda i: part(i, chunk("f_chunks")))).alias("part")),
+    ]
+    rows = rows.unionByName(cross[0]).unionByName(cross[1]).join(sketch, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: dict[tuple, dict[int, tuple[int, bytes]]] = {}
@@ -427,8 +459,7 @@ def candidate_edges(both: DataFrame, percent: int) -> DataFrame:
             a, b = zip(*sorted(found))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    near = rows.repartition(shuffle_partitions(both.sparkSession), "g", "part").mapInArrow(run, "a long, b long")
-    return strong.unionByName(near)
+    return rows.repartition(shuffle_partitions(both.sparkSession), "g", "part").mapInArrow(run, "a long, b long")
 
 
 def compare(rows: DataFrame, k: int, percent: int) -> DataFrame:
@@ -468,7 +499,7 @@ def jaccard_groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     base = pick(docs, doc_id="long", text="string")
     both = settled(nodes_and_edges(base, k, percent))
     nodes = both.where(F.col("kind") == NODES).select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("c").alias("n_shingles"))
-    members = components(candidate_edges(both, percent)).withColumnRenamed("root", "cluster")
+    members = settled(clusters(both, percent)).withColumnRenamed("root", "cluster")
     names = nodes.groupBy("node").agg(F.min("doc_id").alias("rep"))
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
     placed = members.join(sizes, "cluster").join(names, "node")

@@ -98,6 +98,34 @@ def test_jaccard(spark, corpus, k, percent):
     assert got == {i: (len(s), find(i)) for i, s in enumerate(sets)}
 
 
+def test_jaccard_links_strays_with_connected_members(spark):
+    from codicil.llm.jaccard_join import jaccard_groups, node_of, shingles
+
+    r, n = random.Random(4), 20_000
+    base = [f"w{r.randrange(10**9)}" for _ in range(n)]
+
+    def edited(words, at):
+        return [f"x{r.randrange(10**9)}" if i in at else w for i, w in enumerate(words)]
+
+    def similarity(a, b):
+        a, b = (set(zip(x, x[1:], x[2:])) for x in (a, b))
+        return len(a & b) / len(a | b)
+
+    def node(words):
+        return node_of(shingles(" ".join(words), 3))
+
+    copies = sorted((edited(base, {i}) for i in range(1, 37, 3)), key=node)  # the first has the smallest node
+    spots = r.sample(range(0, n, 4), int(0.034 * n))  # an edit changes three shingles
+    f = v = []
+    while not f or min(node(f), node(v)) < node(copies[0]):
+        f = edited(copies[0], set(spots[::2]))
+        v = edited(f, set(spots[1::2]))
+    assert similarity(f, copies[0]) > 0.9 < similarity(f, v) and all(similarity(v, c) < 0.85 for c in copies)
+    docs = [" ".join(x) for x in (*copies, f, v, edited(base, set(range(0, n, 2))))]
+    got = {x.doc_id: x.component_id for x in jaccard_groups(frame(spark, docs), 3, 90).collect()}
+    assert got == {i: 0 for i in range(14)} | {14: 14}
+
+
 def test_signature_tree_prunes_nothing_that_links():
     from codicil.llm.jaccard_join import links
 
