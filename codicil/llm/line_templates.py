@@ -1,15 +1,16 @@
 """Line dedup with a log-template tree.
 
 A line goes down a tree of fixed depth: by its number of tokens, then by its DEPTH leading tokens (tokens with digits
-are variable and stand as one). In the leaf that it reaches, a token behind the leading ones is a constant if
-MIN_DOCS documents or more have it at that position there, else a variable field; the constants in their places
-are the line's template. Templates of at least CONSTANT constants in all their tokens that MIN_DOCS documents or more hold
-recur: their lines are dropped, except in the first document (by id) that has the template, so that nothing is lost that stands
-nowhere else.
+are variable and stand as one). In the leaf that it reaches, each token has the number of documents that have it at that position there.
+The support of a line is the largest number that CONSTANT of its tokens reach: about the documents of its template, whatever else is in the leaf.
+Leading tokens, and those of at least SHARE of the support (and MIN_DOCS), are constants, the others variable fields; the constants in
+their places are the line's template. As fields are told by shares, a template gives the same result in few documents and in many.
+Templates of a support of MIN_DOCS or more that MIN_DOCS documents or more hold recur: their lines are dropped, except in the first
+document (by id) that has the template.
 
 Steps: leaves with too few lines to recur are left out by a bitmap of a fixed size (2**BITS bits; a full one only lets more
 lines through). Positions of the other leaves are counted in blocks of BLOCK, so that a leaf with very many different
-lines is spread over partitions by position; equal lines are combined before they are sent. Lines and templates meet in joins that
+lines is spread over partitions by position; equal lines are combined before they are sent. The counts of a line's blocks are gathered by line. Lines and templates meet in joins that
 can be split where one line is in a great part of all documents.
 
 Rules: empty lines stay and are never counted. A null text is empty, a null id comes before all others. Rows that repeat an id are the
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import PACKED, SLICE, arrow_map, buckets_for, gathered, hex_sha, joined_rows, mix, packed, packed_batch, pick, settled, texts_of
 
-DEPTH, MIN_DOCS, CONSTANT, BITS, BLOCK = 3, 10, 0.8, 24, 8
+DEPTH, MIN_DOCS, CONSTANT, SHARE, BITS, BLOCK = 3, 10, 0.8, 0.25, 24, 8
 NULL_ID = -(1 << 63)
 _DIGIT = re.compile("[0-9]")
 _hash = xxhash.xxh3_64_intdigest
@@ -51,6 +52,7 @@ def parse(line: str) -> tuple[int, int, list[str]] | None:
 
 _LINE = np.dtype([("leaf", "<u8"), ("line", "<u8"), ("n", "<u4")])
 _BLOCKED = np.dtype([("key", "<u8"), ("line", "<u8"), ("n", "<u4"), ("at", "<u4"), ("size", "<u4"), ("tok", "<u4", BLOCK)])
+_COUNTED = np.dtype([("line", "<u8"), ("at", "<u4"), ("size", "<u4"), ("tok", "<u4", BLOCK), ("docs", "<u4", BLOCK)])
 
 
 def _live_leaves(docs: DataFrame, min_docs: int) -> np.ndarray:
@@ -140,39 +142,57 @@ def _live_lines(docs: DataFrame, live: np.ndarray) -> DataFrame:
     return settled(docs.mapInArrow(send, PACKED + ", doc long, line long"))
 
 
-def _constants(parts: Iterator[tuple[int, int, list[bytes]]], min_docs: int) -> Iterator[pa.RecordBatch]:
-    """line, part (of the template's hash), constants, size: for each line and block."""
+def _counts(parts: Iterator[tuple[int, int, list[bytes]]], buckets: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Each line and block once, with the documents of each of its tokens, packed by line."""
     for _, _, data in parts:
         rec = np.frombuffer(b"".join(data), _BLOCKED)
-        key, of = np.unique(rec["key"], return_inverse=True)
-        part, fixed = np.zeros(len(rec), np.uint64), np.zeros(len(rec), np.int64)
+        docs = np.zeros((len(rec), BLOCK), np.uint32)
         for i in range(BLOCK):
-            at = rec["at"].astype(np.int64) + i
-            here = at < rec["size"]
+            here = rec["at"].astype(np.int64) + i < rec["size"]
             pair = mix(rec["key"] ^ mix(rec["tok"][:, i].astype(np.uint64) + np.uint64(1)))
             _, token = np.unique(pair, return_inverse=True)
-            often = np.bincount(token, rec["n"] * here)[token] >= min_docs
-            often = (often | (at < DEPTH)) & here
-            fixed += often
-            value = np.where(often, rec["tok"][:, i].astype(np.uint64) + np.uint64(1), np.uint64(0))
-            part ^= np.where(here, mix(value + mix(at.astype(np.uint64) + np.uint64(7))), np.uint64(0))
-        part ^= mix(rec["size"].astype(np.uint64)) * (rec["at"] == 0)
+            docs[:, i] = np.bincount(token, rec["n"] * here)[token]
         # equal lines of several slices come several times
-        _, first = np.unique(np.stack([of.astype(np.uint64), rec["line"]], axis=1), axis=0, return_index=True)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(rec["line"][first].view(np.int64)), pa.array(part[first].view(np.int64)), pa.array(fixed[first]), pa.array(rec["size"][first].astype(np.int64))],
-            ["line", "part", "constants", "size"],
-        )
+        _, first = np.unique(np.stack([rec["key"], rec["line"]], axis=1), axis=0, return_index=True)
+        out = np.empty(len(first), _COUNTED)
+        for c in ("line", "at", "size", "tok"):
+            out[c] = rec[c][first]
+        out["docs"] = docs[first]
+        yield [(BLOCKS, b, d) for b, d in packed(mix(out["line"]), out, buckets)]
+
+
+def _templates(parts: Iterator[tuple[int, int, list[bytes]]], min_docs: int, constant: float) -> Iterator[pa.RecordBatch]:
+    """line, template of the lines of enough support."""
+    for _, _, data in parts:
+        rec = np.frombuffer(b"".join(data), _COUNTED)
+        rec = rec[np.lexsort((rec["at"], rec["line"]))]
+        place = rec["at"].astype(np.int64)[:, None] + np.arange(BLOCK)
+        here = place < rec["size"].astype(np.int64)[:, None]
+        place, tok, docs = place[here], rec["tok"][here].astype(np.uint64), rec["docs"][here].astype(np.int64)
+        line = np.repeat(rec["line"], here.sum(axis=1))
+        start = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
+        size = np.diff(np.r_[start, len(line)])
+        of = np.repeat(np.arange(len(start)), size)
+        support = docs[np.lexsort((-docs, of))][start + np.maximum(1, np.ceil(constant * size).astype(np.int64)) - 1]
+        fixed = (place < DEPTH) | (docs >= np.maximum(min_docs, SHARE * support)[of])
+        value = np.where(fixed, tok + np.uint64(1), np.uint64(0))
+        template = np.bitwise_xor.reduceat(mix(value + mix(place.astype(np.uint64) + np.uint64(7))), start) ^ mix(size.astype(np.uint64))
+        enough = support >= min_docs
+        yield pa.RecordBatch.from_arrays([pa.array(line[start][enough].view(np.int64)), pa.array(template[enough].view(np.int64))], ["line", "template"])
 
 
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> tuple[DataFrame, DataFrame]:
     """(template, n_docs, first_doc) of the templates that recur, and (doc, line, template) of the lines that have them."""
     base = pick(docs, doc_id="long", text="string")
     live = _live_lines(base, _live_leaves(base, min_docs))
-    blocks = gathered(live.where(F.col("kind") == BLOCKS).select("kind", "bucket", "data"), lambda parts: _constants(parts, min_docs), "line long, part long, constants long, size long")
-    lines = blocks.groupBy("line").agg(F.bit_xor("part").alias("template"), F.sum("constants").alias("constants"), F.max("size").alias("size"))
+    buckets = buckets_for(base.sparkSession)
+
+    def counted(parts: Iterator[tuple[int, int, list[bytes]]]) -> Iterator[pa.RecordBatch]:
+        yield from map(packed_batch, joined_rows(_counts(parts, buckets)))
+
+    blocks = gathered(live.where(F.col("kind") == BLOCKS).select("kind", "bucket", "data"), counted, PACKED)
     # written, so that the joins below have shuffles on both sides, of which one can be split where a line or template is hot
-    lines = settled(lines.where(F.col("constants") >= constant * F.col("size")).select("line", "template"))
+    lines = settled(gathered(blocks, lambda parts: _templates(parts, min_docs, constant), "line long, template long"))
     held = settled(live.where(F.col("kind") == LINES).select("doc", "line").join(lines, "line"))
     templates = held.select("template", "doc").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc").alias("first_doc"))
     return settled(templates.where(F.col("n_docs") >= min_docs)), held

@@ -205,6 +205,19 @@ def test_line_templates(spark):
     assert sum(w[1] for w in want.values()) > 30
 
 
+def test_fields_of_templates_at_every_size(spark):
+    from codicil.llm.line_templates import drop_lines
+
+    letters = "abcdefghij"
+    names, towns = ([f"{x}{a}{b}" for a in letters for b in letters] for x in ("n", "t"))
+    for n in (100, 1_000, 20_000):
+        r = random.Random(n)
+        docs = [f"report was filed by {r.choice(names)} at the office of {r.choice(towns)} in due time\nreport was seen by all and closed" for _ in range(n)]
+        docs += [f"report was filed by {x} on a day when all stood empty here" for x in names[:9]]  # same leaf, too few
+        got = [(x.doc_id, x.n_dropped) for x in drop_lines(frame(spark, docs)).select("doc_id", "n_dropped").collect()]
+        assert dict(got) == {i: 2 if 0 < i < n else 0 for i in range(n + 9)}
+
+
 def test_byte_bpe(spark, corpus):
     import base64
 
