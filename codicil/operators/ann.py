@@ -2,7 +2,7 @@
 
 Cells are the centres of a bounded sample; every vector is put in the cell of its nearest centre and the table is written by cell, so that a search
 reads only the cells it probes. Filters are applied before ranking; while fewer than ``k`` rows pass, more cells are probed, up to all of them, so a selective
-filter still fills the answer.
+filter still fills the answer. How many cells a recall takes depends on the vectors; probes_for measures it on a sample of them.
 """
 
 from __future__ import annotations
@@ -12,10 +12,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codicil.functions.vectors import matrix, similarity_to
+from codicil.functions.vectors import cosines, matrix, similarity_to
 
 SAMPLE, ROUNDS = 20_000, 12
 
@@ -69,3 +69,64 @@ class IvfIndex:
             probes = min(len(order), 2 * probes)
         rows = table.where(F.col("cell").isin(order[:probes]))
         return rows.select("id", similarity_to(F.col("embedding").cast("array<double>"), query).alias("similarity")).orderBy(F.desc("similarity"), "id").limit(k)
+
+    def probes_for(self, k: int, recall: float, sample: int = 256) -> int:
+        """The fewest cells whose search finds ``recall`` of the k closest of ``sample`` indexed vectors (by a hash of their id), measured against all rows."""
+        table = self.spark.read.parquet(self.path)
+        picked = table.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(sample).select(F.monotonically_increasing_id().alias("question"), "embedding").collect()
+        if not picked:
+            return len(self.centres)
+        q = np.array([list(r.embedding) for r in picked], np.float64)
+        order = np.argsort(-(q @ self.centres.T), axis=1, kind="stable")
+        turn = np.argsort(order, axis=1)
+        at = {r.question: i for i, r in enumerate(picked)}
+        exact = self.nearest_of_many(self.spark.createDataFrame(picked, "question long, embedding array<double>"), k, len(self.centres)).select("question", "cell").collect()
+        found = np.bincount([turn[at[r.question], r.cell] for r in exact], minlength=len(self.centres)).cumsum()
+        return int(np.argmax(found >= recall * found[-1])) + 1
+
+    def nearest_of_many(self, questions: DataFrame, k: int, probes: int, block: int = 512) -> DataFrame:
+        """question, id, similarity, rank, cell: (approximately) the k closest of each question (question, embedding), from the ``probes`` cells nearest to it.
+
+        Questions are taken in blocks as in the exact search; a batch of rows meets only the questions that probe its cells."""
+        parts, held = [], []
+        for r in questions.select("question", "embedding").toLocalIterator():
+            held.append(r)
+            if len(held) == block:
+                parts.append(self._block_nearest(held, k, probes))
+                held = []
+        if held or not parts:
+            parts.append(self._block_nearest(held, k, probes))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        best = Window.partitionBy("question").orderBy(F.desc("similarity"), "id")
+        return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    def _block_nearest(self, questions: list, k: int, probes: int) -> DataFrame:
+        q = np.array([list(r.embedding) for r in questions], np.float64)
+        asked = np.zeros((len(self.centres), len(questions)), bool)
+        if questions:
+            order = np.argsort(-(q @ self.centres.T), axis=1, kind="stable")[:, :probes]
+            asked[order.T, np.arange(len(questions))] = True
+        shared = self.spark.sparkContext.broadcast((np.array([r.question for r in questions], np.int64), q, asked))
+
+        def run(batches):
+            ids, q, asked = shared.value
+            for b in batches:
+                home = np.asarray(b.column("cell"))
+                for cell in np.unique(home).tolist():
+                    mine = np.flatnonzero(asked[cell])
+                    if not len(mine):
+                        continue
+                    rows = b.filter(pa.array(home == cell))
+                    row = np.asarray(rows.column("id"))
+                    near = cosines(matrix(rows.column("embedding")), q[mine])
+                    order = np.lexsort((np.broadcast_to(row[:, None], near.shape), -near), axis=0)[:k]
+                    n = len(order)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.tile(ids[mine], n)), pa.array(row[order].ravel()), pa.array(np.take_along_axis(near, order, axis=0).ravel()), pa.array(np.full(n * len(mine), cell, np.int32))],
+                        ["question", "id", "similarity", "cell"],
+                    )
+
+        rows = self.spark.read.parquet(self.path).where(F.col("cell").isin(np.flatnonzero(asked.any(axis=1)).tolist()))
+        return rows.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("cell").cast("int").alias("cell")).mapInArrow(run, "question long, id long, similarity double, cell int")

@@ -189,10 +189,11 @@ def count_pending(spark, sf_dir):
 
 @query()
 def ann_search(spark, sf_dir):
-    """The inverted file, on the vectors of the folder: 10 nearest of vector 0 among those of even label."""
+    """The inverted file, on the vectors of the folder: the 10 nearest of every vector whose id is divisible by 100, among all."""
     from codicil.operators.ann import IvfIndex
     from codicil.sources.temporary import shared_folder
 
     e = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
     index = IvfIndex.build(e, shared_folder(spark), cells=16)
-    return index.search(_vector0(spark, sf_dir), 10, probes=4, where=F.col("label") % 2 == 0).select("id", _rounded())
+    q = e.where("id % 100 = 0 and embedding is not null").select(F.col("id").alias("question"), "embedding")
+    return index.nearest_of_many(q, 10, index.probes_for(10, 0.95)).select("question", "id", _rounded(), "rank")

@@ -1,4 +1,6 @@
+import collections
 import datetime
+import os
 
 import numpy as np
 import pytest
@@ -87,6 +89,27 @@ def test_inverted_file(spark, tmp_path):
     assert len(rare) == 8 and all(i % 75 == 0 for i in rare)  # more cells are probed until the answer is full
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_of_the_inverted_file(spark, sf):
+    from codicil.plans import registry
+
+    folder = f"/root/testdata/{sf}"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables here")
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").orderBy("vec_id").collect()
+    x, ids = np.array([list(r.embedding) for r in rows], np.float64), np.array([r.vec_id for r in rows])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = collections.defaultdict(set)
+    for r in registry.queries()["ann_search"](spark, folder).collect():
+        got[r.question].add(r.id)
+    asked = np.flatnonzero(ids % 100 == 0)
+    want = {int(ids[q]): set(ids[np.lexsort((ids, -(unit @ unit[q])))[:10]].tolist()) for q in asked}
+    assert set(got) == set(want) and all(len(v) == 10 for v in got.values())
+    recall = sum(len(got[q] & w) for q, w in want.items()) / (10 * len(want))
+    print(f"recall@10 {sf}: {recall:.3f} of {len(want)} questions")
+    assert recall >= 0.9
+
+
 class Flaky:
     def __init__(self, bad):
         self.bad = bad
