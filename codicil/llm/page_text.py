@@ -4,24 +4,28 @@ A tolerant scanner turns a page into lines (blocks of text, white space folded).
 that are menus, headers, footers, sidebars, notices, adverts, forms or comments by their tag, class, id or role are
 left out; if the page has an article (or else a main element), so are the lines outside it.
 
-Then pages are ordered by host and URL path. Each is paired with the neighbour of the same host whose path is
+Then pages are ordered by host and URL path. Each is paired with the page of the same host whose path is
 nearest, the two sequences of lines are aligned by longest common subsequence, and lines that both share
 are deleted, unless they stand inside an article or main element (an article republished under a
-neighbouring URL is not boilerplate) or the two pages are copies (SAME of their lines or more are shared).
+neighbouring URL is not boilerplate). A copy is no such pair: if one of the two would keep none of its lines, the next nearest page
+is taken, however far it is. Pages that are copies of all others of their host keep their lines.
 
 Rules: a null page is empty and gives an empty text. Pages without a host form a host of their own. Repeated rows
 (same URL and page) are never compared with each other and give repeated results. Unclosed elements end with
 their parent, an unclosed comment at its next ``>``. Pages of any length are taken whole.
 
 Ordering is a range partitioning by (host, path), so that a host with a third of all pages is split; ranks follow from
-counts of the partitions, and runs of RUN pages (with one page of context at either end) are aligned together.
+counts of the partitions. Neighbours of the same loose lines are one block. Runs of RUN pages (with REACH pages of context at either end) are aligned
+together; pages for which that isn't enough are taken again with the first and the last page of ever more blocks, until none is left.
 """
 
 from __future__ import annotations
 
 import bisect
+import functools
 import html
 import re
+from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -33,7 +37,7 @@ from pyspark.sql import types as T
 
 from .common import arrow_map, pick, settled, shuffle_partitions
 
-RUN, SAME = 64, 0.8
+RUN, REACH = 64, 2
 
 # Names of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -217,19 +221,25 @@ def host_and_path(url: str | None) -> tuple[str, str]:
 
 
 def _outline(batch: pa.RecordBatch) -> pa.RecordBatch:
-    hosts, paths, hashes, loose = [], [], [], []
-    for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
+    hosts, paths, hashes, kept, loose, same = [], [], [], [], [], []
+    for url, page, ph in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), batch.column("ph").to_pylist()):
         h, p = host_and_path(url)
         lines = lines_of(page or "")
         keep = kept_lines(lines)
         hosts.append(h)
         paths.append(p)
         hashes.append([xxhash.xxh3_64_intdigest(x) - (1 << 63) for x, _ in lines])
-        loose.append([i for i, ((_, w), k) in enumerate(zip(lines, keep)) if k and w not in (ARTICLE, MAIN)])
+        kept.append([i for i, k in enumerate(keep) if k])
+        # a page with an article keeps that alone, so its lines are all loose or none is
+        loose.append(bool(kept[-1]) and lines[kept[-1][0]][1] not in (ARTICLE, MAIN))
+        same.append(xxhash.xxh3_64_intdigest(np.array([hashes[-1][i] for i in kept[-1]], np.int64).tobytes()) - (1 << 63) if loose[-1] else ph)
     return pa.RecordBatch.from_arrays(
-        [batch.column("page_id"), batch.column("ph"), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(hashes, pa.list_(pa.int64())), pa.array(loose, pa.list_(pa.int32()))],
-        ["page_id", "ph", "host", "path", "lines", "loose"],
-    )
+        [
+            batch.column("page_id"), batch.column("ph"), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(hashes, pa.list_(pa.int64())), pa.array(kept, pa.list_(pa.int32())),
+            pa.array(loose, pa.bool_()), pa.array(same, pa.int64()),
+        ],
+        ["page_id", "ph", "host", "path", "lines", "kept", "loose", "same"],
+    )
 
 
 def _shared_prefix(a: str, b: str) -> int:
@@ -237,46 +247,101 @@ def _shared_prefix(a: str, b: str) -> int:
 
 
 def _compare(group: pa.Table) -> pa.Table:
-    """A run of neighbouring pages: for each of its own pages the loose lines to delete and how many lines are shared."""
-    rows = sorted(group.to_pylist(), key=lambda r: r["rank"])
+    """A run of neighbouring pages: for each of its pages that are asked for the loose lines to delete, how many lines are shared, and whether its pair lies
+    beyond the blocks at hand."""
+    rows = group.to_pylist()
+    firsts, lasts = {}, {}
+    for r in sorted((r for r in rows if r["tip"]), key=lambda r: r["rank"]):
+        firsts.setdefault(r["block"], r)
+        lasts[r["block"]] = r
     out = []
-    for i, r in enumerate(rows):
-        if r["rank"] // RUN != r["run"]:
-            continue
-        near = [rows[j] for j in (i - 1, i + 1) if 0 <= j < len(rows) and rows[j]["host"] == r["host"] and rows[j]["ph"] != r["ph"]]
-        if not near or not r["lines"]:
+    for r in rows:
+        if not r["asked"] or not r["lines"]:
             continue
-        other = max(near, key=lambda o: _shared_prefix(o["path"], r["path"]))
-        shared = {a for a, _ in common_lines(r["lines"], other["lines"])}
-        same = len(shared) >= SAME * max(len(r["lines"]), len(other["lines"]))
-        out.append((r["page_id"], r["ph"], [] if same else [x for x in r["loose"] if x in shared], len(shared)))
-    cols = list(zip(*out)) or [(), (), (), ()]
-    return pa.table(
-        [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int32())), pa.array(cols[3], pa.int64())],
-        ["d_page", "d_ph", "gone", "n_shared"],
-    )
+        near = {-1: r["block"], 1: r["block"]}
+        while True:
+            sides = []
+            for step, found in ((-1, lasts), (1, firsts)):
+                block = near[step] + step
+                if block in found:
+                    if found[block]["host"] == r["host"]:
+                        sides.append((_shared_prefix(found[block]["path"], r["path"]), -step, found[block]))
+                elif 0 <= block < r["blocks"]:
+                    sides = None
+                    break
+            if not sides:
+                if sides is None:
+                    out.append((r["rank"], r["page_id"], r["ph"], [], 0, True))
+                break
+            best = max(x[0] for x in sides)
+            pairs = []
+            for prefix, back, other in sides:
+                if prefix < best or pairs and not r["loose"]:
+                    continue
+                common = common_lines(r["lines"], other["lines"])
+                shared, theirs = {a for a, _ in common}, {b for _, b in common}
+                if r["loose"] and (shared.issuperset(r["kept"]) or other["kept"] and theirs.issuperset(other["kept"])):
+                    near[-back] -= back  # a copy
+                else:
+                    pairs.append(shared)
+            if pairs:  # of two pages that are as near the one that shares more
+                shared = max(pairs, key=len)
+                out.append((r["rank"], r["page_id"], r["ph"], [x for x in r["kept"] if x in shared] if r["loose"] else [], len(shared), False))
+                break
+    cols = list(zip(*out)) or [()] * 6
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.bool_())
+    return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], ["d_rank", "d_page", "d_ph", "gone", "n_shared", "further"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition with the number of each row and of its block of equal (host, same)."""
+    at, block, last = 0, -1, None
+    for b in batches:
+        numbers = []
+        for now in zip(b.column("host").to_pylist(), b.column("same").to_pylist()):
+            block += now != last
+            last = now
+            numbers.append(block)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(range(at, at + b.num_rows), pa.int64()), pa.array(numbers, pa.int64())], [*b.schema.names, "at", "block_at"])
+        at += b.num_rows
 
 
 def shared_with_neighbour(pages: DataFrame) -> DataFrame:
-    """d_page, d_ph, gone (numbers of the lines to delete), n_shared; pages (page_id, url, html, ph) without a neighbour are missing."""
-    outline = arrow_map(
-        pages,
-        _outline,
-        "page_id long, ph long, host string, path string, lines array<long>, loose array<int>",
-    )
+    """d_page, d_ph, gone (numbers of the lines to delete), n_shared; pages (page_id, url, html, ph) without a pair are missing."""
+    columns = "page_id long, ph long, host string, path string, lines array<long>, kept array<int>, loose boolean, same long"
     order = ["host", "path", "page_id", "ph"]
     n = shuffle_partitions(pages.sparkSession)
-    placed = outline.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    placed = settled(placed.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
-    counts = {r.part: r.n for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
+    placed = arrow_map(pages, _outline, columns).repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_blocks, columns + ", at long, block_at long")
+    placed = settled(placed.withColumn("part", F.spark_partition_id()))
+    key = F.struct("host", "same")
+    ends = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.max("block_at").alias("last"), F.min_by(key, "at").alias("a"), F.max_by(key, "at").alias("b")).collect()
+    if not ends:
         return placed.sparkSession.createDataFrame([], T.StructType.fromDDL("d_page long, d_ph long, gone array<int>, n_shared long"))
-    before = np.cumsum([0] + [counts.get(i, 0) for i in range(max(counts) + 1)]).tolist()
-    offset = F.element_at(F.array(*map(F.lit, before)), F.col("part") + 1).cast("long")
-    ranked = placed.withColumn("rank", offset + F.col("at"))
-    runs = F.array_distinct(F.transform(F.array(F.lit(0), F.lit(-1), F.lit(1)), lambda d: F.floor((F.col("rank") + d) / RUN)))
-    spread = ranked.select("page_id", "ph", "host", "path", "lines", "loose", "rank", F.explode(runs).alias("run"))
-    return spread.groupBy("run").applyInArrow(_compare, "d_page long, d_ph long, gone array<int>, n_shared long")
+    rank, block, before, offsets = 0, 0, None, {}
+    for e in sorted(ends, key=lambda e: e.part):
+        block -= before == e.a  # a block that goes on in the next partition
+        offsets[e.part] = (rank, block)
+        rank, block, before = rank + e.n, block + e.last + 1, e.b
+    offset = lambda i: F.element_at(F.array(*(F.lit(offsets.get(p, (0, 0))[i]) for p in range(max(offsets) + 1))), F.col("part") + 1).cast("long")
+    ranked = placed.withColumn("rank", offset(0) + F.col("at")).withColumn("block", offset(1) + F.col("block_at")).withColumn("run", F.floor(F.col("rank") / RUN)).withColumn("blocks", F.lit(block).cast("long"))
+    ranked = ranked.drop("part", "at", "block_at", "same")
+    runs = F.array_distinct(F.transform(F.array(F.lit(0), F.lit(-REACH), F.lit(REACH)), lambda d: F.floor((F.col("rank") + d) / RUN)))
+    own = F.col("run")
+    both = ranked.withColumn("home", own).withColumn("run", F.explode(runs)).withColumn("asked", own == F.col("home")).withColumn("tip", F.lit(True)).drop("home")
+    reach, parts, kinds = REACH, [], "d_rank long, d_page long, d_ph long, gone array<int>, n_shared long, further boolean"
+    while True:
+        found = settled(both.groupBy("run").applyInArrow(_compare, kinds))
+        parts.append(found.where("not further").select("d_page", "d_ph", "gone", "n_shared"))
+        further = found.where("further").select(F.col("d_rank").alias("rank"))
+        if further.isEmpty():
+            return functools.reduce(DataFrame.unionByName, parts)
+        reach *= 8
+        asked = settled(ranked.join(further, "rank"))
+        need = asked.groupBy("run").agg(F.min("block").alias("x"), F.max("block").alias("y")).select("run", F.explode(F.sequence(F.col("x") - reach, F.col("y") + reach)).alias("block"))
+        tips = ranked.select("rank", "block").groupBy("block").agg(F.min("rank").alias("x"), F.max("rank").alias("y")).join(need, "block")
+        tips = tips.select("run", F.explode(F.array_distinct(F.array("x", "y"))).alias("rank"))
+        tips = ranked.drop("run").join(tips, "rank").withColumns({"asked": F.lit(False), "tip": F.lit(True)})
+        both = asked.withColumns({"asked": F.lit(True), "tip": F.lit(False)}).unionByName(tips)
 
 
 def _extract(batch: pa.RecordBatch) -> pa.RecordBatch:

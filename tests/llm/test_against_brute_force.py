@@ -417,3 +417,29 @@ def test_page_differencing(spark):
     for i in range(150):
         assert got[i].text == f"Story number {i} begins\nand & ends {i * 7}.\nSecond part {i}"
     assert got[900].text == "T\nOwn text bold\nmore" and got[900].n_chars == len(got[900].text)
+
+
+def test_page_differencing_of_mostly_boilerplate(spark):
+    from codicil.llm.page_text import main_text
+
+    template = "".join(f"<div>Template line {i}</div>" for i in range(10))
+    menu = "<nav>" + "".join(f"<p>Item {i}</p>" for i in range(40)) + "</nav>"
+    own = lambda i: f"<p>Own text {i}</p><p>and more of {i}</p>"
+    rows = [(i, f"http://a.example/{i:03}", template + own(i)) for i in range(150)]
+    rows += [(1000 + i, f"http://b.example/{i:03}", menu + template + own(i)) for i in range(9)]
+    rows += [(2000 + 2 * i + j, f"http://c.example/{i:03}{'/print' * j}", (template if not j else "") + own(i)) for i in range(9) for j in range(2)]
+    rows += [(3000 + i, f"http://d.example/{i:03}", template + own(i // 100)) for i in range(200)]  # two pages under 100 URLs each
+    rows += [(4000 + i, f"http://e.example/{i:03}", own(i // 100)) for i in range(80)]  # nothing but copies
+    # pages that hold nothing but lines of the last one: its pair is the first, further off than the first reach
+    rows += [(5000 + i, f"http://f.example/{i:03}", template.replace("Template", "Print") + own(i) if i == 0 else f"<div>Print line {i % 10}</div><div>Print line {(i + 3) % 10}</div>" if i < 39 else "".join(f"<div>Print line {x % 10}</div>" for x in range(30)) + own(9)) for i in range(40)]
+    got = {x.page_id: x.text for x in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    text = lambda i: f"Own text {i}\nand more of {i}"
+    for i in range(150):
+        assert got[i] == text(i)
+    for i in range(8):  # the last of c is next to a print page that shares nothing with it
+        assert got[1000 + i] == got[2000 + 2 * i] == got[2001 + 2 * i] == text(i)
+    for i in range(200):
+        assert got[3000 + i] == text(i // 100)
+    for i in range(80):
+        assert got[4000 + i] == text(0)
+    assert got[5039].split("\n")[-2:] == text(9).split("\n") and len(got[5039].split("\n")) == 22  # ten of its lines are shared with the first
