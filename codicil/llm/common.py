@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import os
 import uuid
@@ -26,6 +27,37 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(F.col(c).cast(kind).alias(c) for c, kind in columns.items()))
 
 
+_release: list[Callable[[], None]] = []
+
+
+def on_release(fn: Callable[[], None]) -> None:
+    """Has fn called whenever a task of this worker ends: for what is only remembered to save time within a task."""
+    _release.append(fn)
+
+
+def release() -> None:
+    """Gives memory back at the end of a task, as workers live on and share an executor with those of later stages."""
+    for fn in _release:
+        fn()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # no such function outside glibc
+        pass
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """mapInArrow whose workers give memory back when a task ends."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(task, schema)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType, rows: int = SLICE) -> DataFrame:
     """Applies fn to slices of at most ``rows`` rows."""
 
@@ -35,7 +67,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
                 if (out := fn(batch.slice(at, rows))) is not None:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
@@ -106,16 +138,23 @@ def buckets_for(spark: SparkSession) -> int:
 
 
 def gathered(df: DataFrame, fn: Callable[[Iterator[tuple[int, int, list[bytes]]]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Shuffles rows (kind, bucket, data) by bucket and calls fn for each partition with its (kind, bucket, all data)."""
+    """Shuffles rows (kind, bucket, data) by bucket and calls fn for each partition with its (kind, bucket, all data), in that order.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple[int, int], list[bytes]] = {}
-        for b in batches:
-            for kind, bucket, data in zip(b.column("kind").to_pylist(), b.column("bucket").to_pylist(), b.column("data").to_pylist()):
-                found.setdefault((kind, bucket), []).append(data)
-        yield from fn((kind, bucket, found.pop((kind, bucket))) for kind, bucket in sorted(found))
+    Spark sorts the partition (and spills, if it has to), so that a worker holds the data of one bucket at a time."""
 
-    return df.repartition(shuffle_partitions(df.sparkSession), "bucket").mapInArrow(run, schema)
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[bytes]]]:
+        key, data = None, []
+        for b in batches:
+            for i, now in enumerate(zip(b.column("kind").to_pylist(), b.column("bucket").to_pylist())):
+                if now != key:
+                    if key:
+                        yield *key, data
+                    key, data = now, []
+                data.append(b.column("data")[i].as_py())
+        if key:
+            yield *key, data
+
+    return map_batches(df.repartition(shuffle_partitions(df.sparkSession), "bucket").sortWithinPartitions("kind", "bucket"), lambda batches: fn(parts(batches)), schema)
 
 
 PACKED = "kind int, bucket int, data binary"
