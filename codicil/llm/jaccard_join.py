@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, SLICE, arrow_map, bucket_of, buckets_for, gathered, joined_rows, mix, packed, packed_batch, pick, settled, shuffle_partitions, texts_of
+from .common import PACKED, SLICE, arrow_map, bucket_of, buckets_for, gathered, joined_rows, map_batches, mix, packed, packed_batch, pick, settled, shuffle_partitions, texts_of
 from .graph import components
 
 CHUNK, LEAF, FAN, CUTS, SMALL, NEVER = 64, 8, 4, 4, 6, 1e-12
@@ -229,7 +229,7 @@ def nodes_and_edges(docs: DataFrame, k: int, percent: int) -> DataFrame:
             first = np.repeat([int(g[0]) for g in once.values()], size)
             yield _rows(GROUPS, np.repeat(np.array(list(once), np.int64), size), member, first)
 
-    return gathered(docs.mapInArrow(send, PACKED), receive, OUT)
+    return gathered(map_batches(docs, send, PACKED), receive, OUT)
 
 
 _PAIR = np.dtype([("a", "<u8"), ("b", "<u8"), ("j", "u1"), ("n", "<u4")])
@@ -459,7 +459,7 @@ def stray_edges(both: DataFrame, strong: DataFrame, roots: DataFrame, percent: i
             a, b = zip(*sorted(found))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return rows.repartition(shuffle_partitions(both.sparkSession), "g", "part").mapInArrow(run, "a long, b long")
+    return map_batches(rows.repartition(shuffle_partitions(both.sparkSession), "g", "part"), run, "a long, b long")
 
 
 def compare(rows: DataFrame, k: int, percent: int) -> DataFrame:
@@ -491,7 +491,7 @@ def compare(rows: DataFrame, k: int, percent: int) -> DataFrame:
         if out:
             yield flush()
 
-    return rows.repartition(shuffle_partitions(rows.sparkSession), "g1", "g2").mapInArrow(run, "g1 long, a long, b long")
+    return map_batches(rows.repartition(shuffle_partitions(rows.sparkSession), "g1", "g2"), run, "g1 long, a long, b long")
 
 
 def jaccard_groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, SLICE, arrow_map, buckets_for, gathered, hex_sha, joined_rows, mix, packed, packed_batch, pick, settled, texts_of
+from .common import PACKED, SLICE, arrow_map, buckets_for, gathered, hex_sha, joined_rows, map_batches, mix, packed, packed_batch, pick, settled, texts_of
 
 DEPTH, MIN_DOCS, CONSTANT, SHARE, BITS, BLOCK = 3, 10, 0.8, 0.25, 24, 8
 NULL_ID = -(1 << 63)
@@ -82,7 +82,7 @@ def _live_leaves(docs: DataFrame, min_docs: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bucket", "bits"])
 
     bitmap = np.zeros((1 << BITS) // 8, np.uint8)
-    for r in gathered(docs.mapInArrow(send, PACKED), receive, "bucket int, bits binary").collect():
+    for r in gathered(map_batches(docs, send, PACKED), receive, "bucket int, bits binary").collect():
         bits = np.frombuffer(r.bits, np.uint8)
         bitmap[r.bucket * len(bits) : (r.bucket + 1) * len(bits)] = bits
     return bitmap
@@ -139,7 +139,7 @@ def _live_lines(docs: DataFrame, live: np.ndarray) -> DataFrame:
             docs_.clear()
             lines_.clear()
 
-    return settled(docs.mapInArrow(send, PACKED + ", doc long, line long"))
+    return settled(map_batches(docs, send, PACKED + ", doc long, line long"))
 
 
 def _counts(parts: Iterator[tuple[int, int, list[bytes]]], buckets: int) -> Iterator[list[tuple[int, int, bytes]]]:

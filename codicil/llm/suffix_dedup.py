@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, arrow_map, bucket_of, buckets_for, gathered, hex_sha, joined_rows, mix, packed, packed_batch, pick
+from .common import PACKED, arrow_map, bucket_of, buckets_for, gathered, hex_sha, joined_rows, map_batches, mix, packed, packed_batch, pick
 
 SPAN, GRAM = 100, 32
 #: log2 of the bits of the bitmap; triggers that may count as very frequent; bytes of text handled at once.
@@ -200,7 +200,7 @@ def repeated_triggers(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 ["bucket", "bits", "often", "n"],
             )
 
-    found = gathered(docs.mapInArrow(count, PACKED), total, "bucket int, bits binary, often binary, n long").collect()
+    found = gathered(map_batches(docs, count, PACKED), total, "bucket int, bits binary, often binary, n long").collect()
     bitmap = np.zeros((1 << BITS) // 8, np.uint8)
     for r in found:
         bits = np.frombuffer(r.bits, np.uint8)
@@ -288,7 +288,7 @@ def removed_ranges(docs: DataFrame) -> DataFrame:
                 [pa.array(every["doc"][cuts[:-1]]), pa.array([spans[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], ["key", "spans"]
             )
 
-    found = gathered(docs.mapInArrow(send, PACKED), receive, PACKED)
+    found = gathered(map_batches(docs, send, PACKED), receive, PACKED)
     return gathered(found, merge, "key long, spans binary")
 
 
