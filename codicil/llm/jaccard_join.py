@@ -7,17 +7,22 @@ neighbouring ones; each set gives the signature of each of its non-empty segment
 (A few more segments are cut than needed, so that sets with few empty ones always agree in a non-empty one; sets with more empty
 ones give signatures by a second cut of the range as well, and so on; those that fail all cuts meet under one signature.)
 
-Nodes that share a signature are candidates. In a group of up to SMALL nodes all of its pairs count, in a larger one those with its first
-node. The segments are cut by hash, so two sets that are linked agree in many of them: a pair of fewer common signatures than all but one
-linked pair in 10**12 would have (NEVER) is dropped; passages that two documents share make many such pairs. The count of two nodes in a large
-group leaves that group out unless one is its first. So members that the counted pairs leave unconnected with the first node (stray ones) may still be
-linked with each other or with any of the members that are connected: they are compared with all of them by their bitmaps, in a signature tree.
+The segments are cut by hash, so linked sets agree in many of them: all but one linked pair in 10**12 (NEVER) have NEED or more
+in common, by class. In that sense, and only in that one, the join is approximate. Signatures that more than SMALL nodes have are hot.
+
+* Pairs of nodes with a common signature that isn't hot are counted; those of NEED or more are candidates.
+* A pair of fewer must make up for them by hot ones, of which it can't have more in common than either node has: where that can be, the
+  bitmaps of the two decide.
+* Nodes with fewer than NEED hot signatures leave the hot groups, as each of their links shows in the pairs above: what a passage, a line or a notice
+  brings together goes apart again. The groups that remain are joined to zones. In each zone the candidates so far connect most nodes; the others (strays)
+  are compared with all nodes of the zone by their bitmaps, in a signature tree.
 
 What remains links nodes to clusters, which are compared exactly: sets become leaves of a signature tree, whose
 nodes hold the OR and the AND of the bitmaps below and the range of sizes. Two nodes are traversed together only while the
 largest possible overlap, from the bits that one side surely has and the other surely lacks, can make a link; pairs that are connected
 already are skipped, as only components are asked for. Clusters beyond CHUNK nodes are dealt out in chunks: first every chunk with
-the first one, then, if the cluster isn't connected by that, all pairs of chunks.
+the first one; then only the nodes that aren't connected with the first chunk's largest part are compared with all others. So a cluster of N nodes, of
+which U remain, makes N + 2 * U * N / CHUNK rows at most, and no more than that.
 
 Rules: with fewer than K words the whole sequence is one shingle; without words or text the set is empty and linked with
 nothing. A document with a null id takes no part: its component is null. Rows that repeat an id are one document with the links of
@@ -39,7 +44,9 @@ from pyspark.sql import functions as F
 from .common import PACKED, SLICE, arrow_map, bucket_of, buckets_for, gathered, joined_rows, map_batches, mix, packed, packed_batch, pick, settled, shuffle_partitions, texts_of
 from .graph import components
 
-CHUNK, LEAF, FAN, CUTS, SMALL, NEVER = 64, 8, 4, 4, 6, 1e-12
+CHUNK, CHUNK_SHINGLES, SKETCH_CHUNK, LEAF, FAN, CUTS, SMALL, NEVER = 1024, 1 << 20, 4096, 32, 4, 4, 6, 1e-12
+#: Pairs and members of groups that a task holds before it sends them on.
+PAIRS_HELD = 500_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -157,20 +164,20 @@ def folded(row: np.ndarray, words: int) -> np.ndarray:
     return row
 
 
-#: Classes looked up one by one; sets of later ones (hundreds of millions of shingles) need as many common signatures as the last.
-CLASSES = 120
+#: Classes looked up one by one; sets of later ones (more shingles than a text can have) would need as many common signatures as the last.
+CLASSES = 250
 #: The class of signatures that need no others beside them.
 ALWAYS = 255
 _SIG = np.dtype([("low", "<u4"), ("mid", "<u2"), ("j", "u1"), ("node", "<u8")])
 _NODE = np.dtype([("node", "<u8"), ("doc", "<i8"), ("n", "<u4")])
 _SKETCH = np.dtype([("node", "<u8"), ("n", "<u4"), ("words", "<u4")])
 SIGS, NODES, SKETCHES, GROUPS = range(4)
-OUT = "kind int, a long, b long, c long, j int, data binary"
+OUT = "kind int, a long, b long, c long, j int, n long, data binary"
 
 
 def nodes_and_edges(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Rows of OUT: NODES (id, node, size of the set) of the documents with words and an id; SKETCHES (node, -, size, bitmap); SIGS
-    (node, node, common signatures of class j, in part); GROUPS (group, member, first member) of groups of more than SMALL nodes."""
+    (node, node, common signatures of class j, in part); GROUPS (group, member, -, class j, n) of the groups of more than SMALL nodes that n signatures have."""
     buckets = buckets_for(docs.sparkSession)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +212,24 @@ def nodes_and_edges(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 yield rows + sketches + _pack(NODES, mix(rec["node"]), rec, buckets)
 
     def receive(parts: Iterator[tuple[int, int, list[bytes]]]) -> Iterator[pa.RecordBatch]:
-        pairs, groups = [], []
+        pairs: list[np.ndarray] = []
+        groups: dict[int, list] = {}  # of groups with the same members and class: members, class, signatures
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            p = np.concatenate(pairs) if pairs else np.zeros(0, _PAIR)
+            pairs.clear()
+            key, of = np.unique(p[["a", "b", "j"]], return_inverse=True)
+            if len(key):
+                count = np.bincount(of.ravel(), p["n"], len(key)).astype(np.int64)
+                yield _rows(SIGS, key["a"].astype(np.int64), key["b"].astype(np.int64), count, key["j"].astype(np.int32))
+            if groups:
+                size = [len(g) for g, _, _ in groups.values()]
+                member = np.concatenate([g for g, _, _ in groups.values()]).astype(np.int64)
+                many = lambda x, t: np.repeat(np.array(list(x), t), size)
+                yield _rows(GROUPS, many(groups, np.int64), member, np.zeros(len(member), np.int64), many((j for _, j, _ in groups.values()), np.int32), many((n for _, _, n in groups.values()), np.int64))
+                groups.clear()
+
+        held = 0
         for kind, _, data in parts:
             if kind == NODES:
                 rec = np.frombuffer(b"".join(data), _NODE)
@@ -213,21 +237,18 @@ def nodes_and_edges(docs: DataFrame, k: int, percent: int) -> DataFrame:
             elif kind == SKETCHES:
                 yield _sketch_rows(b"".join(data))
             else:
-                p, g = candidates(np.frombuffer(b"".join(data), _SIG))
+                # the same pair comes from many signatures: counted here, then over partitions
+                p, large = candidates(np.frombuffer(b"".join(data), _SIG))
                 pairs.append(p)
-                groups += g
-        if pairs:
-            # the same pair comes from many signatures: counted here, then over partitions
-            p = np.concatenate(pairs)
-            key, of = np.unique(p[["a", "b", "j"]], return_inverse=True)
-            if len(key):
-                yield _rows(SIGS, key["a"].astype(np.int64), key["b"].astype(np.int64), np.bincount(of.ravel(), p["n"], len(key)).astype(np.int64), key["j"].astype(np.int32))
-        once: dict[int, np.ndarray] = {node_of(g): g for g in groups}
-        if once:
-            size = [len(g) for g in once.values()]
-            member = np.concatenate(list(once.values())).astype(np.int64)
-            first = np.repeat([int(g[0]) for g in once.values()], size)
-            yield _rows(GROUPS, np.repeat(np.array(list(once), np.int64), size), member, first)
+                held += len(p)
+                for j, g in large:
+                    seen = groups.setdefault(node_of(np.r_[g, np.uint64(j)]), [g, j, 0])
+                    seen[2] += 1
+                    held += len(g) * (seen[2] == 1)
+                if held > PAIRS_HELD:
+                    yield from flush()
+                    held = 0
+        yield from flush()
 
     return gathered(map_batches(docs, send, PACKED), receive, OUT)
 
@@ -235,8 +256,8 @@ def nodes_and_edges(docs: DataFrame, k: int, percent: int) -> DataFrame:
 _PAIR = np.dtype([("a", "<u8"), ("b", "<u8"), ("j", "u1"), ("n", "<u4")])
 
 
-def candidates(rec: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Pairs of nodes with a common signature, and the members (in order) of the groups of more than SMALL nodes."""
+def candidates(rec: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Pairs of nodes with a common signature, in groups of more than SMALL nodes those with the first one; class and members (in order) of such groups."""
     key = rec["low"].astype(np.uint64) | rec["mid"].astype(np.uint64) << np.uint64(32)
     order = np.lexsort((rec["node"], key))
     key, node, j = key[order], rec["node"][order], rec["j"][order]
@@ -257,7 +278,7 @@ def candidates(rec: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
             for y in range(x + 1, n):
                 add(node[g + x], node[g + y], j[g])
     for a, n in zip(at[size > SMALL].tolist(), size[size > SMALL].tolist()):
-        large.append(node[a : a + n])
+        large.append((int(j[a]), node[a : a + n]))
         add(np.full(n - 1, node[a]), node[a + 1 : a + n], j[a + 1 : a + n])
     return np.concatenate(out) if out else np.zeros(0, _PAIR), large
 
@@ -266,10 +287,10 @@ def _pack(kind: int, keys: np.ndarray, rec: np.ndarray, buckets: int) -> list[tu
     return [(kind, b, d) for b, d in packed(keys, rec, buckets)]
 
 
-def _rows(kind: int, a: np.ndarray, b: np.ndarray, c: np.ndarray, j: np.ndarray | None = None, data: list[bytes] | None = None) -> pa.RecordBatch:
-    n = len(a)
-    cols = [pa.array(np.full(n, kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.nulls(n, pa.int32()) if j is None else pa.array(j, pa.int32())]
-    return pa.RecordBatch.from_arrays([*cols, pa.nulls(n, pa.binary()) if data is None else pa.array(data, pa.binary())], ["kind", "a", "b", "c", "j", "data"])
+def _rows(kind: int, a: np.ndarray, b: np.ndarray, c: np.ndarray, j: np.ndarray | None = None, n: np.ndarray | None = None, data: list[bytes] | None = None) -> pa.RecordBatch:
+    cols = [pa.array(np.full(len(a), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())]
+    cols += [pa.nulls(len(a), t) if x is None else pa.array(x, t) for x, t in ((j, pa.int32()), (n, pa.int64()), (data, pa.binary()))]
+    return pa.RecordBatch.from_arrays(cols, ["kind", "a", "b", "c", "j", "n", "data"])
 
 
 def _sketch_rows(data: bytes) -> pa.RecordBatch:
@@ -280,7 +301,7 @@ def _sketch_rows(data: bytes) -> pa.RecordBatch:
         found[node] = (n, data[at : at + 8 * words])
         at += 8 * words
     nodes = list(found)
-    return _rows(SKETCHES, np.array(nodes, np.int64), np.zeros(len(nodes), np.int64), np.array([n for n, _ in found.values()], np.int64), None, [d for _, d in found.values()])
+    return _rows(SKETCHES, np.array(nodes, np.int64), np.zeros(len(nodes), np.int64), np.array([n for n, _ in found.values()], np.int64), data=[d for _, d in found.values()])
 
 
 # ---- exact comparison --------------------------------------------------------------------------------------------
@@ -305,24 +326,19 @@ class Tree:
         return a, b, np.bitwise_or.reduce(rows), np.bitwise_and.reduce(rows), int(self.size[a]), int(self.size[b - 1]), children
 
 
-def links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links between sets that join all that the links of all pairs would join (a spanning forest)."""
+def links(sets: list[np.ndarray], percent: int, label: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links between sets that join all that the links of all pairs would join (a spanning forest). label: sets of the same one are joined already."""
     bits = 64 << max(0, int(max(map(len, sets)) * 4 - 1).bit_length() - 6)
-    exact: dict[int, set] = {}
-
-    def members(i: int) -> set:
-        if i not in exact:
-            exact[i] = set(sets[i].tolist())
-        return exact[i]
 
     def linked(i: int, j: int) -> bool:
-        common = len(members(i) & members(j))
-        return 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common)
+        a, b = (sets[i], sets[j]) if len(sets[i]) <= len(sets[j]) else (sets[j], sets[i])
+        common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+        return 100 * common >= percent * (len(a) + len(b) - common)
 
-    return traverse(Tree([len(s) for s in sets], [bitmap_of(s, bits) for s in sets]), percent, linked)
+    return traverse(Tree([len(s) for s in sets], [bitmap_of(s, bits) for s in sets]), percent, linked, np.arange(len(sets)) if label is None else label)
 
 
-def plausible(sizes: list[int], bitmaps: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def plausible(sizes: list[int], bitmaps: list[np.ndarray], percent: int, label: np.ndarray) -> list[tuple[int, int]]:
     """The same for all pairs that bitmaps and sizes leave possible. Sets of very different sizes aren't held in one tree, so that
     the narrowest bitmap is wide enough for each."""
     out = []
@@ -341,21 +357,14 @@ def plausible(sizes: list[int], bitmaps: list[np.ndarray], percent: int) -> list
             for w, wider in zip(widths, [*widths[1:], 0]):  # linked sets have bitmaps of the same or the next width
                 part = by[w] + (by[wider] if wider == 2 * w else [])
                 tree = Tree([sizes[i] for i in part], [folded(bitmaps[i], w) for i in part])
-                out += [(part[x], part[y]) for x, y in traverse(tree, percent, lambda i, j: True)]
+                out += [(part[x], part[y]) for x, y in traverse(tree, percent, lambda i, j: True, label[part])]
         a = b
     return out
 
 
-def traverse(tree: Tree, percent: int, linked) -> list[tuple[int, int]]:
+def traverse(tree: Tree, percent: int, linked, label: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of the pairs that the tree leaves possible and linked() accepts; it gets the positions before sorting."""
-    parent = list(range(len(tree.order)))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
+    label = np.unique(label, return_inverse=True)[1].ravel()[tree.order]
     out: list[tuple[int, int]] = []
 
     def possible(x: tuple, y: tuple) -> bool:
@@ -369,17 +378,18 @@ def traverse(tree: Tree, percent: int, linked) -> list[tuple[int, int]]:
     def leaves(x: tuple, y: tuple) -> None:
         for i in range(x[0], x[1]):
             a = max(y[0], i + 1)
-            if a >= y[1]:
+            apart = np.flatnonzero(label[a : y[1]] != label[i]) + a
+            if not len(apart):
                 continue
-            differ = np.bitwise_count(tree.bitmap[a : y[1]] ^ tree.bitmap[i]).sum(axis=1)
-            total = tree.size[a : y[1]] + tree.size[i]
-            for j in (np.flatnonzero(differ.astype(np.int64) * (100 + percent) <= total * (100 - percent)) + a).tolist():
-                if (p := find(i)) != (q := find(j)) and linked(tree.order[i], tree.order[j]):
-                    parent[max(p, q)] = min(p, q)
+            differ = np.bitwise_count(tree.bitmap[apart] ^ tree.bitmap[i]).sum(axis=1)
+            total = tree.size[apart] + tree.size[i]
+            for j in apart[differ.astype(np.int64) * (100 + percent) <= total * (100 - percent)].tolist():
+                if label[i] != label[j] and linked(tree.order[i], tree.order[j]):
+                    label[label == label[j]] = label[i]
                     out.append((tree.order[i], tree.order[j]))
 
     def walk(x: tuple, y: tuple) -> None:
-        if x is not y and not possible(x, y):
+        if (label[x[0] : x[1]] == label[y[0]]).all() and (label[y[0] : y[1]] == label[y[0]]).all() or x is not y and not possible(x, y):
             return
         if not x[6] and not y[6]:
             leaves(x, y)
@@ -396,102 +406,172 @@ def traverse(tree: Tree, percent: int, linked) -> list[tuple[int, int]]:
     return out
 
 
-def clusters(both: DataFrame, percent: int) -> DataFrame:
-    """node, root: the clusters of nodes that may be linked, but for clusters of one."""
-    classes = Classes(percent)
-    need = F.array(*(F.lit(min(classes.common(j), 1 << 20)) for j in range(CLASSES)))
-    pairs = both.where(F.col("kind") == SIGS).groupBy("a", "b", "j").agg(F.sum("c").alias("n"))
-    enough = F.when(F.col("j") == ALWAYS, 1).otherwise(F.element_at(need, F.least(F.col("j"), F.lit(CLASSES - 1)) + 1))
-    strong = settled(pairs.where(F.col("n") >= enough).select("a", "b").distinct())
-    roots = components(strong)
-    near = settled(stray_edges(both, strong, roots, percent))
-    # what strays are linked with, by clusters
-    root = lambda c: roots.withColumnsRenamed({"node": c, "root": f"r{c}"})
-    moved = near.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-    moved = components(moved.distinct()).select(F.col("node").alias("root"), F.col("root").alias("last"))
-    ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-    every = roots.unionByName(ends.join(roots, "node", "left_anti").select("node", F.col("node").alias("root")))
-    return every.join(moved, "root", "left").select("node", F.coalesce("last", "root").alias("root"))
-
-
-def stray_edges(both: DataFrame, strong: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """a, b: edges between the members of large groups that strong pairs leave unconnected with the first one (strays) and all other
-    members, as far as bitmaps leave a link possible. Strays are compared with each other by group; the connected members of all
-    groups of a cluster are put together, so that each is compared once with the cluster's strays."""
-    groups = both.where(F.col("kind") == GROUPS).select(F.col("a").alias("g"), F.col("b"), F.col("c").alias("a")).distinct()
-    weak = settled(groups.where("a != b").join(strong, ["a", "b"], "left_anti"))
-    home = roots.withColumnsRenamed({"node": "a", "root": "home"})
-    own = roots.withColumnsRenamed({"node": "b", "root": "own"})
-    weak = weak.join(own, "b", "left").join(home, "a", "left").withColumn("home", F.coalesce("home", "a"))
-    weak = settled(weak.where(F.coalesce("own", "b") != F.col("home")).select("g", "home", F.col("b").alias("node")))
-    sketch = both.where(F.col("kind") == SKETCHES).select(F.col("a").alias("node"), F.col("c").alias("n"), "data")
-    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
-    chunk = lambda of: F.pmod(F.xxhash64("node", F.lit(3)), F.col(of)).cast("int")
-    size = weak.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    rows = weak.join(size, "g").withColumn("chunks", chunks).withColumn("chunk", chunk("chunks"))
-    every = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: F.least(i, F.col("chunk")) * F.lit(1 << 20).cast("long") + F.greatest(i, F.col("chunk")))
-    rows = rows.select("g", "node", F.explode(every).alias("part"))
-    # strays by connected members: chunks of the one by chunks of the other
-    strays = weak.select("home", "node").distinct()
-    firm = groups.join(weak.select("g", "home").distinct(), "g").withColumnRenamed("b", "node").join(weak.select("g", "node"), ["g", "node"], "left_anti")
-    firm = settled(firm.select("home", "node").distinct())
-    sizes = [x.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias(c)) for x, c in ((strays, "s_chunks"), (firm, "f_chunks"))]
-    placed = [x.join(sizes[0], "home").join(sizes[1], "home") for x in (strays, firm)]
-    part = lambda s, f: -1 - (s * F.lit(1 << 20).cast("long") + f)
-    cross = [
-        placed[0].select(F.col("home").alias("g"), "node", F.explode(F.transform(F.sequence(F.lit(0), F.col("f_chunks") - 1), lambda i: part(chunk("s_chunks"), i))).alias("part")),
-        placed[1].select(F.col("home").alias("g"), "node", F.explode(F.transform(F.sequence(F.lit(0), F.col("s_chunks") - 1), lambda i: part(i, chunk("f_chunks")))).alias("part")),
-    ]
-    rows = rows.unionByName(cross[0]).unionByName(cross[1]).join(sketch, "node")
+def in_groups(rows: DataFrame, by: tuple[str, str], columns: tuple[str, ...], fn, schema: str) -> DataFrame:
+    """Brings the rows of each group (two columns of longs) together and calls fn(group, lists of the columns) for one after the other; fn gives rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[tuple, dict[int, tuple[int, bytes]]] = {}
-        for b in batches:
-            for g, part, node, n, data in zip(*(b.column(c).to_pylist() for c in ("g", "part", "node", "n", "data"))):
-                groups.setdefault((g, part), {})[node] = (n, data)
-        found = set()
-        for key in sorted(groups):
-            nodes = groups.pop(key)
-            names = sorted(nodes)
-            maps = [np.frombuffer(nodes[x][1], np.uint64) for x in names]
-            found |= {(names[i], names[j]) for i, j in plausible([nodes[x][0] for x in names], maps, percent)}
-        if found:
-            a, b = zip(*sorted(found))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        names = [f.split()[0] for f in schema.split(", ")]
+        key, held, out = None, [[] for _ in columns], []
 
-    return map_batches(rows.repartition(shuffle_partitions(both.sparkSession), "g", "part"), run, "a long, b long")
+        def made() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
+            out.clear()
+            return batch
 
+        for b in batches:
+            group = np.stack([np.asarray(b.column(c)) for c in by], axis=1)
+            cuts = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]).any(axis=1), True]) if len(group) else [0]
+            for x, y in zip(cuts[:-1], cuts[1:]):
+                if (now := tuple(group[x].tolist())) != key:
+                    if key:
+                        out += fn(key, held)
+                        if len(out) >= 10_000:
+                            yield made()
+                    key, held = now, [[] for _ in columns]
+                for h, c in zip(held, columns):
+                    h += b.column(c).slice(x, y - x).to_pylist()
+        if key:
+            out += fn(key, held)
+        if out:
+            yield made()
 
-def compare(rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """g1, a, b: links between the nodes of each group (g1, g2) of rows (g1, g2, text), and (g1, null, null) if they leave a group unconnected."""
+    return map_batches(rows.repartition(shuffle_partitions(rows.sparkSession), *by).sortWithinPartitions(*by), run, schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
 
-        def flush() -> pa.RecordBatch:
-            rows = [(g, x, y) for g, a, b in out for x, y in zip(a, b)]
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["g1", "a", "b"])
+def clusters(both: DataFrame, percent: int) -> DataFrame:
+    """node, root: the clusters of nodes that may be linked, but for clusters of one."""
+    classes = Classes(percent)
+    table = F.array(*(F.lit(min(classes.common(j), 1 << 20)) for j in range(CLASSES)))
+    need = F.when(F.col("j") == ALWAYS, 1).otherwise(F.element_at(table, F.least(F.col("j"), F.lit(CLASSES - 1)) + 1))
+    pairs = settled(both.where(F.col("kind") == SIGS).groupBy("a", "b", "j").agg(F.sum("c").alias("n")).withColumn("need", need))
+    hot = both.where(F.col("kind") == GROUPS).select(F.col("a").alias("g"), F.col("b").alias("node"), "j", "n")
+    held = settled(hot.groupBy("node", "j").agg(F.sum("n").alias("h")).withColumn("much", F.col("h") >= need))
+    sketch = both.where(F.col("kind") == SKETCHES).select(F.col("a").alias("node"), F.col("c").alias("size"), "data")
+    roots = settled(components(pairs.where("n >= need").select("a", "b").distinct()))
+    near = settled(zone_edges(hot.join(held.where("much"), ["node", "j"]).select("g", "node").distinct(), roots, sketch, percent).unionByName(weak_edges(pairs, held, roots, sketch, percent)))
+    # what these edges link, by clusters
+    moved = _rooted(_rooted(near, roots, "a"), roots, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    moved = components(moved.distinct()).select(F.col("node").alias("root"), F.col("root").alias("last"))
+    ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    every = roots.unionByName(ends.join(roots, "node", "left_anti").select("node", F.col("node").alias("root")))
+    return every.join(moved, "root", "left").select("node", F.coalesce("last", "root").alias("root"))
 
-        groups: dict[tuple, list[str]] = {}
-        for b in batches:
-            for g1, g2, text in zip(b.column("g1").to_pylist(), b.column("g2").to_pylist(), b.column("text").to_pylist()):
-                groups.setdefault((g1, g2), []).append(text)
-        for key in sorted(groups):
-            sets = [s for s in (shingles(t, k) for t in groups.pop(key)) if len(s)]
-            sets = list({node_of(s): s for s in sets}.items())
-            if len(sets) > 1:
-                found = [(sets[i][0], sets[j][0]) for i, j in links([s for _, s in sets], percent)]
-                if len(found) < len(sets) - 1:
-                    found.append((None, None))
-                a, b = zip(*found)
-                out.append((key[0], a, b))
-                if sum(len(x[1]) for x in out) >= 10_000:
-                    yield flush()
-        if out:
-            yield flush()
 
-    return map_batches(rows.repartition(shuffle_partitions(rows.sparkSession), "g1", "g2"), run, "g1 long, a long, b long")
+def _rooted(rows: DataFrame, roots: DataFrame, of: str) -> DataFrame:
+    """rows with r<of>: the root of column ``of``, itself where it has none."""
+    found = roots.select(F.col("node").alias(of), F.col("root").alias(f"r{of}"))
+    return rows.join(found, of, "left").withColumn(f"r{of}", F.coalesce(f"r{of}", of))
+
+
+def weak_edges(pairs: DataFrame, held: DataFrame, roots: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs that would need hot signatures beside those counted, as far as their bitmaps leave a link possible."""
+    of = lambda c: held.select(F.col("node").alias(c), "j", F.col("h").alias(f"h{c}"), F.col("much").alias(f"m{c}"))
+    weak = pairs.where("n < need").join(of("a"), ["a", "j"]).join(of("b"), ["b", "j"]).where("n + least(ha, hb) >= need and not (ma and mb)").select("a", "b").distinct()
+    weak = _rooted(_rooted(weak, roots, "a"), roots, "b").where("ra != rb").select("a", "b")
+    side = lambda c: sketch.select(F.col("node").alias(c), F.col("size").alias(f"s{c}"), F.col("data").alias(f"d{c}"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = []
+        for x, y, dx, dy in zip(*(batch.column(c).to_pylist() for c in ("sa", "sb", "da", "db"))):
+            u, v = np.frombuffer(dx, np.uint64), np.frombuffer(dy, np.uint64)
+            w = min(len(u), len(v))
+            differ = int(np.bitwise_count(folded(u, w) ^ folded(v, w)).sum())
+            keep.append(differ * (100 + percent) <= (x + y) * (100 - percent))
+        return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return arrow_map(weak.join(side("a"), "a").join(side("b"), "b"), run, "a long, b long")
+
+
+def _dealt(rows: DataFrame, key: str, apart: str, chunk) -> DataFrame:
+    """Rows of each group ``key`` dealt to parts: those that stand ``apart`` by chunks of all the others. chunk(size): chunks for so many."""
+    sizes = settled(rows.groupBy(key).agg(chunk(F.count(F.lit(1))).alias("chunks"), chunk(F.sum(F.col(apart).cast("long"))).alias("apart_chunks")))
+    rows = rows.join(sizes, key)
+    dealt = lambda of: F.pmod(F.xxhash64("node", F.lit(3)), F.col(of))
+    wide = F.lit(1 << 20).cast("long")
+    every = rows.where("apart_chunks > 0").withColumn("part", F.explode(F.transform(F.sequence(F.lit(0), F.col("apart_chunks") - 1), lambda i: i * wide + dealt("chunks")))).withColumn(apart, F.lit(False))
+    other = rows.where(apart).withColumn("part", F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: dealt("apart_chunks") * wide + i)))
+    return every.unionByName(other).drop("chunks", "apart_chunks")
+
+
+def zone_edges(groups: DataFrame, roots: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
+    """a, b: edges between nodes of hot groups that the candidates leave unconnected, as far as bitmaps leave a link possible; groups: g, node."""
+    rooted = settled(_rooted(groups, roots, "node").withColumnRenamed("rnode", "root"))
+    # small tables are written, so that in the joins with them the hot groups can be split
+    ends = settled(rooted.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("g", "low"))
+    zones = components(rooted.join(ends, "g").select(F.col("root").alias("a"), F.col("low").alias("b")).distinct())
+    zones = settled(zones.select(F.col("node").alias("root"), F.col("root").alias("zone")))
+    inside = settled(rooted.select("node", "root").distinct().join(zones, "root"))
+    main = inside.groupBy("zone", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("zone").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    rows = inside.join(settled(main), "zone").select("zone", "node", "root", (F.col("root") != F.col("main")).alias("stray"))
+    rows = _dealt(rows, "zone", "stray", lambda n: F.ceil(n / SKETCH_CHUNK)).join(sketch, "node")
+
+    def compare(_: tuple, columns: list[list]) -> list[tuple]:
+        nodes = {node: x for node, *x in zip(*columns)}
+        names = sorted(nodes)
+        maps = [np.frombuffer(nodes[x][2], np.uint64) for x in names]
+        return [(names[i], names[j]) for i, j in plausible([nodes[x][1] for x in names], maps, percent, np.array([nodes[x][0] for x in names]))]
+
+    return in_groups(rows.select("zone", "part", "node", "root", "size", "data"), ("zone", "part"), ("node", "root", "size", "data"), compare, "a long, b long")
+
+
+def _sets(nodes: list[int], texts: list[str], k: int) -> dict[int, np.ndarray]:
+    """The sets of texts by node; a row whose text isn't the node's (repeated ids) is left out."""
+    found = {}
+    for node, text in zip(nodes, texts):
+        if node not in found and len(s := shingles(text, k)) and node_of(s) == node:
+            found[node] = s
+    return found
+
+
+def exact_links(texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """a, b: links that join what is linked in each cluster; texts: cluster, chunks, chunk, node, text."""
+
+    def with_first(group: tuple, columns: list[list]) -> list[tuple]:
+        """All pairs of a chunk and the first one; (cluster, node, null) for nodes that aren't connected with the first one's largest part."""
+        sets = _sets(*columns[:2], k)
+        first = {x for x, c in zip(columns[0], columns[2]) if c == 0 and x in sets}
+        several = columns[3][0] > 1
+        names = sorted(first) + sorted(set(sets) - first)
+        label = np.arange(len(names))
+        found = []
+
+        def join(part: list[tuple[int, int]]) -> None:
+            for i, j in part:
+                label[label == label[j]] = label[i]
+                found.append((names[i], names[j]))
+
+        if several and len(first) > 1:
+            join(links([sets[x] for x in names[: len(first)]], percent))
+        main = label[np.bincount(label[: len(first)]).argmax()] if several and first else -1
+        main = int(np.flatnonzero(label == main)[0]) if main >= 0 else -1
+        if len(names) > 1:
+            join(links([sets[x] for x in names], percent, label))
+        out = [(None, a, b) for a, b in found]
+        if several:
+            out += [(group[0], x, None) for i, x in enumerate(names) if (main < 0 or label[i] != label[main]) and (group[1] == 1 or x not in first)]
+        return out
+
+    def with_all(_: tuple, columns: list[list]) -> list[tuple]:
+        """The nodes that stand apart with all others, which are connected."""
+        apart = {x for x, c in zip(columns[0], columns[2]) if c}
+        sets = _sets(*columns[:2], k)
+        names = sorted(sets)
+        label = np.array([1 + i if x in apart else 0 for i, x in enumerate(names)])
+        return [(names[i], names[j]) for i, j in links([sets[x] for x in names], percent, label)] if len(names) > 1 else []
+
+    chunk = F.when((F.col("chunk") == 0) & (F.col("chunks") > 1), F.sequence(F.lit(1), F.col("chunks") - 1)).otherwise(F.array("chunk"))
+    first = texts.withColumn("part", F.explode(chunk))
+    found = settled(in_groups(first, ("cluster", "part"), ("node", "text", "chunk", "chunks"), with_first, "cluster long, a long, b long"))
+    linked = found.where("cluster is null").select("a", "b")
+    left = settled(found.where("cluster is not null").select("cluster", F.col("a").alias("node")).distinct())
+    if left.isEmpty():
+        return linked
+    # small tables of clusters are written, so that a large cluster can be split in the joins with them
+    some = texts.join(settled(left.select("cluster").distinct()), "cluster", "left_semi").drop("chunk")
+    rows = some.join(left.withColumn("apart", F.lit(True)), ["cluster", "node"], "left").withColumn("apart", F.coalesce("apart", F.lit(False)))
+    rows = rows.select("cluster", "node", "text", "apart", F.col("chunks").alias("whole"))
+    sizes = lambda n: F.ceil(n * F.max("whole") / F.count(F.lit(1)))
+    return linked.unionByName(in_groups(_dealt(rows, "cluster", "apart", sizes), ("cluster", "part"), ("node", "text", "apart"), with_all, "a long, b long"))
 
 
 def jaccard_groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
@@ -500,38 +580,26 @@ def jaccard_groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     both = settled(nodes_and_edges(base, k, percent))
     nodes = both.where(F.col("kind") == NODES).select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("c").alias("n_shingles"))
     members = settled(clusters(both, percent)).withColumnRenamed("root", "cluster")
-    names = nodes.groupBy("node").agg(F.min("doc_id").alias("rep"))
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    placed = members.join(sizes, "cluster").join(names, "node")
-    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
-    placed = placed.select("cluster", "rep", chunks.alias("chunks"), F.pmod(F.xxhash64("node", F.lit(3)), chunks).cast("int").alias("chunk"))
-    texts = settled(base.join(placed, base.doc_id == placed.rep).select("cluster", "chunks", "chunk", "text"))
-    # every chunk with the first: a cluster of one chunk is done by that
-    first = texts.select(F.col("cluster").alias("g1"), F.explode(F.when((F.col("chunk") == 0) & (F.col("chunks") > 1), F.sequence(F.lit(1), F.col("chunks") - 1)).otherwise(F.array("chunk"))).alias("g2"), "text")
-    found = settled(compare(first, k, percent))
-    # where each chunk is connected with the first, the cluster is; of the others all pairs of chunks follow
-    large = texts.where("chunks > 2").join(found.where("a is null").select(F.col("g1").alias("cluster")).distinct(), "cluster", "left_semi")
-    pairs = F.transform(F.filter(F.sequence(F.lit(1), F.col("chunks") - 1), lambda i: i != F.col("chunk")), lambda i: F.least(i, F.col("chunk")) * F.lit(1 << 20).cast("long") + F.greatest(i, F.col("chunk")))
-    rest = large.where("chunk > 0").select(F.col("cluster").alias("g1"), F.explode(pairs).alias("g2"), "text")
-    found = found.unionByName(compare(rest, k, percent)).where("a is not null").select("a", "b")
-    return _named(base, nodes, names, components(found), k)
-
-
-def _named(base: DataFrame, nodes: DataFrame, names: DataFrame, joined: DataFrame, k: int) -> DataFrame:
+    names = settled(nodes.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size")))
+    placed = settled(members.join(names, "node"))
+    chunks = F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.ceil(F.sum("size") / CHUNK_SHINGLES)).cast("long")
+    placed = placed.join(settled(placed.groupBy("cluster").agg(chunks.alias("chunks"))), "cluster")
+    placed = placed.select("cluster", "rep", "node", "chunks", F.pmod(F.xxhash64("node", F.lit(3)), "chunks").alias("chunk"))
+    texts = settled(base.join(placed, base.doc_id == placed.rep).select("cluster", "chunks", "chunk", "node", "text"))
+    return _named(base, nodes, names, components(exact_links(texts, k, percent)))
+
+
+def _named(base: DataFrame, nodes: DataFrame, names: DataFrame, joined: DataFrame) -> DataFrame:
     roots = names.join(joined, "node")
     least = roots.groupBy("root").agg(F.min("rep").alias("least"))
     linked = roots.join(least, "root").select("node", "least")
-    label = names.join(linked, "node", "left").select("node", F.coalesce("least", "rep").alias("component"))
-    sized = nodes.join(label, "node").select("doc_id", "n_shingles", "component")
+    # written, so that a node that many documents have can be split in the join
+    label = settled(names.join(linked, "node", "left").select("node", F.coalesce("least", "rep").alias("component")))
+    sized = nodes.join(label.hint("merge"), "node").select("doc_id", "n_shingles", "component")
     # documents without words or without an id have no node
-    bare = arrow_map(base, functools.partial(_bare, k=k), "doc_id long")
+    bare = base.where(F.col("doc_id").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
     bare = bare.select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component"))
     every = sized.unionByName(bare)
     least_of = every.groupBy("doc_id").agg(F.min("component").alias("component_id"), F.count(F.lit(1)).alias("rows"))
     twice = least_of.where("rows > 1 and doc_id is not null").select(F.col("doc_id").alias("d"), "component_id")
     return every.join(twice, every.doc_id == twice.d, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "component").alias("component_id"))
-
-
-def _bare(batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
-    ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-    return pa.RecordBatch.from_arrays([pa.array([i for i, t in zip(ids, texts) if i is None or not (t or "").strip(" \t\n\v\f\r")], pa.int64())], ["doc_id"])
