@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import hashlib
 import os
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -23,8 +24,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
-    """Just the named columns, cast; whatever else the table holds, names that clash included, is left behind."""
-    return df.select(*(F.col(c).cast(kind).alias(c) for c, kind in columns.items()))
+    """Just the named columns, cast (ids that are no numbers become null); whatever else the table holds, names that clash included, is left behind."""
+    return df.select(*((F.col(c).try_cast(kind) if kind == "long" else F.col(c).cast(kind)).alias(c) for c, kind in columns.items()))
+
+
+class Carried:
+    """A table whose columns travel along under names of their own (``kept_0`` and so on), so that no name can clash with an operator's.
+
+    ``rows`` has doc_id, text and the kept columns; ``kept`` their types; back() gives the columns of the table again."""
+
+    def __init__(self, docs: DataFrame):
+        self.names, types = docs.columns, [f.dataType for f in docs.schema]
+        own = {"doc_id": T.LongType(), "text": T.StringType()}
+        at = {c: self.names.index(c) for c in own}
+        self.place = {at[c]: c for c, kind in own.items() if types[at[c]] == kind}
+        flat = docs.toDF(*(f"kept_{i}" for i in range(len(types))))
+        self.kept = {f"kept_{i}": kind.simpleString() for i, kind in enumerate(types) if i not in self.place}
+        doc, text = (F.col(f"kept_{at[c]}") for c in own)
+        self.rows = flat.select(doc.try_cast("long").alias("doc_id"), text.cast("string").alias("text"), *self.kept)
+
+    def back(self, out: DataFrame, **changed: Column) -> DataFrame:
+        """The columns of the table from out; ``changed``: others instead of those."""
+        found = [changed.get(c, F.col(self.place.get(i, f"kept_{i}"))).alias(f"back_{i}") for i, c in enumerate(self.names)]
+        return out.select(*found).toDF(*self.names)
 
 
 _release: list[Callable[[], None]] = []
@@ -80,12 +102,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder in the shared folder of the cluster. Only where that is unset (tests) a local one is made and set."""
+    """A fresh folder in the shared folder of the cluster. Where that is unset, one is made and set if all runs in one JVM (tests)."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = current.get() if current.isDefined() else None
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         base = tempfile.mkdtemp(prefix="codicil-checkpoint-")

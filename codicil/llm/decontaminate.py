@@ -13,18 +13,20 @@ is one window. Null and empty texts have no words and are never hit; items witho
 or without an id are never found (an item's null id drops it). Repeated items count once
 for each id. Repeated documents give repeated rows.
 
-The benchmark is read in blocks of a bounded number of bytes; each block is broadcast and
-held against all documents, and the results of blocks are merged by document.
+The benchmark is dealt by hash to blocks of a bounded number of bytes, which are written; one block after the other is read, broadcast and
+held against all documents, and what blocks hit is merged by document (id and text), so that the number of blocks changes no result.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, hex_sha, pick, texts_of
+from .common import Carried, arrow_map, hex_sha, pick, settled, texts_of
 
 #: Bytes of benchmark text in a block at most (a single longer item is a block of its own).
 BLOCK_BYTES = 8 << 20
@@ -147,100 +149,106 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def blocks_of(benchmark: DataFrame, window: int, limit: int):
-    """The benchmark in blocks, read row by row."""
-    items, size = [], 0
-    for r in pick(benchmark, item_id="long", text="string").where("item_id is not null").distinct().toLocalIterator():
-        if ws := words_of(r.text):
-            n = sum(map(len, ws)) + 8 * len(ws)
-            if items and size + n > limit:
-                yield Block(items, window)
-                items, size = [], 0
-            items.append((r.item_id, ws))
-            size += n
-    yield Block(items, window)
+def blocks_of(benchmark: DataFrame, limit: int) -> tuple[DataFrame, int]:
+    """The items with a block number, so that a block has ``limit`` bytes at most or a single item, and the number of blocks."""
+    items = pick(benchmark, item_id="long", text="string").where("item_id is not null and text is not null").distinct()
+    items = settled(items.select("*", (F.octet_length("text") + 8).alias("bytes"), F.xxhash64("item_id", "text").alias("h")))
+    total = items.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).first().n
+    blocks = 1 if total <= limit else 2 * -(-total // limit)
+    while blocks > 1:
+        full = items.groupBy(F.pmod("h", F.lit(blocks))).agg(F.sum("bytes").alias("n"), F.count(F.lit(1)).alias("items")).where((F.col("n") > limit) & (F.col("items") > 1))
+        if full.isEmpty():
+            break
+        blocks *= 2
+    return items.withColumn("block", F.pmod("h", F.lit(blocks))), blocks
 
 
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long, spans array<struct<start:long,end:long>>, items array<long>"
+_SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _found(batch: pa.RecordBatch, keep: list[str], words: list[int], found: list[tuple[list[tuple[int, int]], set[int], int]]) -> pa.RecordBatch:
+    spans = [merged(s) for s, _, _ in found]
+    sums = [sum(b - a for a, b in s) for s in spans]
+    cols = [
+        batch.column("doc_id"),
+        *(batch.column(k) for k in keep),
+        pa.array(words, pa.int64()),
+        pa.array(sums, pa.int64()),
+        pa.array([len(i) for _, i, _ in found], pa.int64()),
+        pa.array([hex_sha(",".join(sorted(map(str, i))).encode()) for _, i, _ in found], pa.string()),
+        pa.array([n > 0 for n in sums], pa.bool_()),
+        pa.array([n for _, _, n in found], pa.int64()),
+        pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], _SPAN),
+        pa.array([sorted(i) for _, i, _ in found], pa.list_(pa.int64())),
+    ]
+    return pa.RecordBatch.from_arrays(cols, ["doc_id", *keep, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", "spans", "items"])
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES, keep: dict[str, str] | None = None) -> DataFrame:
     """One row for each document: its words, the words inside occurrences of windows, the items found (sorted as strings in
     the digest), the longest verbatim match in words, and the hit word ranges. ``keep``: further columns, with their types."""
     spark, keep = docs.sparkSession, keep or {}
-    base = pick(docs, **{"doc_id": "long", "text": "string"} | keep)
-    blocks = list(blocks_of(benchmark, window, block_bytes))
-    parts = []
-    many = len(blocks) > 1
-    span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    base = pick(docs, doc_id="long", text="string", **keep)
+    items, blocks = blocks_of(benchmark, block_bytes)
+    schema = RESULT.replace("doc_id long", "doc_id long" + "".join(f", {k} {v}" for k, v in keep.items()), 1)
 
-    def finder(shared, found_only):
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            block = shared.value
-            texts = texts_of(batch)
-            docs_ = [words_of(t) for t in texts]
-            found = _find(block, docs_) if len(block.ids) else [([], set(), 0)] * len(docs_)
-            spans = [merged(s) for s, _, _ in found]
-            sums = [sum(b - a for a, b in s) for s in spans]
-            cols = [
-                batch.column("doc_id"),
-                *(batch.column(k) for k in keep),
-                pa.array([len(d) for d in docs_], pa.int64()),
-                pa.array(sums, pa.int64()),
-                pa.array([len(i) for _, i, _ in found], pa.int64()),
-                pa.array([hex_sha(",".join(sorted(map(str, i))).encode()) for _, i, _ in found], pa.string()),
-                pa.array([n > 0 for n in sums], pa.bool_()),
-                pa.array([n for _, _, n in found], pa.int64()),
-                pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], span_type),
-                pa.array([sorted(i) for _, i, _ in found], pa.list_(pa.int64())),
-            ]
-            return pa.RecordBatch.from_arrays(cols, ["doc_id", *keep, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", "spans", "items"])
-
-        return run
+    def block(n: int) -> Block:
+        rows = items.where(F.col("block") == n).select("item_id", "text", "h").collect()
+        found = [(r.item_id, words_of(r.text)) for r in sorted(rows, key=lambda r: (r.item_id, r.h))]
+        return Block([x for x in found if x[1]], window)
 
-    schema = RESULT.replace("doc_id long", "doc_id long" + "".join(f", {k} {v}" for k, v in keep.items()), 1)
-    for block in blocks:
-        parts.append(arrow_map(base, finder(spark.sparkContext.broadcast(block), many), schema))
-    if not many:
-        return parts[0]
-    return _merge_blocks(parts, keep, schema)
-
-
-def _merge_blocks(parts: list[DataFrame], keep: dict[str, str], schema: str) -> DataFrame:
-    """Results of several blocks, merged by document: a document's row in each block carries its spans and items."""
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    key = ["doc_id", *keep, "n_words"]
-    rows = every.groupBy(*key).agg(
-        F.flatten(F.collect_list("spans")).alias("all_spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.max("longest").alias("longest"),
-        (F.count(F.lit(1)) / len(parts)).cast("int").alias("copies"),
-    )
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        spans = [merged([(x["start"], x["end"]) for x in s]) for s in batch.column("all_spans").to_pylist()]
-        items = batch.column("items").to_pylist()
-        sums = [sum(b - a for a, b in s) for s in spans]
-        span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        cols = [batch.column(k) for k in key] + [
-            pa.array(sums, pa.int64()),
-            pa.array([len(i) for i in items], pa.int64()),
-            pa.array([hex_sha(",".join(sorted(map(str, i))).encode()) for i in items], pa.string()),
-            pa.array([n > 0 for n in sums], pa.bool_()),
-            batch.column("longest"),
-            pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], span_type),
-            batch.column("items"),
-            batch.column("copies"),
+    def against(shared, texts: list[str]) -> tuple[list[list[bytes]], list]:
+        words = [words_of(t) for t in texts]
+        return words, _find(shared.value, words) if len(shared.value.ids) else [([], set(), 0)] * len(words)
+
+    if blocks == 1:
+        shared = spark.sparkContext.broadcast(block(0))
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            words, found = against(shared, texts_of(batch))
+            return _found(batch, list(keep), [len(w) for w in words], found)
+
+        return arrow_map(base, run, schema)
+    # one block at a time; only documents that one hits are written, by id and hash of the text
+    hits = []
+    for n in range(blocks):
+        shared = spark.sparkContext.broadcast(block(n))
+
+        def run_block(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
+            _, found = against(shared, texts_of(batch))
+            at = [i for i, (s, _, _) in enumerate(found) if s]
+            return pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id").take(pa.array(at, pa.int64())),
+                    batch.column("th").take(pa.array(at, pa.int64())),
+                    pa.array([[{"start": a, "end": b} for a, b in merged(found[i][0])] for i in at], _SPAN),
+                    pa.array([sorted(found[i][1]) for i in at], pa.list_(pa.int64())),
+                    pa.array([found[i][2] for i in at], pa.int64()),
+                ],
+                ["doc_id", "th", "spans", "items", "longest"],
+            )
+
+        texts = pick(docs, doc_id="long", text="string").withColumn("th", F.xxhash64("text")).where("text is not null")
+        hits.append(settled(arrow_map(texts, run_block, "doc_id long, th long, spans array<struct<start:long,end:long>>, items array<long>, longest long")))
+        shared.unpersist()
+    every = functools.reduce(DataFrame.unionByName, hits).groupBy(F.col("doc_id").alias("hit_doc"), F.col("th").alias("hit_th"))
+    every = every.agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("all_spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("all_items"), F.max("longest").alias("most"))
+    joined = base.join(every, base.doc_id.eqNullSafe(F.col("hit_doc")) & (F.xxhash64(base.text) == F.col("hit_th")), "left")
+
+    def merge(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [
+            ([(x["start"], x["end"]) for x in s or ()], set(i or ()), n or 0)
+            for s, i, n in zip(*(batch.column(c).to_pylist() for c in ("all_spans", "all_items", "most")))
         ]
-        return pa.RecordBatch.from_arrays(cols, [*key, "n_hit", "n_items", "items_sha256", "contaminated", "longest", "spans", "items", "copies"])
+        return _found(batch, list(keep), [len(words_of(t)) for t in texts_of(batch)], found)
 
-    out = arrow_map(rows, run, schema + ", copies int")
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).drop("copy", "copies")
+    return arrow_map(joined.select("doc_id", "text", *keep, "all_spans", "all_items", "most"), merge, schema)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """documents without those that hold a window of the benchmark; the same columns."""
-    found = find_leaks(docs, benchmark, window, keep={"text": "string"} | {c: dict(docs.dtypes)[c] for c in docs.columns if c not in ("doc_id", "text")})
-    return found.where("not contaminated").select(*docs.columns)
+    table = Carried(docs)
+    rows = table.rows.withColumn("own_text", F.col("text"))
+    out = find_leaks(rows, benchmark, window, keep=table.kept | {"own_text": "string"})
+    return table.back(out.where("not contaminated").withColumnRenamed("own_text", "text"))

@@ -8,7 +8,7 @@ Rules: null texts and texts without a letter are ``und`` with score 0. Ties go t
 that sorts first. Where nothing could be learned (no labelled text) every text is ``und``.
 Null languages are not learned from. ``rejected`` marks narrow margins; the prediction stays.
 
-Learning is bounded: at most SAMPLE texts a language, the first by a hash of their id, of at most
+Learning is bounded: the LANGUAGES with the most labelled texts (ties: the first by name), at most SAMPLE texts a language, the first by a hash of their id, of at most
 LONGEST characters each, and DICT_BYTES bytes a dictionary; texts that repeat few words are passed over.
 """
 
@@ -36,9 +36,7 @@ def plain(text: str) -> bytes:
 def learn(docs: DataFrame, sample: int = SAMPLE, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
     """A dictionary for each language of ``docs`` (doc_id, text, lang). LANGUAGES bounds how many there may be."""
     rows = pick(docs, doc_id="long", text="string", lang="string").where("lang is not null and text is not null and doc_id is not null")
-    langs = sorted(r.lang for r in rows.select("lang").distinct().limit(LANGUAGES + 1).collect())
-    if len(langs) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    langs = sorted(r.lang for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect())
     short = rows.where(F.length("text") <= LONGEST).select("lang", "doc_id", F.xxhash64("doc_id", F.lit(5)).alias("h"))
     ids = [r.doc_id for lang in langs for r in short.where(F.col("lang") == lang).orderBy("h", "doc_id").limit(sample).collect()]
     texts: dict[str, list[tuple[int, str]]] = {}

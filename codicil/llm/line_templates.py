@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, SLICE, arrow_map, buckets_for, gathered, hex_sha, joined_rows, map_batches, mix, packed, packed_batch, pick, settled, texts_of
+from .common import PACKED, SLICE, Carried, arrow_map, buckets_for, gathered, hex_sha, joined_rows, map_batches, mix, packed, packed_batch, pick, settled, texts_of
 
 DEPTH, MIN_DOCS, CONSTANT, SHARE, BITS, BLOCK = 3, 10, 0.8, 0.25, 24, 8
 NULL_ID = -(1 << 63)
@@ -236,9 +236,11 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONS
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
     """documents with the lines that stay; the same columns, n_chars counted anew. Documents that lost all their lines go."""
-    types = dict(docs.dtypes)
-    out = drop_lines(docs, min_docs, constant, {c: types[c] for c in docs.columns if c not in ("doc_id", "text")})
-    text = F.col("kept")
-    out = out.where((F.col("n_dropped") == 0) | (F.trim(F.translate(text, "\n\t\r", "   ")) != ""))
-    count = F.when(F.col("n_dropped") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars")) if "n_chars" in types else None
-    return out.select(*(text.alias(c) if c == "text" else count.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    table = Carried(docs)
+    out = drop_lines(table.rows, min_docs, constant, table.kept)
+    out = out.where((F.col("n_dropped") == 0) | (F.trim(F.translate("kept", "\n\t\r", "   ")) != "")).withColumnRenamed("kept", "text")
+    changed = {"text": F.col("text")} if "text" in docs.columns else {}
+    if "n_chars" in docs.columns:
+        before = F.col(f"kept_{docs.columns.index('n_chars')}")
+        changed["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(before)
+    return table.back(out, **changed)

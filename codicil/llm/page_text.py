@@ -2,13 +2,14 @@
 
 A tolerant scanner turns a page into lines (blocks of text, white space folded). Lines inside elements
 that are menus, headers, footers, sidebars, notices, adverts, forms or comments by their tag, class, id or role are
-left out; if the page has an article (or else a main element), so are the lines outside it.
+left out; if the page has an article (or else a main element), so are the lines outside it. Elements inside an article whose class only hints at that
+(share, related, legal, hidden and the like: HINTS) are not judged by it.
 
 Then pages are ordered by host and URL path. Each is paired with the page of the same host whose path is
 nearest, the two sequences of lines are aligned by longest common subsequence, and lines that both share
-are deleted, unless they stand inside an article or main element (an article republished under a
-neighbouring URL is not boilerplate). A copy is no such pair: if one of the two would keep none of its lines, the next nearest page
-is taken, however far it is. Pages that are copies of all others of their host keep their lines.
+are deleted: all shared lines of a page without an article or main element, and in articles the shared lines of elements with such hints.
+Other lines of an article stay (an article republished under a neighbouring URL is not boilerplate). A copy is no such pair: if one of the two would keep none
+of its lines, the next nearest page is taken, however far it is. Pages that are copies of all others of their host keep their lines.
 
 Rules: a null page is empty and gives an empty text. Pages without a host form a host of their own. Repeated rows
 (same URL and page) are never compared with each other and give repeated results. Unclosed elements end with
@@ -48,18 +49,19 @@ BLOCK = frozenset(
 )
 LEFT_OUT = frozenset("head nav footer aside form noscript template button select option datalist label input svg math canvas object audio video menu dialog map".split())
 CLOSED_BY_BLOCK = frozenset(["p"])
+HEADS = frozenset("head nav header ul ol li p".split())
 SELF_NESTING = {"li": ("ul", "ol", "menu"), "option": ("select", "datalist"), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "dt": ("dl",), "dd": ("dl",)}
 SAID = frozenset(
     "nav navbar navigation menu menus breadcrumb breadcrumbs header masthead footer sidebar aside ad ads advert adverts advertisement adsense adslot sponsor sponsored promo promotion "
-    "banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments disqus reply replies "
-    "respond related recommended widget toolbar pagination pager skip search searchform legal copyright hidden".split()
-)
+    "banner cookie cookies consent gdpr notice notices newsletter subscribe subscription signup login comment comments disqus reply replies respond pagination pager searchform".split()
+)
+HINTS = frozenset("alert popup modal overlay share sharing social related recommended widget toolbar skip search legal copyright hidden".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
-_TOKEN = re.compile(
-    r"<!--(?:.*?-->|[^>]*>?)|<!\[CDATA\[.*?\]\]>|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?/][^>]*>?",
-    re.S,
-)
+_TAGS = r"<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?/][^>]*>?"
+#: Tokens of the rest of a page, by whether a comment and a CDATA section can still end in it: what has no end is not looked for again and again.
+_TOKENS = {(c, d): re.compile((r"<!--.*?-->|" if c else "") + r"<!--[^>]*>?|" + (r"<!\[CDATA\[.*?\]\]>|" if d else "") + _TAGS, re.S) for c in (False, True) for d in (False, True)}
+_UNENDED = re.compile("<[!?/]")
 _ATTR = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _PART = re.compile(r"[^a-z0-9]+")
 
@@ -72,19 +74,27 @@ def left_out(tag: str, attrs: str, inside: bool) -> bool:
         return False
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true":
+        if not inside and (name == "hidden" or name == "aria-hidden" and value == "true"):
             return True
         if name == "role" and value in ROLES:
             return True
         if name in ("class", "id"):
             words = set(_PART.split(value))
-            if words & SAID and not (inside and words & SAID <= {"header"}):
+            if inside:
+                words -= HINTS | {"header"}
+            if words & SAID or words & HINTS:
                 return True
     return False
 
 
-#: Where a line stands: left out by its element, in an article, in a main element, elsewhere.
-OUT, ARTICLE, MAIN, BODY = range(4)
+def hinted(attrs: str) -> bool:
+    """Whether the class or id of an element inside an article hints at something else, without saying it."""
+    return any(name.lower() in ("class", "id") and HINTS & set(_PART.split(value.strip("\"'").lower())) for name, value in _ATTR.findall(attrs))
+
+
+#: Where a line stands: left out by its element, in an article, in a main element, elsewhere; in an article or main element under a hint.
+OUT, ARTICLE, MAIN, BODY, ARTICLE_HINT, MAIN_HINT = range(6)
+UNDER = {ARTICLE: ARTICLE_HINT, MAIN: MAIN_HINT}
 
 
 def lines_of(page: str) -> list[tuple[str, int]]:
@@ -93,6 +103,9 @@ def lines_of(page: str) -> list[tuple[str, int]]:
     parts: list[str] = []
     stack: list[tuple[str, bool, int]] = []  # tag, left out, where its text stands
     n, at = len(page), 0
+    last_tag, last_comment, last_cdata = page.rfind(">"), page.rfind("-->"), page.rfind("]]>")
+    open_tags: dict[str, int] = {}  # so that the stack is only searched for what is on it
+    bad_heads = 0
 
     def where() -> int:
         return stack[-1][2] if stack else BODY
@@ -105,8 +118,12 @@ def lines_of(page: str) -> list[tuple[str, int]]:
             parts.clear()
 
     def pop_to(i: int) -> None:
+        nonlocal bad_heads
         if any(t in BLOCK for t, _, _ in stack[i:]):
             close_line()
+        for t, bad, _ in stack[i:]:
+            open_tags[t] -= 1
+            bad_heads -= bad and t in HEADS
         del stack[i:]
 
     place = [BODY]
@@ -120,7 +137,11 @@ def lines_of(page: str) -> list[tuple[str, int]]:
             parts.append(s)
 
     while at < n:
-        m = _TOKEN.search(page, at)
+        if at > last_tag:  # no tag can end any more
+            end = _UNENDED.search(page, at)
+            text(page[at : end.start() if end else n])
+            break
+        m = _TOKENS[at <= last_comment, at <= last_cdata].search(page, at)
         if not m:
             text(page[at:])
             break
@@ -133,13 +154,10 @@ def lines_of(page: str) -> list[tuple[str, int]]:
             continue
         tag, closing, attrs = tag.lower(), (m[1] or m[4]) == "/", m[3] or m[6] or ""
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    pop_to(i)
-                    break
-            else:
-                if tag in BLOCK:
-                    close_line()
+            if open_tags.get(tag):
+                pop_to(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
+            elif tag in BLOCK:
+                close_line()
             continue
         if tag in BLOCK:
             close_line()
@@ -149,16 +167,16 @@ def lines_of(page: str) -> list[tuple[str, int]]:
                         if tag != "br":
                             pop_to(i)
                         break
-            if tag in SELF_NESTING:
+            if tag in SELF_NESTING and open_tags.get(tag):
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == tag:
                         pop_to(i)
                         break
                     if stack[i][0] in SELF_NESTING[tag]:
                         break
-            if tag in ("body", "article", "main"):  # a head, menu or header that was never closed ends here
+            if bad_heads and tag in ("body", "article", "main"):  # a head, menu or header that was never closed ends here
                 for i, (t, bad, _) in enumerate(stack):
-                    if bad and t in ("head", "nav", "header", "ul", "ol", "li", "p"):
+                    if bad and t in HEADS:
                         pop_to(i)
                         break
         if tag in RAW:
@@ -168,18 +186,23 @@ def lines_of(page: str) -> list[tuple[str, int]]:
         if tag in VOID or attrs.endswith("/") and tag not in BLOCK:
             continue
         above, bad = where(), bool(stack and stack[-1][1])
-        bad = bad or left_out(tag, attrs, above in (ARTICLE, MAIN))
-        place_ = OUT if bad else ARTICLE if tag == "article" or above == ARTICLE else MAIN if tag == "main" or above == MAIN else BODY
+        inside = above in (ARTICLE, MAIN, ARTICLE_HINT, MAIN_HINT)
+        bad = bad or left_out(tag, attrs, inside)
+        place_ = OUT if bad else ARTICLE if tag == "article" else above if inside else MAIN if tag == "main" else BODY
+        if place_ in UNDER and inside and hinted(attrs):
+            place_ = UNDER[place_]
         stack.append((tag, bad, place_))
+        open_tags[tag] = open_tags.get(tag, 0) + 1
+        bad_heads += bad and tag in HEADS
     close_line()
     return out
 
 
 def kept_lines(lines: list[tuple[str, int]]) -> list[bool]:
     """What the markup keeps: the lines of articles, or of the main element, or what isn't left out."""
-    for best in (ARTICLE, MAIN):
-        if any(w == best for _, w in lines):
-            return [w == best for _, w in lines]
+    for best in ((ARTICLE, ARTICLE_HINT), (MAIN, MAIN_HINT)):
+        if any(w in best for _, w in lines):
+            return [w in best for _, w in lines]
     return [w != OUT for _, w in lines]
 
 
@@ -230,13 +253,13 @@ def _outline(batch: pa.RecordBatch) -> pa.RecordBatch:
         paths.append(p)
         hashes.append([xxhash.xxh3_64_intdigest(x) - (1 << 63) for x, _ in lines])
         kept.append([i for i, k in enumerate(keep) if k])
-        # a page with an article keeps that alone, so its lines are all loose or none is
-        loose.append(bool(kept[-1]) and lines[kept[-1][0]][1] not in (ARTICLE, MAIN))
+        # a page with an article keeps that alone: there only lines under a hint can go, elsewhere all
+        loose.append([i for i in kept[-1] if lines[i][1] not in (ARTICLE, MAIN)])
         same.append(xxhash.xxh3_64_intdigest(np.array([hashes[-1][i] for i in kept[-1]], np.int64).tobytes()) - (1 << 63) if loose[-1] else ph)
     return pa.RecordBatch.from_arrays(
         [
             batch.column("page_id"), batch.column("ph"), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(hashes, pa.list_(pa.int64())), pa.array(kept, pa.list_(pa.int32())),
-            pa.array(loose, pa.bool_()), pa.array(same, pa.int64()),
+            pa.array(loose, pa.list_(pa.int32())), pa.array(same, pa.int64()),
         ],
         ["page_id", "ph", "host", "path", "lines", "kept", "loose", "same"],
     )
@@ -286,7 +309,7 @@ def _compare(group: pa.Table) -> pa.Table:
                     pairs.append(shared)
             if pairs:  # of two pages that are as near the one that shares more
                 shared = max(pairs, key=len)
-                out.append((r["rank"], r["page_id"], r["ph"], [x for x in r["kept"] if x in shared] if r["loose"] else [], len(shared), False))
+                out.append((r["rank"], r["page_id"], r["ph"], [x for x in r["loose"] if x in shared], len(shared), False))
                 break
     cols = list(zip(*out)) or [()] * 6
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.bool_())
@@ -308,7 +331,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def shared_with_neighbour(pages: DataFrame) -> DataFrame:
     """d_page, d_ph, gone (numbers of the lines to delete), n_shared; pages (page_id, url, html, ph) without a pair are missing."""
-    columns = "page_id long, ph long, host string, path string, lines array<long>, kept array<int>, loose boolean, same long"
+    columns = "page_id long, ph long, host string, path string, lines array<long>, kept array<int>, loose array<int>, same long"
     order = ["host", "path", "page_id", "ph"]
     n = shuffle_partitions(pages.sparkSession)
     placed = arrow_map(pages, _outline, columns).repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_blocks, columns + ", at long, block_at long")
@@ -345,19 +368,20 @@ def shared_with_neighbour(pages: DataFrame) -> DataFrame:
 
 
 def _extract(batch: pa.RecordBatch) -> pa.RecordBatch:
-    texts = []
+    texts, deleted = [], []
     for page, gone in zip(batch.column("html").to_pylist(), batch.column("gone").to_pylist()):
         lines = lines_of(page or "")
         gone = set(gone or ())
+        deleted.append(len(gone))
         texts.append("\n".join(x for i, ((x, _), k) in enumerate(zip(lines, kept_lines(lines))) if k and i not in gone))
     return pa.RecordBatch.from_arrays(
-        [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), batch.column("n_shared")],
-        ["page_id", "url", "text", "n_chars", "n_shared"],
+        [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), batch.column("n_shared"), pa.array(deleted, pa.int64())],
+        ["page_id", "url", "text", "n_chars", "n_shared", "n_deleted"],
     )
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars, n_shared (lines shared with the nearest page, deleted or not) of each page."""
+    """page_id, url, text, n_chars, n_shared (lines shared with the nearest page), n_deleted (those of them that markup would have kept) of each page."""
     base = pick(pages, page_id="long", url="string", html="string").withColumn("ph", F.xxhash64("url", "html"))
     found = shared_with_neighbour(base)
     once = found.groupBy("d_page", "d_ph").agg(F.min_by("gone", F.size("gone")).alias("gone"), F.min("n_shared").alias("n_shared"))
@@ -365,5 +389,5 @@ def main_text(pages: DataFrame) -> DataFrame:
     return arrow_map(
         joined.select("page_id", "url", "html", "gone", F.coalesce("n_shared", F.lit(0).cast("long")).alias("n_shared")),
         _extract,
-        "page_id long, url string, text string, n_chars long, n_shared long",
+        "page_id long, url string, text string, n_chars long, n_shared long, n_deleted long",
     )

@@ -30,6 +30,7 @@ PATTERNS = {
 }
 _DIGITS = re.compile(r"[^0-9]+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
+_PARTS = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)+")
 
 
 def luhn(digits: str) -> bool:
@@ -40,10 +41,16 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def small(part: str) -> bool:
+    """Whether a run of digits of any length is at most 255."""
+    part = part.lstrip("0")
+    return len(part) < 3 or len(part) == 3 and part <= "255"
+
+
 def valid(kind: str, text: str) -> bool:
-    digits = _DIGITS.sub("", text)
     if kind == "ip":
-        return all(int(p) <= 255 for p in text.split("."))
+        return all(map(small, text.split(".")))
+    digits = _DIGITS.sub("", text)
     if kind == "card":
         return 16 <= len(digits) <= 19 and luhn(digits)
     if kind == "phone":
@@ -68,12 +75,25 @@ def _emails(text: str):
     return out
 
 
+def _ips(text: str):
+    """The matches of the ip pattern: in each run of numbers with single points between them, every four. No start is tried twice."""
+    for run in _PARTS.finditer(text):
+        at, parts = run.start(), run.group().split(".")
+        for i in range(0, len(parts) - 3, 4):
+            four = ".".join(parts[i : i + 4])
+            if all(map(small, parts[i : i + 4])):
+                yield at, at + len(four)
+            at += len(four) + 1
+
+
 def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     if "@" in text:
         out["email"] = _emails(text)
-    for kind in ("ip", "card", "phone"):
-        if kind == "phone" and "+" not in text or kind == "ip" and "." not in text:
+    if "." in text:
+        out["ip"] = list(_ips(text))
+    for kind in ("card", "phone"):
+        if kind == "phone" and "+" not in text:
             continue
         for m in PATTERNS[kind].finditer(text):
             if valid(kind, m.group()):
@@ -98,7 +118,7 @@ _RUNS = re.compile(r"([^9])\1+|(9999)9+")
 
 def shape(word: str) -> str:
     """Letters as a and A, runs of them as one; digits as 9 with runs kept to four; other ASCII as it is; runs of more as one."""
-    return _RUNS.sub(r"\1\2", word[:200].translate(_TABLE))
+    return _RUNS.sub(r"\1\2", word.translate(_TABLE))
 
 
 def features(word: str) -> tuple[str, ...]:
@@ -106,7 +126,7 @@ def features(word: str) -> tuple[str, ...]:
     s = shape(word)
     digits = sum(c in "0123456789" for c in word)
     return (
-        f"s:{s[:40]}",
+        f"s:{s}",
         f"d:{min(digits, 20) if digits < 13 else 'card' if digits in (13, 14, 15, 16, 17, 18, 19) else 'more'}",
         f"@:{'@' in s}",
         f".:{min(word.count('.'), 4) * (digits > 0)}:{digits > 0}",
@@ -119,7 +139,7 @@ def features(word: str) -> tuple[str, ...]:
 def near(word: str) -> str:
     """How a word looks to its neighbours."""
     s = shape(word)
-    return re.sub(r"9+", "9", s)[:12] if "9" in s or "@" in s or "+" in s else "w" + s[-1:]
+    return "@" if "@" in s else re.sub(r"9+", "9", s) if "9" in s or "+" in s else "w" + s[-1:]
 
 
 def labelled_table(rows: int = 300, seed: int = 11) -> list[tuple[list[str], list[str]]]:
@@ -248,7 +268,8 @@ class Decoder:
     """What a worker keeps: for words seen the number of their kind of word (words without digits are told apart by
     shape alone), for kinds their own scores and how they look to neighbours."""
 
-    LIMIT, KINDS_LIMIT = 300_000, 200_000
+    #: Words and kinds remembered, and the characters of both.
+    LIMIT, KINDS_LIMIT, HELD = 300_000, 200_000, 32 << 20
 
     def __init__(self, field: Field):
         self.field = field
@@ -260,6 +281,7 @@ class Decoder:
     def reset(self) -> None:
         self.number: dict[str, int] = {}
         self.kind: dict[str, int] = {}
+        self.held = 0
         self.scores, self.looks = [np.r_[60.0, np.zeros(len(KINDS))]], [0]  # 0: between texts
         self.table, self.look = np.array(self.scores), np.array(self.looks)
 
@@ -276,14 +298,16 @@ class Decoder:
         if (n := self.kind.get(of)) is None:
             own, look = self.field.word(word)
             n = self.kind[of] = len(self.scores)
+            self.held += len(of)
             self.scores.append(own)
             self.looks.append(look)
         self.number[word] = n
+        self.held += len(word)
         return n
 
     def labels(self, texts: list[list[str]]) -> list[np.ndarray]:
         """The best labels of each text; those without any entity give an empty array."""
-        if len(self.kind) > self.KINDS_LIMIT:
+        if len(self.kind) > self.KINDS_LIMIT or self.held > self.HELD:
             self.reset()
         elif len(self.number) > self.LIMIT:
             self.number = {}
@@ -371,7 +395,7 @@ def _plausible(kind: str, s: str) -> bool:
         return s.count("@") == 1 and "." in s.rpartition("@")[2].strip(".") and s[0] != "@"
     if kind == "ip":
         parts = s.split(".")
-        return len(parts) == 4 and all(p.isascii() and p.isdigit() and int(p) <= 255 for p in parts)
+        return len(parts) == 4 and all(p.isascii() and p.isdigit() and small(p) for p in parts)
     if kind == "card":
         return 13 <= len(digits) <= 19 and luhn(digits) and not re.search(r"[^0-9 -]", s)
     return 10 <= len(digits) <= 15 and not re.search(r"[^0-9 ()+.-]", s)

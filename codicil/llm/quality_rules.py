@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, pick, texts_of
+from .common import Carried, arrow_map, pick, texts_of
 
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 LINE_DOCS, LINE_SHARE, LEFT_SHARE = 20, 0.10, 0.30
@@ -129,4 +129,5 @@ def _count_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
 def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
     """documents without those rejected; the same columns. A rejected pair (doc_id, text) goes in all its rows."""
     bad = quality(docs, host, keep_hash=True).where("not kept").select(F.col("doc_id").alias("bad_doc"), F.col("th").alias("bad_th")).distinct()
-    return docs.join(bad, docs.doc_id.eqNullSafe(F.col("bad_doc")) & (F.xxhash64(docs.text) == F.col("bad_th")), "left_anti").select(*docs.columns)
+    table = Carried(docs)
+    return table.back(table.rows.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_doc")) & (F.xxhash64("text") == F.col("bad_th")), "left_anti"))

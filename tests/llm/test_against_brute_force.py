@@ -443,3 +443,100 @@ def test_page_differencing_of_mostly_boilerplate(spark):
     for i in range(80):
         assert got[4000 + i] == text(0)
     assert got[5039].split("\n")[-2:] == text(9).split("\n") and len(got[5039].split("\n")) == 22  # ten of its lines are shared with the first
+
+
+def test_components_in_rounds(spark, monkeypatch):
+    from codicil.llm import graph
+
+    monkeypatch.setattr(graph, "ONE_TASK", 0)
+    test_components(spark)
+
+
+def test_many_pieces_at_once():
+    import public_tokenizers as P
+
+    from codicil.llm.byte_bpe import load
+
+    r = random.Random(3)
+    for name in ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"):
+        enc = load(P.path(name))
+        pieces = [bytes(r.choice(b"ab ein the 12 \xc3\xa9\xe6\x97") for _ in range(r.randrange(1, 60))) for _ in range(300)] + [b"a" * 250, b" " * 130, b"=" * 99]
+        for p, ids in zip(pieces, enc.many.encode(pieces)):
+            assert np.frombuffer(ids, "<u4").tolist() == enc.merged(p) == enc.walk(enc.last_tokens(p))
+
+
+def test_personal_data_query(spark):
+    """The counts, the digest and the spans of the whole query."""
+    from codicil.llm.personal_data import KINDS, PATTERNS, find_personal_data, valid
+
+    r = random.Random(10)
+    parts = ["a.b@c.de", "x@y", "x@y.z@w.com", "10.0.0.1", "1.2.3.4.5.6.7.8", "256.1.1.1", "001.2.3.4", "4111 1111 1111 1111", "+1 (555) 123-4567", "(555) 123-4567", "12-34-56", "é@b.com", "wort", "word,", "so", "Is", "4111111111111111 42", "9" * 30]
+    texts = [" ".join(r.choice(parts) for _ in range(r.randrange(0, 30))) for _ in range(150)] + ["", "x" * 267 + "@mail.example.com ok", "7" * 1_000_000, "1." * 300_000 + "1", "1" * 5000 + ".2.3.4"]
+    rows = {x.doc_id: x for x in find_personal_data(frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        base = {k: [m.span() for m in PATTERNS[k].finditer(t) if valid(k, m.group())] if len(t) < 10_000 else None for k in KINDS}
+        got = rows[i]
+        if base["ip"] is None:
+            assert (got.n_email, got.n_card, got.n_phone) == (0, 0, 0) and got.n_ip == (75_000 if "." in t else 0)
+            continue
+        assert [got.n_email, got.n_ip, got.n_card, got.n_phone] == [len(base[k]) for k in KINDS]
+        names = [f"{k}:{a}:{b}" for k in KINDS for a, b in base[k]]
+        assert got.base_sha256 == hashlib.sha256(",".join(names).encode()).hexdigest()
+        every = got.spans.split(",") if got.spans else []
+        assert [x for x in every if x in set(names)] == names and len(every) == len(names) + got.n_added
+        for x in set(every) - set(names):  # added ones touch no base span of their kind
+            k, a, b = x.split(":")
+            assert all(int(b) <= c or d <= int(a) for c, d in base[k])
+    assert sum(x.n_added for x in rows.values()) > 0
+
+
+def test_quality_query(spark):
+    """Line frequency over whole documents, held against a plain version."""
+    from codicil.llm.quality_rules import quality, text_counts
+
+    r = random.Random(21)
+    notices = ["Read  our\tNOTICE of terms", "subscribe to the weekly letter of this house", "é all rights"]
+    rows = []
+    for i in range(400):
+        host = r.choice(["a", "a", "a", "b", None])
+        lines = [" ".join(f"w{r.randrange(900)}" for _ in range(r.randrange(1, 14))) for _ in range(r.randrange(0, 4))]
+        lines += [r.choice([n, n.upper(), f"  {n} "]) for n in notices if r.random() < 0.4]
+        rows.append((i, "\n".join(lines) if r.random() > 0.02 else None, host))
+    flat = lambda t: [x for x in (re.sub("[ \t\v\f\r]+", " ", y.lower()).strip(" ") for y in (t or "").split("\n")) if x]
+    held, hosts = collections.Counter(), collections.Counter(h for _, _, h in rows)
+    for _, t, h in rows:
+        held.update({(h, x) for x in flat(t)})
+    got = {x.doc_id: x for x in quality(spark.createDataFrame(rows, "doc_id long, text string, source string"), line_docs=5, line_share=0.2).collect()}
+    gone = 0
+    for i, t, h in rows:
+        removed = sum(len(x.split(" ")) for x in flat(t) if held[h, x] > max(5, 0.2 * hosts[h]))
+        words, _, _, _, repeat = text_counts(t or "")
+        failed = words < 20 or 100 * repeat > 30 * words
+        assert (got[i].n_removed_words, got[i].base_failed, got[i].kept) == (removed, failed, not failed and words - removed >= 0.3 * words)
+        gone += removed
+    assert gone > 0
+
+
+def test_leaks_of_repeated_ids_in_many_blocks(spark):
+    """The number of blocks changes nothing, not for repeated ids either."""
+    from codicil.llm.decontaminate import find_leaks
+
+    item = " ".join(f"w{i}" for i in range(10))
+    other = " ".join(f"v{i}" for i in range(10))
+    docs = spark.createDataFrame([(1, item), (1, other), (1, item), (2, None), (None, item), (3, "")], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(f"u{i}x{j}" for j in range(10))) for i in range(40)] + [(99, item)], "item_id long, text string")
+    found = [sorted(map(str, find_leaks(docs, bench, block_bytes=b).collect())) for b in (8 << 20, 200)]
+    assert found[0] == found[1] and sum("n_hit=10" in x for x in found[0]) == 3
+
+
+def test_hints_inside_articles(spark):
+    """Differencing decides on lines of an article whose element only hints at being something else."""
+    from codicil.llm.page_text import lines_of, main_text
+
+    page = "<article><p>Story {0} begins.</p><div class='legal'><p>{1}</p></div><div class='share-box'>Tell your friends</div><div class='ad'>Buy {0}</div><p>Common closing words.</p></article>"
+    rows = [(i, f"http://h.example/a/{i:02}", page.format(i, f"The court found {i}.")) for i in range(20)]
+    got = {x.page_id: x for x in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(20):  # own legal text stays, shared buttons go, plain lines of the article stay though all have them
+        assert got[i].text == f"Story {i} begins.\nThe court found {i}.\nCommon closing words." and got[i].n_deleted == 1
+    for t in ("</b>" * 250_000, '<a "' * 250_000, "<!-- >" * 160_000, "<div>" * 100_000 + "</p>" * 100_000, "<article>" * 100_000):
+        lines_of(t)  # a megabyte each; takes hours unless each is read once

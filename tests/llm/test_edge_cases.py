@@ -64,15 +64,61 @@ def test_defined_results(odd):
     assert not quality[2].kept and quality[8].n_dup_lines == 1
 
 
-def test_filters_keep_columns(odd, spark):
-    from codicil.llm import decontaminate, line_templates, quality_rules
-
-    bench = spark.createDataFrame([(1, "two three four five six seven eight nine ten eleven")], "item_id long, text string")
-    docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
-    for out in (quality_rules.keep_good(docs), line_templates.drop_recurring_lines(docs, 2), decontaminate.drop_leaks(docs, bench)):
-        assert out.dtypes == docs.dtypes
-    assert decontaminate.drop_leaks(docs, bench).where("doc_id = 1").count() == 0
-    assert quality_rules.keep_good(docs).select("doc_id").where(F.col("doc_id") == 5).count() == 1
+#: Names that the operators use inside, as columns of the table.
+INSIDE = "n_words n_hit n_items spans items longest contaminated kept gone doc line template bad_doc bad_th th host bucket kind key data node copy component_id n_lines n_dropped own_text hit_doc ids n_tokens kept_0 back_0 block".split()
+
+
+def _stages(spark):
+    import corpus_pipeline
+
+    return dict(corpus_pipeline.STAGES)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_stages_keep_columns(odd, spark, tmp_path, kind):
+    """Each stage on nulls, repeats, clashing names and ids of another type: the same columns, clean documents stay."""
+    spark.createDataFrame([(1, "two three four five six seven eight nine ten eleven")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = odd.select(F.col("doc_id").cast(kind).alias("doc_id"), "text", "lang", "source", "n_chars").withColumns({c: F.lit(f"own {c}") for c in INSIDE})
+    for name, stage in _stages(spark).items():
+        out = stage(spark, docs, str(tmp_path))
+        rows = out.collect()
+        if name == "byte-level BPE":
+            assert len(rows) == docs.count()
+            continue
+        assert out.dtypes == docs.dtypes and all(r[c] == f"own {c}" for r in rows for c in INSIDE)
+        found = sorted(int(r.doc_id) for r in rows if r.doc_id is not None)
+        # 1 is a leak twice over and too short; 2, 3, 4 have no words; 5 is long and clean
+        assert 5 in found and (1 in found) == (name in ("line dedup", "n-gram Jaccard join"))
+        if name == "n-gram Jaccard join":
+            assert found == [1, 1, 2, 3, 4, 5, 6, 7, 8, 9]  # rows of one id are one document
+
+
+def test_stages_of_an_empty_table(empty, spark, tmp_path):
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = empty.select("doc_id", "text", "lang", "source", "n_chars")
+    for stage in _stages(spark).values():
+        assert stage(spark, docs, str(tmp_path)).count() == 0
+
+
+def test_ids_that_are_no_numbers(spark):
+    from codicil.llm import personal_data, quality_rules
+
+    docs = spark.createDataFrame([("a-1", "one two"), ("7", "mail a@b.org")], "doc_id string, text string").withColumn("source", F.lit("s"))
+    assert sorted((r.doc_id or 0, r.n_email) for r in personal_data.find_personal_data(docs).collect()) == [(0, 0), (7, 1)]
+    assert quality_rules.quality(docs).count() == 2
+
+
+def test_ties(spark):
+    """Equal texts: the smallest id is the one that stays, languages that fit alike go by name."""
+    from codicil.llm import language, line_templates
+
+    docs = spark.createDataFrame([(i, f"this notice stands on all pages\nown {chr(97 + i)}") for i in (5, 3, 9)], "doc_id long, text string")
+    assert {r.doc_id: r.n_dropped for r in line_templates.drop_lines(docs, min_docs=3).collect()} == {3: 0, 5: 1, 9: 1}
+    same = {"xx": b"abc def ghi " * 9, "aa": b"abc def ghi " * 9}
+    got = language.classify(spark.createDataFrame([(1, "abc def ghi")], "doc_id long, text string"), same).first()
+    assert got.lang_pred == "aa" and got.rejected and got.margin == 0
+    many = spark.createDataFrame([(i, f"text of {i} ab cd ef gh", f"l{i:03}") for i in range(260)], "doc_id long, text string, lang string")
+    assert sorted(language.learn(many)) == [f"l{i:03}" for i in range(200)]
 
 
 def test_pages(spark):
