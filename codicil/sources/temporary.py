@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,6 +10,8 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder under the cluster's spark.checkpoint.dir; where that is unset (tests), under a local one."""
+    """A fresh folder under the cluster's spark.checkpoint.dir; where that is unset, under a local one if all runs in one JVM (tests)."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{(base or tempfile.mkdtemp(prefix='codicil-')).rstrip('/')}/{uuid.uuid4().hex}"
