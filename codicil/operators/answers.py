@@ -168,8 +168,95 @@ class Fallback:
         raise last or ModelError("there is no model")
 
 
+#: Seconds until the first text has to come, for models elsewhere and for one on this machine.
+FIRST_TEXT, FIRST_TEXT_LOCAL = 30.0, 180.0
+
+
+def timed(pieces: Iterable[str], seconds: float) -> Iterator[str]:
+    """The pieces of a stream; TimeoutError if the first one with text doesn't come in time, ModelError if the stream ends without any.
+
+    The stream is read in a thread of its own, which is left to itself after a timeout."""
+    box: queue.Queue = queue.Queue()
+
+    def read() -> None:
+        try:
+            for piece in pieces:
+                box.put(("text", piece))
+            box.put(("end", None))
+        except Exception as e:  # noqa: BLE001  handed to the reader
+            box.put(("error", e))
+
+    threading.Thread(target=read, daemon=True).start()
+    until, wrote = time.monotonic() + seconds, False
+    while True:
+        try:
+            kind, what = box.get(timeout=None if wrote else max(0.0, until - time.monotonic()))
+        except queue.Empty:
+            raise TimeoutError(f"no text in {seconds:g} seconds") from None
+        if kind == "error":
+            raise what
+        if kind == "end":
+            if not wrote:
+                raise ModelError("no text came")
+            return
+        wrote = wrote or bool(what)
+        if what:
+            yield what
+
+
+@dataclass
+class Timed:
+    """A model whose first text must come in time."""
+
+    inner: ChatModel
+    seconds: float
+
+    @property
+    def provider(self) -> str:
+        return self.inner.provider
+
+    @property
+    def model(self) -> str:
+        return self.inner.model
+
+    def stream(self, instructions: str, prompt: str) -> Iterator[str]:
+        return timed(self.inner.stream(instructions, prompt), self.seconds)
+
+
+@dataclass(frozen=True)
+class Provider:
+    """How a provider's model is made from settings, all of which it needs."""
+
+    name: str
+    needs: tuple[str, ...]
+    make: Callable[[dict[str, str]], ChatModel]
+    local: bool = False
+
+
+def provider_chain(env: dict[str, str], providers: list[Provider], wanted: list[str] | None = None) -> tuple[list[ChatModel], list[str]]:
+    """The models to ask in turn, hosted ones before local ones, each with its time for the first text; and what keeps a provider out that was asked for by name.
+
+    Without ``wanted`` all providers that are configured take part, and the others are passed over in silence."""
+    known = {p.name: p for p in providers}
+    chosen = [known[n] for n in wanted if n in known] if wanted is not None else providers
+    problems = [f"{n}: unknown provider" for n in wanted or () if n not in known]
+    models = []
+    for p in sorted(chosen, key=lambda p: p.local):
+        has = {n: (env.get(n) or "").strip() for n in p.needs}
+        if missing := [n for n, v in has.items() if not v]:
+            problems += [f"{p.name}: {', '.join(missing)} missing"] if wanted is not None else []
+            continue
+        models.append(Timed(p.make(has), FIRST_TEXT_LOCAL if p.local else FIRST_TEXT))
+    return models, problems
+
+
+def not_yet_known(found: DataFrame, known: DataFrame, key: Sequence[str]) -> DataFrame:
+    """What a second search finds that the first didn't, by key."""
+    return found.join(known.select(*key), list(key), "left_anti")
+
+
 _CITED = re.compile(r"\[(\d{1,3}(?:\s*,\s*\d{1,3})*)\]")
-_WRAP = " \t\r\n\"'`*«»" + chr(0x201C) + chr(0x201D)
+_WRAP = " \t\r\n\"'`*«»“”"
 
 
 def read_citations(answer: str, sources: int) -> tuple[list[int], list[int]]:

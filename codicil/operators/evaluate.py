@@ -80,6 +80,29 @@ def versions_sweep(candidates: DataFrame, expected: DataFrame, similarities: Seq
     return out
 
 
+def eligible(expected: DataFrame, chunks: DataFrame) -> DataFrame:
+    """question, eligible: whether a regulation that is expected (question, id) has a chunk (regulation_id, embedding) with a vector."""
+    have = chunks.where("embedding is not null").select(F.col("regulation_id").alias("id")).distinct()
+    hits = expected.join(have, "id", "left_semi").select("question").distinct().withColumn("eligible", F.lit(True))
+    return expected.select("question").distinct().join(hits, "question", "left").select("question", F.coalesce("eligible", F.lit(False)).alias("eligible"))
+
+
+def mean_ms(timings: DataFrame) -> DataFrame:
+    """questions, ms: the mean time of a question; timings: question, ms, warm_up (whether the row only warmed the search up). 0 for none."""
+    return timings.where(~F.col("warm_up")).agg(F.count(F.lit(1)).alias("questions"), F.coalesce(F.round(F.avg("ms"), 3), F.lit(0.0)).alias("ms"))
+
+
+def probe_sweep(index, questions: DataFrame, k: int, probes: Sequence[int]) -> DataFrame:
+    """probes, found, recall: how many of the k closest (found by probing all cells) each number of cells finds. index: operators.ann.IvfIndex."""
+    exact = index.nearest_of_many(questions, k, len(index.centres)).select("question", "id")
+    out = None
+    for n in probes:
+        hits = exact.join(index.nearest_of_many(questions, k, n).select("question", "id", F.lit(1).alias("hit")), ["question", "id"], "left")
+        point = hits.agg(F.lit(n).alias("probes"), F.count("hit").alias("found"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 9).alias("recall"))
+        out = point if out is None else out.unionByName(point)
+    return out
+
+
 class RecallTooLow(AssertionError):
     """The gate of an evaluation run."""
 

@@ -121,17 +121,17 @@ def report(rows: DataFrame) -> DataFrame:
 
 
 def selected_by_type(rows: DataFrame) -> DataFrame:
-    return rows.where("status = 'selected'").groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    return rows.where("status = 'selected'").groupBy("type").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "type")
 
 
 def selected_by_year(rows: DataFrame) -> DataFrame:
     year = F.coalesce(F.date_format(effective_date(F.col("enacted_on"), F.col("gazette_date")), "yyyy"), F.lit("unknown"))
-    return rows.where("status = 'selected'").groupBy(year.alias("year")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.where("status = 'selected'").groupBy(year.alias("year")).agg(F.count(F.lit(1)).alias("n")).orderBy("year")
 
 
 def rejection_reasons(rows: DataFrame) -> DataFrame:
     """A row counts once for each of its reasons."""
-    return rows.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "reason")
 
 
 def rejected_examples(rows: DataFrame, most: int = 10, order: str = "line") -> DataFrame:

@@ -12,11 +12,12 @@ from codicil.functions.text import content_hash, picked_source, summary_text
 LEAST_TEXT = 80
 
 
-def process_texts(regulations: DataFrame, pages: DataFrame, stored: DataFrame, force: bool = False, most: int = MAX_CHARS) -> DataFrame:
+def process_texts(regulations: DataFrame, pages: DataFrame, stored: DataFrame, force: bool = False, most: int = MAX_CHARS, limit: int | None = None) -> DataFrame:
     """status of each regulation (saved, unchanged, failed), reason, source, source_url, content, content_hash and its chunks.
 
     pages: id, source, ok, reason, body, content_type of the pages that could be had; a regulation without a published text is described by its
-    summary, as one chunk. Texts whose hash is stored already are unchanged, unless forced."""
+    summary, as one chunk. Texts whose hash is stored already are unchanged, unless forced. With ``limit`` only so many regulations are taken, the oldest ids first."""
+    regulations = regulations if limit is None else regulations.orderBy("id").limit(limit)
     source, url = picked_source(F.col("updated_text_url"), F.col("original_text_url"))
     wanted = regulations.withColumns({"_source": source, "_url": url})
     p = pages.select(F.col("id").alias("_id"), F.col("source").alias("_from"), "ok", F.col("reason").alias("_why"), decode_page(F.col("body"), F.col("content_type")).alias("_page"))

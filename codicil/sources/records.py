@@ -7,7 +7,7 @@ import json
 import os
 import time
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import asdict, dataclass
 from pathlib import Path
 
@@ -57,9 +57,16 @@ def resolve_csv(path: str, folder: str) -> str:
 @dataclass(frozen=True)
 class Response:
     status: int
-    body: bytes = b""
+    body: bytes | Iterable[bytes] = b""
     headers: dict | None = None
 
+    def blocks(self) -> Iterable[bytes]:
+        """The body piece by piece: what is large need never be held as a whole."""
+        return [self.body] if isinstance(self.body, bytes) else self.body
+
+    def content(self) -> bytes:
+        return self.body if isinstance(self.body, bytes) else b"".join(self.body)
+
     @property
     def ok(self) -> bool:
         return 200 <= self.status < 300
@@ -67,6 +74,35 @@ class Response:
 
 Get = Callable[[str, dict], Response]
 
+#: Seconds without an answer after which a request is given up.
+TIMEOUT = 20.0
+
+
+def http_get(timeout: float = TIMEOUT, block: int = 1 << 20) -> Get:
+    """Requests over HTTP; bodies are read in blocks. No answer in time is a network error."""
+
+    def get(url: str, headers: dict) -> Response:
+        import urllib.error
+        import urllib.request
+
+        try:
+            answer = urllib.request.urlopen(urllib.request.Request(url, headers=headers), timeout=timeout)
+        except urllib.error.HTTPError as e:
+            return Response(e.code, b"", dict(e.headers or {}))
+        return Response(answer.status, iter(lambda: answer.read(block), b""), dict(answer.headers))
+
+    return get
+
+
+def save(answer: Response, to: str) -> str:
+    """Writes a body beside its place, then moves it there; the SHA-256 of what was written."""
+    digest = hashlib.sha256()
+    with open(f"{to}.part", "wb") as f:
+        for piece in answer.blocks():
+            digest.update(piece)
+            f.write(piece)
+    return digest.hexdigest()
+
 
 @dataclass(frozen=True)
 class DatasetState:
@@ -99,7 +135,7 @@ def download(get: Get, url: str, to: str) -> str:
     answer = get(url, {})
     if not answer.ok:
         raise OSError(f"{url}: status {answer.status}")
-    Path(f"{to}.part").write_bytes(answer.body)
+    save(answer, to)
     os.replace(f"{to}.part", to)
     return to
 
@@ -115,10 +151,10 @@ def download_if_changed(get: Get, url: str, to: str, previous: DatasetState | No
     if not answer.ok:
         raise OSError(f"{url}: status {answer.status}")
     heads = {k.lower(): v for k, v in (answer.headers or {}).items()}
-    state = DatasetState(hashlib.sha256(answer.body).hexdigest(), now, heads.get("etag"), heads.get("last-modified"))
+    state = DatasetState(save(answer, to), now, heads.get("etag"), heads.get("last-modified"))
     if previous and previous.sha256 == state.sha256:
+        os.remove(f"{to}.part")
         return "same_content", state
-    Path(f"{to}.part").write_bytes(answer.body)
     os.replace(f"{to}.part", to)
     return "changed", state
 
@@ -146,7 +182,7 @@ def polite_fetcher(get: Get, delay: float = 1.0, retries: int = 2, sleep: Callab
             return Page(False, f"network error: {e}")
         if a.ok:
             heads = {k.lower(): v for k, v in (a.headers or {}).items()}
-            return Page(True, status=a.status, body=a.body, content_type=heads.get("content-type"))
+            return Page(True, status=a.status, body=a.content(), content_type=heads.get("content-type"))
         return Page(False, f"HTTP {a.status}", a.status)
 
     def fetch(url: str) -> Page:
@@ -179,6 +215,24 @@ def fetch_pages(wanted: DataFrame, fetcher: Callable[[], Callable[[str], Page]],
     return wanted.select(F.col("id").cast("long"), "source", "url").coalesce(1).sortWithinPartitions("id").mapInArrow(run, schema)
 
 
+def write_page_cache(pages: DataFrame, folder: str) -> int:
+    """Keeps the pages that could be had (id, source, ok, body) as <id>.<source>.htm; how many. They come at the pace of a polite
+    fetcher, so one writer is enough; files are written through Hadoop's file system."""
+    spark, n = pages.sparkSession, 0
+    for r in pages.where("ok and body is not null").select("id", "source", "body").toLocalIterator():
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{r.id}.{r.source}.htm")
+        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+        out.write(bytearray(r.body))
+        out.close()
+        n += 1
+    return n
+
+
+def json_lines(rows: DataFrame) -> DataFrame:
+    """A JSON object for each row, nulls included."""
+    return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line"))
+
+
 def read_page_cache(spark: SparkSession, folder: str) -> DataFrame:
     """id, source, body of the pages kept as <id>.<source>.htm."""
     name = F.element_at(F.split(F.col("path"), "/"), -1)
