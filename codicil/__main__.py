@@ -1,4 +1,4 @@
-"""Commands over a folder of versioned tables: ingest, texts, embed, search, status.
+"""Commands over a folder of versioned tables: ingest, texts, embed, update, search, status.
 
 python -m codicil COMMAND --store FOLDER ...; each prints JSON lines."""
 
@@ -57,26 +57,49 @@ def ingest(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def texts(spark: SparkSession, a: argparse.Namespace) -> None:
+    from codicil.operators import texts as T
+
+    regulations = stores(spark, a.store)[0]
+    rows = save_texts(spark, a, regulations.read(), a.force)
+    say(T.text_report(rows))
+    say(T.failure_reasons(rows))
+
+
+def save_texts(spark: SparkSession, a: argparse.Namespace, regulations: DataFrame, force: bool) -> DataFrame:
+    """Texts and chunks of regulations, from the page cache; what became of each."""
     from pyspark.sql import Window
 
     from codicil.operators import texts as T
     from codicil.sources.records import read_page_cache
     from codicil.sources.store import replace_children
 
-    regulations, stored, chunks, _ = stores(spark, a.store)
+    _, stored, chunks, _ = stores(spark, a.store)
     pages = read_page_cache(spark, a.pages).select("id", "source", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("reason"), "body", F.lit(None).cast("string").alias("content_type"))
-    rows = T.process_texts(regulations.read(), pages, stored.read(), a.force, a.max_chars)
-    say(T.text_report(rows))
-    say(T.failure_reasons(rows))
+    rows = settled(T.process_texts(regulations, pages, stored.read(), force, a.max_chars))
     saved = rows.where("status = 'saved'").select("regulation_id", "source", "source_url", "content", "content_hash")
     number = F.row_number().over(Window.partitionBy("regulation_id").orderBy("ordinal")) + F.col("regulation_id").cast("long") * 100_000
     none = [F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("string").alias("embedding_model")]
     new = T.chunk_rows(rows).select(number.alias("id"), "regulation_id", "ordinal", "section", "label", "content", *none)
     chunks.write(replace_children(chunks.read(), new, "regulation_id", saved))
     stored.write(replace_children(stored.read(), saved, "regulation_id", saved))
+    return rows
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """rows written and read again: they no longer hang on the tables they come from, whose old versions go."""
+    from codicil.sources.temporary import shared_folder
+
+    path = shared_folder(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def embed(spark: SparkSession, a: argparse.Namespace) -> None:
+    print(json.dumps(embed_pending(spark, a)))
+
+
+def embed_pending(spark: SparkSession, a: argparse.Namespace) -> dict:
+    """Vectors for the chunks that lack one of this model."""
     from codicil.functions.text import embedding_input, regulation_name
     from codicil.functions.vectors import HashingEmbedder
     from codicil.operators.changes import pending
@@ -91,7 +114,66 @@ def embed(spark: SparkSession, a: argparse.Namespace) -> None:
     inputs = rows.select("id", embedding_input(name, F.col("topic"), F.col("title"), F.col("label"), F.col("content")).alias("input"))
     dimensions = a.dimensions
     chunks.write(save_vectors(chunks.read(), embed_chunks(inputs, lambda: HashingEmbedder(dimensions=dimensions), dimensions).where("error is null"), "hashing"))
-    print(json.dumps({"embedded": chunks.read().where("embedding is not null").count()}))
+    return {"embedded": chunks.read().where("embedding is not null").count()}
+
+
+def update(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Brings the store up to date with a file of records and the page cache. Every run is recorded, a failed one with its reason; what it left
+    undone is done by the next. 0: done, or nothing was due; 1: failed."""
+    from codicil.functions.vectors import HashingEmbedder, checked
+    from codicil.operators import changes as C
+    from codicil.operators import ingest as I
+    from codicil.operators import texts as T
+    from codicil.sources import records as R
+    from codicil.sources import store as S
+
+    regulations, stored, chunks, runs = stores(spark, a.store)
+    if a.if_due and not C.update_status(runs.read(), F.current_timestamp()).first().due:
+        print(json.dumps({"due": False}))
+        return 0
+    journal, state = f"{a.store}/unfinished.json", f"{a.store}/dataset.json"
+    before = R.read_state(state)
+    now: list[R.DatasetState] = []
+    ids = lambda wanted: spark.createDataFrame([(i,) for i in wanted], "id int")
+
+    def found() -> DataFrame | None:
+        now.append(R.DatasetState(R.sha256_of(a.records), datetime.datetime.now().isoformat(timespec="seconds")))
+        if before and before.sha256 == now[0].sha256:
+            return None
+        rows = I.classified(R.read_records(spark, R.resolve_csv(a.records, tempfile.mkdtemp(prefix="codicil-csv-"))), (I.Subset(tuple(a.type or ()), a.since),))
+        return settled(C.changes(regulations.read(), rows.where("status = 'selected'").select("line", *I.STORED)))
+
+    def texts(wanted: list[int], refetch: bool) -> dict:
+        rows = save_texts(spark, a, regulations.read().join(F.broadcast(ids(wanted)), "id", "left_semi"), True)
+        return json.loads(rows.transform(T.text_report).toJSON().first())
+
+    def forget(wanted: list[int]) -> int:
+        kept, count = S.forget_vectors(chunks.read(), ids(wanted).select(F.col("id").alias("regulation_id")))
+        n = count.first().forgotten
+        chunks.write(kept)
+        return n
+
+    steps = C.UpdateSteps(
+        load_unfinished=lambda: S.load_unfinished(journal), save_unfinished=lambda work: S.save_unfinished(journal, work), found=found,
+        upsert=lambda rows: regulations.write(S.upsert(regulations.read(), rows.select("line", *I.STORED), "id", order="line")),
+        without_text=lambda: sorted(r.id for r in C.without_text(regulations.read(), stored.read()).select("id").toLocalIterator()),
+        texts=texts, forget_vectors=forget, embed=lambda: embed_pending(spark, a), commit=lambda: R.save_state(state, now[0]),
+    )
+    try:
+        os.makedirs(a.store, exist_ok=True)
+        embedder = HashingEmbedder(dimensions=a.dimensions)
+        checked(embedder.embed(["probe"]), ["probe"], a.dimensions)  # before anything is touched
+        report = C.run_update(steps, a.check)
+    except Exception as e:  # noqa: BLE001  whatever it was, the next run has to know
+        if not a.check:
+            runs.append(spark.createDataFrame([(datetime.datetime.now(), "failed", None, 0, 0, f"{type(e).__name__}: {e}"[:500])], RUNS))
+        print(json.dumps({"error": str(e)}), file=sys.stderr)
+        return 1
+    if not a.check:
+        d = report["dataset"] or {"added": 0, "changed": 0}
+        runs.append(spark.createDataFrame([(datetime.datetime.now(), "ok", report["dataset"] is not None, d["added"], d["changed"], None)], RUNS))
+    print(json.dumps(report))
+    return 0
 
 
 def search(spark: SparkSession, a: argparse.Namespace) -> int:
@@ -134,6 +216,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     command(ingest, (["records"], {}), kinds, (["--since"], {}), (["--limit"], {"type": int}), (["--dry-run"], {"action": "store_true"}))
     command(texts, (["--pages"], {"required": True}), (["--force"], {"action": "store_true"}), (["--max-chars"], {"type": int, "default": 1800}))
     command(embed, dimensions)
+    pages, most = (["--pages"], {"required": True}), (["--max-chars"], {"type": int, "default": 1800})
+    command(update, (["records"], {}), kinds, (["--since"], {}), pages, most, (["--check"], {"action": "store_true"}), (["--if-due"], {"action": "store_true"}), dimensions)
     command(search, (["question"], {}), kinds, (["--limit"], {"type": int}), (["--from"], {"dest": "year_from"}), (["--to"], {"dest": "year_to"}), (["--min-similarity"], {}), (["--versions"], {}), dimensions)
     command(status)
     a = p.parse_args(argv)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import queue
 import re
+import threading
 import time
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -123,7 +125,7 @@ class ChatModel(Protocol):
     def stream(self, instructions: str, prompt: str) -> Iterable[str]: ...
 
 
-#: Seconds that a model rests after a failure of each kind.
+#: Seconds that a model rests after a failure of each kind.
 RESTS = {"rate_limit": 60.0, "overloaded": 30.0, "timeout": 30.0, "bad_key": 600.0, "error": 0.0}
 
 
@@ -332,7 +334,7 @@ def answer_question(steps: AnswerSteps, question: str, language: str) -> Iterato
                     writer = what
                     yield {"type": "asking", "provider": what.provider, "model": what.model}
                 elif kind == "skipped":
-                    yield {"type": "skipped", "model": what[0].model, "reason": what[1]}
+                    yield {"type": "skipped", "provider": what[0].provider, "model": what[0].model, "reason": what[1], "ms": _ms(steps.clock() - began)}
                 else:
                     answer += what
                     if sent:
@@ -345,14 +347,17 @@ def answer_question(steps: AnswerSteps, question: str, language: str) -> Iterato
                         sent = True
                         yield {"type": "text", "text": answer}
         except Exception as e:  # noqa: BLE001
-            yield {"type": "error", "reason": kind_of(e), "total_ms": _ms(steps.clock() - began)}
+            yield {"type": "error", "reason": kind_of(e), "message": str(e), "total_ms": _ms(steps.clock() - began)}
             return
-        if declined and (more := _search_again(steps, question, sources)):
-            query, sources = more
-            second = True
-            yield {"type": "rewritten", "query": query}
-            yield {"type": "sources", "sources": sources, "language": language}
-            continue
+        if declined:
+            second, since = True, steps.clock()
+            query, more = _search_again(steps, question, sources)
+            if query:
+                yield {"type": "rewritten", "query": query, "found": len(more), "ms": _ms(steps.clock() - since)}
+            if more:
+                sources = more
+                yield {"type": "sources", "sources": sources, "language": language}
+                continue
         if not sent and answer:
             yield {"type": "text", "text": answer}
         cited, unknown = read_citations(answer, len(sources))
@@ -368,18 +373,18 @@ def _ms(seconds: float) -> int:
     return round(seconds * 1000)
 
 
-def _search_again(steps: AnswerSteps, question: str, sources: list[Source]) -> tuple[str, list[Source]] | None:
-    """The rewrite and its sources, if it says something new and finds chunks not known yet. A failure of the rewriter is no failure of the answer."""
+def _search_again(steps: AnswerSteps, question: str, sources: list[Source]) -> tuple[str | None, list[Source]]:
+    """The rewrite, if it says something new, and its sources, if there are chunks not known yet among them. A failure of the rewriter is no failure of the answer."""
     try:
         text = "".join(what for kind, what in steps.rewriter.stream(REWRITE, question) if kind == "text")
     except Exception:  # noqa: BLE001
-        return None
+        return None, []
     query = read_rewrite(text)
     if not is_new(query, question):
-        return None
+        return None, []
     found = steps.search(query)
     known = {s.chunk_id for s in sources}
-    return (query, found) if any(s.chunk_id not in known for s in found) else None
+    return query, found if any(s.chunk_id not in known for s in found) else []
 
 
 # ---- events -------------------------------------------------------------------------------------------------------

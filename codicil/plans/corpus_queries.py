@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from codicil.functions.text import blank_to_null
 from codicil.operators import changes as C
 from codicil.operators import ingest as I
+from codicil.operators.answers import not_yet_known
 from codicil.operators.ingest import Subset
 from codicil.sources import store
 from codicil.streaming import limits
@@ -214,7 +215,14 @@ def _requests(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.concat(F.lit("c"), (F.col("user_id") % 20).cast("string")).alias("client"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long").alias("ms"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE asked AS (SELECT event_id AS id, concat('c', user_id % 20) AS client, epoch_us(ts) // 1000 AS ms FROM events),
+  numbered AS (SELECT *, row_number() OVER (PARTITION BY client ORDER BY ms, id) AS i FROM asked),
+  walk AS (SELECT id, client, ms, i, CAST(NULL AS BIGINT) AS before, ms AS latest, CAST(0 AS BIGINT) AS wait FROM numbered WHERE i = 1
+    UNION ALL SELECT n.id, n.client, n.ms, n.i, CASE WHEN w.before > n.ms - 3600000 THEN w.before ELSE w.latest END, CASE WHEN w.before > n.ms - 3600000 THEN w.latest ELSE n.ms END,
+      CASE WHEN w.before > n.ms - 3600000 THEN w.before + 3600000 - n.ms ELSE 0 END FROM walk w JOIN numbered n ON n.client = w.client AND n.i = w.i + 1)
+  SELECT id, client, ms, wait = 0 AS admitted, wait AS retry_after_ms FROM walk"""
+)
 def rate_limit_clients(spark, sf_dir):
     return limits.client_admissions(_requests(spark, sf_dir), 2, window=3_600_000)
 
@@ -228,4 +236,4 @@ def rate_limit_admission(spark, sf_dir):
 def newly_found(spark, sf_dir):
     """What a second search finds that the first didn't."""
     p = table(spark, sf_dir, "part")
-    return p.where("p_size > 20").select("p_brand", "p_size").distinct().join(p.where("p_type LIKE '%A%'").select("p_brand", "p_size"), ["p_brand", "p_size"], "left_anti")
+    return not_yet_known(p.where("p_size > 20").select("p_brand", "p_size").distinct(), p.where("p_type LIKE '%A%'"), ["p_brand", "p_size"])

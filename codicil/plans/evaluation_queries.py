@@ -81,13 +81,11 @@ def versions_sweep(spark, sf_dir):
     return _rounded(E.versions_sweep(rows, expected, (0.25, 0.3, 0.35)))
 
 
-@query("SELECT item_id AS question, item_id IN (SELECT vec_id FROM embeddings WHERE embedding IS NOT NULL) OR item_id + 1 IN (SELECT vec_id FROM embeddings) AS eligible FROM benchmark")
+@query("SELECT DISTINCT item_id AS question, item_id IN (SELECT vec_id FROM embeddings WHERE embedding IS NOT NULL) OR item_id + 1 IN (SELECT vec_id FROM embeddings) AS eligible FROM benchmark")
 def eligible_questions(spark, sf_dir):
     """Questions of whose expected regulations one has an embedded chunk."""
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question"), F.explode(F.array(F.col("item_id"), F.col("item_id") + 1)).alias("id"))
-    have = table(spark, sf_dir, "embeddings").where("embedding is not null").select(F.col("vec_id").alias("id")).distinct()
-    hits = q.join(have, "id", "left_semi").select("question").distinct().withColumn("eligible", F.lit(True))
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question")).join(hits, "question", "left").select("question", F.coalesce("eligible", F.lit(False)).alias("eligible"))
+    return E.eligible(q, table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("regulation_id"), "embedding"))
 
 
 # events of answers, from orders: every sort of outcome, of places of the expected regulation and of faults

@@ -78,12 +78,14 @@ def reference_lookup_top3(spark, sf_dir):
     return S.cited_regulations(table(spark, sf_dir, "regulations"), Options(references=_REFERENCES))
 
 
-# chunks of a series: ten regulations with ids 1 to 10, cited by their numbers
+# regulations whose type follows from their id, cited by their numbers, and chunks spread over those of ten numbers
 _BY_NUMBER = (Reference("Ley", "1"), Reference("Decreto", "2"), Reference("Ley", "3"))
-_SERIES_REGS = """series_regulations AS (SELECT id, CASE WHEN id % 2 = 0 THEN 'Decreto' ELSE 'Ley' END AS type, number, enacted_on, topic, title FROM regulations WHERE id <= 10)"""
+_SERIES_REGS = """series_regulations AS (SELECT id, CASE WHEN id % 2 = 0 THEN 'Decreto' ELSE 'Ley' END AS type, number, enacted_on, topic, title FROM regulations)"""
 _SCORED = f"""scored AS (SELECT c.id AS chunk_id, c.regulation_id, c.section, c.ordinal, {_COSINE.format(a='c.embedding', b=_VEC0)} AS similarity
     FROM series c JOIN series_regulations r ON c.regulation_id = r.id WHERE c.embedding_model = 'new')"""
-_OPENING = """own AS (SELECT s.*, r.id AS o FROM scored s JOIN series_regulations r ON s.regulation_id = r.id WHERE (r.type, r.number) IN (('Ley', '1'), ('Decreto', '2'), ('Ley', '3'))),
+_OPENING = """asked AS (SELECT id, min(citation * 10 + place) AS o FROM (SELECT r.id, w.citation, row_number() OVER (PARTITION BY w.citation ORDER BY r.enacted_on DESC NULLS LAST, r.id) AS place
+    FROM series_regulations r JOIN (VALUES (0, 'Ley', '1'), (1, 'Decreto', '2'), (2, 'Ley', '3')) w(citation, type, number) ON r.type = w.type AND r.number = w.number) WHERE place <= 3 GROUP BY id),
+  own AS (SELECT s.*, a.o FROM scored s JOIN asked a ON s.regulation_id = a.id),
   closest AS (SELECT * FROM own ORDER BY similarity DESC, chunk_id LIMIT 4),
   opening AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY regulation_id ORDER BY (section = 'article') DESC, ordinal, chunk_id) AS turn FROM own) WHERE turn <= 2 ORDER BY turn, o LIMIT 2),
   rest AS (SELECT * FROM closest WHERE chunk_id NOT IN (SELECT chunk_id FROM opening) ORDER BY similarity DESC, chunk_id LIMIT 2),
@@ -92,7 +94,7 @@ _OPENING = """own AS (SELECT s.*, r.id AS o FROM scored s JOIN series_regulation
 
 def _series(spark, sf_dir):
     chunks = table(spark, sf_dir, "series")
-    regs = table(spark, sf_dir, "regulations").where("id <= 10").withColumn("type", F.when(F.col("id") % 2 == 0, "Decreto").otherwise("Ley"))
+    regs = table(spark, sf_dir, "regulations").withColumn("type", F.when(F.col("id") % 2 == 0, "Decreto").otherwise("Ley"))
     return chunks, regs
 
 

@@ -18,13 +18,13 @@ SELECT o_orderkey AS id,
   CAST(o_orderkey % 9 AS INT) AS amended_by_count
 FROM orders"""
 
-#: A chunk for each vector. Ten labels stand for regulations in ``series``, where several chunks of one are needed.
+#: A chunk for each vector. In ``series`` regulations have several chunks: ten labels stand for their numbers, thirty regulations share each number.
 CHUNKS = """
 SELECT vec_id AS id, vec_id AS regulation_id, vec_id AS ordinal, CASE WHEN vec_id % 3 = 0 THEN 'article' ELSE 'preamble' END AS section,
   CASE WHEN vec_id % 3 = 0 THEN CONCAT('Artículo ', vec_id) END AS label, CONCAT('Texto ', vec_id) AS content, embedding,
   CASE WHEN vec_id % 10 = 9 THEN 'old' ELSE 'new' END AS embedding_model
 FROM embeddings"""
-SERIES = CHUNKS.replace("vec_id AS regulation_id", "CAST(label + 1 AS BIGINT) AS regulation_id")
+SERIES = CHUNKS.replace("vec_id AS regulation_id", "CAST(label + 1 + 500 * (vec_id % 30) AS BIGINT) AS regulation_id")
 
 REGULATION_TEXTS = "SELECT o_orderkey AS regulation_id, CASE WHEN o_orderkey % 2 = 0 THEN 'original' ELSE 'summary' END AS source, CASE WHEN o_orderkey % 2 = 0 THEN CONCAT('http://example.org/', o_orderkey) END AS source_url FROM orders WHERE o_orderstatus = 'F'"
 

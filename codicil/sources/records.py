@@ -112,6 +112,11 @@ class DatasetState:
     last_modified: str | None = None
 
 
+def sha256_of(path: str) -> str:
+    with open(path, "rb") as f:
+        return hashlib.file_digest(f, "sha256").hexdigest()
+
+
 def read_state(path: str) -> DatasetState | None:
     """None where there is none, or what is there can't be read."""
     try:

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,9 +57,30 @@ def test_fallback():
 def test_second_search():
     found = iter([[source(1)], [source(1), source(2, 77)]])
     events = run([Model(["Las fuentes no responden la pregunta. Tratan X."], ["Sí [2]."])], search=lambda q: next(found), rewriter=Model(["Búsqueda: «haber mínimo»"]))
-    assert [e["type"] for e in events] == ["sources", "asking", "rewritten", "sources", "asking", "text", "done"] and events[2]["query"] == "haber mínimo" and events[-1]["outcome"] == "answered"
+    assert [e["type"] for e in events] == ["sources", "asking", "rewritten", "sources", "asking", "text", "done"] and events[2]["query"] == "haber mínimo" and events[2]["found"] == 2 and events[-1]["outcome"] == "answered"
     events = run([Model(["Las fuentes no responden la pregunta."])], rewriter=Model(["otra cosa"]))  # nothing new is found
-    assert events[-1]["outcome"] == "not_in_sources" and events[-2]["type"] == "text"
+    assert events[-1]["outcome"] == "not_in_sources" and events[-2]["type"] == "text" and events[-3] == {"type": "rewritten", "query": "otra cosa", "found": 0, "ms": 0}
+
+
+def test_first_text_in_time():
+    slow = iter(lambda: time.sleep(0.05) or "", "end")
+    with pytest.raises(TimeoutError, match="no text in 0.2 seconds"):
+        list(A.timed(slow, 0.2))
+    assert list(A.timed(["", "a", "", "b"], 5)) == ["a", "b"]
+    with pytest.raises(A.ModelError):
+        list(A.timed([""], 5))
+    with pytest.raises(KeyError):
+        list(A.timed(({}[k] for k in "x"), 5))
+
+
+def test_chain_of_providers():
+    make = lambda settings: Model(["ok"], provider=settings["KEY"])
+    known = [A.Provider("home", (), lambda s: Model([], provider="home"), local=True), A.Provider("one", ("KEY",), make), A.Provider("two", ("KEY", "URL"), make)]
+    models, problems = A.provider_chain({"KEY": " k ", "URL": " "}, known)
+    assert [(m.provider, m.seconds) for m in models] == [("k", A.FIRST_TEXT), ("home", A.FIRST_TEXT_LOCAL)] and not problems
+    models, problems = A.provider_chain({"KEY": "k"}, known, ["two", "three", "home"])
+    assert [m.provider for m in models] == ["home"] and problems == ["three: unknown provider", "two: URL missing"]
+    assert [x for x in A.Fallback(A.provider_chain({"KEY": "k"}, known)[0]).stream("", "")][-1] == ("text", "ok")
 
 
 def test_openings_and_rewrites():

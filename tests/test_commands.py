@@ -20,4 +20,18 @@ def test_commands(spark, tmp_path, capsys):
     found = [json.loads(x) for x in run("search", "¿Qué dice el Decreto 829/2026?", "--dimensions", "64", "--min-similarity", "1")]
     assert [x["name"] for x in found] == ["Decreto 829/2026"] and found[0]["match"] == "reference" and found[0]["url"] == "http://x.org/1"
     assert main(["search", *store, "a"], spark) == 2
+    row |= {"titulo_sumario": "Pesca"}
+    rows += [row | {"id_norma": "4", "numero_norma": "9", "texto_resumido": "faros"}]
+    rows[1] = rows[1] | {"titulo_sumario": "Pesca"}
+    (tmp_path / "s.csv").write_text(",".join(COLUMNS) + "\n" + "\n".join(",".join(f'"{r[c]}"' for c in COLUMNS) for r in rows), encoding="utf-8")
+    update = ("update", str(tmp_path / "s.csv"), "--type", "decreto", "--pages", str(tmp_path / "pages"), "--dimensions", "64")
+    report = json.loads(run(*update, "--check")[0])
+    assert report["dataset"] == {"in_subset": 3, "added": 1, "changed": 1, "unchanged": 1} and "new_texts" not in report
+    assert json.loads(run(*update, "--if-due")[0]) == {"due": False}
+    report = json.loads(run(*update)[0])
+    assert report["new_texts"]["saved"] == 1 and report["rechunked"]["saved"] == 1 and report["refetched"] is None and report["embedded"] == {"embedded": 3}
+    again = json.loads(run(*update)[0])
+    assert again["dataset"] is None and again["new_texts"] is None
+    assert main(["update", *store, str(tmp_path / "none.csv"), "--pages", str(tmp_path / "pages")], spark) == 1
+    assert "failed: FileNotFoundError" in run("status")[1]
     assert run("status")[0].startswith("Last update: ")

@@ -19,11 +19,11 @@ DIM = 128
 @pytest.fixture(scope="module")
 def corpus(spark):
     d = datetime.date
-    regs = [(1, "Ley", "27818", d(2026, 1, 5), "Convenio", "San Marino"), (2, "Decreto", "294", d(2025, 4, 25), "Retribución", None), (3, "Decreto", "578", d(2025, 8, 14), "Retribución", None), (4, "Decreto", "834", d(2026, 8, 28), "Retribución", None), (5, "Ley", "1", None, None, None)]
-    same = "tope de la retribución por servicios extraordinarios del personal"
+    regs = [(1, "Ley", "24013", d(2026, 2, 9), "Acuerdo", "Malta"), (2, "Decreto", "112", d(2025, 3, 17), "Captura", None), (3, "Decreto", "205", d(2025, 9, 2), "Captura", None), (4, "Decreto", "671", d(2026, 7, 6), "Captura", None), (5, "Ley", "1", None, None, None)]
+    same = "cupo anual de captura para buques costeros del litoral"
     chunks = [
-        (10, 1, 0, "preamble", None, "Ley de convenio"), (11, 1, 1, "article", "Artículo 1", "Apruébase el convenio de seguridad social con San Marino"), (12, 1, 2, "article", "Artículo 2", "Comuníquese al Poder Ejecutivo"),
-        (20, 2, 0, "article", "Artículo 1", same + " desde marzo de 2025"), (30, 3, 0, "article", "Artículo 1", same + " desde junio de 2025"), (40, 4, 0, "article", "Artículo 1", same + " desde agosto de 2026"), (50, 5, 0, "article", None, "régimen de pesca marítima"),
+        (10, 1, 0, "preamble", None, "Ley de acuerdo"), (11, 1, 1, "article", "Artículo 1", "Apruébase el acuerdo de transporte aéreo con Malta"), (12, 1, 2, "article", "Artículo 2", "Regístrese y archívese"),
+        (20, 2, 0, "article", "Artículo 1", same + " desde febrero de 2025"), (30, 3, 0, "article", "Artículo 1", same + " desde octubre de 2025"), (40, 4, 0, "article", "Artículo 1", same + " desde julio de 2026"), (50, 5, 0, "article", None, "régimen de pesca marítima"),
     ]
     e = HashingEmbedder(dimensions=DIM)
     rows = [(*c, [float(x) for x in e.embed([c[5]])[0]], "hashing") for c in chunks] + [(60, 5, 1, "article", None, "vector de otro modelo", [1.0] * DIM, "other"), (61, 5, 2, "article", None, "sin vector", None, None)]
@@ -39,22 +39,22 @@ def ids(df):
 
 def test_similar_issues_are_grouped(corpus):
     c, r, t, e = corpus
-    out = S.search(c, r, t, e, "tope de la retribución por servicios extraordinarios", Options(version_similarity=0.8, min_similarity=0.3)).collect()
-    assert out[0].chunk_id == 40 and [x.chunk_id for x in out[0].earlier_versions] == [30, 20] and out[0].name == "Decreto 834/2026" and out[0].url.endswith("id=4")
-    apart = S.search(c, r, t, e, "tope de la retribución por servicios extraordinarios desde junio de 2025", Options(version_similarity=0.8, min_similarity=0.3)).collect()
+    out = S.search(c, r, t, e, "cupo anual de captura para buques costeros", Options(version_similarity=0.8, min_similarity=0.3)).collect()
+    assert out[0].chunk_id == 40 and [x.chunk_id for x in out[0].earlier_versions] == [30, 20] and out[0].name == "Decreto 671/2026" and out[0].url.endswith("id=4")
+    apart = S.search(c, r, t, e, "cupo anual de captura para buques costeros desde octubre de 2025", Options(version_similarity=0.8, min_similarity=0.3)).collect()
     assert [x.chunk_id for x in apart][:2] == [30, 40] and [x.chunk_id for x in apart[1].earlier_versions] == [20]
 
 
 def test_citations_come_first(corpus):
     c, r, t, e = corpus
-    out = S.search(c, r, t, e, "¿Qué dispone la Ley 27.818?", Options(min_similarity=1.0)).collect()
+    out = S.search(c, r, t, e, "¿De qué trata la Ley 24.013?", Options(min_similarity=1.0)).collect()
     assert {x.chunk_id for x in out} == {10, 11, 12} and all(x.match == "reference" for x in out) and out[0].text_source == "original" and out[0].url == "http://x.org/1"
     assert [x.similarity for x in out] == sorted((x.similarity for x in out), reverse=True)
 
 
 def test_filters_floor_and_limit(corpus):
     c, r, t, e = corpus
-    q = e.embed(["retribución convenio pesca"])[0]
+    q = e.embed(["captura acuerdo pesca"])[0]
     plain = Options(min_similarity=0, version_similarity=None)
     found = lambda **k: ids(S.search_by_vector(c, r, t, "hashing", q, Options(**{**plain.__dict__, **k})))
     assert 60 not in found() and 61 not in found() and len(found(limit=2)) == 2
@@ -67,8 +67,8 @@ def test_filters_floor_and_limit(corpus):
 
 
 def test_requests():
-    ok, issues = parse_search("q=ley+27818&type=Ley,Decreto&from=2000&to=2020&versions=off&limit=5")
-    assert not issues and ok[0] == "ley 27818" and ok[1].types == ("Ley", "Decreto") and ok[1].version_similarity is None and ok[1].limit == 5
+    ok, issues = parse_search("q=ley+24013&type=Ley,Decreto&from=2000&to=2020&versions=off&limit=5")
+    assert not issues and ok[0] == "ley 24013" and ok[1].types == ("Ley", "Decreto") and ok[1].version_similarity is None and ok[1].limit == 5
     none, issues = parse_search("q=a&limit=99&from=2020&to=2000&min_similarity=2&versions=0")
     assert none is None and [i["field"] for i in issues] == ["q", "limit", "from", "min_similarity", "versions"]
 
