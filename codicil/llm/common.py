@@ -132,6 +132,25 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Keys that spread_join() may take for hot.
+HOT_KEYS = 1000
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined with table, which has each key once (how: inner or left), so that no task gets all rows of a hot key.
+
+    Keys that more than one in HOT_KEYS of the rows have are hot: there are fewer than HOT_KEYS of them, whatever the size, so that what table has for
+    them is broadcast; rows of other keys are shuffled. rows: a written table, as it is read several times; the columns of table are numbers."""
+    total = rows.count()
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") * HOT_KEYS > total) & (F.col("n") > 1))
+    hot = settled(counts.where(F.col(key).isNotNull()).select(key))
+    if hot.isEmpty():
+        return rows.join(table, key, how)
+    known = settled(table.join(F.broadcast(hot), key, "left_semi"))
+    often = rows.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(known), key, how)
+    return often.unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(table, key, how))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit mixer (xor, shift, multiply), on uint64."""
     x = x ^ (x >> np.uint64(32))

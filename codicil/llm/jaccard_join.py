@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, SLICE, arrow_map, bucket_of, buckets_for, gathered, joined_rows, map_batches, mix, packed, packed_batch, pick, settled, shuffle_partitions, texts_of
+from .common import PACKED, SLICE, arrow_map, bucket_of, buckets_for, gathered, joined_rows, map_batches, mix, packed, packed_batch, pick, settled, shuffle_partitions, spread_join, texts_of
 from .graph import components
 
 CHUNK, CHUNK_SHINGLES, SKETCH_CHUNK, LEAF, FAN, CUTS, SMALL, NEVER = 1024, 1 << 20, 4096, 32, 4, 4, 6, 1e-12
@@ -454,7 +454,7 @@ def clusters(both: DataFrame, percent: int) -> DataFrame:
     moved = components(moved.distinct()).select(F.col("node").alias("root"), F.col("root").alias("last"))
     ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
     every = roots.unionByName(ends.join(roots, "node", "left_anti").select("node", F.col("node").alias("root")))
-    return every.join(moved, "root", "left").select("node", F.coalesce("last", "root").alias("root"))
+    return spread_join(settled(every), moved, "root", "left").select("node", F.coalesce("last", "root").alias("root"))
 
 
 def _rooted(rows: DataFrame, roots: DataFrame, of: str) -> DataFrame:
@@ -483,9 +483,9 @@ def weak_edges(pairs: DataFrame, held: DataFrame, roots: DataFrame, sketch: Data
 
 
 def _dealt(rows: DataFrame, key: str, apart: str, chunk) -> DataFrame:
-    """Rows of each group ``key`` dealt to parts: those that stand ``apart`` by chunks of all the others. chunk(size): chunks for so many."""
+    """Rows (a written table) of each group ``key`` dealt to parts: those that stand ``apart`` by chunks of all the others. chunk(size): chunks for so many."""
     sizes = settled(rows.groupBy(key).agg(chunk(F.count(F.lit(1))).alias("chunks"), chunk(F.sum(F.col(apart).cast("long"))).alias("apart_chunks")))
-    rows = rows.join(sizes, key)
+    rows = spread_join(rows, sizes, key)
     dealt = lambda of: F.pmod(F.xxhash64("node", F.lit(3)), F.col(of))
     wide = F.lit(1 << 20).cast("long")
     every = rows.where("apart_chunks > 0").withColumn("part", F.explode(F.transform(F.sequence(F.lit(0), F.col("apart_chunks") - 1), lambda i: i * wide + dealt("chunks")))).withColumn(apart, F.lit(False))
@@ -496,14 +496,13 @@ def _dealt(rows: DataFrame, key: str, apart: str, chunk) -> DataFrame:
 def zone_edges(groups: DataFrame, roots: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
     """a, b: edges between nodes of hot groups that the candidates leave unconnected, as far as bitmaps leave a link possible; groups: g, node."""
     rooted = settled(_rooted(groups, roots, "node").withColumnRenamed("rnode", "root"))
-    # small tables are written, so that in the joins with them the hot groups can be split
     ends = settled(rooted.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("g", "low"))
-    zones = components(rooted.join(ends, "g").select(F.col("root").alias("a"), F.col("low").alias("b")).distinct())
+    zones = components(spread_join(rooted, ends, "g").select(F.col("root").alias("a"), F.col("low").alias("b")).distinct())
     zones = settled(zones.select(F.col("node").alias("root"), F.col("root").alias("zone")))
-    inside = settled(rooted.select("node", "root").distinct().join(zones, "root"))
+    inside = settled(spread_join(settled(rooted.select("node", "root").distinct()), zones, "root"))
     main = inside.groupBy("zone", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("zone").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-    rows = inside.join(settled(main), "zone").select("zone", "node", "root", (F.col("root") != F.col("main")).alias("stray"))
-    rows = _dealt(rows, "zone", "stray", lambda n: F.ceil(n / SKETCH_CHUNK)).join(sketch, "node")
+    rows = spread_join(inside, settled(main), "zone").select("zone", "node", "root", (F.col("root") != F.col("main")).alias("stray"))
+    rows = _dealt(settled(rows), "zone", "stray", lambda n: F.ceil(n / SKETCH_CHUNK)).join(sketch, "node")
 
     def compare(_: tuple, columns: list[list]) -> list[tuple]:
         nodes = {node: x for node, *x in zip(*columns)}
@@ -566,12 +565,11 @@ def exact_links(texts: DataFrame, k: int, percent: int) -> DataFrame:
     left = settled(found.where("cluster is not null").select("cluster", F.col("a").alias("node")).distinct())
     if left.isEmpty():
         return linked
-    # small tables of clusters are written, so that a large cluster can be split in the joins with them
-    some = texts.join(settled(left.select("cluster").distinct()), "cluster", "left_semi").drop("chunk")
+    some = spread_join(texts, settled(left.select("cluster").distinct()), "cluster").drop("chunk")
     rows = some.join(left.withColumn("apart", F.lit(True)), ["cluster", "node"], "left").withColumn("apart", F.coalesce("apart", F.lit(False)))
     rows = rows.select("cluster", "node", "text", "apart", F.col("chunks").alias("whole"))
     sizes = lambda n: F.ceil(n * F.max("whole") / F.count(F.lit(1)))
-    return linked.unionByName(in_groups(_dealt(rows, "cluster", "apart", sizes), ("cluster", "part"), ("node", "text", "apart"), with_all, "a long, b long"))
+    return linked.unionByName(in_groups(_dealt(settled(rows), "cluster", "apart", sizes), ("cluster", "part"), ("node", "text", "apart"), with_all, "a long, b long"))
 
 
 def jaccard_groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
@@ -583,19 +581,18 @@ def jaccard_groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     names = settled(nodes.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size")))
     placed = settled(members.join(names, "node"))
     chunks = F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.ceil(F.sum("size") / CHUNK_SHINGLES)).cast("long")
-    placed = placed.join(settled(placed.groupBy("cluster").agg(chunks.alias("chunks"))), "cluster")
+    placed = spread_join(placed, settled(placed.groupBy("cluster").agg(chunks.alias("chunks"))), "cluster")
     placed = placed.select("cluster", "rep", "node", "chunks", F.pmod(F.xxhash64("node", F.lit(3)), "chunks").alias("chunk"))
     texts = settled(base.join(placed, base.doc_id == placed.rep).select("cluster", "chunks", "chunk", "node", "text"))
     return _named(base, nodes, names, components(exact_links(texts, k, percent)))
 
 
 def _named(base: DataFrame, nodes: DataFrame, names: DataFrame, joined: DataFrame) -> DataFrame:
-    roots = names.join(joined, "node")
+    roots = settled(names.join(joined, "node"))
     least = roots.groupBy("root").agg(F.min("rep").alias("least"))
-    linked = roots.join(least, "root").select("node", "least")
-    # written, so that a node that many documents have can be split in the join
+    linked = spread_join(roots, settled(least), "root").select("node", "least")
     label = settled(names.join(linked, "node", "left").select("node", F.coalesce("least", "rep").alias("component")))
-    sized = nodes.join(label.hint("merge"), "node").select("doc_id", "n_shingles", "component")
+    sized = spread_join(nodes, label, "node").select("doc_id", "n_shingles", "component")
     # documents without words or without an id have no node
     bare = base.where(F.col("doc_id").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
     bare = bare.select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component"))

@@ -540,3 +540,18 @@ def test_hints_inside_articles(spark):
         assert got[i].text == f"Story {i} begins.\nThe court found {i}.\nCommon closing words." and got[i].n_deleted == 1
     for t in ("</b>" * 250_000, '<a "' * 250_000, "<!-- >" * 160_000, "<div>" * 100_000 + "</p>" * 100_000, "<article>" * 100_000):
         lines_of(t)  # a megabyte each; takes hours unless each is read once
+
+
+def test_joins_of_hot_keys(spark):
+    from codicil.llm.common import settled, spread_join
+
+    rows = settled(spark.createDataFrame([(i, None if i % 50 == 0 else 7 if i % 3 else i) for i in range(2000)], "id long, key long"))
+    table = settled(spark.createDataFrame([(k, k * 2) for k in range(7, 2000, 4)], "key long, twice long"))
+    for how in ("inner", "left"):
+        want = rows.join(table, "key", how)
+        got = spread_join(rows, table, "key", how)
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    # a key that the table lacks
+    less = table.where("key != 7")
+    assert spread_join(rows, less, "key", "left").where("twice is null").count() == rows.join(less, "key", "left").where("twice is null").count()
+    assert spread_join(rows.limit(0), table, "key").count() == 0
