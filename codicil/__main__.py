@@ -1,4 +1,4 @@
-"""Commands over a folder of versioned tables: ingest, texts, embed, update, search, status.
+"""Commands over a folder of versioned tables: ingest, texts, embed, update, search, evaluate, status.
 
 python -m codicil COMMAND --store FOLDER ...; each prints JSON lines."""
 
@@ -193,6 +193,58 @@ def search(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
+def evaluate(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Measures of the search over a file of questions with known answers, in order: overall, by kind, questions without an answer, mean time, and with --floors
+    the same above each floor. Questions none of whose regulations has a vector are left out. 0: done, 1: recall@5 is below --min-recall, 2: nothing to ask."""
+    import time
+
+    from codicil.functions.vectors import HashingEmbedder
+    from codicil.operators import evaluate as E
+    from codicil.operators import search as S
+
+    with open(a.questions, encoding="utf-8") as f:
+        gold = E.read_gold(f.readlines())
+    regulations, stored, chunks, _ = (t.read() for t in stores(spark, a.store))
+    asked = spark.createDataFrame([(n, i) for n, q in enumerate(gold) for i in q.expected], "question int, id int")
+    usable = {r.question for r in E.eligible(asked, chunks).where("eligible").collect()}  # questions written by hand
+    chosen = [(n, q) for n, q in enumerate(gold) if n in usable or not q.expected]
+    if not any(q.expected for _, q in chosen):
+        print(json.dumps({"error": "no expected regulation has chunks with vectors"}), file=sys.stderr)
+        return 2
+    embedder = HashingEmbedder(dimensions=a.dimensions)
+    o = S.Options(limit=S.MAX_LIMIT, min_similarity=0.0 if a.floors else a.min_similarity, version_similarity=None).checked()
+    ask = lambda q: S.search(chunks, regulations, stored, embedder, q.question, o).select("place", "match", "similarity", "regulation_id").collect()  # noqa: E731  MAX_LIMIT rows
+    found, timings = [], []
+    for n, q in chosen:
+        for warm_up in (True, False) if a.timings else (False,):
+            since = time.monotonic()
+            rows = ask(q)
+            timings.append((n, (time.monotonic() - since) * 1000, warm_up))
+        # what is cited by number passes any floor
+        found += [(n, r.place, int(r.regulation_id), 1.0 if r.match == "reference" else r.similarity) for r in rows]
+    results = spark.createDataFrame(found, "question int, place int, id int, similarity double")
+    expected = spark.createDataFrame([(n, i) for n, q in chosen for i in q.expected], "question int, id int")
+    kinds = spark.createDataFrame([(n, q.kind) for n, q in chosen], "question int, kind string")
+    ranked = E.ranks(results, expected)
+    best = kinds.where("kind = 'absent'").join(results, "question", "left").groupBy("question").agg(F.count("id").alias("returned"), F.max("similarity").alias("best"))
+    overall = E.metrics(ranked)
+    print(json.dumps({"model": embedder.model, "skipped": len(gold) - len(chosen)}))
+    if a.floors:
+        say(E.floor_sweep(results, expected, E.FLOORS).join(E.rejection_sweep(best, E.FLOORS), "floor", "left").orderBy("floor"))
+    else:
+        say(overall)
+        say(E.metrics(ranked.join(kinds, "question"), ["kind"]).orderBy("kind"))
+        say(E.rejection(best).withColumnRenamed("questions", "absent"))
+    if a.timings:
+        say(E.mean_ms(spark.createDataFrame(timings, "question int, ms double, warm_up boolean")))
+    try:
+        E.require_recall(overall, a.min_recall)
+    except E.RecallTooLow as e:
+        print(json.dumps({"error": str(e)}), file=sys.stderr)
+        return 1
+    return 0
+
+
 def status(spark: SparkSession, a: argparse.Namespace) -> None:
     from codicil.operators.changes import described, latest_runs, update_status
 
@@ -219,6 +271,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     pages, most = (["--pages"], {"required": True}), (["--max-chars"], {"type": int, "default": 1800})
     command(update, (["records"], {}), kinds, (["--since"], {}), pages, most, (["--check"], {"action": "store_true"}), (["--if-due"], {"action": "store_true"}), dimensions)
     command(search, (["question"], {}), kinds, (["--limit"], {"type": int}), (["--from"], {"dest": "year_from"}), (["--to"], {"dest": "year_to"}), (["--min-similarity"], {}), (["--versions"], {}), dimensions)
+    floor = (["--min-similarity"], {"type": float, "default": 0.55})
+    command(evaluate, (["questions"], {}), (["--floors"], {"action": "store_true"}), (["--timings"], {"action": "store_true"}), floor, (["--min-recall"], {"type": float, "default": 0.0}), dimensions)
     command(status)
     a = p.parse_args(argv)
     own = spark or SparkSession.builder.appName(f"codicil-{a.command}").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", os.environ.get("CODICIL_UI", "false")).getOrCreate()

@@ -42,6 +42,7 @@ class IvfIndex:
     spark: SparkSession
     path: str
     centres: np.ndarray
+    least: int = 1  # cells that a search probes at least
 
     @staticmethod
     def build(vectors: DataFrame, path: str, cells: int = 64, sample: int = SAMPLE) -> IvfIndex:
@@ -59,8 +60,9 @@ class IvfIndex:
         placed.repartition("cell", F.pmod(F.xxhash64("id"), F.lit(4))).write.mode("overwrite").partitionBy("cell").parquet(path)
         return IvfIndex(vectors.sparkSession, path, centres)
 
-    def search(self, query: Sequence[float], k: int, probes: int = 8, where: Column | None = None) -> DataFrame:
-        """id, similarity of (approximately) the k closest, ties by id."""
+    def search(self, query: Sequence[float], k: int, probes: int = 8, where: Column | None = None, columns: Sequence[str] = ()) -> DataFrame:
+        """id, similarity and ``columns`` of (approximately) the k closest, ties by id."""
+        probes = max(probes, self.least)
         order = np.argsort(-(self.centres @ np.asarray(query, np.float64)), kind="stable").tolist()
         table = self.spark.read.parquet(self.path)
         if where is not None:
@@ -68,7 +70,7 @@ class IvfIndex:
         while probes < len(order) and table.where(F.col("cell").isin(order[:probes])).select("id").limit(k).count() < k:
             probes = min(len(order), 2 * probes)
         rows = table.where(F.col("cell").isin(order[:probes]))
-        return rows.select("id", similarity_to(F.col("embedding").cast("array<double>"), query).alias("similarity")).orderBy(F.desc("similarity"), "id").limit(k)
+        return rows.select("id", *columns, similarity_to(F.col("embedding").cast("array<double>"), query).alias("similarity")).orderBy(F.desc("similarity"), "id").limit(k)
 
     def probes_for(self, k: int, recall: float, sample: int = 256) -> int:
         """The fewest cells whose search finds ``recall`` of the k closest of ``sample`` indexed vectors (by a hash of their id), measured against all rows."""

@@ -102,13 +102,15 @@ class Source:
 
 
 class ModelError(RuntimeError):
-    def __init__(self, message: str, status: int | None = None):
+    def __init__(self, message: str, status: int | None = None, kind: str | None = None):
         super().__init__(message)
-        self.status = status
+        self.status, self.kind = status, kind
 
 
 def kind_of(error: Exception) -> str:
     status, text = getattr(error, "status", None), str(error).lower()
+    if kind := getattr(error, "kind", None):
+        return kind
     if status == 429:
         return "rate_limit"
     if status in (401, 403) or status == 400 and "key" in text:
@@ -227,29 +229,43 @@ class Timed:
 
 @dataclass(frozen=True)
 class Provider:
-    """How a provider's model is made from settings, all of which it needs."""
+    """How a provider's models are made from settings, all of which it needs."""
 
     name: str
     needs: tuple[str, ...]
-    make: Callable[[dict[str, str]], ChatModel]
+    make: Callable[[dict[str, str]], ChatModel | list[ChatModel]]
     local: bool = False
 
 
-def provider_chain(env: dict[str, str], providers: list[Provider], wanted: list[str] | None = None) -> tuple[list[ChatModel], list[str]]:
-    """The models to ask in turn, hosted ones before local ones, each with its time for the first text; and what keeps a provider out that was asked for by name.
+@dataclass(frozen=True)
+class NotConfigured:
+    """Stands in a chain for a provider that was asked for by name and can't be used."""
+
+    provider: str
+    why: str
+    model: str = "not configured"
 
-    Without ``wanted`` all providers that are configured take part, and the others are passed over in silence."""
+    def stream(self, instructions: str, prompt: str) -> Iterator[str]:
+        raise ModelError(self.why, kind="not_configured")
+
+
+def provider_chain(env: dict[str, str], providers: list[Provider], wanted: list[str] | None = None) -> list[ChatModel]:
+    """The models to ask in turn, each with its time for the first text: those of the providers in ``wanted``, in that order, where one that can't be used fails
+    and says why; without ``wanted`` those of all providers that are configured, hosted ones before local ones, the others being passed over in silence."""
     known = {p.name: p for p in providers}
-    chosen = [known[n] for n in wanted if n in known] if wanted is not None else providers
-    problems = [f"{n}: unknown provider" for n in wanted or () if n not in known]
-    models = []
-    for p in sorted(chosen, key=lambda p: p.local):
+    models: list[ChatModel] = []
+    for name in wanted if wanted is not None else sorted(known, key=lambda n: known[n].local):
+        if name not in known:
+            models.append(NotConfigured(name, f"{name}: unknown provider"))
+            continue
+        p = known[name]
         has = {n: (env.get(n) or "").strip() for n in p.needs}
         if missing := [n for n, v in has.items() if not v]:
-            problems += [f"{p.name}: {', '.join(missing)} missing"] if wanted is not None else []
+            models += [NotConfigured(name, f"{name}: {', '.join(missing)} missing")] if wanted is not None else []
             continue
-        models.append(Timed(p.make(has), FIRST_TEXT_LOCAL if p.local else FIRST_TEXT))
-    return models, problems
+        made = p.make(has)
+        models += [Timed(m, FIRST_TEXT_LOCAL if p.local else FIRST_TEXT) for m in (made if isinstance(made, list) else [made])]
+    return models
 
 
 def not_yet_known(found: DataFrame, known: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -2,12 +2,46 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KS = (1, 3, 5, 10)
+#: The kinds of questions, and the floors that a sweep compares.
+KINDS = ("topic", "reference", "english", "earlier", "absent")
+FLOORS = (0, 0.5, 0.52, 0.53, 0.54, 0.55, 0.56, 0.57, 0.58, 0.6, 0.62, 0.65)
+
+
+@dataclass(frozen=True)
+class GoldQuestion:
+    """A question and the regulations that answer it; none for one of kind absent."""
+
+    question: str
+    kind: str
+    expected: tuple[int, ...]
+
+
+def read_gold(lines: Sequence[str]) -> list[GoldQuestion]:
+    """Questions written as JSON objects, one a line (question, kind, expected); an error names the line that is wrong."""
+    out, seen = [], set()
+    for n, line in enumerate(lines, 1):
+        if not line.strip():
+            continue
+        row = json.loads(line)
+        text, kind, expected = str(row.get("question") or "").strip(), row.get("kind"), row.get("expected") or []
+        for wrong, why in (
+            (not text, "no question"), (text in seen, "the question stands twice"), (kind not in KINDS, f"kind must be one of {', '.join(KINDS)}"),
+            (not all(type(x) is int and x > 0 for x in expected), "expected must be a list of ids"),
+            (kind in KINDS and (kind == "absent") != (not expected), "only absent questions have no expected regulation"),
+        ):
+            if wrong:
+                raise ValueError(f"line {n}: {why}")
+        seen.add(text)
+        out.append(GoldQuestion(text, kind, tuple(expected)))
+    return out
 
 
 def first_rank(retrieved: Column, expected: Column) -> Column:
@@ -64,6 +98,12 @@ def floor_sweep(results: DataFrame, expected: DataFrame, floors: Sequence[float]
     return metrics(rows, ["floor"], (k,))
 
 
+def rejection_sweep(best: DataFrame, floors: Sequence[float]) -> DataFrame:
+    """floor, absent, rejected: of questions without an answer (question, best: the highest similarity found, null for none) those that a floor leaves without results."""
+    grid = best.select("best", F.explode(F.array(*(F.lit(float(x)) for x in floors))).alias("floor"))
+    return grid.groupBy("floor").agg(F.count(F.lit(1)).alias("absent"), F.count_if(F.col("best").isNull() | (F.col("best") < F.col("floor"))).alias("rejected"))
+
+
 def versions_sweep(candidates: DataFrame, expected: DataFrame, similarities: Sequence[float], linkages: Sequence[str] = ("best", "chain"), k: int = 5) -> DataFrame:
     """linkage, similarity, questions, recall_<k>, mrr for each way of grouping candidates (see operators.versions); an expected chunk counts where it leads
     its group. One plan for each point of the grid: a grid is a handful of points."""

@@ -16,6 +16,7 @@ from codicil.functions.dates import states_date, written_dates
 from codicil.functions.text import references, regulation_name
 from codicil.functions.vectors import Embedder, checked, cosines, matrix, similarity_to
 
+from .ann import IvfIndex
 from .versions import LINKAGE, POOL, SIMILARITY, group_versions
 
 DEFAULT_LIMIT, MAX_LIMIT, MIN_SIMILARITY, EF_SEARCH, MAX_EF_SEARCH, PER_REFERENCE = 8, 20, 0.55, 100, 1000, 3
@@ -105,25 +106,47 @@ def cited_chunks(rows: DataFrame, cited: DataFrame, limit: int) -> DataFrame:
     share = math.ceil(limit / 2)
     openings = share // 2
     own = rows.join(cited, "regulation_id")
-    closest = own.orderBy(*by_relevance()).limit(share)
+    nearest = own.orderBy(*by_relevance()).limit(share)
     if openings:
         first = Window.partitionBy("regulation_id").orderBy((F.col("section") == "article").desc(), "ordinal", "chunk_id")
         opening = own.withColumn("turn", F.row_number().over(first)).where(F.col("turn") <= openings)
         opening = opening.orderBy("turn", "citation", "place").limit(openings).drop("turn")
-        rest = closest.join(opening.select("chunk_id"), "chunk_id", "left_anti")
+        rest = nearest.join(opening.select("chunk_id"), "chunk_id", "left_anti")
         count = opening.agg(F.count(F.lit(1)).alias("_n"))
         ranked = rest.withColumn("_r", F.row_number().over(Window.orderBy(*by_relevance()))).crossJoin(F.broadcast(count))  # at most ``share`` rows
-        closest = ranked.where(F.col("_r") <= share - F.col("_n")).select(*opening.columns).unionByName(opening)
-    return closest.drop("citation", "place")
+        nearest = ranked.where(F.col("_r") <= share - F.col("_n")).select(*opening.columns).unionByName(opening)
+    return nearest.drop("citation", "place")
 
 
-def search_by_vector(chunks: DataFrame, regulations: DataFrame, texts: DataFrame, model: str, vector: Sequence[float], options: Options | None = None) -> DataFrame:
+def index_chunks(chunks: DataFrame, regulations: DataFrame, model: str, path: str, cells: int = 64, recall: float = 0.95) -> IvfIndex:
+    """An inverted file over the vectors of a model, with what searches filter by. A search of it probes as many cells at least as find ``recall`` of the 10
+    closest of a sample of its vectors."""
+    r = regulations.select(F.col("id").alias("_id"), "type", "enacted_on")
+    c = embedded(chunks, model).select("id", "regulation_id", "embedding")
+    index = IvfIndex.build(c.join(r, c.regulation_id == r._id).drop("_id"), path, cells)
+    return replace(index, least=index.probes_for(10, recall))
+
+
+def closest(rows: DataFrame, vector: Sequence[float], o: Options, index: IvfIndex | None) -> DataFrame:
+    """chunk_id, similarity, regulation_id, enacted_on of the pool: the closest of ``rows`` (all that pass the filters), or, unless the search is to be exact,
+    of the cells of an index that are nearest to the vector; ef_search is how many thousandths of them are probed beyond what the index takes anyway."""
+    if o.exact or index is None:
+        return rows.orderBy(*by_relevance()).limit(o.pool).select("chunk_id", "similarity", "regulation_id", "enacted_on")
+    probes = math.ceil(len(index.centres) * o.ef_search / MAX_EF_SEARCH)
+    found = index.search(vector, o.pool, probes, filters(o, F.col("type"), F.col("enacted_on")), ("regulation_id", "enacted_on"))
+    return found.withColumnRenamed("id", "chunk_id").select("chunk_id", "similarity", "regulation_id", "enacted_on")
+
+
+def search_by_vector(
+    chunks: DataFrame, regulations: DataFrame, texts: DataFrame, model: str, vector: Sequence[float], options: Options | None = None, index: IvfIndex | None = None
+) -> DataFrame:
     """The results in order: place, match, chunk_id, similarity, section, label, content, earlier_versions, and of the regulation its id, type, number,
-    name, title, topic, enacted_on, text_source, url. Exact, over all chunks that pass; the IVF index of codicil.operators.ann is the approximate way."""
+    name, title, topic, enacted_on, text_source, url. Over all chunks that pass, or with ``index`` (see index_chunks) and without ``exact`` over the nearest cells;
+    what a question cites is looked up in all chunks in any case."""
     o = (options or Options()).checked()
     rows = scored(chunks, regulations, model, vector, o)
     cited = cited_chunks(rows, cited_regulations(regulations, o), o.limit) if o.references else rows.limit(0)
-    pool = rows.orderBy(*by_relevance()).limit(o.pool)
+    pool = closest(rows, vector, o, index)
     close = pool.where(F.col("similarity") >= o.min_similarity).join(cited.select("chunk_id"), "chunk_id", "left_anti")
     front = cited.select(F.lit(0).alias("bucket"), F.lit("reference").alias("match"), F.row_number().over(Window.orderBy(*by_relevance())).alias("place"), "chunk_id", "similarity")
     if o.version_similarity is None:
@@ -161,7 +184,7 @@ def describe(chunks: DataFrame, regulations: DataFrame, texts: DataFrame) -> Dat
     return rows.select("chunk_id", "section", "label", "content", "regulation_id", "type", "number", name.alias("name"), "title", "topic", "enacted_on", "text_source", url.alias("url"))
 
 
-def search(chunks: DataFrame, regulations: DataFrame, texts: DataFrame, embedder: Embedder, question: str, options: Options | None = None, today: datetime.date | None = None) -> DataFrame:
+def search(chunks: DataFrame, regulations: DataFrame, texts: DataFrame, embedder: Embedder, question: str, options: Options | None = None, today: datetime.date | None = None, index: IvfIndex | None = None) -> DataFrame:
     """Embeds the question, reads citations and dates out of it unless they are given, and searches."""
     o = options or Options()
     try:
@@ -173,7 +196,7 @@ def search(chunks: DataFrame, regulations: DataFrame, texts: DataFrame, embedder
         o = replace(o, references=tuple(Reference(r["type"], r["number"], r["year"]) for r in row.r))
     if not o.dates:
         o = replace(o, dates=tuple(written_dates(question)))
-    return search_by_vector(chunks, regulations, texts, embedder.model, vector, o)
+    return search_by_vector(chunks, regulations, texts, embedder.model, vector, o, index)
 
 
 def nearest_of_many(chunks: DataFrame, questions: DataFrame, k: int, block: int = 512) -> DataFrame:

@@ -76,11 +76,18 @@ def test_first_text_in_time():
 def test_chain_of_providers():
     make = lambda settings: Model(["ok"], provider=settings["KEY"])
     known = [A.Provider("home", (), lambda s: Model([], provider="home"), local=True), A.Provider("one", ("KEY",), make), A.Provider("two", ("KEY", "URL"), make)]
-    models, problems = A.provider_chain({"KEY": " k ", "URL": " "}, known)
-    assert [(m.provider, m.seconds) for m in models] == [("k", A.FIRST_TEXT), ("home", A.FIRST_TEXT_LOCAL)] and not problems
-    models, problems = A.provider_chain({"KEY": "k"}, known, ["two", "three", "home"])
-    assert [m.provider for m in models] == ["home"] and problems == ["three: unknown provider", "two: URL missing"]
-    assert [x for x in A.Fallback(A.provider_chain({"KEY": "k"}, known)[0]).stream("", "")][-1] == ("text", "ok")
+    models = A.provider_chain({"KEY": " k ", "URL": " "}, known)
+    assert [(m.provider, m.seconds) for m in models] == [("k", A.FIRST_TEXT), ("home", A.FIRST_TEXT_LOCAL)]
+    assert [x for x in A.Fallback(models).stream("", "")][-1] == ("text", "ok")
+    # by name: in that order, and what can't be used says so
+    models = A.provider_chain({"KEY": "k"}, known, ["home", "two", "three", "one"])
+    assert [m.provider for m in models] == ["home", "two", "three", "k"] and models[0].seconds == A.FIRST_TEXT_LOCAL
+    events = list(A.Fallback(models).stream("", ""))
+    assert [(m.provider, why) for kind, (m, why) in (e for e in events if e[0] == "skipped")] == [("home", "error"), ("two", "not_configured"), ("three", "not_configured")]
+    with pytest.raises(A.ModelError, match="two: URL missing"):
+        list(A.Fallback(A.provider_chain({"KEY": "k"}, known, ["two"])).stream("", ""))
+    several = [A.Provider("many", ("KEY",), lambda s: [Model([], provider="many"), Model(["b"], provider="many")])]
+    assert [x for x in A.Fallback(A.provider_chain({"KEY": "k"}, several)).stream("", "")][-1] == ("text", "b")
 
 
 def test_openings_and_rewrites():

@@ -20,6 +20,15 @@ def test_commands(spark, tmp_path, capsys):
     found = [json.loads(x) for x in run("search", "¿Qué dice el Decreto 829/2026?", "--dimensions", "64", "--min-similarity", "1")]
     assert [x["name"] for x in found] == ["Decreto 829/2026"] and found[0]["match"] == "reference" and found[0]["url"] == "http://x.org/1"
     assert main(["search", *store, "a"], spark) == 2
+    gold = [{"question": "Decreto 829/2026", "kind": "reference", "expected": [1]}, {"question": "régimen de pesca", "kind": "topic", "expected": [2, 99]}, {"question": "ajena", "kind": "topic", "expected": [77]}, {"question": "zzz", "kind": "absent"}]
+    (tmp_path / "gold.jsonl").write_text("\n".join(map(json.dumps, gold)), encoding="utf-8")
+    ask = ("evaluate", str(tmp_path / "gold.jsonl"), "--dimensions", "64", "--min-similarity", "0.2")
+    out = [json.loads(x) for x in run(*ask)]
+    assert out[0]["skipped"] == 1 and out[1]["questions"] == 2 and out[1]["recall_5"] == 1 and [x["kind"] for x in out[2:4]] == ["reference", "topic"] and out[4] == {"absent": 1, "rejected": 1}
+    out = [json.loads(x) for x in run(*ask, "--floors")][1:]
+    assert [x["floor"] for x in out] == sorted(x["floor"] for x in out) and len(out) == 12 and out[-1]["recall_5"] >= 0.5 and out[-1]["rejected"] == 1
+    (tmp_path / "gold.jsonl").write_text(json.dumps(gold[2]), encoding="utf-8")
+    assert main([ask[0], *store, *ask[1:]], spark) == 2
     row |= {"titulo_sumario": "Pesca"}
     rows += [row | {"id_norma": "4", "numero_norma": "9", "texto_resumido": "faros"}]
     rows[1] = rows[1] | {"titulo_sumario": "Pesca"}
@@ -35,3 +44,16 @@ def test_commands(spark, tmp_path, capsys):
     assert main(["update", *store, str(tmp_path / "none.csv"), "--pages", str(tmp_path / "pages")], spark) == 1
     assert "failed: FileNotFoundError" in run("status")[1]
     assert run("status")[0].startswith("Last update: ")
+
+
+def test_gold_questions():
+    import pytest
+
+    from codicil.operators.evaluate import GoldQuestion, read_gold
+
+    assert read_gold(["", '{"question": " a ", "kind": "topic", "expected": [3]}', '{"question": "b", "kind": "absent"}']) == [GoldQuestion("a", "topic", (3,)), GoldQuestion("b", "absent", ())]
+    for line, why in (('{"kind": "topic", "expected": [3]}', "no question"), ('{"question": "a", "kind": "odd", "expected": [3]}', "kind must be"), ('{"question": "a", "kind": "topic"}', "only absent"), ('{"question": "a", "kind": "topic", "expected": ["3"]}', "expected must be a list of ids")):
+        with pytest.raises(ValueError, match=f"line 1: {why}"):
+            read_gold([line])
+    with pytest.raises(ValueError, match="line 2: the question stands twice"):
+        read_gold(['{"question": "a", "kind": "topic", "expected": [3]}'] * 2)

@@ -131,3 +131,16 @@ def test_embedding_reports_what_fails(spark):
     with pytest.raises(Exception, match="expected 3 dimensions"):
         embed_chunks(df, lambda: Flaky(set()), 3).collect()
     assert issubclass(TooManyFailures, RuntimeError)
+
+
+def test_search_with_an_index(corpus, tmp_path):
+    c, r, t, e = corpus
+    index = S.index_chunks(c, r, e.model, str(tmp_path / "index"), cells=3)
+    v = [float(x) for x in e.embed(["cupo de captura para buques"])[0]]
+    o = Options(min_similarity=0.1, version_similarity=None)
+    near = Options(exact=False, ef_search=1, min_similarity=0.1, version_similarity=None)
+    exact = ids(S.search_by_vector(c, r, t, e.model, v, o))
+    assert exact and ids(S.search_by_vector(c, r, t, e.model, v, near, index)) == exact
+    # a filter that leaves one regulation makes it probe on; a citation is looked up in all chunks
+    only = Options(exact=False, ef_search=1, min_similarity=0.0, version_similarity=None, types=("ley",), year_from=2026, references=(S.Reference("Ley", "24013", 2026),))
+    assert set(ids(S.search_by_vector(c, r, t, e.model, v, only, index))) == {10, 11, 12}
