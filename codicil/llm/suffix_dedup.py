@@ -18,7 +18,9 @@ the dictionary, their order in the documents is the parse.
    partitions by their own hashes, after being combined on the sending side.
 3. The removed ranges of each document are merged and cut out.
 
-Suffixes are ordered by 64-bit fingerprints of their SPAN bytes, since only their equality matters, not which is smaller.
+Suffixes are ordered by 64-bit fingerprints of their SPAN bytes, since only their equality matters, not which is smaller. Phrases and suffixes
+count as equal only if their triggers' hashes are equal as well, so that a fingerprint has to tell apart no more than what shares a trigger
+(windows of very frequent triggers go by the fingerprint alone).
 
 Rules: a null text is empty; a null id comes before all others. Rows that repeat an id are the same document: a
 string at the same place of it isn't earlier. Texts shorter than SPAN bytes are never touched. Documents of any length
@@ -133,10 +135,12 @@ def pieces_of(batch: pa.RecordBatch) -> Iterator[list[tuple[int, int, bytes]]]:
         yield pieces
 
 
-def later(key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the first of each key, by (doc, at), and of those that come later. What stands at the first's own place is neither."""
-    order = np.lexsort((at, doc, key))
+def later(key: np.ndarray, doc: np.ndarray, at: np.ndarray, h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the first of each key (and trigger h), by (doc, at), and of those that come later. What stands at the first's own place is neither."""
+    order = np.lexsort((at, doc, key) if h is None else (at, doc, h, key))
     head = np.r_[True, key[order[1:]] != key[order[:-1]]]
+    if h is not None:
+        head[1:] |= h[order[1:]] != h[order[:-1]]
     lead = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
     after = (doc[order] != doc[lead]) | (at[order] != at[lead])
     return order[head], order[after]
@@ -228,8 +232,8 @@ def removed_ranges(docs: DataFrame) -> DataFrame:
                 use = np.flatnonzero(bitmap[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1)
                 if not len(use):
                     continue
-                key = phrase_key(p.hashes, p.start[use], p.n[use], p.d[use]) ^ h[use]
-                head, again = later(key, p.doc[use], p.at[use])
+                key = phrase_key(p.hashes, p.start[use], p.n[use], p.d[use])
+                head, again = later(key, p.doc[use], p.at[use], h[use])
                 done, use = use[again], use[np.sort(head)]
                 gone = [ranges(p.doc[done], p.at[done], p.at[done] + p.n[done] + SPAN - 1)]
                 often = hot[np.minimum(np.searchsorted(hot, h[use]), len(hot) - 1)] == h[use] if len(hot) else np.zeros(len(use), bool)
@@ -292,6 +296,16 @@ def removed_ranges(docs: DataFrame) -> DataFrame:
     return gathered(found, merge, "key long, spans binary")
 
 
+def in_order(w: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of suffixes by fingerprint and trigger, equal ones as they stand, and which of them equal the one before."""
+    order = np.argsort(w, kind="stable")
+    same = w[order[1:]] == w[order[:-1]]
+    if (same & (h[order[1:]] != h[order[:-1]])).any():  # suffixes of different triggers with one fingerprint
+        order = np.lexsort((h, w))
+        same = (w[order[1:]] == w[order[:-1]]) & (h[order[1:]] == h[order[:-1]])
+    return order, np.r_[False, same]
+
+
 def compare_phrases(data: list[bytes]) -> list[np.ndarray]:
     """What is repeated in the phrases of a bucket."""
     recs, texts = [], []
@@ -308,8 +322,8 @@ def compare_phrases(data: list[bytes]) -> list[np.ndarray]:
     start = np.cumsum(size) - size
     hashes = Hashes(raw)
     n = rec["n"].astype(np.int64)
-    key = phrase_key(hashes, start, n, rec["d"].astype(np.int64)) ^ rec["h"]
-    head, again = later(key, rec["doc"], rec["at"])
+    key = phrase_key(hashes, start, n, rec["d"].astype(np.int64))
+    head, again = later(key, rec["doc"], rec["at"], rec["h"])
     gone = [ranges(rec["doc"][again], rec["at"][again], rec["at"][again] + size[again])]
     # phrases of a trigger that has others: their windows, in the order of the corpus
     h = np.sort(rec["h"][head])
@@ -320,8 +334,7 @@ def compare_phrases(data: list[bytes]) -> list[np.ndarray]:
         which = np.repeat(head, n[head])
         step = np.arange(len(which)) - np.repeat(np.cumsum(n[head]) - n[head], n[head])
         w, doc, at = hashes.span(start[which] + step), rec["doc"][which], rec["at"][which] + step
-        order = np.argsort(w, kind="stable")
-        same = np.r_[False, w[order[1:]] == w[order[:-1]]]
+        order, same = in_order(w, rec["h"][which])
         lead = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
         again = order[same & ((doc[order] != doc[lead]) | (at[order] != at[lead]))]
         gone.append(merge_ranges(ranges(doc[again], at[again], at[again] + SPAN)))

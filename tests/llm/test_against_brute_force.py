@@ -555,3 +555,15 @@ def test_joins_of_hot_keys(spark):
     less = table.where("key != 7")
     assert spread_join(rows, less, "key", "left").where("twice is null").count() == rows.join(less, "key", "left").where("twice is null").count()
     assert spread_join(rows.limit(0), table, "key").count() == 0
+
+
+def test_one_fingerprint_of_several_triggers():
+    import numpy as np
+
+    from codicil.llm.suffix_dedup import in_order, later
+
+    w, h = np.array([5, 9, 5, 5, 9, 5], np.uint64), np.array([1, 3, 2, 1, 3, 2], np.uint64)
+    order, same = in_order(w, h)
+    assert order.tolist() == [0, 3, 2, 5, 1, 4] and same.tolist() == [False, True] * 3
+    head, again = later(w, np.arange(6), np.zeros(6, np.int64), h)
+    assert sorted(head.tolist()) == [0, 1, 2] and sorted(again.tolist()) == [3, 4, 5]
