@@ -16,50 +16,66 @@ counted as they stand, repeated ids too.
 
 from __future__ import annotations
 
+import collections
+import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, settled, spread_join, texts_of
+from .common import map_batches, mix, settled, spread_join, texts_of
 
 #: Words in a shard, entries that are extended at once, bits of the filters (2 MB).
 SHARD, RUN, FILTER = 1 << 20, 1 << 18, 1 << 24
-_MAP = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else 32 if b == 9 else b for b in range(256))
+#: What ends a piece becomes a full stop, which then is a word of its own that no text has.
+_MAP = bytes(46 if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else 32 if b == 9 else b for b in range(256))
+_GAP, _M = b".", np.uint64(0x9E3779B97F4A7C15)
 COUNTS = "lang string, phrase string, n long"
 
 
-def bit_of(lang: str, phrase: bytes) -> int:
-    """The place of a phrase in a filter."""
-    return xxhash.xxh3_64_intdigest(phrase, seed=xxhash.xxh32_intdigest(lang.encode("utf-8", "surrogatepass"))) & (FILTER - 1)
+def hashes_of(lang: str, words: list[bytes]) -> np.ndarray:
+    seed = xxhash.xxh32_intdigest(lang.encode("utf-8", "surrogatepass"))
+    return np.fromiter((xxhash.xxh3_64_intdigest(w, seed=seed) for w in words), np.uint64, len(words))
+
+
+def pair_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hashes of phrases of two words from those of the words."""
+    return mix(a * _M + b)
 
 
 class Filter:
-    """A set of phrases, without misses."""
+    """A set of phrases by their hashes, without misses."""
 
     def __init__(self, bits: np.ndarray):
         self.bits = bits
 
-    def has(self, lang: str, phrases: list[bytes]) -> np.ndarray:
-        at = np.fromiter((bit_of(lang, x) for x in phrases), np.int64, len(phrases))
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        at = (hashes & np.uint64(FILTER - 1)).astype(np.int64)
         return (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
 class Shard:
     """The bitmaps of the words of some texts."""
 
-    def __init__(self, texts: list[bytes]):
-        names: dict[bytes, int] = {b"\n": 0}
-        ids: list[int] = []
+    def __init__(self, lang: str, texts: list[bytes]):
+        names: dict[bytes, int] = collections.defaultdict(itertools.count().__next__)
+        gap = names[_GAP]
+        ids: list[np.ndarray] = []
         for text in texts:
-            ids += [names.setdefault(w, len(names)) for w in text.translate(_MAP).replace(b"\n", b" \n ").split(b" ") if w]
-            ids.append(0)
-        self.names, word = list(names), np.array(ids, np.int64)
-        at = np.flatnonzero(word)
-        self._set(*self._packed(at >> 3, word[at], np.uint8(1) << (at & 7).astype(np.uint8)))
+            words = text.translate(_MAP).replace(_GAP, b" . ").split()
+            words.append(_GAP)
+            ids.append(np.fromiter(map(names.__getitem__, words), np.int32, len(words)))
+        word = np.concatenate(ids)
+        self.size = len(names)
+        self.names = pa.array([w.decode("utf-8", "replace") for w in names], pa.string())
+        self.hashes = hashes_of(lang, list(names))
+        at = np.flatnonzero(word != gap)
+        self._set(*self._packed((at >> 3).astype(np.int32), word[at], np.uint8(1) << (at & 7).astype(np.uint8)))
 
     def _set(self, *entries: np.ndarray) -> None:
         self.entries = entries
@@ -68,7 +84,7 @@ class Shard:
     @staticmethod
     def _packed(block: np.ndarray, owner: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Entries with the bits of equal ones joined, sorted by block."""
-        order = np.lexsort((owner, block))
+        order = np.argsort(block * np.int64(owner.max(initial=0) + 1) + owner)
         block, owner, bits = block[order], owner[order], bits[order]
         first = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (owner[1:] != owner[:-1])]) if len(block) else np.zeros(0, np.int64)
         return block[first], owner[first], np.bitwise_or.reduceat(bits, first) if len(first) else bits
@@ -95,8 +111,8 @@ class Shard:
         _, words, word_bits = self.entries
         low = self.start[block]
         many = self.start[block + 1] - low
-        left = np.repeat(np.arange(len(block)), many)
-        right = np.arange(len(left)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+        left = np.repeat(np.arange(len(block), dtype=np.int32), many)
+        right = np.arange(len(left), dtype=np.int32) + np.repeat((low - np.cumsum(many) + many).astype(np.int32), many)
         both = bits[left] & word_bits[right]
         there = np.flatnonzero(both)
         left, right = left[there], right[there]
@@ -105,47 +121,42 @@ class Shard:
 
 def _summed(key: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The popcounts of each key."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key = key[order]
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
     return key[first], np.add.reduceat(np.bitwise_count(bits[order]).astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
 
 
-def count_words(shard: Shard, lang: str) -> Iterator[tuple[list[bytes], np.ndarray]]:
+def _joined(shard: Shard, *words: np.ndarray) -> pa.Array:
+    return pc.binary_join_element_wise(*(shard.names.take(pa.array(w)) for w in words), " ")
+
+
+def count_words(shard: Shard) -> Iterator[tuple[pa.Array, np.ndarray]]:
     _, owner, bits = shard.entries
     words, n = _summed(owner, bits)
-    yield [shard.names[i] for i in words.tolist()], n
+    yield shard.names.take(pa.array(words)), n
 
 
-def count_pairs(shard: Shard, lang: str, words: Filter) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    shard.only(words.has(lang, shard.names))
+def count_pairs(shard: Shard, words: Filter) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    shard.only(words.has(shard.hashes))
     for run in shard.runs():
         _, a, b, bits = shard.extended(*run)
-        keys, n = _summed(a * len(shard.names) + b, bits)
-        yield [shard.names[k // len(shard.names)] + b" " + shard.names[k % len(shard.names)] for k in keys.tolist()], n
-
-
-def count_triples(shard: Shard, lang: str, words: Filter, pairs: Filter) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    shard.only(words.has(lang, shard.names))
-    size = len(shard.names)
-    known: dict[int, bool] = {}
+        keys, n = _summed(a * np.int64(shard.size) + b, bits)
+        yield _joined(shard, keys // shard.size, keys % shard.size), n
 
-    def frequent(keys: np.ndarray) -> np.ndarray:
-        new = [k for k in keys.tolist() if k not in known]
-        known.update(zip(new, pairs.has(lang, [shard.names[k // size] + b" " + shard.names[k % size] for k in new]).tolist()))
-        return np.fromiter((known[k] for k in keys.tolist()), bool, len(keys))
 
+def count_triples(shard: Shard, words: Filter, pairs: Filter) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    shard.only(words.has(shard.hashes))
+    h = shard.hashes
     for run in shard.runs():
         block, a, b, bits = shard.extended(*run)
-        pair, at = np.unique(a * size + b, return_inverse=True)
-        keep = frequent(pair)[at]
-        block, at, bits = block[keep], at[keep], bits[keep]
-        _, owner, c, bits = shard.extended(block, at, bits)  # owner: the pair's place in pair
-        ends, of = np.unique(pair[owner] % size * size + c, return_inverse=True)
-        keep = frequent(ends)[of]
-        keys, n = _summed(owner[keep] * size + c[keep], bits[keep])
-        first = pair[keys // size]
-        yield [b" ".join((shard.names[x // size], shard.names[x % size], shard.names[z])) for x, z in zip(first.tolist(), (keys % size).tolist())], n
+        keep = pairs.has(pair_of(h[a], h[b]))
+        pair, at = np.unique(a[keep] * np.int64(shard.size) + b[keep], return_inverse=True)
+        _, owner, c, bits = shard.extended(block[keep], at, bits[keep])  # owner: the pair's place in pair
+        keep = pairs.has(pair_of(h[pair[owner] % shard.size], h[c]))
+        keys, n = _summed(owner[keep] * np.int64(shard.size) + c[keep], bits[keep])
+        first = pair[keys // shard.size]
+        yield _joined(shard, first // shard.size, first % shard.size, keys % shard.size), n
 
 
 def _over_shards(docs: DataFrame, count, *filters) -> DataFrame:
@@ -153,9 +164,8 @@ def _over_shards(docs: DataFrame, count, *filters) -> DataFrame:
     sent = [docs.sparkSession.sparkContext.broadcast(x) for x in filters]
 
     def counted(lang: str, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        for phrases, n in count(Shard(texts), lang, *(Filter(x.value) for x in sent)):
-            if phrases:
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array([x.decode("utf-8", "replace") for x in phrases], pa.string()), pa.array(n, pa.int64())], ["lang", "phrase", "n"])
+        for phrases, n in count(Shard(lang, texts), *(Filter(x.value) for x in sent)):
+            yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(n), np.int64))), phrases, pa.array(n, pa.int64())], ["lang", "phrase", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = {}
@@ -177,13 +187,17 @@ def _filter_of(counts: DataFrame) -> np.ndarray:
     """The bitmap of the phrases of a table, put together in each task and then over tasks."""
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: set[int] = set()
+        found = np.zeros(FILTER // 64, np.uint64)
         for batch in batches:
-            found.update(bit_of(lang, x.encode()) for lang, x in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist()))
-        at = np.array(sorted(found), np.int64)
-        word, first = np.unique(at >> 6, return_index=True)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first).view(np.int64))], ["word", "bits"])
+            by: dict[str, list[list[bytes]]] = {}
+            for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist()):
+                by.setdefault(lang, []).append(phrase.encode("utf-8", "surrogatepass").split(b" "))
+            for lang, phrases in by.items():
+                columns = [hashes_of(lang, list(words)) for words in zip(*phrases)]  # all of one length
+                at = (functools.reduce(pair_of, columns) & np.uint64(FILTER - 1)).astype(np.int64)
+                np.bitwise_or.at(found, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+        word = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(found[word].view(np.int64))], ["word", "bits"])
 
     joined = map_batches(counts.select("lang", "phrase"), bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(FILTER // 64, np.int64)
