@@ -10,8 +10,10 @@ confirmed on the full sets, read again from the texts. As only components are as
 
 * In the groups of the first FIRST trees the strongest candidates that connect what can be connected (a maximum spanning forest) are confirmed. A large group is dealt
   in chunks, each together with the same two of its nodes.
-* In the groups of all trees every candidate between nodes that aren't connected yet is confirmed. Groups that are connected are left out;
-  in a large group the nodes outside its largest component are compared with all others, by chunks of both.
+* In the groups of all trees the nodes that aren't connected yet are compared again, by parity bitmaps of their whole sets: the bits in which two of them differ are no more than the
+  elements in which the sets differ, and nearly as many. Groups that are connected are left out; in a large group the nodes outside its largest component are compared
+  with all others, by chunks of both. Of the pairs that the bitmaps leave possible first a forest between components is confirmed, then every
+  one whose nodes are apart even then: those are few, as a pair that the bitmaps let through is nearly always a link.
 
 So no link that a tree brings together is lost, and copies of one text are never expanded into pairs.
 
@@ -29,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE, arrow_map, forget, map_batches, mix, pick, settled, shuffle_partitions, spread_join, texts_of
+from .common import SLICE, arrow_map, map_batches, mix, pick, settled, shuffle_partitions, spread_join, texts_of
 from .graph import components
 from .jaccard_join import _dealt, _named, _rooted, in_groups, node_of, shingles
 
-WIDTH, TREES, FIRST, DEPTH, SMALL, CHUNK, PAIRS = 128, 12, 2, 4, 48, 256, 256
+WIDTH, TREES, FIRST, DEPTH, SMALL, CHUNK, PAIRS, PARITY = 128, 12, 2, 4, 48, 512, 256, 19
 _A = (mix(np.arange(1, WIDTH + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (mix(np.arange(WIDTH + 1, 2 * WIDTH + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
@@ -179,28 +181,80 @@ def first_candidates(groups: DataFrame, nodes: DataFrame, percent: int) -> DataF
     return in_groups(rows.select("key", "part", "node", "n_shingles", "sketch"), ("key", "part"), ("node", "n_shingles", "sketch"), compare, "a long, b long").distinct()
 
 
-def other_candidates(groups: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """a, b: every candidate of all groups whose nodes have different roots."""
-    need = least_agreement(percent)
+def parity_of(s: np.ndarray) -> np.ndarray:
+    """Of each of some 16 buckets for each element (2**PARITY at most), whether it holds an odd number of them, as bits of words."""
+    size = 1 << min(PARITY, max(8, math.ceil(math.log2(16 * len(s)))))
+    held = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(held.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def halved(bits: np.ndarray, words: int) -> np.ndarray:
+    """Parity bitmaps (rows) as narrower ones of the same sets."""
+    while bits.shape[1] > words:
+        bits = bits[:, : bits.shape[1] // 2] ^ bits[:, bits.shape[1] // 2 :]
+    return bits
+
+
+def likeness(bits: list[np.ndarray], n: np.ndarray, percent: int) -> np.ndarray:
+    """For each pair of sets the most that its similarity can be, in 10,000ths and one more; 0 where that doesn't make a link."""
+    out = np.zeros((len(n), len(n)), np.int32)
+    words = np.array([len(x) for x in bits])
+    for w in np.unique(words).tolist():
+        own, wide = np.flatnonzero(words == w), np.flatnonzero((words >= w) & (words <= 2 * w))
+        table = np.concatenate([halved(np.stack([bits[i] for i in wide[words[wide] == v]]), w) for v in (w, 2 * w) if (words[wide] == v).any()])
+        wide = np.concatenate([wide[words[wide] == v] for v in (w, 2 * w)])
+        for i in own:
+            differ = np.bitwise_count(table ^ bits[i]).sum(axis=1, dtype=np.int64)
+            total = n[wide] + n[i]
+            likely = np.where(differ * (100 + percent) <= total * (100 - percent), 1 + np.maximum(0, total - differ) * 10_000 // (total + differ), 0)
+            out[i, wide] = out[wide, i] = likely
+    out[~_sizes_fit(n, percent)] = 0
+    return out
+
+
+def parities(nodes: DataFrame, names: DataFrame, base: DataFrame, k: int) -> DataFrame:
+    """node, bits: the parity bitmaps of nodes, from their texts."""
+    reps = nodes.join(names, "node").select("node", "rep")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [(node, parity_of(s).tobytes()) for node, text in zip(batch.column("node").to_pylist(), texts_of(batch)) if len(s := shingles(text, k)) and node_of(s) == node]
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], ["node", "bits"])
+
+    return arrow_map(base.join(reps, base.doc_id == reps.rep).select("node", "text"), run, "node long, bits binary").dropDuplicates(["node"])
+
+
+def apart(groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of groups, with ``root``, of those that hold several roots."""
     rooted = settled(_rooted(groups, roots, "node").withColumnRenamed("rnode", "root"))
     ends = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     mixed = settled(ends.where("low < high").select("key", F.lit(1).alias("mixed")))
-    rows = settled(spread_join(rooted, mixed, "key").drop("mixed"))
-    small = rows.where(F.col("n") <= SMALL).select("key", F.lit(0).cast("long").alias("part"), "node", "root", F.lit(False).alias("stray"))
+    return settled(spread_join(rooted, mixed, "key").drop("mixed"))
+
+
+def other_candidates(rows: DataFrame, nodes: DataFrame, percent: int, every: bool) -> DataFrame:
+    """a, b: pairs of nodes with different roots in the same group that the bitmaps leave possible; every: all of them, else a forest in each part. rows: from apart()."""
+    small = rows.where(F.col("n") <= SMALL).select("key", F.lit(0).cast("long").alias("part"), "node", "root")
     large = settled(rows.where(F.col("n") > SMALL).select("key", "node", "root"))
     main = settled(large.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main")))
     strays = settled(spread_join(large, main, "key").select("key", "node", "root", (F.col("root") != F.col("main")).alias("stray")))
-    dealt = _dealt(strays, "key", "stray", lambda n: F.ceil(n / CHUNK)).select("key", "part", "node", "root", "stray")
-    every = spread_join(settled(small.unionByName(dealt)), nodes, "node")
+    dealt = _dealt(strays, "key", "stray", lambda n: F.ceil(n / CHUNK)).select("key", "part", "node", "root")
+    there = settled(small.unionByName(dealt)).join(nodes, "node")
 
     def compare(_: tuple, columns: list[list]) -> list[tuple]:
         node, at = np.unique(np.array(columns[0], np.int64), return_index=True)
+        if len(node) < 2:
+            return []
         root, n = (np.array(columns[c], np.int64)[at] for c in (1, 2))
-        tokens = np.stack([np.frombuffer(columns[3][i], np.uint32) for i in at])
-        found = (agreement(tokens) >= need) & _sizes_fit(n, percent) & (root[:, None] != root[None, :])
-        return [(int(node[i]), int(node[j])) for i, j in zip(*np.nonzero(np.triu(found)))]
+        likely = likeness([np.frombuffer(columns[3][i], np.uint64) for i in at], n, percent)
+        same = root[:, None] == root[None, :]
+        if every:
+            found = zip(*np.nonzero(np.triu((likely > 0) & ~same)))
+        else:
+            likely[same] = 20_000
+            found = ((i, j) for i, j in forest(likely) if root[i] != root[j])
+        return [(int(node[i]), int(node[j])) for i, j in found]
 
-    return in_groups(every.select("key", "part", "node", "root", "n_shingles", "sketch"), ("key", "part"), ("node", "root", "n_shingles", "sketch"), compare, "a long, b long").distinct()
+    return in_groups(there.select("key", "part", "node", "root", "n_shingles", "bits"), ("key", "part"), ("node", "root", "n_shingles", "bits"), compare, "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, names: DataFrame, base: DataFrame, k: int, percent: int) -> DataFrame:
@@ -256,14 +310,17 @@ def chosen_path_groups(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFr
     groups = settled(leaf_groups(sketches, percent))
     first = settled(first_candidates(groups, sketches, percent))
     linked = settled(confirmed(first, names, base, k, percent))
-    others = other_candidates(groups, sketches, settled(components(linked)), percent)
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    others = settled(others.join(tried, ["a", "b"], "left_anti"))
-    more = confirmed(others, names, base, k, percent)
-    out = _named(base, found.select("doc_id", "node", "n_shingles"), names, components(settled(linked.unionByName(more))))
-    for done in (groups, first, others):
-        forget(done)
-    return out
+    tried, bits = first, None
+    for every in (False, True):
+        rows = apart(groups.select("key", "node", "n"), settled(components(linked)))
+        if bits is None:
+            bits = settled(parities(rows.select("node").distinct(), names, base, k).join(sketches.drop("sketch"), "node"))
+        found_now = other_candidates(rows, bits, percent, every).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        past = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        now = settled(found_now.join(past, ["a", "b"], "left_anti"))
+        linked = settled(linked.unionByName(confirmed(now, names, base, k, percent)))
+        tried = tried.unionByName(now)
+    return _named(base, found.select("doc_id", "node", "n_shingles"), names, components(linked))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame:
