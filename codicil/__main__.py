@@ -9,7 +9,6 @@ import datetime
 import json
 import os
 import sys
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,20 +28,27 @@ def say(rows: DataFrame) -> None:
 
 
 def stores(spark: SparkSession, folder: str):
+    from codicil.sources.bucketed import BucketedTable
     from codicil.sources.store import VersionedTable
 
-    return [VersionedTable(spark, f"{folder}/{name}", schema) for name, schema in (("regulations", REGULATIONS), ("texts", TEXTS), ("chunks", CHUNKS), ("runs", RUNS))]
+    keyed = (("regulations", REGULATIONS, "id"), ("texts", TEXTS, "regulation_id"), ("chunks", CHUNKS, "regulation_id"))
+    return [*(BucketedTable(spark, f"{folder}/{name}", schema, key) for name, schema, key in keyed), VersionedTable(spark, f"{folder}/runs", RUNS)]
+
+
+def records_of(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """The records of a CSV file or an archive, which is unpacked in the store's folder: executors read it too."""
+    from codicil.sources.records import read_records, resolve_csv
+
+    return read_records(spark, resolve_csv(a.records, f"{a.store}/incoming"))
 
 
 def ingest(spark: SparkSession, a: argparse.Namespace) -> None:
     from codicil.operators import ingest as I
     from codicil.operators.changes import change_report, changes
-    from codicil.sources.records import read_records, resolve_csv
-    from codicil.sources.store import upsert
 
     regulations, _, _, runs = stores(spark, a.store)
     subset = I.Subset(tuple(a.type or ()), a.since)
-    rows = I.classified(read_records(spark, resolve_csv(a.records, tempfile.mkdtemp(prefix="codicil-csv-"))), (subset,))
+    rows = I.classified(records_of(spark, a), (subset,))
     say(I.report(rows))
     for part in (I.selected_by_type(rows), I.rejection_reasons(rows), I.rejected_examples(rows)):
         say(part)
@@ -50,7 +56,7 @@ def ingest(spark: SparkSession, a: argparse.Namespace) -> None:
     now = (I.first_selected(rows, a.limit) if a.limit else chosen).select("line", *I.STORED)
     counts = change_report(changes(regulations.read(), now.drop("line"))).first()
     if not a.dry_run:
-        regulations.write(upsert(regulations.read(), now, "id", order="line"))
+        regulations.upsert(now, "line", "created_at", "updated_at")
         run = (datetime.datetime.now(), "ok", True, counts.added, counts.changed, None)
         runs.append(spark.createDataFrame([run], RUNS))
     print(json.dumps(counts.asDict()))
@@ -71,17 +77,16 @@ def save_texts(spark: SparkSession, a: argparse.Namespace, regulations: DataFram
 
     from codicil.operators import texts as T
     from codicil.sources.records import read_page_cache
-    from codicil.sources.store import replace_children
 
     _, stored, chunks, _ = stores(spark, a.store)
     pages = read_page_cache(spark, a.pages).select("id", "source", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("reason"), "body", F.lit(None).cast("string").alias("content_type"))
     rows = settled(T.process_texts(regulations, pages, stored.read(), force, a.max_chars))
     saved = rows.where("status = 'saved'").select("regulation_id", "source", "source_url", "content", "content_hash")
-    number = F.row_number().over(Window.partitionBy("regulation_id").orderBy("ordinal")) + F.col("regulation_id").cast("long") * 100_000
+    number = F.row_number().over(Window.partitionBy("regulation_id").orderBy("ordinal")) + F.shiftleft(F.col("regulation_id").cast("long"), 32)
     none = [F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("string").alias("embedding_model")]
     new = T.chunk_rows(rows).select(number.alias("id"), "regulation_id", "ordinal", "section", "label", "content", *none)
-    chunks.write(replace_children(chunks.read(), new, "regulation_id", saved))
-    stored.write(replace_children(stored.read(), saved, "regulation_id", saved))
+    chunks.replace(new, saved.select("regulation_id"))
+    stored.replace(saved, saved.select("regulation_id"))
     return rows
 
 
@@ -113,7 +118,9 @@ def embed_pending(spark: SparkSession, a: argparse.Namespace) -> dict:
     name = regulation_name(F.col("type"), F.col("number"), F.col("enacted_on"))
     inputs = rows.select("id", embedding_input(name, F.col("topic"), F.col("title"), F.col("label"), F.col("content")).alias("input"))
     dimensions = a.dimensions
-    chunks.write(save_vectors(chunks.read(), embed_chunks(inputs, lambda: HashingEmbedder(dimensions=dimensions), dimensions).where("error is null"), "hashing"))
+    done = settled(embed_chunks(inputs, lambda: HashingEmbedder(dimensions=dimensions), dimensions).where("error is null").select("id", "embedding"))
+    keys = settled(wanted.select("id", "regulation_id").join(done, "id", "left_semi").select("regulation_id").distinct())
+    chunks.replace(save_vectors(chunks.of_keys(keys), done, "hashing"), keys)
     return {"embedded": chunks.read().where("embedding is not null").count()}
 
 
@@ -140,7 +147,7 @@ def update(spark: SparkSession, a: argparse.Namespace) -> int:
         now.append(R.DatasetState(R.sha256_of(a.records), datetime.datetime.now().isoformat(timespec="seconds")))
         if before and before.sha256 == now[0].sha256:
             return None
-        rows = I.classified(R.read_records(spark, R.resolve_csv(a.records, tempfile.mkdtemp(prefix="codicil-csv-"))), (I.Subset(tuple(a.type or ()), a.since),))
+        rows = I.classified(records_of(spark, a), (I.Subset(tuple(a.type or ()), a.since),))
         return settled(C.changes(regulations.read(), rows.where("status = 'selected'").select("line", *I.STORED)))
 
     def texts(wanted: list[int], refetch: bool) -> dict:
@@ -148,14 +155,15 @@ def update(spark: SparkSession, a: argparse.Namespace) -> int:
         return json.loads(rows.transform(T.text_report).toJSON().first())
 
     def forget(wanted: list[int]) -> int:
-        kept, count = S.forget_vectors(chunks.read(), ids(wanted).select(F.col("id").alias("regulation_id")))
+        keys = ids(wanted).select(F.col("id").alias("regulation_id"))
+        kept, count = S.forget_vectors(chunks.of_keys(keys), keys)
         n = count.first().forgotten
-        chunks.write(kept)
+        chunks.replace(kept, keys)
         return n
 
     steps = C.UpdateSteps(
         load_unfinished=lambda: S.load_unfinished(journal), save_unfinished=lambda work: S.save_unfinished(journal, work), found=found,
-        upsert=lambda rows: regulations.write(S.upsert(regulations.read(), rows.select("line", *I.STORED), "id", order="line")),
+        upsert=lambda rows: regulations.upsert(rows.select("line", *I.STORED), "line", "created_at", "updated_at"),
         without_text=lambda: sorted(r.id for r in C.without_text(regulations.read(), stored.read()).select("id").toLocalIterator()),
         texts=texts, forget_vectors=forget, embed=lambda: embed_pending(spark, a), commit=lambda: R.save_state(state, now[0]),
     )
@@ -176,6 +184,13 @@ def update(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
+def maintain(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Rewrites the buckets that have gathered many changes, and drops what only versions before the last --keep hold."""
+    for t in stores(spark, a.store)[:3]:
+        written = t.compact(a.most)
+        print(json.dumps({"table": t.path.rpartition("/")[2], "version": written.number, "buckets": len(written.touched), "folders_dropped": t.vacuum(a.keep)}))
+
+
 def search(spark: SparkSession, a: argparse.Namespace) -> int:
     from urllib.parse import urlencode
 
@@ -274,6 +289,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     floor = (["--min-similarity"], {"type": float, "default": 0.55})
     command(evaluate, (["questions"], {}), (["--floors"], {"action": "store_true"}), (["--timings"], {"action": "store_true"}), floor, (["--min-recall"], {"type": float, "default": 0.0}), dimensions)
     command(status)
+    command(maintain, (["--most"], {"type": int, "default": 4}), (["--keep"], {"type": int, "default": 3}))
     a = p.parse_args(argv)
     own = spark or SparkSession.builder.appName(f"codicil-{a.command}").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", os.environ.get("CODICIL_UI", "false")).getOrCreate()
     return a.run(own, a) or 0

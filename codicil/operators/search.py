@@ -16,7 +16,7 @@ from codicil.functions.dates import states_date, written_dates
 from codicil.functions.text import references, regulation_name
 from codicil.functions.vectors import Embedder, checked, cosines, matrix, similarity_to
 
-from .ann import IvfIndex
+from .codes import CodeIndex
 from .versions import LINKAGE, POOL, SIMILARITY, group_versions
 
 DEFAULT_LIMIT, MAX_LIMIT, MIN_SIMILARITY, EF_SEARCH, MAX_EF_SEARCH, PER_REFERENCE = 8, 20, 0.55, 100, 1000, 3
@@ -118,30 +118,28 @@ def cited_chunks(rows: DataFrame, cited: DataFrame, limit: int) -> DataFrame:
     return nearest.drop("citation", "place")
 
 
-def index_chunks(chunks: DataFrame, regulations: DataFrame, model: str, path: str, cells: int = 64, recall: float = 0.95) -> IvfIndex:
-    """An inverted file over the vectors of a model, with what searches filter by. A search of it probes as many cells at least as find ``recall`` of the 10
+def index_chunks(chunks: DataFrame, regulations: DataFrame, model: str, path: str, cells: int = 64, recall: float = 0.95) -> CodeIndex:
+    """Product-quantised codes of the vectors of a model, with what searches filter by. A search ranks as many candidates exactly at least as find ``recall`` of the 10
     closest of a sample of its vectors."""
     r = regulations.select(F.col("id").alias("_id"), "type", "enacted_on")
     c = embedded(chunks, model).select("id", "regulation_id", "embedding")
-    index = IvfIndex.build(c.join(r, c.regulation_id == r._id).drop("_id"), path, cells)
-    return replace(index, least=index.probes_for(10, recall))
+    return CodeIndex.build(c.join(r, c.regulation_id == r._id).drop("_id"), path, cells).measured(10, recall)
 
 
-def closest(rows: DataFrame, vector: Sequence[float], o: Options, index: IvfIndex | None) -> DataFrame:
+def closest(rows: DataFrame, vector: Sequence[float], o: Options, index: CodeIndex | None) -> DataFrame:
     """chunk_id, similarity, regulation_id, enacted_on of the pool: the closest of ``rows`` (all that pass the filters), or, unless the search is to be exact,
-    of the cells of an index that are nearest to the vector; ef_search is how many thousandths of them are probed beyond what the index takes anyway."""
+    of what an index takes for the nearest; ef_search is how many candidates are ranked exactly, beyond what the index takes anyway."""
     if o.exact or index is None:
         return rows.orderBy(*by_relevance()).limit(o.pool).select("chunk_id", "similarity", "regulation_id", "enacted_on")
-    probes = math.ceil(len(index.centres) * o.ef_search / MAX_EF_SEARCH)
-    found = index.search(vector, o.pool, probes, filters(o, F.col("type"), F.col("enacted_on")), ("regulation_id", "enacted_on"))
+    found = index.search(vector, o.pool, o.ef_search, filters(o, F.col("type"), F.col("enacted_on")), ("regulation_id", "enacted_on"))
     return found.withColumnRenamed("id", "chunk_id").select("chunk_id", "similarity", "regulation_id", "enacted_on")
 
 
 def search_by_vector(
-    chunks: DataFrame, regulations: DataFrame, texts: DataFrame, model: str, vector: Sequence[float], options: Options | None = None, index: IvfIndex | None = None
+    chunks: DataFrame, regulations: DataFrame, texts: DataFrame, model: str, vector: Sequence[float], options: Options | None = None, index: CodeIndex | None = None
 ) -> DataFrame:
     """The results in order: place, match, chunk_id, similarity, section, label, content, earlier_versions, and of the regulation its id, type, number,
-    name, title, topic, enacted_on, text_source, url. Over all chunks that pass, or with ``index`` (see index_chunks) and without ``exact`` over the nearest cells;
+    name, title, topic, enacted_on, text_source, url. Over all chunks that pass, or with ``index`` (see index_chunks) and without ``exact`` over an index's candidates;
     what a question cites is looked up in all chunks in any case."""
     o = (options or Options()).checked()
     rows = scored(chunks, regulations, model, vector, o)
@@ -184,7 +182,7 @@ def describe(chunks: DataFrame, regulations: DataFrame, texts: DataFrame) -> Dat
     return rows.select("chunk_id", "section", "label", "content", "regulation_id", "type", "number", name.alias("name"), "title", "topic", "enacted_on", "text_source", url.alias("url"))
 
 
-def search(chunks: DataFrame, regulations: DataFrame, texts: DataFrame, embedder: Embedder, question: str, options: Options | None = None, today: datetime.date | None = None, index: IvfIndex | None = None) -> DataFrame:
+def search(chunks: DataFrame, regulations: DataFrame, texts: DataFrame, embedder: Embedder, question: str, options: Options | None = None, today: datetime.date | None = None, index: CodeIndex | None = None) -> DataFrame:
     """Embeds the question, reads citations and dates out of it unless they are given, and searches."""
     o = options or Options()
     try:

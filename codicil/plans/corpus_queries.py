@@ -145,6 +145,42 @@ def upsert(spark, sf_dir):
     return store.upsert(old, new, "id", now=datetime.date(2026, 1, 1))
 
 
+@query(
+    """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 100 = 0 THEN 'changed' WHEN o_orderkey % 103 = 0 THEN 'replaced' ELSE o_orderstatus END AS status, part FROM orders,
+      (SELECT unnest([1, 2]) AS part) WHERE o_orderkey % 101 <> 0 AND (part = 1 OR o_orderkey % 103 = 0 AND o_orderkey % 100 <> 0)
+    UNION ALL SELECT DISTINCT -o_custkey, 'new', 1 FROM orders WHERE o_orderkey % 100 = 0"""
+)
+def bucketed_changes(spark, sf_dir):
+    """A bucketed table of all orders after replacing some keys, an upsert of one in a hundred and new keys, deletes, and compaction."""
+    from codicil.sources.bucketed import BucketedTable
+    from codicil.sources.temporary import shared_folder
+
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("id"), F.col("o_orderstatus").alias("status"), F.lit(1).alias("part"), "o_custkey")
+    kept = BucketedTable(spark, f"{shared_folder(spark)}/orders", "id long, status string, part int", "id")
+    kept.append(orders.drop("o_custkey"))
+    some = orders.where("id % 103 = 0")
+    kept.replace(some.select("id", F.lit("replaced").alias("status"), F.explode(F.array(F.lit(1), F.lit(2))).alias("part")), some.select("id"))
+    changed = orders.where("id % 100 = 0")
+    kept.upsert(changed.select("id", F.lit("changed").alias("status"), "part").unionByName(changed.select((-F.col("o_custkey")).cast("long").alias("id"), F.lit("new").alias("status"), "part")))
+    kept.delete(orders.where("id % 101 = 0").select("id"))
+    kept.compact()
+    return kept.read()
+
+
+@query("SELECT doc_id, lang, length(text) AS n, sha256(text) AS text_sha256 FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL")
+def csv_records(spark, sf_dir):
+    """All documents written as CSV, line breaks in quotes, and read again in splits."""
+    from codicil.sources.splits import CSV, records
+    from codicil.sources.temporary import shared_folder
+
+    path = f"{shared_folder(spark)}/documents"
+    docs = table(spark, sf_dir, "documents").where("text is not null and lang is not null").select("doc_id", "lang", "text")
+    docs.write.options(header=True, quote='"', escape='"', quoteAll=True, lineSep="\n", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    rows = records(spark, path).where("number > 1").select(F.from_csv("raw", "doc_id string, lang string, text string", CSV).alias("r"))
+    text = F.coalesce("r.text", F.lit(""))
+    return rows.select(F.col("r.doc_id").cast("long").alias("doc_id"), "r.lang", F.length(text).cast("long").alias("n"), F.sha2(text, 256).alias("text_sha256"))
+
+
 @query(with_tables("series") + "SELECT regulation_id, ordinal, content FROM series WHERE regulation_id NOT IN (2, 5) UNION ALL SELECT regulation_id, 0, 'nuevo' FROM (SELECT DISTINCT regulation_id FROM series WHERE regulation_id = 2)")
 def replace_children(spark, sf_dir):
     old = table(spark, sf_dir, "series").select("regulation_id", "ordinal", "content")
@@ -227,7 +263,15 @@ def rate_limit_clients(spark, sf_dir):
     return limits.client_admissions(_requests(spark, sf_dir), 2, window=3_600_000)
 
 
-@query()
+@query(
+    """WITH RECURSIVE asked AS (SELECT event_id AS id, concat('c', user_id % 20) AS client, epoch_us(ts) // 1000 AS ms FROM events),
+  numbered AS (SELECT *, row_number() OVER (ORDER BY ms, id) AS i FROM asked),
+  walk AS (SELECT id, client, ms, i, CAST(NULL AS VARCHAR) AS reached, CAST(0 AS BIGINT) AS wait, [{'ms': ms, 'client': client}] AS log FROM numbered WHERE i = 1
+    UNION ALL SELECT id, client, ms, i, reached, wait, CASE WHEN wait = 0 THEN list_append(live, {'ms': ms, 'client': client}) ELSE live END FROM (
+      SELECT *, CASE WHEN len(own) >= 2 THEN 'client' WHEN len(live) >= 5 THEN 'total' END AS reached, CASE WHEN len(own) >= 2 THEN own[-2].ms + 3600000 - ms WHEN len(live) >= 5 THEN live[-5].ms + 3600000 - ms ELSE 0 END AS wait FROM (
+        SELECT *, list_filter(live, lambda x: x.client = client) AS own FROM (SELECT n.*, list_filter(w.log, lambda x: x.ms > n.ms - 3600000) AS live FROM walk w JOIN numbered n ON n.i = w.i + 1))))
+  SELECT id, client, ms, wait = 0 AS admitted, reached AS "limit", wait AS retry_after_ms FROM walk"""
+)
 def rate_limit_admission(spark, sf_dir):
     return limits.admissions(_requests(spark, sf_dir), 2, 5, window=3_600_000)
 

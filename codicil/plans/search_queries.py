@@ -189,13 +189,27 @@ def count_pending(spark, sf_dir):
     return table(spark, sf_dir, "chunks").where(pending(F.col("embedding"), F.col("embedding_model"), "new")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
-def ann_search(spark, sf_dir):
-    """The inverted file, on the vectors of the folder: the 10 nearest of every vector whose id is divisible by 100, among all."""
-    from codicil.operators.ann import IvfIndex
+def _coded(spark, sf_dir):
+    """An index of the vectors of the folder, and those whose id is divisible by 100 as questions."""
+    from codicil.operators.codes import CodeIndex
     from codicil.sources.temporary import shared_folder
 
     e = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
-    index = IvfIndex.build(e, shared_folder(spark), cells=16)
-    q = e.where("id % 100 = 0 and embedding is not null").select(F.col("id").alias("question"), "embedding")
-    return index.nearest_of_many(q, 10, index.probes_for(10, 0.95)).select("question", "id", _rounded(), "rank")
+    return CodeIndex.build(e, shared_folder(spark)), e.where("id % 100 = 0 and embedding is not null").select(F.col("id").alias("question"), "embedding")
+
+
+@query()
+def ann_search(spark, sf_dir):
+    """The 10 nearest by codes of every vector whose id is divisible by 100, among all."""
+    index, q = _coded(spark, sf_dir)
+    return index.measured(10, 0.97).nearest_of_many(q, 10).select("question", "id", _rounded(), "rank")
+
+
+@query(
+    f"""SELECT question, id, round(sim, 6) AS similarity, CAST(rank AS INT) AS rank FROM (SELECT q.vec_id AS question, c.vec_id AS id, {_COSINE.format(a='c.embedding', b='q.embedding')} AS sim,
+      row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COSINE.format(a='c.embedding', b='q.embedding')} DESC, c.vec_id) AS rank FROM embeddings c, embeddings q WHERE q.vec_id % 100 = 0) WHERE rank <= 10"""
+)
+def ann_exact(spark, sf_dir):
+    """The same by codes and the bounds of their errors, which leave nothing out."""
+    index, q = _coded(spark, sf_dir)
+    return index.exact_of_many(q, 10).select("question", "id", _rounded(), "rank")

@@ -24,16 +24,15 @@ COLUMNS = (
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file of records, all values strings. A header that lacks a column is an error. ``line`` numbers the records in the
-    order of the file (the first is 2), as far as one file is read by one task; its order is kept otherwise."""
-    head = spark.read.option("header", False).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path).limit(1).first()
-    names = [str(x).lstrip(chr(0xFEFF)) for x in head] if head else []
+    """CSV files of records, all values strings, read in splits (see splits.py). A header that lacks a column is an error. ``line`` numbers the records in the
+    order of their file (the first is 2); records without any value are left out and not counted."""
+    from .splits import CSV, header, records
+
+    names = header(spark, path)
     if missing := [c for c in COLUMNS if c not in names]:
         raise ValueError(f"columns missing from {path}: {', '.join(missing)}")
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    rows = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("nullValue", "\0").option("emptyValue", "").csv(path)
-    blank = F.concat_ws("", *(F.col(f"`{n}`") for n in names)) == ""
-    return rows.where(~blank).withColumn("line", F.monotonically_increasing_id() + 2)
+    rows = records(spark, path).where("number > 1")
+    return rows.select(F.from_csv("raw", ", ".join(f"`{n}` string" for n in names), CSV).alias("r"), F.col("number").alias("line")).select(*(F.coalesce(F.col(f"r.`{n}`"), F.lit("")).alias(n) for n in names), "line")
 
 
 def extract_csv(archive: str, folder: str) -> str:

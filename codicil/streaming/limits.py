@@ -7,15 +7,18 @@ everyone, so its decisions follow each other by nature: ``admissions`` makes the
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql import types as T
 
 WINDOW_MS = 60_000
+#: Clients whose logs are held before those that no longer count are dropped.
+SWEEP = 10_000
 
 
 class Log:
@@ -39,43 +42,110 @@ class Log:
             self.times.append(now)
 
 
+def _decided(requests: DataFrame, by: list[str], decide: Callable[[], Callable[[str, int], tuple]], kinds: dict[str, pa.DataType], names: str) -> DataFrame:
+    """requests (id, client, ms) in the order of ``by`` with what decide()(client, ms) says of each in turn. Spark sorts (and spills) the rows of a task; only the logs are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = decide()
+        for batch in batches:
+            said = [one(c, ms) for c, ms in zip(batch.column("client").to_pylist(), batch.column("ms").to_pylist())]
+            extra = [pa.array([x[i] for x in said], kind) for i, kind in enumerate(kinds.values())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "client", "ms")), *extra], ["id", "client", "ms", *kinds])
+
+    rows = requests.select(F.col("id").cast("long").alias("id"), F.col("client").cast("string").alias("client"), F.col("ms").cast("long").alias("ms"))
+    spread = rows.repartition("client") if by[0] == "client" else rows.coalesce(1)
+    return spread.sortWithinPartitions(*by).mapInArrow(run, f"id long, client string, ms long, {names}")
+
+
 def client_admissions(requests: DataFrame, limit: int, window: int = WINDOW_MS) -> DataFrame:
-    """requests (id, client, ms) with admitted and retry_after_ms, each client by itself, in the order of ms, then id."""
+    """requests (id, client, ms) with admitted and retry_after_ms, each client by itself, in the order of ms, then id. A client's requests pass one task in time order, which holds
+    a log of at most ``limit`` times, however many there are."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        log, out = Log(limit, window), []
-        pdf = pdf.sort_values(["ms", "id"])
-        for ms in pdf.ms.tolist():
-            wait = log.wait(ms)
+    def decide() -> Callable[[str, int], tuple]:
+        now: list = [None, Log(limit, window)]
+
+        def one(client: str, ms: int) -> tuple:
+            if client != now[0]:
+                now[:] = client, Log(limit, window)
+            wait = now[1].wait(ms)
             if not wait:
-                log.take(ms)
-            out.append(wait)
-        return pdf.assign(admitted=[w == 0 for w in out], retry_after_ms=out)
+                now[1].take(ms)
+            return wait == 0, wait
+
+        return one
+
+    return _decided(requests, ["client", "ms", "id"], decide, {"admitted": pa.bool_(), "retry_after_ms": pa.int64()}, "admitted boolean, retry_after_ms long")
+
+
+class TwoLevels:
+    """The decisions for everyone: a client's limit first, then the total; a request counts only when it is let through, for both limits."""
+
+    def __init__(self, per_client: int, total: int, window: int, everyone: list[int] | None = None, clients: dict[str, list[int]] | None = None):
+        self.per_client, self.window, self.everyone = per_client, window, Log(total, window, everyone)
+        self.clients = {c: Log(per_client, window, times) for c, times in (clients or {}).items()}
+
+    def decide(self, client: str, ms: int) -> tuple[bool, str | None, int]:
+        if len(self.clients) >= SWEEP:
+            self.sweep(ms)
+        own = self.clients.setdefault(client, Log(self.per_client, self.window))
+        wait, which = own.wait(ms), "client"
+        if not wait:
+            wait, which = self.everyone.wait(ms), "total"
+        if wait:
+            return False, which, wait
+        own.take(ms)
+        self.everyone.take(ms)
+        return True, None, 0
 
-    rows = requests.select(F.col("id").cast("long"), F.col("client").cast("string"), F.col("ms").cast("long"))
-    return rows.groupBy("client").applyInPandas(run, "id long, client string, ms long, admitted boolean, retry_after_ms long")
+    def sweep(self, now: int) -> None:
+        """Forgets the clients none of whose requests counts any more."""
+        self.clients = {c: log for c, log in self.clients.items() if log.times and log.times[-1] > now - self.window}
 
 
 def admissions(requests: DataFrame, per_client: int, total: int, window: int = WINDOW_MS) -> DataFrame:
-    """requests with admitted, limit (client or total: the one reached) and retry_after_ms. A request counts only when it is let through, for both limits."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        everyone, clients, out = Log(total, window), {}, []
-        pdf = pdf.sort_values(["ms", "id"])
-        for client, ms in zip(pdf.client.tolist(), pdf.ms.tolist()):
-            own = clients.setdefault(client, Log(per_client, window))
-            wait, which = own.wait(ms), "client"
-            if not wait:
-                wait, which = everyone.wait(ms), "total"
-            if not wait:
-                own.take(ms)
-                everyone.take(ms)
-            out.append((wait == 0, which if wait else None, wait))
-        ok, which, wait = zip(*out) if out else ((), (), ())
-        return pdf.assign(admitted=list(ok), limit=list(which), retry_after_ms=list(wait)).drop(columns="all")
-
-    rows = requests.select(F.col("id").cast("long"), F.col("client").cast("string"), F.col("ms").cast("long"), F.lit(0).alias("all"))
-    return rows.groupBy("all").applyInPandas(run, "id long, client string, ms long, admitted boolean, limit string, retry_after_ms long")
+    """requests with admitted, limit (client or total: the one reached) and retry_after_ms, in the order of ms, then id: one sequence for everyone and so one task, which
+    holds the times that still count."""
+    decide = lambda: TwoLevels(per_client, total, window).decide
+    return _decided(requests, ["ms", "id"], decide, {"admitted": pa.bool_(), "limit": pa.string(), "retry_after_ms": pa.int64()}, "admitted boolean, limit string, retry_after_ms long")
+
+
+class TotalLimiter(StatefulProcessor):
+    """Both limits on a stream, in the order of the micro-batches: one key for everyone, with the total's log as a list and each client's as a map entry."""
+
+    def __init__(self, per_client: int, total: int, window: int = WINDOW_MS):
+        self.per_client, self.total, self.window = per_client, total, window
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        times = T.StructType([T.StructField("ms", T.LongType())])
+        self.everyone = handle.getListState("everyone", times)
+        self.clients = handle.getMapState("clients", T.StructType([T.StructField("client", T.StringType())]), T.StructType([T.StructField("times", T.ArrayType(T.LongType()))]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows)).sort_values(["ms", "id"])
+        asked = pdf.client.tolist()
+        before = {c: list(self.clients.getValue((c,))[0]) for c in set(asked) if self.clients.containsKey((c,))}
+        levels = TwoLevels(self.per_client, self.total, self.window, [r[0] for r in self.everyone.get()], before)
+        said = [levels.decide(c, ms) for c, ms in zip(asked, pdf.ms.tolist())]
+        self.everyone.put([(int(t),) for t in levels.everyone.times]) if levels.everyone.times else self.everyone.clear()
+        for c in set(asked):
+            log = levels.clients.get(c)
+            if log and log.times:
+                self.clients.updateValue((c,), ([int(t) for t in log.times],))
+            elif c in before:
+                self.clients.removeKey((c,))
+        yield pd.DataFrame({"id": pdf.id, "client": pdf.client, "ms": pdf.ms, "admitted": [x[0] for x in said], "limit": [x[1] for x in said], "retry_after_ms": [x[2] for x in said]})
+
+    def close(self) -> None:
+        pass
+
+
+def admitted_stream(requests: DataFrame, per_client: int, total: int, window: int = WINDOW_MS) -> DataFrame:
+    """admissions for a stream of requests (id, client, ms): the same decisions as long as no micro-batch holds a request older than one of a batch before. Needs the RocksDB state store.
+    One key, so one task, by nature: every decision depends on all before it."""
+    rows = requests.select(F.col("id").cast("long").alias("id"), F.col("client").cast("string").alias("client"), F.col("ms").cast("long").alias("ms"), F.lit(0).alias("all"))
+    return rows.groupBy("all").transformWithStateInPandas(
+        statefulProcessor=TotalLimiter(per_client, total, window), outputStructType="id long, client string, ms long, admitted boolean, limit string, retry_after_ms long", outputMode="append", timeMode="None",
+    )
 
 
 class ClientLimiter(StatefulProcessor):

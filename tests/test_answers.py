@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from codicil.operators import answers as A
 from codicil.operators import evaluate as E
 from codicil.operators import requests as R
-from codicil.streaming.limits import Log, admissions, client_admissions, limited_stream
+from codicil.streaming.limits import Log, TwoLevels, admissions, admitted_stream, client_admissions, limited_stream
 
 
 class Model:
