@@ -56,6 +56,9 @@ SAID = frozenset(
     "banner cookie cookies consent gdpr notice notices newsletter subscribe subscription signup login comment comments disqus reply replies respond pagination pager searchform".split()
 )
 HINTS = frozenset("alert popup modal overlay share sharing social related recommended widget toolbar skip search legal copyright hidden".split())
+REMARKS = frozenset("comment comments disqus reply replies respond".split())
+MODIFIERS = frozenset("no has with without is not hide show fixed open closed sticky enabled disabled active".split())
+CONTAINERS = frozenset("list item items link links bar box left right slot container wrapper section area block inner top bottom main primary secondary unit content thread body".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
 _TAGS = r"<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?/][^>]*>?"
@@ -66,25 +69,44 @@ _ATTR = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(
 _PART = re.compile(r"[^a-z0-9]+")
 
 
-def left_out(tag: str, attrs: str, inside: bool) -> bool:
-    """Whether an element holds what is no main text. inside: an article is open around it."""
+#: How an element is left out: not at all; unless it holds most of the main text; unless it holds most of what stands in articles; always.
+KEEP, SOFT, COMMENTS, HARD = range(4)
+
+
+def named(value: str, inside: bool) -> int:
+    """Whether a class or id names a region that is no main text: a name that ends in such a word, perhaps with a word for a container behind it. Names that only say how a page is laid
+    out (no-sidebar, header-fixed, share-page) don't."""
+    found = KEEP
+    for token in value.split():
+        parts = [x for x in _PART.split(token) if x]
+        if not parts or not MODIFIERS.isdisjoint(parts):
+            continue
+        while len(parts) > 1 and (parts[-1] in CONTAINERS or parts[-1].isdigit()):
+            parts.pop()
+        word = parts[-1]
+        if inside and (word in HINTS or word == "header"):
+            continue
+        if word in SAID or word in HINTS:
+            found = max(found, COMMENTS if word in REMARKS else SOFT)
+    return found
+
+
+def left_out(tag: str, attrs: str, inside: bool) -> int:
+    """How far an element is left out for holding no main text. inside: an article is open around it."""
+    if tag == "form":
+        return SOFT
     if tag in LEFT_OUT or tag == "header" and not inside:
-        return True
+        return HARD
     if not attrs or tag in ("body", "html", "article", "main") and "comment" not in attrs.lower():
-        return False
+        return KEEP
+    found = KEEP
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
-        if not inside and (name == "hidden" or name == "aria-hidden" and value == "true"):
-            return True
-        if name == "role" and value in ROLES:
-            return True
-        if name in ("class", "id"):
-            words = set(_PART.split(value))
-            if inside:
-                words -= HINTS | {"header"}
-            if words & SAID or words & HINTS:
-                return True
-    return False
+        if not inside and (name == "hidden" or name == "aria-hidden" and value == "true") or name == "role" and value in ROLES:
+            found = max(found, SOFT)
+        elif name in ("class", "id"):
+            found = max(found, named(value, inside))
+    return found
 
 
 def hinted(attrs: str) -> bool:
@@ -99,34 +121,35 @@ UNDER = {ARTICLE: ARTICLE_HINT, MAIN: MAIN_HINT}
 
 def lines_of(page: str) -> list[tuple[str, int]]:
     """The lines of a page with where they stand."""
-    out: list[tuple[str, int]] = []
+    out: list[tuple[str, int, tuple]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, left out, where its text stands
+    stack: list[tuple[str, bool, int, tuple]] = []  # tag, left out, where its text stands, the elements around it that leave it out (number, how far)
+    count = 0
     n, at = len(page), 0
     last_tag, last_comment, last_cdata = page.rfind(">"), page.rfind("-->"), page.rfind("]]>")
     open_tags: dict[str, int] = {}  # so that the stack is only searched for what is on it
     bad_heads = 0
 
-    def where() -> int:
-        return stack[-1][2] if stack else BODY
+    def where() -> tuple[int, tuple]:
+        return stack[-1][2:] if stack else (BODY, ())
 
     def close_line() -> None:
         if parts:
             line = " ".join(html.unescape("".join(parts)).split())
             if line:
-                out.append((line, place[0]))
+                out.append((line, *place[0]))
             parts.clear()
 
     def pop_to(i: int) -> None:
         nonlocal bad_heads
-        if any(t in BLOCK for t, _, _ in stack[i:]):
+        if any(x[0] in BLOCK for x in stack[i:]):
             close_line()
-        for t, bad, _ in stack[i:]:
+        for t, bad, *_ in stack[i:]:
             open_tags[t] -= 1
             bad_heads -= bad and t in HEADS
         del stack[i:]
 
-    place = [BODY]
+    place = [(BODY, ())]
 
     def text(s: str) -> None:
         if s:
@@ -161,7 +184,7 @@ def lines_of(page: str) -> list[tuple[str, int]]:
             continue
         if tag in BLOCK:
             close_line()
-            if stack and stack[-1][0] in CLOSED_BY_BLOCK or any(t == "p" for t, _, _ in stack[-3:]) and tag != "br":
+            if stack and stack[-1][0] in CLOSED_BY_BLOCK or any(x[0] == "p" for x in stack[-3:]) and tag != "br":
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == "p":
                         if tag != "br":
@@ -175,7 +198,7 @@ def lines_of(page: str) -> list[tuple[str, int]]:
                     if stack[i][0] in SELF_NESTING[tag]:
                         break
             if bad_heads and tag in ("body", "article", "main"):  # a head, menu or header that was never closed ends here
-                for i, (t, bad, _) in enumerate(stack):
+                for i, (t, bad, *_) in enumerate(stack):
                     if bad and t in HEADS:
                         pop_to(i)
                         break
@@ -185,17 +208,47 @@ def lines_of(page: str) -> list[tuple[str, int]]:
             continue
         if tag in VOID or attrs.endswith("/") and tag not in BLOCK:
             continue
-        above, bad = where(), bool(stack and stack[-1][1])
+        above, around = where()
         inside = above in (ARTICLE, MAIN, ARTICLE_HINT, MAIN_HINT)
-        bad = bad or left_out(tag, attrs, inside)
-        place_ = OUT if bad else ARTICLE if tag == "article" else above if inside else MAIN if tag == "main" else BODY
+        if how := left_out(tag, attrs, inside):
+            count += 1
+            if len(around) < 32 and not any(h == HARD for _, h in around[-1:]):  # what is left out always stays so; what is nested deeper goes with those around it
+                around = (*around, (count, how))
+        bad = bool(around)
+        place_ = ARTICLE if tag == "article" else above if inside else MAIN if tag == "main" else BODY
         if place_ in UNDER and inside and hinted(attrs):
             place_ = UNDER[place_]
-        stack.append((tag, bad, place_))
+        stack.append((tag, bad, place_, around))
         open_tags[tag] = open_tags.get(tag, 0) + 1
         bad_heads += bad and tag in HEADS
     close_line()
-    return out
+    return placed(out)
+
+
+def placed(lines: list[tuple[str, int, tuple]]) -> list[tuple[str, int]]:
+    """The lines, OUT where an element around them is left out. An element that holds half of the text of all articles isn't, or, on a page without any, half of the text that no
+    menu, footer or the like holds, unless it says that it holds comments. Inner elements are judged first."""
+    free = [all(h != HARD for _, h in around) for _, _, around in lines]
+    story = [ok and place not in (BODY, OUT) and all(h != COMMENTS for _, h in around) for ok, (_, place, around) in zip(free, lines)]
+    counts = story if any(story) else free
+    whole = sum(len(x[0]) for x, c in zip(lines, counts) if c)
+    within: dict[int, list[int]] = {}
+    level: dict[int, int] = {}
+    for i, (_, _, around) in enumerate(lines):
+        if free[i]:
+            for number, how in around:
+                within.setdefault(number, []).append(i)
+                level[number] = how
+    judged = [[x for x, _ in around] if ok else [0] for ok, (_, _, around) in zip(free, lines)]  # what still leaves a line out
+    for number in sorted(within, reverse=True):
+        if level[number] == COMMENTS and counts is free:
+            continue
+        own = sum(len(lines[i][0]) for i in within[number] if counts[i] and judged[i][-1] == number)
+        if own and 2 * own >= whole:
+            for i in within[number]:
+                if judged[i][-1] == number:
+                    judged[i].pop()
+    return [(text, OUT if left else place) for (text, place, _), left in zip(lines, judged)]
 
 
 def kept_lines(lines: list[tuple[str, int]]) -> list[bool]:

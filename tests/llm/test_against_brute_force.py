@@ -567,3 +567,32 @@ def test_one_fingerprint_of_several_triggers():
     assert order.tolist() == [0, 3, 2, 5, 1, 4] and same.tolist() == [False, True] * 3
     head, again = later(w, np.arange(6), np.zeros(6, np.int64), h)
     assert sorted(head.tolist()) == [0, 1, 2] and sorted(again.tolist()) == [3, 4, 5]
+
+
+#: Names of wrappers that say how a page is laid out, or name a region that can't be one where it holds the article.
+WRAPPERS = "no-sidebar has-sidebar header-fixed menu-open with-ads comments-closed hidden-xs share-page search-results legal page-header-image content sidebar menu".split()
+
+
+@pytest.mark.parametrize("inner", ["<article>{}</article>", "<main>{}</main>", "<div class='text'>{}</div>"])
+def test_wrappers_around_the_main_text(inner):
+    from codicil.llm.page_text import kept_lines, lines_of
+
+    story = "".join(f"<p>Paragraph {i} of the story, with some words in it.</p>" for i in range(8))
+    around = "<nav><p>Home</p><p>News</p></nav><div class='sidebar'><p>Short note</p></div>{}<div class='ad-box'>Buy now</div><div class='comments'><p>nice one</p></div><footer>About us</footer>"
+    want = [f"Paragraph {i} of the story, with some words in it." for i in range(8)]
+    for wrapper in [f"<div class='{x}'>{{}}</div>" for x in WRAPPERS] + ["<form action='/'>{}</form>", "<form><div id='has-sidebar'><div class='menu-open'>{}</div></div></form>", "<div hidden>{}</div>", "<div role='search'>{}</div>"]:
+        for page in (around.format(wrapper.format(inner.format(story))), wrapper.format(around.format(inner.format(story)))):
+            lines = lines_of(f"<html><body>{page}</body></html>")
+            assert [x for (x, _), k in zip(lines, kept_lines(lines)) if k] == want, (wrapper, page)
+
+
+def test_regions_stay_out():
+    from codicil.llm.page_text import kept_lines, lines_of
+
+    story = "<p>The story has a few words.</p>"
+    for region in ["<div class='comments'>{}</div>", "<div class='comment-list'><article class='comment'>{}</article></div>", "<div class='sidebar'><article>{}</article></div>", "<aside>{}</aside>", "<form>{}</form>", "<div id='cookie-bar'>{}</div>"]:
+        page = f"<article>{story * 3}</article>" + region.format("<p>Words that are no part of it.</p>")
+        lines = lines_of(page)
+        assert [x for (x, _), k in zip(lines, kept_lines(lines)) if k] == ["The story has a few words."] * 3, region
+    lines = lines_of("<div><p>Short text.</p></div><div class='comments'>" + "<p>a very long comment on it</p>" * 9 + "</div>")
+    assert [x for (x, _), k in zip(lines, kept_lines(lines)) if k] == ["Short text."]
