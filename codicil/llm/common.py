@@ -23,9 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_number(value: Column, name: str) -> Column:
+    """value as a long; a value that is no number stops the job, as a row without its id would be taken for another one."""
+    found = value.try_cast("long")
+    return F.when(value.isNotNull() & found.isNull(), F.raise_error(F.concat(F.lit(f"{name} must be a whole number, got "), value.cast("string"))).cast("long")).otherwise(found)
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
-    """Just the named columns, cast (ids that are no numbers become null); whatever else the table holds, names that clash included, is left behind."""
-    return df.select(*((F.col(c).try_cast(kind) if kind == "long" else F.col(c).cast(kind)).alias(c) for c, kind in columns.items()))
+    """Just the named columns, cast (an id that is no number is an error); whatever else the table holds, names that clash included, is left behind."""
+    return df.select(*((whole_number(F.col(c), c) if kind == "long" and df.schema[c].dataType != T.LongType() else F.col(c).cast(kind)).alias(c) for c, kind in columns.items()))
 
 
 class Carried:
@@ -41,7 +47,7 @@ class Carried:
         flat = docs.toDF(*(f"kept_{i}" for i in range(len(types))))
         self.kept = {f"kept_{i}": kind.simpleString() for i, kind in enumerate(types) if i not in self.place}
         doc, text = (F.col(f"kept_{at[c]}") for c in own)
-        self.rows = flat.select(doc.try_cast("long").alias("doc_id"), text.cast("string").alias("text"), *self.kept)
+        self.rows = flat.select((doc if 'doc_id' in self.place.values() else whole_number(doc, "doc_id")).alias("doc_id"), text.cast("string").alias("text"), *self.kept)
 
     def back(self, out: DataFrame, **changed: Column) -> DataFrame:
         """The columns of the table from out; ``changed``: others instead of those."""

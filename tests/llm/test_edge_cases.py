@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 def _ops():
     import public_tokenizers as P
 
-    from codicil.llm import byte_bpe, decontaminate, jaccard_join, language, line_templates, personal_data, quality_rules, suffix_dedup, toxicity
+    from codicil.llm import byte_bpe, chosen_path, decontaminate, jaccard_join, language, line_templates, merkle, personal_data, quality_rules, suffix_dedup, toxicity
 
     def bench(docs):
         return docs.sparkSession.createDataFrame([(1, "two three four five six seven eight nine ten eleven"), (2, None), (None, "x y"), (3, "")], "item_id long, text string")
@@ -20,6 +20,8 @@ def _ops():
         "personal": personal_data.find_personal_data,
         "suffix": suffix_dedup.drop_repeats,
         "jaccard": jaccard_join.jaccard_groups,
+        "path": chosen_path.near_duplicates,
+        "merkle": merkle.audited,
         "language": language.predict_held_out,
         "quality": quality_rules.quality,
         "toxicity": lambda d: toxicity.score_held_out(d, labels(d)),
@@ -28,7 +30,7 @@ def _ops():
     }
 
 
-NAMES = ["line", "personal", "suffix", "jaccard", "language", "quality", "toxicity", "bpe", "leaks"]
+NAMES = ["line", "personal", "suffix", "jaccard", "path", "merkle", "language", "quality", "toxicity", "bpe", "leaks"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -39,6 +41,8 @@ def test_odd_rows(odd, name):
     key = lambda i: (i is None, i or 0)
     assert sorted((r.doc_id for r in rows), key=key) == sorted((r.doc_id for r in odd.select("doc_id").collect()), key=key)
     twice = [r for r in rows if r.doc_id == 1]
+    if name == "merkle":  # two leaves next to each other: each is in the other's proof
+        twice = [r.asDict() | {"rank": 0, "proof": "", "proof_sha256": ""} for r in twice]
     assert len(twice) == 2 and twice[0] == twice[1]
 
 
@@ -101,11 +105,18 @@ def test_stages_of_an_empty_table(empty, spark, tmp_path):
 
 
 def test_ids_that_are_no_numbers(spark):
-    from codicil.llm import personal_data, quality_rules
-
-    docs = spark.createDataFrame([("a-1", "one two"), ("7", "mail a@b.org")], "doc_id string, text string").withColumn("source", F.lit("s"))
-    assert sorted((r.doc_id or 0, r.n_email) for r in personal_data.find_personal_data(docs).collect()) == [(0, 0), (7, 1)]
-    assert quality_rules.quality(docs).count() == 2
+    """Numbers written as text are read; anything else stops the job instead of losing its row's links."""
+    from codicil.llm import chosen_path, decontaminate, jaccard_join, merkle, personal_data, quality_rules
+
+    docs = spark.createDataFrame([("11", "one two"), ("7", "mail a@b.org"), (None, "x")], "doc_id string, text string").withColumn("source", F.lit("s"))
+    assert sorted((r.doc_id or 0, r.n_email) for r in personal_data.find_personal_data(docs).collect()) == [(0, 0), (7, 1), (11, 0)]
+    odd = docs.union(docs.limit(1).withColumn("doc_id", F.lit("a-1")))
+    items = spark.createDataFrame([("q-1", "one two")], "item_id string, text string")
+    for run in (lambda: personal_data.find_personal_data(odd), lambda: quality_rules.keep_good(odd), lambda: jaccard_join.jaccard_groups(odd), lambda: chosen_path.near_duplicates(odd), lambda: decontaminate.find_leaks(docs, items), lambda: decontaminate.drop_leaks(docs, items)):
+        with pytest.raises(Exception, match="must be a whole number"):
+            run().collect()
+    with pytest.raises(TypeError, match="doc_id is string"):
+        merkle.manifest(docs.withColumns({"lang": F.lit("en"), "n_chars": F.lit(1)}))
 
 
 def test_ties(spark):
