@@ -73,6 +73,10 @@ class Quantizer:
     def tables(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What each query (at length 1) has in common with the centres, and with the codewords of each part (queries, parts, CODES)."""
         q = _unit(queries)
+        if not len(q) or not self.centres.any() and self.centres.shape == (1, 1):  # nothing asked, or nothing indexed
+            return np.zeros((len(q), 1)), np.zeros((len(q), len(self.words), CODES))
+        if q.shape[1] != self.centres.shape[1]:
+            raise ValueError(f"the index holds vectors of {self.centres.shape[1]} dimensions, the query has {q.shape[1]}")
         looked = np.zeros((len(q), len(self.words), CODES))
         for i, (part, words) in enumerate(zip(np.array_split(q, len(self.words), axis=1), self.words)):
             looked[:, i, : len(words)] = part @ words.T
@@ -146,8 +150,8 @@ class CodeIndex:
     def _scanned(self, questions: list, chosen) -> DataFrame:
         """question, id, estimate, error of the rows of each batch that chosen(estimates, errors) gives the places of, by question (a matrix, -1 for none)."""
         parts = len(self.quantizer.words)
-        q = np.array([list(r.embedding) for r in questions], np.float64).reshape(len(questions), -1)
-        tables = self.quantizer.tables(q) if questions else (np.zeros((0, 1)), np.zeros((0, parts, CODES)))
+        q = np.array([list(r.embedding) for r in questions], np.float64) if questions else np.zeros((0, 1))
+        tables = self.quantizer.tables(q)
         shared = self.spark.sparkContext.broadcast((np.array([r.question for r in questions], np.int64), *tables))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

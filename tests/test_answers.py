@@ -156,6 +156,46 @@ def test_limits_on_a_stream(spark, tmp_path):
     assert got == {r.id: (r.admitted, r.retry_after_ms) for r in client_admissions(df, 2, 500).collect()}
 
 
+def test_one_client_in_many_batches(spark):
+    """A client's log is carried from one batch of its requests to the next, and so is that of everyone."""
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        df = spark.range(20_000).selectExpr("id", "CASE WHEN id % 10 = 0 THEN 'b' ELSE 'a' END AS client", "id * 7 AS ms").repartition(5)
+        rows = sorted(client_admissions(df, 3, 1000).collect(), key=lambda r: r.id)
+        both = sorted(admissions(df, 3, 4, 1000).collect(), key=lambda r: r.id)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    logs, levels = {c: Log(3, 1000) for c in "ab"}, TwoLevels(3, 4, 1000)
+    for r, t in zip(rows, both):
+        wait = logs[r.client].wait(r.ms)
+        if not wait:
+            logs[r.client].take(r.ms)
+        assert (r.admitted, r.retry_after_ms) == (wait == 0, wait)
+        assert (t.admitted, t.limit, t.retry_after_ms) == levels.decide(t.client, t.ms)
+    levels.sweep(10**9)
+    assert not levels.clients
+
+
+def test_both_limits_on_a_stream(spark, tmp_path):
+    df = spark.createDataFrame([(i, "abc"[i % 3], i * 100) for i in range(18)], "id long, client string, ms long")
+    df.where("id < 7").coalesce(1).write.parquet(f"{tmp_path}/in")
+    name = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for part in (None, df.where("id >= 7")):  # both logs are kept between runs
+            if part is not None:
+                part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            stream = admitted_stream(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), 1, 2, 500)
+            q = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start(f"{tmp_path}/out")
+            assert q.awaitTermination(90)
+    finally:
+        spark.conf.set(name, old)
+    got = {r.id: (r.admitted, r.limit, r.retry_after_ms) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {r.id: (r.admitted, r.limit, r.retry_after_ms) for r in admissions(df, 1, 2, 500).collect()} and {x[1] for x in got.values()} == {None, "client", "total"}
+
+
 def test_small_matters(spark):
     assert R.pick_locale("en-GB,es;q=0.5") == "en" and R.pick_locale("fr") == "es" and R.response_of([], False, 1500, True) == (429, {"Retry-After": "2"}) and R.health(True, False)["http"] == 503
     assert R.settings({"A": "1, 2", "N": "5"}, {"A": (list, []), "N": (int, 1), "M": (int, 3)}) == {"A": ["1", "2"], "N": 5, "M": 3}

@@ -144,3 +144,31 @@ def test_search_with_an_index(corpus, tmp_path):
     # a filter that leaves one regulation makes it probe on; a citation is looked up in all chunks
     only = Options(exact=False, ef_search=1, min_similarity=0.0, version_similarity=None, types=("ley",), year_from=2026, references=(S.Reference("Ley", "24013", 2026),))
     assert set(ids(S.search_by_vector(c, r, t, e.model, v, only, index))) == {10, 11, 12}
+
+
+def test_codes_against_a_scan(spark, tmp_path):
+    """Exact search by codes gives what a scan gives, ties and zero vectors included; filters still fill the answer; recall as measured."""
+    from codicil.operators.codes import CodeIndex
+
+    r = np.random.RandomState(3)
+    x = r.randn(600, 24)
+    x[5], x[6], x[7] = 0, x[8], 2 * x[8]
+    rows = [(i, [float(v) for v in x[i]], i % 50) for i in range(600)] + [(600, None, 1)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>, kind int").repartition(3)
+    index = CodeIndex.build(df, f"{tmp_path}/codes", cells=5, parts=6)
+    unit = np.divide(x, np.linalg.norm(x, axis=1, keepdims=True), out=np.zeros_like(x), where=np.linalg.norm(x, axis=1, keepdims=True) > 0)
+    near = np.round(unit @ unit.T, 9)
+    want = {(q, int(i), n + 1) for q in range(0, 600, 60) for n, i in enumerate(np.lexsort((np.arange(600), -near[q]))[:7])}
+    asked = df.where("id % 60 = 0").select(F.col("id").alias("question"), "embedding")
+    exact = index.exact_of_many(asked, 7).withColumn("s", F.round("similarity", 9)).collect()
+    assert {(a.question, a.id) for a in exact} == {w[:2] for w in want}
+    assert index.measured(7, 0.95, sample=100).least < 600
+    found = {(a.question, a.id) for a in index.nearest_of_many(asked, 7).collect()}
+    assert len(found & {w[:2] for w in want}) >= 0.9 * len(want)
+    some = index.search(x[3].tolist(), 12, where=F.col("kind") == 3, columns=("kind",)).collect()
+    assert len(some) == 12 and {a.kind for a in some} == {3} and some[0].id == 3
+    none = CodeIndex.build(df.limit(0), f"{tmp_path}/none")
+    assert none.exact_of_many(df.limit(0).select(F.col("id").alias("question"), "embedding"), 3).count() == 0
+    assert none.exact_of_many(asked, 3).count() == none.nearest_of_many(asked, 3).count() == 0 and none.search([1.0, 2.0], 3).count() == 0
+    with pytest.raises(ValueError, match="24 dimensions"):
+        index.search([1.0], 3)
