@@ -205,13 +205,16 @@ def client_identities(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", X.client_of(fwd, F.when(e % 2 == 0, F.concat(F.lit("10.2.0."), u))).alias("client"))
 
 
-_FAILURES = [(429, "slow down", "rate_limit"), (401, "no", "bad_key"), (400, "API key not valid", "bad_key"), (400, "bad request", "error"), (503, None, "overloaded"), (500, "Overloaded", "overloaded"), (500, "boom", "error")]
-
-
-@query(f"SELECT CAST(status AS INT) AS status, message, kind FROM {_values(_FAILURES, 'status', 'message', 'kind')}")
+@query(
+    """SELECT event_id, CASE WHEN status = 429 THEN 'rate_limit' WHEN status IN (401, 403) OR status = 400 AND contains(message, 'key') THEN 'bad_key' WHEN status IN (503, 529) OR contains(message, 'overloaded') THEN 'overloaded' ELSE 'error' END AS kind FROM (
+      SELECT event_id, [400, 401, 403, 429, 500, 503, 529][1 + event_id % 7] AS status, CASE user_id % 4 WHEN 0 THEN 'invalid key of user' WHEN 1 THEN 'server overloaded' WHEN 2 THEN 'no such model' ELSE '' END AS message FROM events)"""
+)
 def failure_kinds(spark, sf_dir):
-    df = spark.createDataFrame([r[:2] for r in _FAILURES], "status int, message string")
-    return df.select("status", "message", A.failure_kind(F.col("status"), F.col("message")).alias("kind"))
+    """Every event as a failed call, with a status and a message by its ids."""
+    e, u = F.col("event_id"), F.col("user_id")
+    status = F.element_at(F.array(*map(F.lit, (400, 401, 403, 429, 500, 503, 529))), (1 + e % 7).cast("int"))
+    message = F.when(u % 4 == 0, F.lit("Invalid KEY of user")).when(u % 4 == 1, F.lit("Server Overloaded")).when(u % 4 == 2, F.lit("no such model"))
+    return table(spark, sf_dir, "events").select("event_id", A.failure_kind(status, message).alias("kind"))
 
 
 @query(
