@@ -57,3 +57,16 @@ def test_gold_questions():
             read_gold([line])
     with pytest.raises(ValueError, match="line 2: the question stands twice"):
         read_gold(['{"question": "a", "kind": "topic", "expected": [3]}'] * 2)
+
+
+def test_maintain(spark, tmp_path, capsys):
+    from codicil.__main__ import TEXTS, stores
+
+    texts = stores(spark, str(tmp_path))[1]
+    row = spark.createDataFrame([(1, "summary", None, "one", "h1"), (2, "summary", None, "two", "h2")], TEXTS)
+    texts.append(row)
+    texts.replace(row.where("regulation_id = 1").withColumn("content", row.content_hash), row.where("regulation_id = 1").select("regulation_id"))
+    assert main(["maintain", "--store", str(tmp_path), "--most", "1", "--keep", "1"], spark) == 0
+    said = [json.loads(x) for x in capsys.readouterr().out.strip().split("\n")]
+    assert [x["table"] for x in said] == ["regulations", "texts", "chunks"] and said[1]["folders_dropped"] > 0 and said[0]["version"] == 0
+    assert sorted((r.regulation_id, r.content) for r in texts.read().collect()) == [(1, "h1"), (2, "two")]
