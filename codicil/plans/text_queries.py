@@ -152,31 +152,38 @@ def amount_status_counts(spark, sf_dir):
     return A.check_amounts(table(spark, sf_dir, "answers"), table(spark, sf_dir, "answer_sources")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-_OPENINGS = [
-    (1, "Las fuentes no responden la pregunta. Tratan otra cosa.", "not_in_sources"), (2, '**"The sources do not answer the question"', "not_in_sources"), (3, "Las fuentes no", "undecided"), (4, "", "undecided"),
-    (5, "Las fuentes dicen que [1].", "answer"), (6, "the   SOURCES do not answer", "undecided"),
-]
-_REWRITES = [
-    (1, "\n  «Búsqueda: haber mínimo  jubilatorio»\notra", "haber mínimo jubilatorio", "haber mínimo, jubilatorio?"), (2, '"query : ley 27.818"', "ley 27.818", "otra"), (3, "   ", "", "x"), (4, "* movilidad *", "movilidad", "Movilidad"),
-]
+# beginnings of answers, cut at every length as they come in; both engines read the statement
+_STARTS = """SELECT o_orderkey AS id, concat(CASE o_orderkey % 4 WHEN 0 THEN '**"' WHEN 1 THEN ' ¿' ELSE '' END, substr(concat(CASE o_orderkey % 5 WHEN 0 THEN 'Las fuentes no responden la pregunta. Tratan otra cosa: '
+  WHEN 1 THEN 'The sources do not answer the question' WHEN 2 THEN 'Las fuentes  dicen que no responden [1]. ' WHEN 3 THEN 'the   SOURCES do not answer' ELSE '' END, o_orderpriority), 1, CAST(o_custkey % 70 AS INT))) AS text FROM orders"""
 
 
-def _values(rows, *columns):
-    q = lambda v: "NULL" if v is None else f"'{v.replace(chr(39), chr(39) * 2)}'" if isinstance(v, str) else str(v)
-    return f"(VALUES {', '.join('(' + ', '.join(map(q, r)) + ')' for r in rows)}) v({', '.join(columns)})"
+@query(
+    f"""SELECT id, CASE WHEN starts_with(start, 'las fuentes no responden la pregunta') OR starts_with(start, 'the sources do not answer the question') THEN 'not_in_sources'
+      WHEN starts_with('las fuentes no responden la pregunta', start) OR starts_with('the sources do not answer the question', start) THEN 'undecided' ELSE 'answer' END AS opening
+    FROM (SELECT id, regexp_replace(regexp_replace(lower(text), '^[^\\p{{L}}]+', ''), '\\s+', ' ', 'g') AS start FROM ({_STARTS}))"""
+)
+def openings(spark, sf_dir):
+    return _from_orders(spark, sf_dir, _STARTS).select("id", X.opening(F.col("text")).alias("opening"))
 
 
-@query(f"SELECT id, opening FROM {_values(_OPENINGS, 'id', 'text', 'opening')}")
-def openings(spark, sf_dir):
-    df = spark.createDataFrame([r[:2] for r in _OPENINGS], "id int, text string")
-    return df.select("id", X.opening(F.col("text")).alias("opening"))
+def _from_orders(spark, sf_dir, sql):
+    return spark.sql(sql.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders"))
+
+
+# what models make of a question
+_REWRITTEN = """SELECT o_orderkey AS id, concat('¿', substr(o_orderpriority, 3), ' de ', o_custkey, '?') AS question, CASE o_orderkey % 7 WHEN 0 THEN concat(chr(10), '  «Búsqueda: ', substr(o_orderpriority, 3), '  de  ', o_custkey, '»', chr(10), 'otra')
+  WHEN 1 THEN concat('"query : ley ', o_orderkey, '"') WHEN 2 THEN '   ' WHEN 3 THEN concat('* ', o_orderpriority, ' *') WHEN 4 THEN concat(lower(substr(o_orderpriority, 3)), '  de ', o_custkey, ' !')
+  WHEN 5 THEN concat('Consulta:', repeat('haber ', CAST(o_custkey % 120 AS INT))) ELSE concat('`', chr(10), chr(9), 'SEARCH:  ', o_custkey, '”', chr(10)) END AS text FROM orders"""
 
 
-@query(f"SELECT id, query, query <> '' AND trim(regexp_replace(lower(query), '[^\\p{{L}}0-9]+', ' ', 'g')) <> trim(regexp_replace(lower(question), '[^\\p{{L}}0-9]+', ' ', 'g')) AS new FROM {_values(_REWRITES, 'id', 'text', 'query', 'question')}")
+@query(
+    f"""SELECT id, query, query <> '' AND trim(regexp_replace(lower(query), '[^\\p{{L}}0-9]+', ' ', 'g')) <> trim(regexp_replace(lower(question), '[^\\p{{L}}0-9]+', ' ', 'g')) AND regexp_matches(query, '[\\p{{L}}0-9]') AS new
+    FROM (SELECT id, question, trim(left(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, wrap, '', 'g'), '^(?i)(?:b[uú]squeda|consulta|search|query)\\s*:\\s*', ''), wrap, '', 'g'), '\\s+', ' ', 'g'), 500)) AS query
+      FROM (SELECT *, coalesce(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, concat(' ', chr(9)))), lambda x: x <> '')[1], '') AS line, '^[\\s"''`*«»“”]+|[\\s"''`*«»“”]+$' AS wrap FROM ({_REWRITTEN})))"""
+)
 def rewrites(spark, sf_dir):
-    df = spark.createDataFrame([(a, b, d) for a, b, _, d in _REWRITES], "id int, text string, question string")
     q = X.search_query(F.col("text"))
-    return df.select("id", q.alias("query"), X.is_new_query(q, F.col("question")).alias("new"))
+    return _from_orders(spark, sf_dir, _REWRITTEN).select("id", q.alias("query"), X.is_new_query(q, F.col("question")).alias("new"))
 
 
 @query(
@@ -227,16 +234,29 @@ def answer_outcomes(spark, sf_dir):
     return table(spark, sf_dir, "answers").select("question", A.outcome(text, 3, X.opening(text)).alias("outcome"))
 
 
-_REQUESTS = [
-    (1, "ley 27818", "8", "Ley", "1990", "2000", "", "", ""), (2, "ab", "", "", "", "", "", "", "q"), (3, "impuesto", "21", "", "1700", "", "2", "0", "limit,from,min_similarity,versions"), (4, "impuesto", "", "a,b,c,d,e,f", "2001", "2000", "", "off", "type,order"),
-    (5, "  x y ", "2.5", "", "", "x", "", "0.9", "limit,to"),
-]
+# requests, many of them with parameters that are wrong in one way or another
+_REQUESTS = """SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'ab' WHEN 1 THEN concat('ley ', o_orderkey) WHEN 2 THEN '  x y ' WHEN 3 THEN repeat('impuesto', CAST(o_custkey % 80 AS INT)) END AS q,
+  CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN concat(' ', o_custkey % 30, ' ') WHEN 2 THEN concat(o_custkey % 4, '.', o_custkey % 2) ELSE 'ocho' END AS "limit",
+  CASE o_orderkey % 3 WHEN 0 THEN concat('Ley', repeat(' , a', CAST(o_custkey % 8 AS INT))) WHEN 1 THEN repeat('Decreto', CAST(o_custkey % 9 AS INT)) END AS "type",
+  CASE WHEN o_orderkey % 6 > 0 THEN concat(1790 + o_custkey % 330) ELSE '' END AS "from", CASE o_orderkey % 7 WHEN 0 THEN 'x' WHEN 1 THEN NULL ELSE concat(1800 + o_orderkey % 310) END AS "to",
+  CASE o_orderkey % 8 WHEN 0 THEN '2' WHEN 1 THEN '-0.1' WHEN 2 THEN '' WHEN 3 THEN 'mucho' ELSE concat('0.', o_custkey % 100) END AS min_similarity,
+  CASE o_orderkey % 9 WHEN 0 THEN 'off' WHEN 1 THEN '0' WHEN 2 THEN '1.1' WHEN 3 THEN ' ' WHEN 4 THEN 'on' ELSE concat('0.', 1 + o_custkey % 9) END AS versions FROM orders"""
 
 
-@query(f"SELECT id, issues FROM {_values(_REQUESTS, 'id', 'q', 'l', 't', 'f', 'u', 's', 'v', 'issues')}")
+@query(
+    f"""SELECT id, array_to_string(list_filter([
+        CASE WHEN length(q) NOT BETWEEN 3 AND 500 THEN 'q' END, CASE WHEN l <> '' AND NOT coalesce(n BETWEEN 1 AND 20 AND n = floor(n), FALSE) THEN 'limit' END,
+        CASE WHEN len(types) > 5 OR coalesce(list_max(list_transform(types, lambda t: length(t))), 0) > 40 THEN 'type' END,
+        CASE WHEN f <> '' AND NOT coalesce(a BETWEEN 1810 AND 2100 AND a = floor(a), FALSE) THEN 'from' END, CASE WHEN t <> '' AND NOT coalesce(b BETWEEN 1810 AND 2100 AND b = floor(b), FALSE) THEN 'to' END,
+        CASE WHEN a > b THEN 'order' END, CASE WHEN s <> '' AND NOT coalesce(TRY_CAST(s AS DOUBLE) BETWEEN 0 AND 1, FALSE) THEN 'min_similarity' END,
+        CASE WHEN v NOT IN ('', 'off') AND NOT coalesce(TRY_CAST(v AS DOUBLE) > 0 AND TRY_CAST(v AS DOUBLE) <= 1, FALSE) THEN 'versions' END], lambda x: x IS NOT NULL), ',') AS issues
+    FROM (SELECT *, TRY_CAST(l AS DOUBLE) AS n, TRY_CAST(f AS DOUBLE) AS a, TRY_CAST(t AS DOUBLE) AS b FROM (
+      SELECT id, trim(coalesce(q, '')) AS q, trim("limit") AS l, list_filter(list_transform(string_split(coalesce("type", ''), ','), lambda x: trim(x)), lambda x: x <> '') AS types, trim("from") AS f, trim(coalesce("to", '')) AS t,
+        trim(min_similarity) AS s, trim(versions) AS v FROM ({_REQUESTS})))"""
+)
 def request_validation(spark, sf_dir):
-    df = spark.createDataFrame([r[:8] for r in _REQUESTS], "id int, q string, limit string, type string, from string, to string, min_similarity string, versions string")
-    return R.checked_requests(df).select("id", F.array_join("issues", ",").alias("issues"))
+    rows = _from_orders(spark, sf_dir, _REQUESTS.replace('"', "`"))
+    return R.checked_requests(rows).select("id", F.array_join("issues", ",").alias("issues"))
 
 
 @query(
@@ -249,13 +269,18 @@ def lenient_filters(spark, sf_dir):
     return R.lenient_filters(rows).select("id", "year_from", "year_to", "filters")
 
 
-_LOCALES = [(1, "en-US,en;q=0.9,es;q=0.8", "en"), (2, "fr, es;q=0.5, en;q=0.4", "es"), (3, None, "es"), (4, "en;q=0, fr", "es"), (5, "de;q=0.9, EN-gb;q=0.1", "en")]
+_HEADERS = """SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN concat('en-US,en;q=0.', o_custkey % 10, ',es;q=0.', o_orderkey % 10) WHEN 1 THEN concat('fr, es-AR; q=0.', o_custkey % 10, ', EN;q=0.', o_orderkey % 7)
+  WHEN 2 THEN concat('de;q=0.9, EN-gb;q=', o_custkey % 2, ', *') WHEN 3 THEN '' WHEN 4 THEN concat('en;q=0, ', substr('fr,es,en,', 1 + 3 * CAST(o_custkey % 3 AS INT), 2)) END AS header FROM orders"""
 
 
-@query(f"SELECT id, locale FROM {_values(_LOCALES, 'id', 'header', 'locale')}")
+@query(
+    f"""WITH h AS ({_HEADERS}), parts AS (SELECT id, unnest(string_split(header, ',')) AS part, generate_subscripts(string_split(header, ','), 1) AS i FROM h),
+      wishes AS (SELECT id, i, lower(regexp_extract(part, '^\\s*([A-Za-z*]+)', 1)) AS tag, coalesce(TRY_CAST(regexp_extract(part, ';\\s*q=([0-9.]+)', 1) AS DOUBLE), 1.0) AS q FROM parts),
+      best AS (SELECT id, tag FROM wishes WHERE q > 0 AND tag IN ('es', 'en') QUALIFY row_number() OVER (PARTITION BY id ORDER BY q DESC, i) = 1)
+    SELECT h.id, coalesce(best.tag, 'es') AS locale FROM h LEFT JOIN best ON h.id = best.id"""
+)
 def locales(spark, sf_dir):
-    df = spark.createDataFrame([r[:2] for r in _LOCALES], "id int, header string")
-    return df.select("id", R.locale_of(F.col("header")).alias("locale"))
+    return _from_orders(spark, sf_dir, _HEADERS).select("id", R.locale_of(F.col("header")).alias("locale"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN '1 norma' ELSE concat(l_linenumber, ' normas') END AS counted, concat('Hay ', l_linenumber, ' de ', l_orderkey) AS line FROM lineitem")
