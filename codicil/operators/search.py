@@ -186,7 +186,8 @@ def search(chunks: DataFrame, regulations: DataFrame, texts: DataFrame, embedder
     """Embeds the question, reads citations and dates out of it unless they are given, and searches."""
     o = options or Options()
     try:
-        vector = checked(embedder.embed([question]), [question], len(embedder.embed([""])[0]))[0]
+        found = embedder.embed([question])
+        vector = checked(found, [question], getattr(embedder, "dimensions", len(found[0]) if found else 0))[0]
     except Exception as e:
         raise QueryEmbeddingError(f'could not embed the question with "{embedder.model}"') from e
     if not o.references:

@@ -8,6 +8,7 @@ from codicil.operators import evaluate as E
 from codicil.operators.search import nearest_of_many
 
 from .registry import query
+from .search_queries import groups_sql
 from .standins import table
 
 _RESULTS = """WITH near AS (SELECT q.vec_id AS question, q.label AS kind, c.vec_id AS id, c.label AS label, round(list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS similarity
@@ -69,7 +70,16 @@ def floor_sweep(spark, sf_dir):
     return _rounded(E.floor_sweep(rows, expected, (0.2, 0.25, 0.3, 0.35)))
 
 
-@query()
+def _sweep_sql(linkage: str) -> str:
+    return f"""WITH RECURSIVE near AS (SELECT q.vec_id AS k, c.vec_id AS id, c.vec_id % 97 AS regulation_id, CAST(NULL AS VARCHAR) AS enacted_on, c.embedding, c.label = q.label AS hit,
+      row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) DESC, c.vec_id) AS pos FROM embeddings c, embeddings q WHERE q.vec_id % 50 = 0),
+  pool AS MATERIALIZED (SELECT * FROM near WHERE pos <= 30), grid AS (SELECT unnest([0.25, 0.3, 0.35]) AS least), {groups_sql(linkage)},
+  leaders AS (SELECT k, least, arg_min(hit, pos) AS hit, home FROM groups JOIN pool USING (k, pos) GROUP BY k, least, home),
+  ranked AS (SELECT k, least, min(place) FILTER (hit) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY k, least ORDER BY home) AS place FROM leaders) GROUP BY k, least)
+  SELECT '{linkage}' AS linkage, CAST(least AS DOUBLE) AS similarity, count(*) AS questions, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 9) AS recall_5, round(avg(coalesce(1.0 / rank, 0)), 9) AS mrr FROM ranked GROUP BY least"""
+
+
+@query(f"SELECT * FROM ({_sweep_sql('best')}) UNION ALL SELECT * FROM ({_sweep_sql('chain')})")
 def versions_sweep(spark, sf_dir):
     """Thresholds of grouping, over the 30 nearest of each question."""
     e = table(spark, sf_dir, "embeddings")

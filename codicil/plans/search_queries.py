@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codicil.functions.vectors import cosine, similarity_to
+from codicil.operators import many as M
 from codicil.operators import search as S
 from codicil.operators import versions as V
 from codicil.operators.changes import pending
@@ -122,6 +123,51 @@ def cited_then_semantic(spark, sf_dir):
     return found.select("place", "match", "chunk_id", _rounded())
 
 
+# every vector whose id is divisible by 100 asks, and cites two numbers
+_ASKING = """asking AS (SELECT vec_id AS question, embedding AS asking_embedding FROM embeddings WHERE vec_id % 100 = 0 AND embedding IS NOT NULL),
+  citing AS (SELECT question, 0 AS citation, 'Ley' AS type, CAST(1 + question // 100 % 10 AS VARCHAR) AS number FROM asking UNION ALL SELECT question, 1, 'Decreto', CAST(1 + (question // 100 + 3) % 10 AS VARCHAR) FROM asking WHERE question % 300 > 0)"""
+
+
+def _asking(spark, sf_dir):
+    q = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0 and embedding is not null").withColumnRenamed("vec_id", "question")
+    n = F.floor(F.col("question") / 100)
+    cite = lambda kind, number: F.struct(F.lit(kind).alias("type"), number.cast("string").alias("number"), F.lit(None).cast("int").alias("year"))
+    two = F.array(cite("Ley", 1 + n % 10), cite("Decreto", 1 + (n + 3) % 10))
+    day = F.array(F.struct(F.lit(2000).alias("year"), F.lit(1).alias("month"), F.lit(None).cast("int").alias("day")))
+    return q.select("question", "embedding", F.when(F.col("question") % 300 > 0, two).otherwise(F.slice(two, 1, 1)).alias("references"), day.alias("dates"))
+
+
+@query(
+    with_tables("regulations", "series")
+    + f""", {_SERIES_REGS}, {_ASKING},
+  scored AS (SELECT question, c.id AS chunk_id, c.regulation_id, c.section, c.ordinal, {_COSINE.format(a='c.embedding', b='asking_embedding')} AS similarity FROM asking, series c JOIN series_regulations r ON c.regulation_id = r.id WHERE c.embedding_model = 'new'),
+  cited_regs AS (SELECT question, id, min(citation * 10 + place) AS o FROM (SELECT question, r.id, citation, row_number() OVER (PARTITION BY question, citation ORDER BY r.enacted_on DESC NULLS LAST, r.id) AS place
+    FROM series_regulations r JOIN citing w ON r.type = w.type AND r.number = w.number) WHERE place <= 3 GROUP BY question, id),
+  own AS (SELECT s.*, a.o, row_number() OVER (PARTITION BY s.question ORDER BY similarity DESC, chunk_id) AS near, row_number() OVER (PARTITION BY s.question, s.regulation_id ORDER BY (section = 'article') DESC, ordinal, chunk_id) AS turn
+    FROM scored s JOIN cited_regs a ON s.regulation_id = a.id AND s.question = a.question),
+  opening AS (SELECT question, chunk_id, similarity FROM own WHERE turn <= 2 QUALIFY row_number() OVER (PARTITION BY question ORDER BY turn, o) <= 2),
+  counted AS (SELECT question, count(*) AS n FROM opening GROUP BY question),
+  rest AS (SELECT question, chunk_id, similarity FROM (SELECT o.*, n, row_number() OVER (PARTITION BY o.question ORDER BY o.near) AS nth FROM own o JOIN counted USING (question) WHERE near <= 4 AND (o.question, o.chunk_id) NOT IN (SELECT (question, chunk_id) FROM opening)) WHERE nth <= 4 - n),
+  cited AS (SELECT * FROM rest UNION ALL SELECT * FROM opening),
+  close AS (SELECT question, chunk_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY similarity DESC, chunk_id) AS p FROM scored) WHERE p <= 8 AND similarity >= 0.1 AND (question, chunk_id) NOT IN (SELECT (question, chunk_id) FROM cited)),
+  every AS (SELECT 0 AS bucket, 'reference' AS match, * FROM cited UNION ALL SELECT 1, 'semantic', * FROM close)
+  SELECT question, CAST(place AS INT) AS place, match, chunk_id, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY bucket, similarity DESC, chunk_id) AS place FROM every) WHERE place <= 8"""
+)
+def search_questions(spark, sf_dir):
+    """The combined search for many questions in one plan."""
+    chunks, regs = _series(spark, sf_dir)
+    found = M.search_many(chunks, regs, table(spark, sf_dir, "regulation_texts"), "new", _asking(spark, sf_dir), Options(min_similarity=0.1, version_similarity=None))
+    return found.select("question", "place", "match", "chunk_id", _rounded())
+
+
+@query()
+def search_questions_grouped(spark, sf_dir):
+    """The same with version groups and dates."""
+    chunks, regs = _series(spark, sf_dir)
+    found = M.search_many(chunks, regs, table(spark, sf_dir, "regulation_texts"), "new", _asking(spark, sf_dir), Options(min_similarity=0.05, version_similarity=0.3))
+    return found.select("question", "place", "match", "chunk_id", _rounded(), "name", F.size("earlier_versions").alias("earlier"))
+
+
 _POOL = f"""pool AS (SELECT row_number() OVER (ORDER BY sim DESC, id) AS pos, * FROM (
     SELECT c.id, c.id % 40 AS regulation_id, r.enacted_on, c.embedding, {_COSINE.format(a='c.embedding', b=_VEC0)} AS sim FROM chunks c JOIN regulations r ON r.id = c.regulation_id ORDER BY sim DESC, c.id LIMIT 100))"""
 
@@ -147,17 +193,49 @@ def version_pairs(spark, sf_dir):
     return pairs.join(ids.withColumnsRenamed({"pos": "a", "id": "ia"}), "a").join(ids.withColumnsRenamed({"pos": "b", "id": "ib"}), "b").select(F.col("ia").alias("a"), F.col("ib").alias("b"), _rounded())
 
 
+def groups_sql(linkage: str) -> str:
+    """CTEs that end in groups (k, least, pos, home): the groups of each pool (k, pos, id, regulation_id, enacted_on, embedding) for each threshold of grid (least), ``home``
+    being the first member of a group. One candidate (best) or one link (chain) is taken a step."""
+    pairs = f"""pairs AS MATERIALIZED (SELECT a.k, a.pos AS a, b.pos AS b, {_COSINE.format(a='a.embedding', b='b.embedding')} AS s,
+    a.regulation_id <> b.regulation_id AND (a.enacted_on IS NULL OR b.enacted_on IS NULL OR a.enacted_on <> b.enacted_on) AS another FROM pool a JOIN pool b ON a.k = b.k AND a.pos < b.pos)"""
+    if linkage == "best":
+        steps = """steps AS MATERIALIZED (SELECT p.k, g.least, p.pos, coalesce(list(a) FILTER (s >= g.least), CAST([] AS BIGINT[])) AS near, coalesce(list(a) FILTER (NOT another), CAST([] AS BIGINT[])) AS barred
+    FROM grid g CROSS JOIN pool p LEFT JOIN pairs ON pairs.k = p.k AND pairs.b = p.pos GROUP BY ALL),
+  placed AS (SELECT DISTINCT k, least, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS homes FROM steps UNION ALL
+    SELECT p.k, p.least, p.n + 1, list_append(homes, coalesce(list_min(list_filter(near, lambda g: homes[g] = g AND NOT list_contains(list_transform(barred, lambda j: homes[j]), g))), p.n + 1))
+    FROM placed p JOIN steps s ON s.k = p.k AND s.least = p.least AND s.pos = p.n + 1)"""
+    else:
+        steps = """links AS MATERIALIZED (SELECT k, least, a, b, row_number() OVER (PARTITION BY k, least ORDER BY s DESC, a, b) AS n FROM grid CROSS JOIN pairs WHERE another AND s >= least),
+  bars AS MATERIALIZED (SELECT k, coalesce(list([a, b]) FILTER (NOT another), CAST([] AS BIGINT[][])) AS bars FROM pool LEFT JOIN pairs USING (k) GROUP BY k),
+  placed AS (SELECT k, least, CAST(0 AS BIGINT) AS n, list(pos ORDER BY pos) AS homes FROM grid CROSS JOIN pool GROUP BY k, least UNION ALL
+    SELECT k, least, n, CASE WHEN x = y OR len(list_filter(bars, lambda p: least(homes[p[1]], homes[p[2]]) = x AND greatest(homes[p[1]], homes[p[2]]) = y)) > 0 THEN homes ELSE list_transform(homes, lambda h: CASE WHEN h = y THEN x ELSE h END) END
+    FROM (SELECT p.k, p.least, p.n + 1 AS n, homes, bars, least(homes[a], homes[b]) AS x, greatest(homes[a], homes[b]) AS y FROM placed p JOIN links l ON l.k = p.k AND l.least = p.least AND l.n = p.n + 1 JOIN bars ON bars.k = p.k))"""
+    return pairs + ",\n  " + steps + """,
+  groups AS (SELECT k, least, unnest(homes) AS home, generate_subscripts(homes, 1) AS pos FROM (SELECT k, least, arg_max(homes, n) AS homes FROM placed GROUP BY k, least))"""
+
+
+def _groups_sql(linkage: str) -> str:
+    return (
+        with_tables("regulations", "chunks").replace("WITH", "WITH RECURSIVE", 1)
+        + f""", {_POOL.replace("AS pos, *", "AS pos, 0 AS k, *")}, grid AS (SELECT 0.3 AS least), {groups_sql(linkage)},
+  led AS (SELECT *, dense_rank() OVER (ORDER BY home) - 1 AS place, first_value(id) OVER g AS under, first_value(embedding) OVER g AS leader, row_number() OVER g AS n FROM groups JOIN pool USING (k, pos)
+    WINDOW g AS (PARTITION BY home ORDER BY coalesce(CAST(enacted_on AS VARCHAR), '') DESC, pos))
+  SELECT CAST(0 AS BIGINT) AS question, CAST(place AS INT) AS place, id AS chunk_id, CASE WHEN n > 1 THEN under END AS under, CASE WHEN n > 1 THEN CAST(n - 2 AS INT) END AS nested,
+    CASE WHEN n > 1 THEN round({_COSINE.format(a='leader', b='embedding')}, 6) END AS text_similarity FROM led"""
+    )
+
+
 def _grouped(spark, sf_dir, linkage):
     rows = _pool(spark, sf_dir).select(F.lit(0).cast("long").alias("question"), F.col("id").alias("chunk_id"), "similarity", "regulation_id", "enacted_on", "embedding", F.lit(False).alias("asked"))
     return V.group_versions(rows, 0.3, linkage).withColumn("text_similarity", F.round("text_similarity", 6))
 
 
-@query()
+@query(_groups_sql("best"))
 def version_groups_best(spark, sf_dir):
     return _grouped(spark, sf_dir, "best")
 
 
-@query()
+@query(_groups_sql("chain"))
 def version_groups_chain(spark, sf_dir):
     return _grouped(spark, sf_dir, "chain")
 

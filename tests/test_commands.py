@@ -27,6 +27,8 @@ def test_commands(spark, tmp_path, capsys):
     assert out[0]["skipped"] == 1 and out[1]["questions"] == 2 and out[1]["recall_5"] == 1 and [x["kind"] for x in out[2:4]] == ["reference", "topic"] and out[4] == {"absent": 1, "rejected": 1}
     out = [json.loads(x) for x in run(*ask, "--floors")][1:]
     assert [x["floor"] for x in out] == sorted(x["floor"] for x in out) and len(out) == 12 and out[-1]["recall_5"] >= 0.5 and out[-1]["rejected"] == 1
+    out = [json.loads(x) for x in run(*ask, "--versions", "0.9", "--timings")]
+    assert out[1]["recall_5"] == 1 and out[5] == {"under_newer": 0} and out[6]["questions"] == 3 and out[6]["ms"] > 0
     (tmp_path / "gold.jsonl").write_text(json.dumps(gold[2]), encoding="utf-8")
     assert main([ask[0], *store, *ask[1:]], spark) == 2
     row |= {"titulo_sumario": "Pesca"}

@@ -172,3 +172,39 @@ def test_codes_against_a_scan(spark, tmp_path):
     assert none.exact_of_many(asked, 3).count() == none.nearest_of_many(asked, 3).count() == 0 and none.search([1.0, 2.0], 3).count() == 0
     with pytest.raises(ValueError, match="24 dimensions"):
         index.search([1.0], 3)
+
+
+def test_many_questions_at_once(spark, corpus):
+    """All questions in one plan give the rows that each gives alone, groups of issues, citations and days included."""
+    from codicil.operators import many as M
+
+    c, r, t, e = corpus
+    texts = [
+        "cupo anual de captura para buques costeros", "cupo anual de captura para buques costeros desde octubre de 2025", "¿De qué trata la Ley 24.013?", "Decreto 205/2025 y Ley 24.013: captura", "",
+    ]
+    rows = spark.createDataFrame([(7 * n, x) for n, x in enumerate(texts)], "question long, text string")
+    today = datetime.date(2026, 8, 1)
+    questions = M.asked(rows, lambda: HashingEmbedder(dimensions=DIM), DIM, today)
+    plain = lambda x: [x[f] for f in ("place", "match", "chunk_id", "name", "url")] + [round(x.similarity, 9), [(v.nested, v.chunk_id, v.name, round(v.text_similarity, 9)) for v in x.earlier_versions]]
+    for o in (Options(version_similarity=0.8, min_similarity=0.3), Options(version_similarity=0.8, version_linkage="best", min_similarity=0.1, limit=3)):
+        got: dict = {}
+        for x in sorted(M.search_many(c, r, t, "hashing", questions, o).collect(), key=lambda x: (x.question, x.place)):
+            got.setdefault(x.question, []).append(plain(x))
+        alone = {7 * n: [plain(x) for x in S.search(c, r, t, e, text, o, today).collect()] for n, text in enumerate(texts)}
+        assert got == {n: x for n, x in alone.items() if x} and got
+    none = M.search_many(c, r, t, "hashing", questions.limit(0), Options())
+    assert none.collect() == []
+
+
+def test_a_question_that_cannot_be_embedded(spark, corpus):
+    from codicil.operators import many as M
+
+    class Refuses:
+        model = "refuses"
+
+        def embed(self, texts):
+            raise ValueError("no such model")
+
+    rows = spark.createDataFrame([(1, "a")], "question long, text string")
+    with pytest.raises(Exception, match="QueryEmbeddingError.*question 1.*no such model"):
+        M.asked(rows, Refuses, DIM).collect()
