@@ -4,8 +4,10 @@ Each batch of documents is a shard. Its words become numbers (by the words of th
 benchmark), its suffixes are sorted, and every suffix of every benchmark item is
 looked up in that order by binary search. Suffixes of the shard that don't begin with
 a k-word run of the benchmark (k: the words every match has at least) can't match and
-are left out of the array before sorting; sorting goes as deep as a window is long, and
-matches are carried on word by word to their full length.
+are left out of the array before sorting; sorting goes as deep as a window is long.
+Windows that items share are looked up once, and matches are carried on word by word to
+their full length in the sorted suffixes of the benchmark, so that a prompt that all
+items begin with costs no more than one of them.
 
 Rules: words are runs of a-z, 0-9 and code points above 127, after lower-casing A-Z. A
 window is ``window`` consecutive words of an item; an item of fewer words, but not none,
@@ -42,7 +44,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Block:
-    """Part of the benchmark, ready for search."""
+    """Part of the benchmark, ready for search: its different windows, each with the items that hold it, and its suffixes in order."""
 
     def __init__(self, items: list[tuple[int, list[bytes]]], window: int):
         self.window = window
@@ -51,21 +53,34 @@ class Block:
         seqs = [np.array([self.number.setdefault(w, len(self.number) + 1) for w in ws], np.int64) for _, ws in items]
         self.least = min([window, *map(len, seqs)])
         self.k = min(3, self.least)
-        # every suffix of every item, to the depth of a window; padded with 0, which no word of the benchmark has
-        starts, owner, size = [], [], []
-        for j, s in enumerate(seqs):
-            n = max(1, len(s) - window + 1)
-            starts += [np.pad(s[i : i + window], (0, max(0, window - len(s[i : i + window])))) for i in range(n)]
-            owner += [j] * n
-            size += [min(window, len(s))] * n
-        self.suffix, self.owner, self.size = np.array(starts, np.int64).reshape(-1, window), np.array(owner), np.array(size)
-        self.after = [(j, i) for j, s in enumerate(seqs) for i in range(max(1, len(s) - window + 1))]
-        self.seqs = seqs
         base = len(self.number) + 2
         while self.k > 1 and base**self.k > 2**62:
             self.k -= 1
         self.base = base
         self.runs = np.unique(np.concatenate([self.run_keys(s) for s in seqs])) if seqs else np.zeros(0, np.int64)
+        # items one after the other, a 0, which is no word, after each; a window at each start, an item of fewer words being one
+        lengths = np.array([len(s) for s in seqs], np.int64)
+        first = np.cumsum(lengths + 1) - lengths - 1
+        self.words = np.concatenate([np.append(s, 0) for s in seqs]) if seqs else np.zeros(1, np.int64)
+        n = np.maximum(1, lengths - window + 1)
+        owner = np.repeat(np.arange(len(seqs)), n)
+        starts = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+        size = np.minimum(window, lengths)[owner]
+        rows = self.words[np.minimum(starts[:, None] + np.arange(window), len(self.words) - 1)]
+        rows[np.arange(window)[None, :] >= size[:, None]] = 0
+        # windows that several items share are one
+        _, at, which = np.unique(as_keys(rows), return_index=True, return_inverse=True)
+        self.suffix, self.size = rows[at], size[at]
+        held = np.unique(np.stack([which.ravel(), owner], 1), axis=0) if len(owner) else np.zeros((0, 2), np.int64)
+        self.holder, self.held = held[:, 1], np.searchsorted(held[:, 0], np.arange(len(at) + 1))
+        # the suffixes that begin with a whole window, in the order of all their words: those of one window lie together
+        whole = np.flatnonzero(size == window)
+        whole = whole[np.argsort(suffix_ranks(self.words, int(lengths.max(initial=0)))[starts[whole]], kind="stable")]
+        self.order = starts[whole]
+        self.low, self.high = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        of = which.ravel()[whole]
+        begins = np.flatnonzero(np.diff(of, prepend=-1))
+        self.low[of[begins]], self.high[of[begins]] = begins, np.append(begins[1:], len(of))
 
     def run_keys(self, s: np.ndarray) -> np.ndarray:
         n = len(s) - self.k + 1
@@ -74,6 +89,47 @@ class Block:
             key = key * self.base + s[i : i + n] if n > 0 else key
         return key
 
+    def items_with(self, windows: np.ndarray) -> set[int]:
+        """The ids of the items that hold any of the windows."""
+        found = [self.holder[self.held[w] : self.held[w + 1]] for w in windows]
+        return set(self.ids[np.unique(np.concatenate(found))].tolist()) if found else set()
+
+    def _bound(self, low: np.ndarray, high: np.ndarray, word: np.ndarray, depth: int, after: bool) -> np.ndarray:
+        """Where word stands, or ends, among the suffixes of each range, which agree up to ``depth``."""
+        low, high = low.copy(), high.copy()
+        while (still := low < high).any():
+            mid = (low + high) // 2
+            v = self.words[np.minimum(self.order[np.minimum(mid, len(self.order) - 1)] + depth, len(self.words) - 1)]
+            up = still & ((v <= word) if after else (v < word))
+            low, high = np.where(up, mid + 1, low), np.where(still & ~up, mid, high)
+        return low
+
+    def longest(self, which: np.ndarray, at: np.ndarray, seq: np.ndarray) -> np.ndarray:
+        """How many words from each place ``at`` of seq, where a window stands, stand so in some item: the range of suffixes that agree is narrowed a word at a time."""
+        size, low, high = self.size[which].copy(), self.low[which], self.high[which]
+        on, depth = np.flatnonzero(size == self.window), self.window
+        while len(on):
+            word = seq[at[on] + depth]
+            on, word = on[word > 0], word[word > 0]
+            a, b = self._bound(low[on], high[on], word, depth, False), self._bound(low[on], high[on], word, depth, True)
+            on, a, b = on[b > a], a[b > a], b[b > a]
+            low[on], high[on] = a, b
+            size[on] += 1
+            depth += 1
+        return size
+
+
+def suffix_ranks(words: np.ndarray, longest: int) -> np.ndarray:
+    """The ranks of all suffixes by their first ``longest`` words at least, by doubling the length that they are sorted by."""
+    _, rank = np.unique(words, return_inverse=True)
+    rank, known = rank.astype(np.int64).ravel(), 1
+    while known <= longest and rank.max(initial=0) + 1 < len(rank):
+        later = np.zeros(len(rank), np.int64)
+        later[: max(0, len(rank) - known)] = rank[known:] + 1
+        _, rank = np.unique(rank * (len(rank) + 1) + later, return_inverse=True)
+        rank, known = rank.astype(np.int64).ravel(), 2 * known
+    return rank
+
 
 def as_keys(rows: np.ndarray) -> np.ndarray:
     """Rows of numbers as byte strings that sort alike."""
@@ -104,8 +160,8 @@ class Shard:
         order = np.argsort(keys, kind="stable")
         self.keys, self.at = keys[order], can[order]
 
-    def matches(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(suffix of the benchmark, position in the shard, words that match: the longest verbatim match)."""
+    def matches(self) -> tuple[np.ndarray, np.ndarray]:
+        """(window of the benchmark, position in the shard): a window for each length that stands at a position, whoever holds it."""
         b = self.block
         low = as_keys(b.suffix)
         high = b.suffix.copy()
@@ -114,29 +170,35 @@ class Shard:
         n = right - left
         which = np.repeat(np.arange(len(n)), n)
         rank = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(left, n)
-        at = self.at[rank]
-        size = b.size[which].copy()
-        for x in range(len(which)):
-            j, i = b.after[which[x]]
-            item, p = b.seqs[j], at[x]
-            while i + size[x] < len(item) and p + size[x] < len(self.seq) and self.seq[p + size[x]] == item[i + size[x]]:
-                size[x] += 1
-        return which, at, size
+        return which, self.at[rank]
 
 
 def _find(block: Block, docs: list[list[bytes]]) -> list[tuple[list[tuple[int, int]], set[int], int]]:
-    """For each document its hit word ranges, the items found, and the words of its longest match."""
+    """For each document its hit word ranges, apart from each other, the items found, and the words of its longest match."""
     shard = Shard(block, docs)
-    which, at, size = shard.matches()
+    which, at = shard.matches()
     doc = np.searchsorted(shard.first, at, "right") - 1
-    out: list = [([], set(), 0) for _ in docs]
-    for d, p, w, n in zip(doc.tolist(), at.tolist(), which.tolist(), size.tolist()):
-        spans, items, most = out[d]
-        start = p - int(shard.first[d])
-        spans.append((start, start + int(block.size[w])))
-        items.add(int(block.ids[block.owner[w]]))
-        out[d] = (spans, items, max(most, n))
-    return out
+    most = np.zeros(len(docs), np.int64)
+    np.maximum.at(most, doc, block.longest(which, at, shard.seq))
+    change = np.zeros(len(shard.seq) + 1, np.int64)
+    np.add.at(change, at, 1)
+    np.add.at(change, at + block.size[which], -1)
+    edges = np.flatnonzero(np.diff(np.cumsum(change) > 0, prepend=False)).reshape(-1, 2)
+    spans: list[list[tuple[int, int]]] = [[] for _ in docs]
+    for d, a, b in zip((np.searchsorted(shard.first, edges[:, 0], "right") - 1).tolist(), *edges.T.tolist()):
+        start = int(shard.first[d])
+        spans[d].append((a - start, b - start))
+    pairs = np.unique(doc * max(1, len(block.size)) + which)
+    owner, windows = np.divmod(pairs, max(1, len(block.size)))
+    ends = np.searchsorted(owner, np.arange(len(docs) + 1))
+    known: dict[bytes, set[int]] = {}  # documents that hold the same windows hold the same items
+    items = []
+    for d in range(len(docs)):
+        own = windows[ends[d] : ends[d + 1]]
+        if (key := own.tobytes()) not in known:
+            known[key] = block.items_with(own)
+        items.append(known[key])
+    return list(zip(spans, items, most.tolist()))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -285,6 +285,55 @@ def test_longest_match(spark):
     assert got == {0: 23, 1: 12, 2: 0}
 
 
+def test_windows_that_items_share(spark):
+    """Spans, items and longest matches of random short words, and a prompt in all items, which is searched for once."""
+    import time
+
+    from codicil.llm.decontaminate import Block, _find
+
+    def plainly(items, words, window):
+        hit, ids, most = set(), set(), 0
+        for name, s in items:
+            n = min(window, len(s))
+            for j in range(max(1, len(s) - n + 1)):
+                for p in range(len(words) - n + 1):
+                    if words[p : p + n] == s[j : j + n]:
+                        k = n
+                        while n == window and p + k < len(words) and j + k < len(s) and words[p + k] == s[j + k]:
+                            k += 1
+                        hit, ids, most = hit | set(range(p, p + n)), ids | {name}, max(most, k)
+        return hit, ids, most
+
+    r = random.Random(12)
+    for _ in range(150):
+        names, window = [b"%d" % i for i in range(r.choice([2, 3, 6]))], r.choice([2, 3, 5])
+        items = [(r.randrange(9), [r.choice(names) for _ in range(r.randrange(1, 14))]) for _ in range(r.randrange(1, 8))]
+        docs = [[r.choice([*names, b"x"]) for _ in range(r.randrange(0, 30))] for _ in range(r.randrange(1, 5))] + [items[0][1] + items[-1][1]]
+        got = [({x for a, b in spans for x in range(a, b)}, ids, most) for spans, ids, most in _find(Block(items, window), docs)]
+        assert got == [plainly(items, d, window) for d in docs]
+    prompt, took = [b"p%d" % i for i in range(20)], []
+    for n in (1000, 4000):
+        block = Block([(i, [*prompt, *(b"w%d_%d" % (i, j) for j in range(10))]) for i in range(n)], 10)
+        since = time.monotonic()
+        found = _find(block, [(prompt + [b"z"]) * 400 for _ in range(20)])
+        took.append(time.monotonic() - since)
+        assert all(len(spans) == 400 and len(ids) == n and most == 20 for spans, ids, most in found)
+    assert took[1] < 2 * took[0] + 0.5
+
+
+def test_language_of_long_texts_only(spark):
+    """A language all of whose texts are long is learned like the others; rows that repeat count once."""
+    from codicil.llm import language
+
+    r = random.Random(3)
+    long_words, short_words = (["".join(r.choice(c) for _ in range(6)) for _ in range(300)] for c in ("aeiou", "klmnp"))
+    rows = [(i, " ".join(r.choices(long_words, k=9000)), "long") for i in range(3)] + [(10 + i, " ".join(r.choices(short_words, k=60)), "short") for i in range(20)] * 2
+    learned = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(learned) == ["long", "short"] and all(len(v) > 1000 for v in learned.values())
+    asked = spark.createDataFrame([(1, " ".join(r.choices(long_words, k=50))), (2, " ".join(r.choices(short_words, k=50)))], "doc_id long, text string")
+    assert [x.lang_pred for x in language.classify(asked, learned).orderBy("doc_id").collect()] == ["long", "short"]
+
+
 def test_quality(spark):
     from codicil.llm.quality_rules import quality, text_counts
 
