@@ -18,7 +18,7 @@ import math
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, crc_of_id, pick, texts_of
@@ -34,14 +34,18 @@ def plain(text: str) -> bytes:
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
-    """A dictionary for each language of ``docs`` (doc_id, text, lang). LANGUAGES bounds how many there may be."""
+    """A dictionary for each language of ``docs`` (doc_id, text, lang). LANGUAGES bounds how many there may be.
+
+    ``sample`` documents of each by hash are learned from; of a longer text LONGEST code points."""
     rows = pick(docs, doc_id="long", text="string", lang="string").where("lang is not null and text is not null and doc_id is not null")
     langs = sorted(r.lang for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect())
-    short = rows.where(F.length("text") <= LONGEST).select("lang", "doc_id", F.xxhash64("doc_id", F.lit(5)).alias("h"))
-    ids = [r.doc_id for lang in langs for r in short.where(F.col("lang") == lang).orderBy("h", "doc_id").limit(sample).collect()]
+    rows = rows.where(F.col("lang").isin(langs)).withColumns({"h": F.xxhash64("doc_id", F.lit(5)), "th": F.xxhash64("text")})
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "th"))
+    chosen = rows.select("lang", "doc_id", "h", "th").withColumn("nth", nth).where(F.col("nth") <= sample).select("lang", "doc_id", "th").distinct()  # sample * LANGUAGES rows at most
     texts: dict[str, list[tuple[int, str]]] = {}
-    if ids:
-        for r in rows.where(F.col("doc_id").isin(ids)).select("doc_id", "lang", "text", F.xxhash64("doc_id", F.lit(5)).alias("h")).collect():
+    if langs:
+        own = rows.join(F.broadcast(chosen), ["lang", "doc_id", "th"]).select("lang", "doc_id", "th", "h", F.substring("text", 1, LONGEST).alias("text"))
+        for r in own.dropDuplicates(["lang", "doc_id", "th"]).collect():
             texts.setdefault(r.lang, []).append((r.h, r.text))
     out = {}
     for lang in langs:
