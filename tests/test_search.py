@@ -192,6 +192,8 @@ def test_many_questions_at_once(spark, corpus):
             got.setdefault(x.question, []).append(plain(x))
         alone = {7 * n: [plain(x) for x in S.search(c, r, t, e, text, o, today).collect()] for n, text in enumerate(texts)}
         assert got == {n: x for n, x in alone.items() if x} and got
+    some = M.search_many(c, r, t, "hashing", questions, Options(version_similarity=None, min_similarity=0, types=("decreto",))).collect()
+    assert {x.chunk_id for x in some} == {20, 30, 40} and {x.question for x in some} == {7 * n for n in range(len(texts))}
     none = M.search_many(c, r, t, "hashing", questions.limit(0), Options())
     assert none.collect() == []
 
