@@ -19,6 +19,7 @@ REGULATIONS = (
 )
 TEXTS = "regulation_id int, source string, source_url string, content string, content_hash string"
 CHUNKS = "id long, regulation_id int, ordinal int, section string, label string, content string, embedding array<float>, embedding_model string"
+UNFINISHED = "kind string, id int"
 RUNS = "finished_at timestamp, outcome string, dataset_changed boolean, added int, changed int, error string"
 
 
@@ -108,7 +109,7 @@ def embed_pending(spark: SparkSession, a: argparse.Namespace) -> dict:
     from codicil.functions.text import embedding_input, regulation_name
     from codicil.functions.vectors import HashingEmbedder
     from codicil.operators.changes import pending
-    from codicil.operators.embed import embed_chunks
+    from codicil.operators.embed import embed_and_save
     from codicil.sources.store import save_vectors
 
     regulations, _, chunks, _ = stores(spark, a.store)
@@ -118,9 +119,12 @@ def embed_pending(spark: SparkSession, a: argparse.Namespace) -> dict:
     name = regulation_name(F.col("type"), F.col("number"), F.col("enacted_on"))
     inputs = rows.select("id", embedding_input(name, F.col("topic"), F.col("title"), F.col("label"), F.col("content")).alias("input"))
     dimensions = a.dimensions
-    done = settled(embed_chunks(inputs, lambda: HashingEmbedder(dimensions=dimensions), dimensions).where("error is null").select("id", "embedding"))
-    keys = settled(wanted.select("id", "regulation_id").join(done, "id", "left_semi").select("regulation_id").distinct())
-    chunks.replace(save_vectors(chunks.of_keys(keys), done, "hashing"), keys)
+
+    def save(done: DataFrame) -> None:
+        keys = settled(wanted.select("id", "regulation_id").join(done, "id", "left_semi").select("regulation_id").distinct())
+        chunks.replace(save_vectors(chunks.of_keys(keys), done, "hashing"), keys)
+
+    embed_and_save(inputs, lambda: HashingEmbedder(dimensions=dimensions), dimensions, save)
     return {"embedded": chunks.read().where("embedding is not null").count()}
 
 
@@ -138,10 +142,9 @@ def update(spark: SparkSession, a: argparse.Namespace) -> int:
     if a.if_due and not C.update_status(runs.read(), F.current_timestamp()).first().due:
         print(json.dumps({"due": False}))
         return 0
-    journal, state = f"{a.store}/unfinished.json", f"{a.store}/dataset.json"
+    journal, state = S.VersionedTable(spark, f"{a.store}/unfinished", UNFINISHED), f"{a.store}/dataset.json"
     before = R.read_state(state)
     now: list[R.DatasetState] = []
-    ids = lambda wanted: spark.createDataFrame([(i,) for i in wanted], "id int")
 
     def found() -> DataFrame | None:
         now.append(R.DatasetState(R.sha256_of(a.records), datetime.datetime.now().isoformat(timespec="seconds")))
@@ -150,21 +153,25 @@ def update(spark: SparkSession, a: argparse.Namespace) -> int:
         rows = I.classified(records_of(spark, a), (I.Subset(tuple(a.type or ()), a.since),))
         return settled(C.changes(regulations.read(), rows.where("status = 'selected'").select("line", *I.STORED)))
 
-    def texts(wanted: list[int], refetch: bool) -> dict:
-        rows = save_texts(spark, a, regulations.read().join(F.broadcast(ids(wanted)), "id", "left_semi"), True)
+    def texts(wanted: DataFrame, refetch: bool) -> dict:
+        rows = save_texts(spark, a, regulations.read().join(wanted, "id", "left_semi"), True)
         return json.loads(rows.transform(T.text_report).toJSON().first())
 
-    def forget(wanted: list[int]) -> int:
-        keys = ids(wanted).select(F.col("id").alias("regulation_id"))
+    def forget(wanted: DataFrame) -> int:
+        keys = wanted.select(F.col("id").alias("regulation_id"))
         kept, count = S.forget_vectors(chunks.of_keys(keys), keys)
         n = count.first().forgotten
         chunks.replace(kept, keys)
         return n
 
+    def save_unfinished(work: DataFrame | None) -> None:
+        at = max(journal.versions(), default=0)
+        journal.write(work.select("kind", F.col("id").cast("int").alias("id")) if work is not None else spark.createDataFrame([], UNFINISHED), at)
+
     steps = C.UpdateSteps(
-        load_unfinished=lambda: S.load_unfinished(journal), save_unfinished=lambda work: S.save_unfinished(journal, work), found=found,
+        load_unfinished=journal.read, save_unfinished=save_unfinished, found=found,
         upsert=lambda rows: regulations.upsert(rows.select("line", *I.STORED), "line", "created_at", "updated_at"),
-        without_text=lambda: sorted(r.id for r in C.without_text(regulations.read(), stored.read()).select("id").toLocalIterator()),
+        without_text=lambda: C.without_text(regulations.read(), stored.read()).select("id"),
         texts=texts, forget_vectors=forget, embed=lambda: embed_pending(spark, a), commit=lambda: R.save_state(state, now[0]),
     )
     try:
@@ -186,9 +193,14 @@ def update(spark: SparkSession, a: argparse.Namespace) -> int:
 
 def maintain(spark: SparkSession, a: argparse.Namespace) -> None:
     """Rewrites the buckets that have gathered many changes, and drops what only versions before the last --keep hold."""
-    for t in stores(spark, a.store)[:3]:
+    from codicil.sources.store import VersionedTable
+
+    *keyed, runs = stores(spark, a.store)
+    for t in keyed:
         written = t.compact(a.most)
         print(json.dumps({"table": t.path.rpartition("/")[2], "version": written.number, "buckets": len(written.touched), "folders_dropped": t.vacuum(a.keep)}))
+    for t in (runs, VersionedTable(spark, f"{a.store}/unfinished", UNFINISHED)):
+        print(json.dumps({"table": t.path.rpartition("/")[2], "version": max(t.versions(), default=0), "folders_dropped": t.vacuum(a.keep)}))
 
 
 def search(spark: SparkSession, a: argparse.Namespace) -> int:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codicil.sources.store import NOTHING_UNFINISHED
+from codicil.sources.store import work_counts
 
 # Fields whose change means another text, and those that stand in the heading of chunks.
 TEXT_FIELDS = ("updated_text_url", "original_text_url", "amended_by_count", "summary")
@@ -65,49 +65,49 @@ class UpdateIncomplete(RuntimeError):
 
 @dataclass
 class UpdateSteps:
-    """What an update is made of; each step is idempotent, so a stopped run is simply run again."""
+    """What an update is made of; each step is idempotent, so a stopped run is simply run again. The work is rows throughout: a journal (kind, id), and ids (id) that
+    steps join with."""
 
-    load_unfinished: Callable[[], dict[str, list[int]]]
-    save_unfinished: Callable[[dict[str, list[int]]], None]
+    load_unfinished: Callable[[], DataFrame]
+    save_unfinished: Callable[[DataFrame | None], None]  # None: nothing is left
     found: Callable[[], DataFrame | None]  # changes(), or None if the dataset is the same
     upsert: Callable[[DataFrame], None]
-    without_text: Callable[[], list[int]]
-    texts: Callable[[list[int], bool], dict]  # (ids, refetch) -> report, with "aborted"
-    forget_vectors: Callable[[list[int]], int]
+    without_text: Callable[[], DataFrame]
+    texts: Callable[[DataFrame, bool], dict]  # (ids, refetch) -> report, with "aborted"
+    forget_vectors: Callable[[DataFrame], int]
     embed: Callable[[], dict]
     commit: Callable[[], None]
 
 
 def run_update(steps: UpdateSteps, check: bool = False) -> dict:
-    """Brings the corpus up to date. The ids of the work are a list of its own: as many as a month changes, not the corpus."""
+    """Brings the corpus up to date. What a stopped run left and what this one finds are written down together before anything is touched; steps read
+    their part of that journal, and the driver only sees counts."""
     resumed = steps.load_unfinished()
     found = steps.found()
-    report: dict = {"resumed": resumed, "dataset": change_report(found).first().asDict() if found is not None else None}
+    report: dict = {"resumed": work_counts(resumed), "dataset": change_report(found).first().asDict() if found is not None else None}
     if check:
         return report
-    work = {k: set(resumed.get(k) or ()) for k in NOTHING_UNFINISHED}
     if found is not None:
-        for r in work_of(found).toLocalIterator():
-            work[r.kind].add(r.id)
-    todo = {k: sorted(v) for k, v in work.items()}
-    steps.save_unfinished(todo)
+        steps.save_unfinished(work_of(found, resumed))
+    todo = steps.load_unfinished()
+    many = work_counts(todo)
+    ids = lambda kind: todo.where(F.col("kind") == kind).select("id").distinct()
     if found is not None:
         steps.upsert(found.where("label != 'unchanged'"))
 
-    def texts(ids: list[int], refetch: bool) -> dict | None:
-        if not ids:
-            return None
-        done = steps.texts(ids, refetch)
+    def texts(wanted: DataFrame, refetch: bool) -> dict:
+        done = steps.texts(wanted, refetch)
         if done.get("aborted"):
             raise UpdateIncomplete(done["aborted"])
         return done
 
-    report["new_texts"] = texts(steps.without_text(), False)
-    report["refetched"] = texts(todo["refetch"], True)
-    report["rechunked"] = texts(todo["rechunk"], False)
-    report["vectors_forgotten"] = steps.forget_vectors(todo["revector"]) if todo["revector"] else 0
+    new = steps.without_text()
+    report["new_texts"] = None if new.isEmpty() else texts(new, False)
+    report["refetched"] = texts(ids("refetch"), True) if many["refetch"] else None
+    report["rechunked"] = texts(ids("rechunk"), False) if many["rechunk"] else None
+    report["vectors_forgotten"] = steps.forget_vectors(ids("revector")) if many["revector"] else 0
     report["embedded"] = steps.embed()
-    steps.save_unfinished(NOTHING_UNFINISHED)
+    steps.save_unfinished(None)
     if found is not None:
         steps.commit()
     return report

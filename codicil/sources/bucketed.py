@@ -21,9 +21,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .numbered import Conflict, content, drop, file_system, numbers, take
 
-class Conflict(RuntimeError):
-    """Another writer took the version first."""
+__all__ = ["BucketedTable", "Conflict", "Version"]
 
 
 @dataclass
@@ -43,43 +43,19 @@ class BucketedTable:
         self._key = T.StructType([T.StructField("_key", self.schema[key].dataType)])
 
     def _fs(self, name: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+        return file_system(self.spark, f"{self.path}/{name}")
 
     def versions(self) -> list[int]:
-        fs, p = self._fs("log")
-        return sorted(int(x.getPath().getName()[:-5]) for x in fs.listStatus(p) if x.getPath().getName().endswith(".json")) if fs.exists(p) else []
+        return numbers(self.spark, self.path)
 
     def version(self, number: int | None = None) -> Version:
         """The version of that number, the last one without."""
         if number is None:
             number = max(self.versions(), default=0)
-        if not number:
-            return Version()
-        fs, p = self._fs(f"log/{number:020d}.json")
-        stream = fs.open(p)
-        try:
-            return Version(**json.loads(bytes(stream.readAllBytes()).decode()))
-        finally:
-            stream.close()
+        return Version(**json.loads(content(self.spark, self.path, number))) if number else Version()
 
     def _commit(self, now: Version) -> Version:
-        """Writes the version aside and moves it to its place, which fails where one stands already."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        fs, to = self._fs(f"log/{now.number:020d}.json")
-        fs.mkdirs(to.getParent())
-        aside = jvm.org.apache.hadoop.fs.Path(to.getParent(), f".{now.number}-{uuid.uuid4().hex}")
-        out = fs.create(aside, False)
-        out.write(bytearray(json.dumps(now.__dict__).encode()))
-        out.close()
-        rename = jvm.org.apache.hadoop.fs.Options.Rename
-        try:
-            jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri(), conf).rename(fs.makeQualified(aside), fs.makeQualified(to), self.spark.sparkContext._gateway.new_array(rename, 0))
-        except Exception as e:
-            fs.delete(aside, False)
-            if fs.exists(to):
-                raise Conflict(f"version {now.number} of {self.path} exists") from e
-            raise
+        take(self.spark, self.path, now.number, json.dumps(now.__dict__))
         return now
 
     def bucket_of(self, key: Column) -> Column:
@@ -190,6 +166,5 @@ class BucketedTable:
                         fs.delete(bucket.getPath(), True)
                         gone += 1
         for n in numbers[:-keep]:
-            fs, p = self._fs(f"log/{n:020d}.json")
-            fs.delete(p, False)
+            drop(self.spark, self.path, n)
         return gone

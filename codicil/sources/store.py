@@ -1,64 +1,65 @@
-"""Tables kept as versions: each change writes a new folder beside the old one and then moves the pointer, so that readers see the
-table before or after it, and a failed write leaves nothing behind that is read.
+"""Tables kept as versions: each change writes a new folder beside the old ones and then takes the next number, so that readers see the
+table before or after it, and a failed write leaves nothing behind that is read. Folders of older versions stay until vacuum(), so that a plan which reads one can still be retried.
 
-Rows are never changed in place (plain Parquet has no MERGE): what stays is anti-joined and what is new is put beside it. The pointer is a
-small file written in one step through Hadoop's file system, so the store may be in any that Spark reads.
+Rows are never changed in place (plain Parquet has no MERGE): what stays is anti-joined and what is new is put beside it. The store may be in any
+file system that Spark reads.
 """
 
 from __future__ import annotations
 
-import json
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .numbered import content, drop, file_system, numbers, take
+
 
 class VersionedTable:
+    """A small table that is written whole."""
+
     def __init__(self, spark: SparkSession, path: str, schema: str):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
 
-    def _fs(self, name: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
-    def _current(self) -> str | None:
-        fs, p = self._fs("CURRENT")
-        if not fs.exists(p):
-            return None
-        stream = fs.open(p)
-        try:
-            return bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
-
-    def read(self) -> DataFrame:
-        at = self._current()
-        reader = self.spark.read.schema(self.schema)
-        return reader.parquet(f"{self.path}/{at}") if at else self.spark.createDataFrame([], self.schema)
-
-    def write(self, df: DataFrame) -> None:
-        """Makes df the table."""
-        version = f"v-{int(time.time() * 1000):015d}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(f"{self.path}/{version}")
-        fs, p = self._fs("CURRENT.new")
-        out = fs.create(p, True)
-        out.write(bytearray(version.encode()))
-        out.close()
-        old, to = self._current(), self._fs("CURRENT")[1]
-        if not fs.rename(p, to):  # some file systems don't replace
-            fs.delete(to, False)
-            fs.rename(p, to)
-        if old and old != version:
-            fs.delete(self._fs(old)[1], True)
-
-    def append(self, df: DataFrame) -> None:
-        self.write(self.read().unionByName(df))
-
-    def compact(self, files: int) -> None:
+    def versions(self) -> list[int]:
+        return numbers(self.spark, self.path)
+
+    def read(self, number: int | None = None) -> DataFrame:
+        """The rows of a version, of the last one without a number."""
+        if number is None:
+            number = max(self.versions(), default=0)
+        if not number:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{content(self.spark, self.path, number)}")
+
+    def write(self, df: DataFrame, after: int | None = None) -> int:
+        """Makes df the table; its number. ``after``: the version that df was made from; a Conflict if there is a later one."""
+        number = (max(self.versions(), default=0) if after is None else after) + 1
+        folder = f"v-{number:020d}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(f"{self.path}/{folder}")
+        take(self.spark, self.path, number, folder)
+        return number
+
+    def append(self, df: DataFrame) -> int:
+        at = max(self.versions(), default=0)
+        return self.write(self.read(at).unionByName(df), at)
+
+    def compact(self, files: int) -> int:
         """The table in fewer files."""
-        self.write(self.read().coalesce(files))
+        at = max(self.versions(), default=0)
+        return self.write(self.read(at).coalesce(files), at)
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Deletes all versions before the last ``keep``, and what writes that failed left; how many folders went. Nobody may read an older version any more, nor write."""
+        known = self.versions()
+        kept = {content(self.spark, self.path, n) for n in known[-keep:]}
+        fs, p = file_system(self.spark, self.path)
+        old = [x.getPath() for x in fs.listStatus(p) if x.getPath().getName().startswith("v-") and x.getPath().getName() not in kept] if fs.exists(p) else []
+        for x in old:
+            fs.delete(x, True)
+        for n in known[:-keep]:
+            drop(self.spark, self.path, n)
+        return len(old)
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, order: str | None = None, created: str | None = "created_at", updated: str | None = "updated_at", now: object = None) -> DataFrame:
@@ -112,20 +113,10 @@ def forget_vectors(chunks: DataFrame, regulations: DataFrame) -> tuple[DataFrame
     return out, marked.agg(F.count_if(hit & F.col("embedding").isNotNull()).alias("forgotten"))
 
 
-NOTHING_UNFINISHED: dict[str, list[int]] = {"refetch": [], "rechunk": [], "revector": []}
-
-
-def load_unfinished(path: str) -> dict[str, list[int]]:
-    """The work a stopped run left; missing files and keys are empty lists."""
-    try:
-        with open(path) as f:
-            found = json.load(f)
-    except (OSError, ValueError):
-        found = {}
-    return {k: list(found.get(k) or []) for k in NOTHING_UNFINISHED}
-
+#: Kinds of work that an update may leave unfinished.
+WORK = ("refetch", "rechunk", "revector")
 
-def save_unfinished(path: str, work: dict[str, list[int]]) -> None:
-    from .records import write_json
 
-    write_json(path, work)
+def work_counts(work: DataFrame) -> dict[str, int]:
+    """How much of each kind there is in a journal (kind, id)."""
+    return work.agg(*(F.count_if(F.col("kind") == k).alias(k) for k in WORK)).first().asDict()

@@ -70,5 +70,5 @@ def test_maintain(spark, tmp_path, capsys):
     texts.replace(row.where("regulation_id = 1").withColumn("content", row.content_hash), row.where("regulation_id = 1").select("regulation_id"))
     assert main(["maintain", "--store", str(tmp_path), "--most", "1", "--keep", "1"], spark) == 0
     said = [json.loads(x) for x in capsys.readouterr().out.strip().split("\n")]
-    assert [x["table"] for x in said] == ["regulations", "texts", "chunks"] and said[1]["folders_dropped"] > 0 and said[0]["version"] == 0
+    assert [x["table"] for x in said] == ["regulations", "texts", "chunks", "runs", "unfinished"] and said[1]["folders_dropped"] > 0 and said[0]["version"] == 0
     assert sorted((r.regulation_id, r.content) for r in texts.read().collect()) == [(1, "h1"), (2, "two")]

@@ -10,6 +10,7 @@ from codicil.operators import texts as T
 from codicil.operators.requests import corpus_subsets
 from codicil.sources import records as R
 from codicil.sources import store
+from codicil.sources.numbered import Conflict
 
 GOOD = dict.fromkeys(R.COLUMNS, "") | {"id_norma": "7", "tipo_norma": " Ley ", "numero_norma": "27.818", "fecha_sancion": "2022-11-03", "numero_boletin": "12.0", "texto_original": "https://x.org/a", "modifica_a": "2"}
 
@@ -98,18 +99,34 @@ def test_changes_and_update(spark):
     now = spark.createDataFrame([row(1), row(2, title="u"), row(3, summary="s", number="5"), row(4)], cols)
     found = C.changes(stored, now)
     assert {r.id: (r.label, r.fields, r.text, r.context) for r in found.collect()} == {1: ("unchanged", [], False, False), 2: ("changed", ["title"], False, True), 3: ("changed", ["summary", "number"], True, True), 4: ("added", [], False, False)}
-    log = []
-    steps = C.UpdateSteps(lambda: {"refetch": [8]}, lambda w: log.append(("journal", w)), lambda: found, lambda rows: log.append(("upsert", sorted(r.id for r in rows.collect()))), lambda: [4], lambda i, again: log.append(("texts", i, again)) or {},
-                          lambda i: log.append(("forget", i)) or len(i), lambda: {"embedded": 1}, lambda: log.append("commit"))
+    log, journal = [], [spark.createDataFrame([("refetch", 8), ("refetch", 3)], "kind string, id long")]
+    ids = lambda df: sorted(r.id for r in df.collect())
+    none = journal[0].where("false")
+
+    def save(work):
+        rows = sorted(map(tuple, work.collect())) if work is not None else []
+        log.append(("journal", rows))
+        journal.append(spark.createDataFrame(rows, "kind string, id long"))
+
+    steps = C.UpdateSteps(lambda: journal[-1], save, lambda: found, lambda rows: log.append(("upsert", ids(rows))), lambda: now.where("id = 4").select("id"), lambda i, again: log.append(("texts", ids(i), again)) or {},
+                          lambda i: log.append(("forget", ids(i))) or i.count(), lambda: {"embedded": 1}, lambda: log.append("commit"))
     report = C.run_update(steps)
-    assert log == [("journal", {"refetch": [3, 8], "rechunk": [2], "revector": [2, 3]}), ("upsert", [2, 3, 4]), ("texts", [4], False), ("texts", [3, 8], True), ("texts", [2], False), ("forget", [2, 3]), ("journal", store.NOTHING_UNFINISHED), "commit"]
-    assert report["dataset"]["added"] == 1 and report["vectors_forgotten"] == 2
+    work = [("rechunk", 2), ("refetch", 3), ("refetch", 8), ("revector", 2), ("revector", 3)]
+    assert log == [("journal", work), ("upsert", [2, 3, 4]), ("texts", [4], False), ("texts", [3, 8], True), ("texts", [2], False), ("forget", [2, 3]), ("journal", []), "commit"]
+    assert report["resumed"] == {"refetch": 2, "rechunk": 0, "revector": 0} and report["dataset"]["added"] == 1 and report["vectors_forgotten"] == 2
     log.clear()
     assert "new_texts" not in C.run_update(steps, check=True) and not log
-    steps.texts = lambda i, again: {"aborted": "refused"}
+    whole, steps.texts = steps.texts, lambda i, again: {"aborted": "refused"}
     with pytest.raises(C.UpdateIncomplete):
         C.run_update(steps)
-    assert "commit" not in log
+    assert "commit" not in log and len(log) == 2
+    # the next run finds the dataset as it is and goes on with what is written down
+    log.clear()
+    steps.texts, steps.found, steps.without_text = whole, lambda: None, lambda: none.select("id")
+    report = C.run_update(steps)
+    assert log == [("texts", [3], True), ("texts", [2], False), ("forget", [2, 3]), ("journal", [])] and report["resumed"] == {"refetch": 1, "rechunk": 1, "revector": 2}
+    log.clear()
+    assert C.run_update(steps)["refetched"] is None and log == [("journal", [])]
 
 
 def test_versioned_tables(spark, tmp_path):
@@ -121,9 +138,12 @@ def test_versioned_tables(spark, tmp_path):
     t.append(spark.createDataFrame([(4, "f")], "id long, name string"))
     t.compact(1)
     assert t.read().count() == 4
-    store.save_unfinished(str(tmp_path / "j.json"), {"refetch": [1]})
-    assert store.load_unfinished(str(tmp_path / "j.json")) == {"refetch": [1], "rechunk": [], "revector": []} == store.load_unfinished(str(tmp_path / "j.json"))
-    assert store.load_unfinished(str(tmp_path / "none")) == store.NOTHING_UNFINISHED
+    last = max(t.versions())
+    assert t.read(1).count() == 2  # older versions can be read until they are dropped
+    with pytest.raises(Conflict):
+        t.write(t.read(), last - 1)
+    assert t.vacuum(2) == 3 and t.versions() == [last - 1, last] and t.read().count() == 4
+    assert store.work_counts(spark.createDataFrame([("refetch", 1)], "kind string, id int")) == {"refetch": 1, "rechunk": 0, "revector": 0}
 
 
 def test_process_texts(spark):

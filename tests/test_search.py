@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from codicil.functions.vectors import HashingEmbedder
 from codicil.operators import search as S
 from codicil.operators.ann import IvfIndex
-from codicil.operators.embed import TooManyFailures, embed_chunks
+from codicil.operators.embed import TooManyFailures, embed_and_save, embed_chunks
 from codicil.operators.requests import parse_search
 from codicil.operators.search import Options
 
@@ -133,6 +133,50 @@ def test_embedding_reports_what_fails(spark):
     assert issubclass(TooManyFailures, RuntimeError)
 
 
+class Counted:
+    """Writes down each call; fails for ids from ``dead`` on."""
+
+    model = "counted"
+
+    def __init__(self, folder, dead):
+        self.folder, self.dead = folder, dead
+
+    def embed(self, texts):
+        import time
+        import uuid
+
+        time.sleep(0.02)
+        (self.folder / uuid.uuid4().hex).touch()
+        if any(int(t) >= self.dead for t in texts):
+            raise RuntimeError("the model is down")
+        return [[1.0, 2.0] for _ in texts]
+
+
+def test_a_dead_model_stops_the_whole_run(spark, tmp_path):
+    df = spark.range(4000).selectExpr("id", "cast(id as string) as input").repartition(400)
+    (tmp_path / "dead").mkdir()
+    saved = []
+    with pytest.raises(TooManyFailures, match="5 texts in a row failed: the model is down"):
+        embed_and_save(df, lambda: Counted(tmp_path / "dead", 0), 2, saved.append)
+    # each task would make 6 calls before it gives up; few of the 400 get that far
+    assert len(list((tmp_path / "dead").iterdir())) < 600 and not saved
+
+
+def test_embedding_saves_part_by_part(spark, tmp_path):
+    df = spark.range(60).selectExpr("id", "cast(id as string) as input").coalesce(1)
+    (tmp_path / "well").mkdir()
+    saved = []
+    keep = lambda rows: saved.append(sorted(r.id for r in rows.collect()))
+    assert embed_and_save(df, lambda: Counted(tmp_path / "well", 59), 2, keep, part=20) == {"embedded": 59, "failed": 1}
+    assert len(saved) == 3 and sorted(i for part in saved for i in part) == list(range(59))
+    # a model that dies on the way: the parts before stay, and so does what the last task had until then
+    saved.clear()
+    with pytest.raises(TooManyFailures):
+        embed_and_save(df, lambda: Counted(tmp_path / "well", 30), 2, keep, batch=1, part=60)
+    assert [i for part in saved for i in part] in ([], list(range(30)))
+    assert embed_and_save(df.where("id < 0"), lambda: Counted(tmp_path / "well", 0), 2, keep) == {"embedded": 0, "failed": 0}
+
+
 def test_search_with_an_index(corpus, tmp_path):
     c, r, t, e = corpus
     index = S.index_chunks(c, r, e.model, str(tmp_path / "index"), cells=3)
