@@ -1,4 +1,4 @@
-"""Commands over a folder of versioned tables: ingest, texts, embed, update, search, evaluate, status.
+"""Commands over a folder of versioned tables: ingest, texts, embed, update, search, answer, evaluate, status, maintain.
 
 python -m codicil COMMAND --store FOLDER ...; each prints JSON lines."""
 
@@ -107,36 +107,37 @@ def embed(spark: SparkSession, a: argparse.Namespace) -> None:
 def embed_pending(spark: SparkSession, a: argparse.Namespace) -> dict:
     """Vectors for the chunks that lack one of this model."""
     from codicil.functions.text import embedding_input, regulation_name
-    from codicil.functions.vectors import HashingEmbedder
     from codicil.operators.changes import pending
     from codicil.operators.embed import embed_and_save
+    from codicil.sources.models import embedder_of
     from codicil.sources.store import save_vectors
 
     regulations, _, chunks, _ = stores(spark, a.store)
-    wanted = chunks.read().where(pending(F.col("embedding"), F.col("embedding_model"), "hashing"))
+    embedder = embedder_of(os.environ, a.dimensions)
+    wanted = chunks.read().where(pending(F.col("embedding"), F.col("embedding_model"), embedder.model))
     r = regulations.read().select(F.col("id").alias("_r"), "type", "number", "enacted_on", "topic", "title")
     rows = wanted.join(r, wanted.regulation_id == r._r)
     name = regulation_name(F.col("type"), F.col("number"), F.col("enacted_on"))
     inputs = rows.select("id", embedding_input(name, F.col("topic"), F.col("title"), F.col("label"), F.col("content")).alias("input"))
-    dimensions = a.dimensions
 
     def save(done: DataFrame) -> None:
         keys = settled(wanted.select("id", "regulation_id").join(done, "id", "left_semi").select("regulation_id").distinct())
-        chunks.replace(save_vectors(chunks.of_keys(keys), done, "hashing"), keys)
+        chunks.replace(save_vectors(chunks.of_keys(keys), done, embedder.model), keys)
 
-    embed_and_save(inputs, lambda: HashingEmbedder(dimensions=dimensions), dimensions, save)
+    embed_and_save(inputs, lambda: embedder, a.dimensions, save)
     return {"embedded": chunks.read().where("embedding is not null").count()}
 
 
 def update(spark: SparkSession, a: argparse.Namespace) -> int:
     """Brings the store up to date with a file of records and the page cache. Every run is recorded, a failed one with its reason; what it left
     undone is done by the next. 0: done, or nothing was due; 1: failed."""
-    from codicil.functions.vectors import HashingEmbedder, checked
+    from codicil.functions.vectors import checked
     from codicil.operators import changes as C
     from codicil.operators import ingest as I
     from codicil.operators import texts as T
     from codicil.sources import records as R
     from codicil.sources import store as S
+    from codicil.sources.models import embedder_of
 
     regulations, stored, chunks, runs = stores(spark, a.store)
     if a.if_due and not C.update_status(runs.read(), F.current_timestamp()).first().due:
@@ -176,7 +177,7 @@ def update(spark: SparkSession, a: argparse.Namespace) -> int:
     )
     try:
         os.makedirs(a.store, exist_ok=True)
-        embedder = HashingEmbedder(dimensions=a.dimensions)
+        embedder = embedder_of(os.environ, a.dimensions)
         checked(embedder.embed(["probe"]), ["probe"], a.dimensions)  # before anything is touched
         report = C.run_update(steps, a.check)
     except Exception as e:  # noqa: BLE001  whatever it was, the next run has to know
@@ -206,9 +207,9 @@ def maintain(spark: SparkSession, a: argparse.Namespace) -> None:
 def search(spark: SparkSession, a: argparse.Namespace) -> int:
     from urllib.parse import urlencode
 
-    from codicil.functions.vectors import HashingEmbedder
     from codicil.operators.requests import parse_search
     from codicil.operators.search import search as run
+    from codicil.sources.models import embedder_of
 
     asked = {"q": a.question, "limit": a.limit, "type": ",".join(a.type or ()), "from": a.year_from, "to": a.year_to, "min_similarity": a.min_similarity, "versions": a.versions}
     found, issues = parse_search(urlencode({k: v for k, v in asked.items() if v not in (None, "")}))
@@ -216,19 +217,57 @@ def search(spark: SparkSession, a: argparse.Namespace) -> int:
         print(json.dumps({"issues": issues}), file=sys.stderr)
         return 2
     regulations, stored, chunks, _ = stores(spark, a.store)
-    say(run(chunks.read(), regulations.read(), stored.read(), HashingEmbedder(dimensions=a.dimensions), found[0], found[1]))
+    say(run(chunks.read(), regulations.read(), stored.read(), embedder_of(os.environ, a.dimensions), found[0], found[1]))
     return 0
 
 
+def answer(spark: SparkSession, a: argparse.Namespace) -> int:
+    """The answer to a question as events, written by the models that settings name from what the search finds. 0: done, 1: no model wrote, 2: there is no model."""
+    from dataclasses import replace
+
+    from codicil.functions import text as X
+    from codicil.functions.dates import written_dates
+    from codicil.operators import answers as A
+    from codicil.operators import search as S
+    from codicil.sources.models import chat_models, embedder_of
+
+    models = chat_models(os.environ)
+    if not models:
+        print(json.dumps({"error": "no chat model is configured"}), file=sys.stderr)
+        return 2
+    regulations, stored, chunks, _ = (t.read() for t in stores(spark, a.store))
+    embedder = embedder_of(os.environ, a.dimensions)
+    asked = spark.range(1).select(X.language(F.lit(a.question)).alias("language"), X.references(F.lit(a.question), datetime.date.today().year).alias("r")).first()
+    # what the question cites holds for a second search in other words too
+    o = S.Options(limit=A.MAX_SOURCES, min_similarity=a.min_similarity)
+    o = replace(o, references=tuple(S.Reference(r["type"], r["number"], r["year"]) for r in asked.r), dates=tuple(written_dates(a.question)))
+
+    def find(query: str) -> list[A.Source]:
+        hits = S.search(chunks, regulations, stored, embedder, query, o).withColumn("question", F.lit(0))
+        rows = A.numbered_sources(hits).orderBy("n").collect()  # MAX_SOURCES rows
+        return [A.Source(r.n, r.chunk_id, r.regulation_id, r.source_title, r.subject, r.content, r.enacted_on and r.enacted_on.isoformat(), r.url, tuple(e["name"] for e in r.earlier), r.earlier_omitted) for r in rows]
+
+    def amounts(text: str, sources: list[A.Source]) -> list[dict]:
+        answers = spark.createDataFrame([(0, text)], "question int, answer string")
+        given = spark.createDataFrame([(0, s.n, s.content) for s in sources], "question int, n int, content string")
+        return [r.asDict() for r in A.check_amounts(answers, given).drop("question").orderBy("line", "at").collect()]  # those of one answer
+
+    written = A.Fallback(models)
+    last = {}
+    for last in A.answer_question(A.AnswerSteps(find, written, written, amounts), a.question, asked.language):
+        print(A.event_line(last), end="", flush=True)
+    return 0 if last.get("type") == "done" else 1
+
+
 def evaluate(spark: SparkSession, a: argparse.Namespace) -> int:
     """Measures of the search over a file of questions with known answers, in order: overall, by kind, questions without an answer, mean time, and with --floors
     the same above each floor; with --versions how many find their regulation only under a newer one. All questions are searched by one plan. Questions none of whose regulations has a vector are left out. 0: done, 1: recall@5 is below --min-recall, 2: nothing to ask."""
     import time
 
-    from codicil.functions.vectors import HashingEmbedder
     from codicil.operators import evaluate as E
     from codicil.operators import many as M
     from codicil.operators import search as S
+    from codicil.sources.models import embedder_of
 
     with open(a.questions, encoding="utf-8") as f:
         gold = E.read_gold(f.readlines())
@@ -239,11 +278,10 @@ def evaluate(spark: SparkSession, a: argparse.Namespace) -> int:
     if not any(q.expected for _, q in chosen):
         print(json.dumps({"error": "no expected regulation has chunks with vectors"}), file=sys.stderr)
         return 2
-    embedder = HashingEmbedder(dimensions=a.dimensions)
+    embedder = embedder_of(os.environ, a.dimensions)
     o = S.Options(limit=S.MAX_LIMIT, min_similarity=0.0 if a.floors else a.min_similarity, version_similarity=a.versions).checked()
-    dimensions = a.dimensions
     rows = spark.createDataFrame([(n, q.question) for n, q in chosen], "question long, text string")
-    questions = settled(M.asked(rows, lambda: HashingEmbedder(dimensions=dimensions), dimensions))
+    questions = settled(M.asked(rows, lambda: embedder, a.dimensions))
     found = settled(M.search_many(chunks, regulations, stored, embedder.model, questions, o).select("question", "place", "match", "similarity", "regulation_id", F.col("earlier_versions.regulation_id").alias("earlier")))
     # what is cited by number passes any floor
     results = found.select("question", "place", F.col("regulation_id").alias("id"), F.when(F.col("match") == "reference", 1.0).otherwise(F.col("similarity")).alias("similarity"))
@@ -305,6 +343,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     command(update, (["records"], {}), kinds, (["--since"], {}), pages, most, (["--check"], {"action": "store_true"}), (["--if-due"], {"action": "store_true"}), dimensions)
     command(search, (["question"], {}), kinds, (["--limit"], {"type": int}), (["--from"], {"dest": "year_from"}), (["--to"], {"dest": "year_to"}), (["--min-similarity"], {}), (["--versions"], {}), dimensions)
     floor = (["--min-similarity"], {"type": float, "default": 0.55})
+    command(answer, (["question"], {}), floor, dimensions)
     command(evaluate, (["questions"], {}), (["--floors"], {"action": "store_true"}), (["--timings"], {"action": "store_true"}), (["--versions"], {"type": float}), floor, (["--min-recall"], {"type": float, "default": 0.0}), dimensions)
     command(status)
     command(maintain, (["--most"], {"type": int, "default": 4}), (["--keep"], {"type": int, "default": 3}))
