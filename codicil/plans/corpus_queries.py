@@ -20,7 +20,7 @@ _SUBSETS = (Subset(("ley", "Decreto/Ley")), Subset(("DECRETO",), "1998-01-01"))
 _CLASSIFIED = (
     with_tables("records")
     + """, reasons AS (SELECT line, unnest(list_filter([CASE WHEN id_norma = 'abc' OR id_norma = '0' THEN 'id_norma: expected a whole number above 0' END, CASE WHEN trim(tipo_norma) = '' THEN 'tipo_norma: expected a text' END,
-      CASE WHEN fecha_sancion LIKE '%/%' THEN 'fecha_sancion: expected YYYY-MM-DD' END, CASE WHEN fecha_sancion = '2022-02-30' THEN 'fecha_sancion: not a calendar date' END,
+      CASE WHEN fecha_sancion LIKE '%/%' THEN 'fecha_sancion: expected YYYY-MM-DD' END, CASE WHEN fecha_sancion = '2023-06-31' THEN 'fecha_sancion: not a calendar date' END,
       CASE WHEN numero_boletin = 'treinta' THEN 'numero_boletin: expected a whole number from 0' END, CASE WHEN texto_original <> '' AND NOT texto_original LIKE 'http://%' THEN 'texto_original: expected an http or https URL' END,
       CASE WHEN modificada_por = '-1' THEN 'modificada_por: expected a whole number from 0' END], lambda x: x IS NOT NULL)) AS reason FROM records),
   dated AS (SELECT *, trim(tipo_norma) AS type, coalesce(try_cast(nullif(fecha_sancion, '') AS DATE), try_cast(nullif(fecha_boletin, '') AS DATE)) AS day FROM records),

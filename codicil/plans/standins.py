@@ -47,7 +47,7 @@ RECORDS = """
 SELECT o_orderkey + 1 AS line, CASE WHEN o_orderkey % 50 = 0 THEN 'abc' WHEN o_orderkey % 51 = 0 THEN '0' ELSE CONCAT('', o_orderkey + 1) END AS id_norma,
   CASE WHEN o_orderkey % 53 = 0 THEN '  ' WHEN o_orderkey % 4 = 0 THEN ' Ley ' WHEN o_orderkey % 4 = 1 THEN 'Decreto' WHEN o_orderkey % 4 = 2 THEN 'DECRETO/LEY' ELSE 'Resolución' END AS tipo_norma,
   CONCAT('', o_orderkey % 500) AS numero_norma, '' AS clase_norma, 'Poder Ejecutivo' AS organismo_origen,
-  CASE WHEN o_orderkey % 57 = 0 THEN '03/11/2022' WHEN o_orderkey % 58 = 0 THEN '2022-02-30' WHEN o_orderkey % 10 = 0 THEN '' ELSE CONCAT('', CAST(o_orderdate AS DATE)) END AS fecha_sancion,
+  CASE WHEN o_orderkey % 57 = 0 THEN '26/08/2019' WHEN o_orderkey % 58 = 0 THEN '2023-06-31' WHEN o_orderkey % 10 = 0 THEN '' ELSE CONCAT('', CAST(o_orderdate AS DATE)) END AS fecha_sancion,
   CASE WHEN o_orderkey % 61 = 0 THEN 'treinta' ELSE '12.0' END AS numero_boletin,
   CASE WHEN o_orderkey % 20 = 0 THEN '' ELSE CONCAT('', CAST(o_orderdate AS DATE)) END AS fecha_boletin, '' AS pagina_boletin,
   CONCAT('Norma ', o_orderkey) AS titulo_resumido, o_orderpriority AS titulo_sumario, '' AS texto_resumido, '' AS observaciones,

@@ -12,7 +12,7 @@ from codicil.sources import records as R
 from codicil.sources import store
 from codicil.sources.numbered import Conflict
 
-GOOD = dict.fromkeys(R.COLUMNS, "") | {"id_norma": "7", "tipo_norma": " Ley ", "numero_norma": "27.818", "fecha_sancion": "2022-11-03", "numero_boletin": "12.0", "texto_original": "https://x.org/a", "modifica_a": "2"}
+GOOD = dict.fromkeys(R.COLUMNS, "") | {"id_norma": "7", "tipo_norma": " Ley ", "numero_norma": "31.406", "fecha_sancion": "2019-08-26", "numero_boletin": "12.0", "texto_original": "https://x.org/a", "modifica_a": "2"}
 
 
 def raw(spark, *changes):
@@ -23,7 +23,7 @@ def raw(spark, *changes):
 @pytest.mark.parametrize(
     "change,columns",
     [
-        ({"id_norma": "abc"}, ["id_norma"]), ({"id_norma": "0"}, ["id_norma"]), ({"tipo_norma": "  "}, ["tipo_norma"]), ({"fecha_sancion": "03/11/2022"}, ["fecha_sancion"]), ({"fecha_sancion": "2022-02-30"}, ["fecha_sancion"]), ({"fecha_sancion": "2026"}, ["fecha_sancion"]),
+        ({"id_norma": "abc"}, ["id_norma"]), ({"id_norma": "0"}, ["id_norma"]), ({"tipo_norma": "  "}, ["tipo_norma"]), ({"fecha_sancion": "26/08/2019"}, ["fecha_sancion"]), ({"fecha_sancion": "2023-06-31"}, ["fecha_sancion"]), ({"fecha_sancion": "2026"}, ["fecha_sancion"]),
         ({"numero_boletin": "treinta"}, ["numero_boletin"]), ({"texto_original": "norma.htm"}, ["texto_original"]), ({"texto_original": "javascript:alert(1)"}, ["texto_original"]), ({"modifica_a": "-1", "id_norma": "1.5"}, ["id_norma", "modifica_a"]), ({}, []), ({"id_norma": "0x10"}, []),
     ],
 )
@@ -31,11 +31,11 @@ def test_rows(spark, change, columns):
     r = I.parsed(raw(spark, change)).first()
     assert [x.split(":")[0] for x in r.reasons] == columns
     if not change:
-        assert (r.id, r.type, r.number, r.enacted_on, r.gazette_number, r.amended_by_count, r.amends_count, r.topic) == (7, "Ley", "27.818", datetime.date(2022, 11, 3), 12, 0, 2, None)
+        assert (r.id, r.type, r.number, r.enacted_on, r.gazette_number, r.amended_by_count, r.amends_count, r.topic) == (7, "Ley", "31.406", datetime.date(2019, 8, 26), 12, 0, 2, None)
 
 
 def test_subsets(spark):
-    df = I.classified(raw(spark, {}, {"tipo_norma": "Decreto", "fecha_sancion": ""}, {"tipo_norma": "DECRETO"}, {"tipo_norma": "Leyes"}), (I.Subset(("léy",)), I.Subset(("decreto",), "2022-11-03")))
+    df = I.classified(raw(spark, {}, {"tipo_norma": "Decreto", "fecha_sancion": ""}, {"tipo_norma": "DECRETO"}, {"tipo_norma": "Leyes"}), (I.Subset(("léy",)), I.Subset(("decreto",), "2019-08-26")))
     assert [r.status for r in df.orderBy("line").collect()] == ["selected", "filtered_out", "selected", "filtered_out"]
     laws, decrees = corpus_subsets(datetime.date(2024, 2, 29))
     assert laws.since is None and decrees.since == "2019-03-01"
