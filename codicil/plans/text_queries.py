@@ -63,7 +63,18 @@ def snippets(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.snippet(F.col("text")).alias("snippet"))
 
 
-@query()
+def _normal_form() -> str:
+    """The steps one by one; rows of filler need a pattern for each character, as there are no back-references."""
+    edge = "[\\t\\x0b\\f\\r \\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]"
+    steps = [("\\x{a0}", " "), ("[\\x00-\\x08\\x0b-\\x1f\\x{7f}-\\x{9f}\\x{fffd}]", ""), ("[ \\t]+", " "), *((f"[{c}]{{5,}}", c.replace("\\", "") * 3) for c in (".", "_", "\\-", "=", "*", "~")), ("(?:\\. ){4,}\\.?", "... ")]
+    steps += [(f"(?m)^(?:{edge}*\\|{edge}*)+", ""), (f"(?m)^{edge}+|{edge}+$", ""), ("\\n{3,}", "\n\n"), (f"^(?:{edge}|\\n)+|(?:{edge}|\\n)+$", "")]
+    out = "text"
+    for pattern, by in steps:
+        out = f"regexp_replace({out}, '{pattern}', '{by}', 'g')"
+    return f"SELECT doc_id, {out} AS text FROM documents"
+
+
+@query(_normal_form())
 def normalized_documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.normalized(F.col("text")).alias("text"))
 
