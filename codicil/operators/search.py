@@ -8,15 +8,15 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codicil.functions.dates import states_date, written_dates
 from codicil.functions.text import references, regulation_name
-from codicil.functions.vectors import Embedder, checked, cosines, matrix, similarity_to
+from codicil.functions.vectors import Embedder, checked, matrix, similarity_to
 
 from .codes import CodeIndex
+from .nearest import Best, block_for, block_of, by_blocks, slices
 from .versions import LINKAGE, POOL, SIMILARITY, group_versions
 
 DEFAULT_LIMIT, MAX_LIMIT, MIN_SIMILARITY, EF_SEARCH, MAX_EF_SEARCH, PER_REFERENCE = 8, 20, 0.55, 100, 1000, 3
@@ -198,42 +198,22 @@ def search(chunks: DataFrame, regulations: DataFrame, texts: DataFrame, embedder
     return search_by_vector(chunks, regulations, texts, embedder.model, vector, o, index)
 
 
-def nearest_of_many(chunks: DataFrame, questions: DataFrame, k: int, block: int = 512) -> DataFrame:
-    """question, chunk_id, similarity, rank: the k closest chunks (id, embedding) of each question (question, embedding).
-
-    Questions are taken in blocks; each is broadcast, each batch of chunks gives its best k for every question by one matrix product, and only those
-    are ranked, so that the shuffle carries k rows for each question and batch."""
-    parts = []
-    held: list = []
-    for r in questions.select("question", "embedding").toLocalIterator():
-        held.append(r)
-        if len(held) == block:
-            parts.append(_block_nearest(chunks, held, k))
-            held = []
-    if held or not parts:
-        parts.append(_block_nearest(chunks, held, k))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+def nearest_of_many(chunks: DataFrame, questions: DataFrame, k: int, block: int = 0) -> DataFrame:
+    """question, chunk_id, similarity, rank: the k closest chunks (id, embedding) of each question (question, embedding), by one scan of the chunks for each block of
+    questions (see nearest.py)."""
+    out = by_blocks(questions, block or block_for(k), lambda asked: _block_nearest(chunks, asked, k))
     best = Window.partitionBy("question").orderBy(*by_relevance())
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def _block_nearest(chunks: DataFrame, questions: list, k: int) -> DataFrame:
-    shared = chunks.sparkSession.sparkContext.broadcast(([r.question for r in questions], np.array([list(r.embedding) for r in questions], np.float64)))
+def _block_nearest(chunks: DataFrame, asked: list, k: int) -> DataFrame:
+    shared = chunks.sparkSession.sparkContext.broadcast(block_of(asked))
 
     def run(batches):
-        ids, q = shared.value
-        for b in batches:
-            if not len(ids) or not b.num_rows:
-                continue
-            b = b.filter(b.column("embedding").is_valid())
-            chunk = np.asarray(b.column("id"))
-            near = cosines(matrix(b.column("embedding")), q)
-            order = np.lexsort((np.broadcast_to(chunk[:, None], near.shape), -near), axis=0)[:k]
-            n = len(order)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.tile(np.array(ids, np.int64), n)), pa.array(chunk[order].ravel().astype(np.int64)), pa.array(np.take_along_axis(near, order, axis=0).ravel())], ["question", "chunk_id", "similarity"]
-            )
+        names, q = shared.value
+        best = Best(len(names), k)
+        for b in slices(batches, len(names)):
+            best.scan(np.asarray(b.column("id")), matrix(b.column("embedding")), q)
+        yield from best.rows(names, ("question", "chunk_id", "similarity"))
 
     return chunks.where("embedding is not null").select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, "question long, chunk_id long, similarity double")

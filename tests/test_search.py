@@ -254,3 +254,27 @@ def test_a_question_that_cannot_be_embedded(spark, corpus):
     rows = spark.createDataFrame([(1, "a")], "question long, text string")
     with pytest.raises(Exception, match="QueryEmbeddingError.*question 1.*no such model"):
         M.asked(rows, Refuses, DIM).collect()
+
+
+def test_memory_of_a_scan():
+    """What a worker holds doesn't grow with the rows of a batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from codicil.functions.vectors import matrix
+    from codicil.operators.nearest import Best, slices
+
+    r = np.random.RandomState(5)
+    q, x = r.randn(512, 8), r.randn(20_000, 8)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(x))), pa.array(x.tolist())], ["id", "embedding"])
+    best = Best(len(q), 21)
+    tracemalloc.start()
+    for b in slices(iter([batch]), len(q)):
+        best.scan(np.asarray(b.column("id")), matrix(b.column("embedding")), q)
+    got = pa.Table.from_batches(list(best.rows(np.arange(len(q)), ("question", "id", "similarity")))).to_pandas()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # all pairs of the batch are 82 MB a matrix
+    near = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ q[7]
+    assert got[got.question == 7].sort_values("similarity", ascending=False).id.tolist() == np.argsort(-near)[:21].tolist()
