@@ -1,8 +1,8 @@
 """Nearest neighbours by product-quantised residuals, ranked again exactly.
 
 A vector (at length 1) is its cell's centre plus a residual, and the residual is cut into parts, each replaced by the nearest of CODES codewords: a code of one byte a part.
-A search scans codes only. What a query has in common with each codeword is looked up in a table of parts by codewords, so an
-estimated similarity takes one sum over a code. The best candidates by estimate are then ranked by their vectors, which are stored apart and sorted by id, so that Parquet's
+A search scans codes only (columns beside the vectors). What a query has in common with each codeword is looked up in a table of parts by codewords, so an
+estimated similarity takes one sum over a code. The best candidates by estimate are then ranked by their vectors. Rows are sorted by id, so that Parquet's
 statistics skip what holds none of them.
 
 Beside each code stands the length of what the code misses of its vector. No estimate is off by more than that, so ``exact`` searches can leave out all rows whose
@@ -24,10 +24,9 @@ from pyspark.sql import functions as F
 from codicil.functions.vectors import cosines, matrix, similarity_to
 
 from .ann import _unit, centres_of
+from .nearest import SLACK, Best, block_for, block_of, by_blocks, slices
 
-SAMPLE, CODES, ROUNDS, BLOCK = 20_000, 256, 10, 512
-#: Room for rounding in bounds.
-SLACK = 1e-6
+SAMPLE, CODES, ROUNDS = 20_000, 256, 10
 
 
 def codewords_of(sample: np.ndarray, codes: int, seed: int = 7) -> np.ndarray:
@@ -77,10 +76,10 @@ class Quantizer:
             return np.zeros((len(q), 1)), np.zeros((len(q), len(self.words), CODES))
         if q.shape[1] != self.centres.shape[1]:
             raise ValueError(f"the index holds vectors of {self.centres.shape[1]} dimensions, the query has {q.shape[1]}")
-        looked = np.zeros((len(q), len(self.words), CODES))
+        looked = np.zeros((len(self.words), CODES, len(q))).transpose(2, 0, 1)  # estimates() takes what all queries have in common with a codeword at once
         for i, (part, words) in enumerate(zip(np.array_split(q, len(self.words), axis=1), self.words)):
             looked[:, i, : len(words)] = part @ words.T
-        return q @ self.centres.T, looked
+        return (self.centres @ q.T).T, looked
 
     @staticmethod
     def estimates(cell: np.ndarray, codes: np.ndarray, centred: np.ndarray, looked: np.ndarray) -> np.ndarray:
@@ -117,15 +116,18 @@ class CodeIndex:
             return pa.StructArray.from_arrays([pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)], ["cell", "code", "error"])
 
         others = [c for c in vectors.columns if c not in ("embedding", "cell", "code", "error")]
-        rows.withColumn("c", coded(F.col("embedding").cast("array<double>"))).select(*others, "c.*").write.mode("overwrite").parquet(f"{path}/codes")
-        rows.select("id", "embedding").repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{path}/vectors")
+        whole = rows.withColumn("c", coded(F.col("embedding").cast("array<double>"))).select(*others, "c.*", "embedding")
+        whole.repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(path)
         return CodeIndex(vectors.sparkSession, path, quantizer)
 
+    def _rows(self) -> DataFrame:
+        return self.spark.read.parquet(self.path)
+
     def codes(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/codes")
+        return self._rows().drop("embedding")
 
     def vectors(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/vectors")
+        return self._rows().select("id", "embedding")
 
     def search(self, query: Sequence[float], k: int, probes: int = 0, where: Column | None = None, columns: Sequence[str] = ()) -> DataFrame:
         """id, similarity and ``columns`` of (approximately) the k closest of the rows that pass ``where``, ties by id; ``probes``: candidates ranked exactly, beyond the least number."""
@@ -143,35 +145,27 @@ class CodeIndex:
         return near.orderBy(F.desc("similarity"), "id").limit(k)
 
     def candidates(self, questions: list, count: int) -> DataFrame:
-        """question, id, estimate, error of the ``count`` rows of the largest estimates for each question."""
+        """question, id, estimate of the ``count`` rows of the largest estimates for each question of a block."""
         best = Window.partitionBy("question").orderBy(F.desc("estimate"), "id")
-        return self._scanned(questions, lambda near, error: np.argsort(-near, axis=0, kind="stable")[:count]).withColumn("place", F.row_number().over(best)).where(F.col("place") <= count).drop("place")
-
-    def _scanned(self, questions: list, chosen) -> DataFrame:
-        """question, id, estimate, error of the rows of each batch that chosen(estimates, errors) gives the places of, by question (a matrix, -1 for none)."""
-        parts = len(self.quantizer.words)
-        q = np.array([list(r.embedding) for r in questions], np.float64) if questions else np.zeros((0, 1))
-        tables = self.quantizer.tables(q)
-        shared = self.spark.sparkContext.broadcast((np.array([r.question for r in questions], np.int64), *tables))
+        parts, quantizer, shared = len(self.quantizer.words), self.quantizer, self._shared(questions)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            asked, centred, looked = shared.value
-            for batch in batches:
-                if not len(asked) or not batch.num_rows:
-                    continue
-                row, error = np.asarray(batch.column("id")), np.asarray(batch.column("error"))
-                order = np.argsort(row)
-                cell, codes = _codes(batch, parts)
-                row, error, cell, codes = row[order], error[order], cell[order], codes[order]
-                near = Quantizer.estimates(cell, codes, centred, looked)
-                at = chosen(near, error)
-                turn = np.broadcast_to(np.arange(len(asked)), at.shape)
-                there = at >= 0
-                at, turn = at[there], turn[there]
-                yield pa.RecordBatch.from_arrays([pa.array(asked[turn]), pa.array(row[at]), pa.array(near[at, turn]), pa.array(error[at])], ["question", "id", "estimate", "error"])
-
-        rows = self.codes().select(F.col("id").cast("long").alias("id"), "cell", "code", "error")
-        return rows.mapInArrow(run, "question long, id long, estimate double, error double")
+            names, q = shared.value
+            centred, looked = quantizer.tables(q)
+            most = Best(len(names), count)
+            for batch in slices(batches, len(names)):
+                near = Quantizer.estimates(*_codes(batch, parts), centred, looked)
+                row, turn = np.nonzero(near >= most.floor)
+                most.add(turn, np.asarray(batch.column("id"))[row], near[row, turn])
+            yield from most.rows(names, ("question", "id", "estimate"))
+
+        rows = self.codes().select(F.col("id").cast("long").alias("id"), "cell", "code").mapInArrow(run, "question long, id long, estimate double")
+        return rows.withColumn("place", F.row_number().over(best)).where(F.col("place") <= count).drop("place")
+
+    def _shared(self, questions: list):
+        names, q = block_of(questions)
+        self.quantizer.tables(q[:1])  # vectors of another length are an error
+        return self.spark.sparkContext.broadcast((names, q))
 
     def _ranked(self, found: DataFrame, questions: list, k: int) -> DataFrame:
         """question, id, similarity, rank: the k closest of what was found for each question."""
@@ -193,35 +187,32 @@ class CodeIndex:
 
     def nearest_of_many(self, questions: DataFrame, k: int, count: int | None = None) -> DataFrame:
         """question, id, similarity, rank: (approximately) the k closest of each question (question, embedding), by ``count`` candidates each (the least number, if it isn't given)."""
-        return self._by_blocks(questions, lambda block: self._ranked(self.candidates(block, max(k, count or self.least)), block, k))
+        most = max(k, count or self.least)
+        return by_blocks(questions, block_for(most), lambda block: self._ranked(self.candidates(block, most), block, k))
 
     def exact_of_many(self, questions: DataFrame, k: int) -> DataFrame:
-        """The k closest of each question, exactly: first the k-th largest of what similarities are at least, then all rows that may reach it."""
-
-        def block(asked: list) -> DataFrame:
-            surely = self._scanned(asked, lambda near, error: np.argsort(error[:, None] - near, axis=0, kind="stable")[:k]).withColumn("surely", F.col("estimate") - F.col("error"))
-            order = Window.partitionBy("question").orderBy(F.desc("surely"))
-            least = surely.withColumn("place", F.row_number().over(order)).where(F.col("place") == k).select("question", "surely").collect()
-            floor = {r.question: r.surely - SLACK for r in least}
-            need = np.array([floor.get(r.question, -2.0) for r in asked])
-            may = self._scanned(asked, lambda near, error: np.where(near + error[:, None] >= need[None, :], np.arange(len(near))[:, None], -1))
-            return self._ranked(may, asked, k)
-
-        return self._by_blocks(questions, block)
-
-    def _by_blocks(self, questions: DataFrame, answer) -> DataFrame:
-        parts, held = [], []
-        for r in questions.select("question", "embedding").where("embedding is not null").toLocalIterator():
-            held.append(r)
-            if len(held) == BLOCK:
-                parts.append(answer(held))
-                held = []
-        if held or not parts:
-            parts.append(answer(held))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        """The k closest of each question, exactly: one scan of codes and vectors for each block of questions. A pair is only compared by the vectors if its estimate and what
+        that may be off by reach the k-th similarity that the task has found for the question."""
+        out = by_blocks(questions, block_for(k), lambda block: self._exact(block, k))
+        best = Window.partitionBy("question").orderBy(F.desc("similarity"), "id")
+        return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    def _exact(self, questions: list, k: int) -> DataFrame:
+        parts, quantizer, shared = len(self.quantizer.words), self.quantizer, self._shared(questions)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, q = shared.value
+            centred, looked = quantizer.tables(q)
+            best = Best(len(names), k)
+            for batch in slices(batches, len(names)):
+                may = Quantizer.estimates(*_codes(batch, parts), centred, looked) + np.asarray(batch.column("error"))[:, None] >= best.floor - SLACK
+                some = np.flatnonzero(may.any(axis=1))
+                if len(some):
+                    best.scan(np.asarray(batch.column("id"))[some], matrix(batch.column("embedding"))[some], q, may[some])
+            yield from best.rows(names, ("question", "id", "similarity"))
+
+        rows = self._rows().select(F.col("id").cast("long").alias("id"), "cell", "code", "error", F.col("embedding").cast("array<double>").alias("embedding"))
+        return rows.mapInArrow(run, "question long, id long, similarity double")
 
     def measured(self, k: int, recall: float, sample: int = 256) -> CodeIndex:
         """The index with the fewest candidates (k, 2 k, 4 k and so on) that find ``recall`` of the k closest of ``sample`` indexed vectors, a row chosen by a hash of its id."""

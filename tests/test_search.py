@@ -278,3 +278,26 @@ def test_memory_of_a_scan():
     assert peak < 60e6  # all pairs of the batch are 82 MB a matrix
     near = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ q[7]
     assert got[got.question == 7].sort_values("similarity", ascending=False).id.tolist() == np.argsort(-near)[:21].tolist()
+
+
+def test_blocks_of_questions_leave_the_driver(spark, tmp_path, monkeypatch):
+    """Questions of many blocks: the answers are those of a scan, ties by id, and the plan doesn't grow with the blocks."""
+    from codicil.operators import nearest
+    from codicil.operators.codes import CodeIndex
+
+    r = np.random.RandomState(4)
+    x = np.tile(r.randn(40, 16), (5, 1))  # every vector five times
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>").repartition(4)
+    asked = df.where("id % 20 = 0").select(F.col("id").alias("question"), "embedding")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(q, int(i), n + 1) for q in range(0, 200, 20) for n, i in enumerate(np.lexsort((np.arange(200), -np.round(unit @ unit[q], 9)))[:7])}
+    index = CodeIndex.build(df, f"{tmp_path}/codes", cells=5, parts=4)
+    monkeypatch.setattr(nearest, "BLOCK", 3)
+    sent = []
+    broadcast = spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda v: sent.append(sum(a.nbytes for a in v) if isinstance(v, tuple) else 0) or broadcast(v))
+    for found in (index.exact_of_many(asked, 7), S.nearest_of_many(df, asked, 7).withColumnRenamed("chunk_id", "id")):
+        assert {(a.question, a.id, a["rank"]) for a in found.collect()} == want
+        assert "Union" not in found._jdf.queryExecution().toString()
+    assert 0 < max(sent) <= 3 * 17 * 8  # names and vectors of a block
+    assert {(a.question, a.id) for a in index.nearest_of_many(asked, 7, 200).collect()} == {w[:2] for w in want}
