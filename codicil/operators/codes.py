@@ -141,7 +141,7 @@ class CodeIndex:
 
         rows = self.codes() if where is None else self.codes().where(where)
         best = rows.withColumn("estimate", estimate("cell", "code")).orderBy(F.desc("estimate"), "id").limit(max(k, probes, self.least)).select("id", *columns)
-        near = self.vectors().join(best, "id").select("id", *columns, similarity_to(F.col("embedding").cast("array<double>"), query).alias("similarity"))
+        near = self.vectors().join(F.broadcast(best), "id").select("id", *columns, similarity_to(F.col("embedding").cast("array<double>"), query).alias("similarity"))
         return near.orderBy(F.desc("similarity"), "id").limit(k)
 
     def candidates(self, questions: list, count: int) -> DataFrame:
@@ -180,7 +180,7 @@ class CodeIndex:
                 out[at] = cosines(x[at], shared.value[one][None, :])[:, 0]
             return pa.array(out)
 
-        rows = self.vectors().select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding")).join(found.select("question", "id"), "id")
+        rows = self.vectors().select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding")).hint("merge").join(found.select("question", "id"), "id")  # vectors that compress well look small enough to broadcast
         near = rows.select("question", "id", exact("question", "embedding").alias("similarity"))
         best = Window.partitionBy("question").orderBy(F.desc("similarity"), "id")
         return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -87,7 +87,7 @@ def search_many(chunks: DataFrame, regulations: DataFrame, texts: DataFrame, mod
     passing = c.join(r, c.regulation_id == r._id).drop("_id")
 
     cited = cited_by(q, regulations, o).join(q.select("question", "_q"), "question")
-    own = passing.select(F.col("id").alias("chunk_id"), "regulation_id", "section", "ordinal", F.col("embedding").cast("array<double>").alias("_e")).join(cited, "regulation_id")
+    own = passing.select(F.col("id").alias("chunk_id"), "regulation_id", "section", "ordinal", F.col("embedding").cast("array<double>").alias("_e")).hint("merge").join(cited, "regulation_id")
     front = cited_chunks_of(own.withColumn("similarity", F.arrow_udf(_cosine, "double")("_e", "_q")).drop("_e", "_q"), o.limit)
     pool = nearest_of_many(passing.select("id", "embedding"), q.select("question", F.col("_q").alias("embedding")), o.pool).drop("rank")
     close = pool.where(F.col("similarity") >= o.min_similarity).join(front.select("question", "chunk_id"), ["question", "chunk_id"], "left_anti")
@@ -97,7 +97,7 @@ def search_many(chunks: DataFrame, regulations: DataFrame, texts: DataFrame, mod
         back, earlier = close.select(*columns(1, "semantic", ranked)), None
     else:
         content = passing.select(F.col("id").alias("chunk_id"), "regulation_id", "enacted_on", "content", "embedding")
-        full = close.join(content, "chunk_id").join(q.select("question", "dates"), "question")
+        full = close.join(content.hint("merge"), "chunk_id").join(q.select("question", "dates"), "question")
         # a text is only read where the question names a day
         full = full.withColumn("asked", states_any(dates(F.when(F.size("dates") > 0, F.col("content"))), F.col("dates")))
         grouped = group_versions(full, o.version_similarity, o.version_linkage).join(close, ["question", "chunk_id"])

@@ -301,3 +301,14 @@ def test_blocks_of_questions_leave_the_driver(spark, tmp_path, monkeypatch):
         assert "Union" not in found._jdf.queryExecution().toString()
     assert 0 < max(sent) <= 3 * 17 * 8  # names and vectors of a block
     assert {(a.question, a.id) for a in index.nearest_of_many(asked, 7, 200).collect()} == {w[:2] for w in want}
+
+
+def test_vectors_are_not_broadcast(spark, tmp_path):
+    """Copies compress so well that the vectors look small enough; they still don't go through the driver."""
+    from codicil.operators.codes import CodeIndex
+
+    df = spark.range(2000).select("id", F.array(*((F.col("id") % (3 + i)).cast("double") for i in range(8))).alias("embedding"))
+    index = CodeIndex.build(df, f"{tmp_path}/codes", cells=4, parts=4)
+    found = index.nearest_of_many(df.where("id % 500 = 0").withColumnRenamed("id", "question"), 3, 6)
+    assert len(found.collect()) == 12
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().toString()
