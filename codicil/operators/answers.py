@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import queue
 import re
 import threading
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from codicil.functions.text import AMOUNT, NEXT_CITATIONS, NOT_IN_SOURCES, amounts, citations, collapsed, digits_of, figures
 
 MAX_SOURCES, MAX_EARLIER, DISTINCTIVE = 8, 6, 4
+#: Questions of a task that checks amounts.
+QUESTIONS = 50_000
 
 
 # ---- over tables --------------------------------------------------------------------------------------------------
@@ -55,9 +58,11 @@ def answer_amounts(answers: DataFrame) -> DataFrame:
 def check_amounts(answers: DataFrame, sources: DataFrame) -> DataFrame:
     """answer_amounts with cited cut to the sources there are, found_in and status (supported, other_source, not_found); sources: question, n, content.
 
-    A figure of DISTINCTIVE digits or more counts wherever a source has it; a shorter one only where it is money."""
+    A figure of DISTINCTIVE digits or more counts wherever a source has it; a shorter one only where it is money. A task takes about QUESTIONS questions, however many there are."""
+    parts = max(int(answers.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(answers.count() / QUESTIONS))
+    sources = sources.select("question", "n", "content").repartition(parts, "question")
     stated = sources.groupBy("question").agg(F.array_sort(F.collect_list(F.struct(F.col("n").cast("int").alias("n"), amounts(F.col("content")).alias("money"), figures(F.col("content")).alias("figures")))).alias("_s"))  # MAX_SOURCES a question
-    rows = answer_amounts(answers).join(stated, "question", "left")
+    rows = answer_amounts(answers).repartition(parts, "question").join(stated, "question", "left")
     known = F.coalesce("_s", F.array())
     d = F.col("digits")
     found = F.transform(F.filter(known, lambda s: F.when(F.length(d) >= DISTINCTIVE, F.array_contains(s["figures"], d)).otherwise(F.array_contains(s["money"], d))), lambda s: s["n"])

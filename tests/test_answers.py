@@ -202,3 +202,13 @@ def test_small_matters(spark):
     with pytest.raises(R.SettingsError, match="N: expected int.*K: missing"):
         R.settings({"N": "x"}, {"N": (int, 1), "K": (str, ...)})
     assert A.event_line({"type": "text", "text": "á"}) == 'event: text\ndata: {"text": "á"}\n\n'
+
+
+def test_questions_of_a_task(spark, monkeypatch):
+    """Tasks that check amounts get no larger as questions come in; an amount that another source happens to have is no missing one."""
+    monkeypatch.setattr(A, "QUESTIONS", 10)
+    answers = spark.range(200).selectExpr("id AS question", "concat('Eran $', 1000 + id, ' [1].') AS answer")
+    sources = spark.range(200).selectExpr("id AS question", "1 AS n", "'Tabla: 7000' AS content").union(spark.range(200).selectExpr("id", "2", "concat('El monto es de $', 1000 + id - id % 2)"))
+    rows = A.check_amounts(answers, sources)
+    assert rows.rdd.getNumPartitions() == 20
+    assert {r.question: r.status for r in rows.collect()} == {i: "not_found" if i % 2 else "other_source" for i in range(200)}
