@@ -153,7 +153,7 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner")
     if hot.isEmpty():
         return rows.join(table, key, how)
     known = settled(table.join(F.broadcast(hot), key, "left_semi"))
-    often = rows.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(known), key, how)
+    often = rows.join(F.broadcast(hot.join(known, key, how)), key)
     return often.unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(table, key, how))
 
 

@@ -142,3 +142,18 @@ def test_pages(spark):
     by = {(r.page_id, r.url): r.text for r in out}
     assert by[1, "http://a.x/1"] == "Hi" and by[2, None] == "" and by[4, "http://a.x/3"] == "deep"
     assert main_text(df.limit(0)).count() == 0
+
+
+def test_join_of_hot_keys(spark):
+    """What a plain join gives, for hot keys with and without a match; rows of hot keys pass one join only."""
+    from pyspark.sql import functions as F
+
+    from codicil.llm.common import settled, spread_join
+
+    rows = settled(spark.range(4000).select(F.when(F.col("id") % 4 == 0, 1).when(F.col("id") % 4 == 1, 2).when(F.col("id") == 2, None).otherwise(F.col("id")).cast("long").alias("key"), F.col("id").alias("node")))
+    table = settled(spark.range(3000).where("id != 2").select(F.col("id").alias("key"), (F.col("id") * 7).alias("x")))
+    for how in ("inner", "left"):
+        out = spread_join(rows, table, "key", how)
+        assert out.columns == ["key", "node", "x"]
+        assert sorted(map(str, out.collect())) == sorted(map(str, rows.join(table, "key", how).collect()))
+        assert "LeftSemi" not in out._jdf.queryExecution().optimizedPlan().toString()
