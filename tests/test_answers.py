@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from codicil.operators import answers as A
 from codicil.operators import evaluate as E
 from codicil.operators import requests as R
+from codicil.streaming import limits
 from codicil.streaming.limits import Log, TwoLevels, admissions, admitted_stream, client_admissions, limited_stream
 
 
@@ -212,3 +213,20 @@ def test_questions_of_a_task(spark, monkeypatch):
     rows = A.check_amounts(answers, sources)
     assert rows.rdd.getNumPartitions() == 20
     assert {r.question: r.status for r in rows.collect()} == {i: "not_found" if i % 2 else "other_source" for i in range(200)}
+
+
+@pytest.mark.parametrize("per_client,total", [(2, 5), (3, 0), (0, 4), (1, 700)])
+def test_requests_in_runs(spark, monkeypatch, per_client, total):
+    """Tasks that decide on requests get no larger as these come in, and logs go on from run to run: of everyone, and of a client that fills several."""
+    monkeypatch.setattr(limits, "RUN", 500)
+    client = "CASE WHEN id % 17 = 0 THEN NULL WHEN id % 3 = 0 THEN concat('c', id % 40) WHEN id % 1000 = 1 THEN 'z' ELSE 'hot' END"
+    df = spark.range(3000).selectExpr("id", f"{client} AS client", "(id * 7919 % 3000) DIV 10 * 13 + CASE WHEN id * 7919 % 3000 > 2000 THEN 900 ELSE 0 END - 500 AS ms").repartition(3)
+    rows, alone = admissions(df, per_client, total, 400), client_admissions(df, per_client, 400)
+    for got in (rows, alone):
+        counts = [len(p) for p in got.rdd.glom().collect()]
+        assert len(counts) == 6 and max(counts) < 1000
+    levels, logs = TwoLevels(per_client, total, 400), TwoLevels(per_client, 0, 400)
+    asked = sorted(df.collect(), key=lambda r: (r.ms, r.id))
+    assert {r.id: (r.admitted, r.limit, r.retry_after_ms) for r in rows.collect()} == {r.id: levels.decide(r.client, r.ms) for r in asked}
+    want = {r.id: logs.decide(r.client, r.ms) for r in asked}
+    assert {r.id: (r.admitted, r.retry_after_ms) for r in alone.collect()} == {i: (x[0], x[2]) for i, x in want.items()}
