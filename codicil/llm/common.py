@@ -123,10 +123,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/codicil-{uuid.uuid4().hex}"
 
 
+#: Has Spark delete the shuffle files of a query when it ends, not whenever the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: its lineage ends there, and a lost executor loses nothing of it."""
+    """df written to the shared folder and read again: its lineage ends there, and a lost executor loses nothing of it. Its shuffle files go."""
     spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

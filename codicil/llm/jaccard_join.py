@@ -5,7 +5,8 @@ A document's set holds the hashes of its shingles of K words. Equal sets are one
 segments, the two agree in at least one whole segment. Sizes are classed so that linked sets are in the same class or in
 neighbouring ones; each set gives the signature of each of its non-empty segments for its own class and the next.
 (A few more segments are cut than needed, so that sets with few empty ones always agree in a non-empty one; sets with more empty
-ones give signatures by a second cut of the range as well, and so on; those that fail all cuts meet under one signature.)
+ones give signatures by a second cut of the range as well, and so on; those that fail all cuts meet under one signature. How many more is
+reckoned for the smallest set that a pair of the class can have, so that hardly any fails: those that do are a cluster, however unlike they are.)
 
 The segments are cut by hash, so linked sets agree in many of them: all but one linked pair in 10**12 (NEVER) have NEED or more
 in common, by class. In that sense, and only in that one, the join is approximate. Signatures that more than SMALL nodes have are hot.
@@ -41,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, SLICE, arrow_map, bucket_of, buckets_for, gathered, joined_rows, map_batches, mix, packed, packed_batch, pick, settled, shuffle_partitions, spread_join, texts_of
+from .common import PACKED, SLICE, arrow_map, bucket_of, buckets_for, forget, gathered, joined_rows, map_batches, mix, packed, packed_batch, pick, settled, shuffle_partitions, spread_join, texts_of
 from .graph import components
 
 CHUNK, CHUNK_SHINGLES, SKETCH_CHUNK, LEAF, FAN, CUTS, SMALL, NEVER = 1024, 1 << 20, 4096, 32, 4, 4, 6, 1e-12
@@ -103,10 +104,10 @@ class Classes:
         differ = 2 * (self.low[j + 1] - 1) * (100 - self.percent) // (100 + self.percent)
         if not differ:
             return 1, 0
-        spare = 0
+        spare, least = 0, -(-self.low[j] * self.percent // 100)  # the smaller set of a pair can be in the class below
         for _ in range(4):
             m = differ + 1 + spare
-            empty = m * math.exp(-self.low[j] / m)
+            empty = m * math.exp(-least / m)
             spare = math.ceil(empty + 2 * math.sqrt(empty))
         return differ + 1 + spare, spare
 
@@ -584,7 +585,9 @@ def jaccard_groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     placed = spread_join(placed, settled(placed.groupBy("cluster").agg(chunks.alias("chunks"))), "cluster")
     placed = placed.select("cluster", "rep", "node", "chunks", F.pmod(F.xxhash64("node", F.lit(3)), "chunks").alias("chunk"))
     texts = settled(base.join(placed, base.doc_id == placed.rep).select("cluster", "chunks", "chunk", "node", "text"))
-    return _named(base, nodes, names, components(exact_links(texts, k, percent)))
+    joined = components(exact_links(texts, k, percent))  # written
+    forget(texts)
+    return _named(base, nodes, names, joined)
 
 
 def _named(base: DataFrame, nodes: DataFrame, names: DataFrame, joined: DataFrame) -> DataFrame:

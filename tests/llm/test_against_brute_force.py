@@ -645,3 +645,39 @@ def test_regions_stay_out():
         assert [x for (x, _), k in zip(lines, kept_lines(lines)) if k] == ["The story has a few words."] * 3, region
     lines = lines_of("<div><p>Short text.</p></div><div class='comments'>" + "<p>a very long comment on it</p>" * 9 + "</div>")
     assert [x for (x, _), k in zip(lines, kept_lines(lines)) if k] == ["Short text."]
+
+
+def test_jaccard_never_gathers_unlike_texts_by_their_size(spark):
+    """Sets at the low end of a class, which are the smaller ones of the pairs of the next class, all met in one cluster."""
+    from codicil.llm.common import settled
+    from codicil.llm.jaccard_join import Classes, clusters, jaccard_groups, nodes_and_edges, signatures
+
+    r, of = np.random.default_rng(5), Classes(80)
+    for n in (300, 500, 720, 1120, 1750, 2730, 4300):  # a little over 0.8 of the least size of a class
+        for _ in range(10):
+            found, kind = signatures(np.sort(r.integers(0, 2**64 - 1, n, np.uint64)), of)
+            assert (kind != 255).all() and len(found) < 0.75 * n
+    long = [f"l{x}" for x in range(2174)]
+    docs = [" ".join(f"{i}.{x}" for x in range(1750 + i)) for i in range(40)] + [" ".join(long), " ".join(long[:1744])]  # 1740 of 2170 shingles
+    docs = frame(spark, docs)
+    assert clusters(settled(nodes_and_edges(docs, 5, 80)), 80).count() == 2
+    got = {x.doc_id: x.component_id for x in jaccard_groups(docs, 5, 80).collect()}
+    assert got == {i: min(i, 40) for i in range(42)}
+
+
+def test_settled_leaves_no_shuffle_files(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from codicil.llm.common import settled
+
+    def files():
+        return set(re.findall(r"shuffle_\d+_\d+", spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")))
+
+    before = files()
+    assert len(settled(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()).collect()) == 7
+    until = time.time() + 10  # they go in the background
+    while files() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - before
